@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -114,3 +115,8 @@ def ascii_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts = np.flatnonzero(word & (~before | edge))
     ends = np.flatnonzero(before & (~word | edge))
     return starts, ends, np.searchsorted(starts, at)
+
+
+def digests(values: list[bytes]) -> list[str]:
+    """SHA-256 of each value, lowercase hex."""
+    return [hashlib.sha256(v).hexdigest() for v in values]

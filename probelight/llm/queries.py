@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+import public_tokenizers
 
-from . import mixing, pii
-from .common import table
+from . import bpe, mixing, pii
+from .common import digests, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +41,30 @@ SELECT d.*, c.n_copies, r.copy_no::INTEGER AS copy_no, md5('mix:order:' || d.doc
 FROM documents d JOIN counted c USING (doc_id), (SELECT unnest(range(1, 200)) AS copy_no) r WHERE r.copy_no <= c.n_copies
 """
 
+def bpe_digest(encoded: DataFrame, rank_file: str) -> DataFrame:
+    """The decoded rows' counts and digests."""
+    decoded = bpe.decode(encoded, rank_file)
+    # The ids as decimal text and their digest: one string per row, built beside the ids.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = batch.column(1).flatten().to_pylist(), batch.column(1).offsets.to_pylist()
+            at = [a - at[0] for a in at]
+            text = [" ".join(map(str, ids[a:b])).encode() for a, b in zip(at, at[1:], strict=False)]
+            counts = [b - a for a, b in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests(text)), pa.array(digests(batch.column(3).to_pylist()))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return decoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_digest(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_source_mix": op3_source_mix,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL}
