@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Rows of one Arrow batch that Spark sends to a Python worker. Texts are long, workers are small.
-ARROW_ROWS = 256
+ARROW_ROWS = 128
 # Bytes of text that a kernel works on at once; a longer text is a chunk of its own.
 CHUNK_BYTES = (1 << 19) - 1
 
@@ -30,10 +30,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{where}/{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and later plans know the true size."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 import public_tokenizers
 
-from . import bpe, mixing, pii
-from .common import digests, table
+from . import bpe, mixing, pii, token_ids
+from .common import digests, scratch_path, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +62,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
 
 
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    token_ids.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_ids.read_documents(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_source_mix": op3_source_mix,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_token_ids": op10_token_ids,
 }
 ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL}
