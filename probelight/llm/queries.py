@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 import public_tokenizers
 
-from . import bpe, mixing, pii, token_ids
+from . import bpe, gif, mixing, pii, token_ids
 from .common import digests, scratch_path, table
 
 
@@ -62,6 +64,27 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
 
 
+def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = gif.frames(gif.store(table(spark, sf_dir, "documents")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                data = b"".join(f["indices"] for f in row["frames"])
+                colours = [sum(c) for c in zip(*(f["colours"] for f in row["frames"]), strict=True)]
+                rows.append(
+                    {
+                        "doc_id": row["doc_id"], "n_bytes": row["n_bytes"], "payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-64:]),
+                        "media_bytes": len(row["media"]), "media_sha256": hashlib.sha256(row["media"]).hexdigest(), "feature": f"{len(row['frames'])}:" + ",".join(map(str, colours)),
+                    }
+                )
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    schema = pa.schema([(n, pa.string() if n.endswith("sha256") or n == "feature" else pa.int64()) for n in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])
+    return read.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     token_ids.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
@@ -72,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_source_mix": op3_source_mix,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_gif_media": op9_gif_media,
     "op10_token_ids": op10_token_ids,
 }
 ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL}
