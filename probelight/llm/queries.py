@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 import public_tokenizers
 
-from . import bpe, gif, mixing, pii, token_ids
+from . import bpe, gif, mixing, near_dup, pii, token_ids
 from .common import digests, scratch_path, table
 
 
@@ -59,6 +59,10 @@ def bpe_digest(encoded: DataFrame, rank_file: str) -> DataFrame:
     return decoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, share=0.85)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe_digest(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
@@ -94,6 +98,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_source_mix": op3_source_mix,
+    "op4_minhash_near_dup": op4_minhash_near_dup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_gif_media": op9_gif_media,
     "op10_token_ids": op10_token_ids,
