@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 import public_tokenizers
 
-from . import bpe, gif, mixing, near_dup, pii, token_ids
+from . import bpe, gif, mixing, near_dup, pii, token_ids, topk
 from .common import digests, scratch_path, table
 
 
@@ -63,6 +63,24 @@ def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, share=0.85)
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe_digest(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
@@ -99,8 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_source_mix": op3_source_mix,
     "op4_minhash_near_dup": op4_minhash_near_dup,
+    "op5_exact_top_k": op5_exact_top_k,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_gif_media": op9_gif_media,
     "op10_token_ids": op10_token_ids,
 }
-ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL, "op5_exact_top_k": OP5_SQL}
