@@ -17,7 +17,6 @@ import heapq
 import sys
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import chunks, small_batches, text_buffers
 
 # Most entries of a worker's cache of pieces; it starts anew beyond.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 500_000
 BLOCK = 64
 NONE = np.int32(2**31 - 1)
 
@@ -68,7 +67,7 @@ AFTER, CUT = _tables()
 def classes() -> np.ndarray:
     """0 letter, 1 number, 2 white space, 3 other, by code point."""
     out = np.full(sys.maxunicode + 1, 3, np.uint8)
-    for cp in range(sys.maxunicode + 1):
+    for cp in range(0x40000):  # there are no letters or numbers beyond
         kind = unicodedata.category(chr(cp))[0]
         if kind in "LN":
             out[cp] = "LN".index(kind)
@@ -165,41 +164,45 @@ class PairTable:
 
 
 class Pieces(dict):
-    """Ids by piece; new pieces are merged together, many at a time. Bounded: it starts anew when full."""
+    """Ids by piece, as bytes; new pieces are merged together, many at a time. Bounded: it starts anew when full."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
         self.ranks, self.pairs = ranks, PairTable(ranks)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
-    def look_up(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        new = set(pieces).difference(self)
+    def look_up(self, pieces: list[str]) -> list[bytes]:
+        """The pieces' ids, as bytes of 32-bit integers."""
+        found = list(map(self.get, pieces))
+        new = {p for p, ids in zip(pieces, found, strict=True) if ids is None}
+        if not new:
+            return found
         if len(self) + len(new) > CACHE_PIECES:
             self.clear()
-            new = set(pieces)
-        long = {}
-        groups: dict[int, list[str]] = {8: [], 16: [], 32: [], 64: []}
-        for piece, data in ((p, p.encode()) for p in new):
+        made: dict[str, bytes] = {}
+        long: dict[str, bytes] = {}  # not kept
+        groups: dict[int, list[tuple[str, bytes]]] = {8: [], 16: [], 32: [], 64: []}
+        for piece in new:
+            data = piece.encode()
             if data in self.ranks:
-                self[piece] = (self.ranks[data],)
+                made[piece] = np.int32(self.ranks[data]).tobytes()
             elif len(data) > 64:
                 long[piece] = _merged_long(data, self.ranks)
             else:
-                groups[next(w for w in groups if len(data) <= w)].append(piece)
+                groups[8 if len(data) <= 8 else 16 if len(data) <= 16 else 32 if len(data) <= 32 else 64].append((piece, data))
         for width, group in groups.items():
             if group:
-                self.update(zip(group, self._merged(group, width), strict=True))
-        if long:
-            return [long.get(p) or self[p] for p in pieces]
-        return [self[p] for p in pieces]
+                made.update(zip([p for p, _ in group], self._merged([d for _, d in group], width), strict=True))
+        self.update(made)
+        made |= long
+        return [made[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
 
-    def _merged(self, group: list[str], width: int) -> list[tuple[int, ...]]:
+    def _merged(self, data: list[bytes], width: int) -> list[bytes]:
         """For each piece merge the adjacent pair of least rank, the leftmost of equals, until none is left."""
-        data = [p.encode() for p in group]
         size = np.fromiter(map(len, data), np.int64, len(data))
         ids = np.full((len(data), width), -1, np.int32)
         ids[np.arange(width) < size[:, None]] = self.single[np.frombuffer(b"".join(data), np.uint8)]
-        done: list[tuple[int, ...]] = [()] * len(data)
+        done = [b""] * len(data)
         row = np.arange(len(data))
         rank = self.pairs(ids[:, :-1], ids[:, 1:])
         place = np.arange(width)
@@ -208,8 +211,9 @@ class Pieces(dict):
             own = np.arange(len(row))
             best = rank[own, at]
             over = best == NONE
-            for r, x, n in zip(row[over].tolist(), ids[over].tolist(), size[over].tolist(), strict=True):
-                done[r] = tuple(x[:n])
+            ready = ids[over].tobytes()
+            for i, (r, n) in enumerate(zip(row[over].tolist(), size[over].tolist(), strict=True)):
+                done[r] = ready[4 * i * width : 4 * (i * width + n)]
             go = ~over
             row, at, best, size, ids, rank = row[go], at[go], best[go], size[go] - 1, ids[go], rank[go]
             if not len(row):
@@ -227,7 +231,7 @@ class Pieces(dict):
         return done
 
 
-def _merged_long(data: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+def _merged_long(data: bytes, ranks: dict[bytes, int]) -> bytes:
     """The same with a heap and linked neighbours, for long pieces."""
     n = len(data)
     end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
@@ -245,7 +249,7 @@ def _merged_long(data: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
         for a in (before[i], i):
             if a >= 0 and (b := after[a]) < n and (r := ranks.get(data[a : end[b]])) is not None:
                 heapq.heappush(heap, (r, a, end[b]))
-    return tuple(ranks[data[i : end[i]]] for i in range(n) if alive[i])
+    return np.array([ranks[data[i : end[i]]] for i in range(n) if alive[i]], np.int32).tobytes()
 
 
 _loaded: dict[int, Pieces] = {}
@@ -272,9 +276,9 @@ def encode_texts(raw: np.ndarray, at: np.ndarray, pieces: Pieces) -> tuple[np.nd
     cuts = boundaries(points, start)
     places = cuts.tolist()
     found = pieces.look_up([text[a:b] for a, b in zip(places, places[1:], strict=False)])
-    ids = np.fromiter(chain.from_iterable(found), np.int32)
+    ids = np.frombuffer(b"".join(found), np.int32)
     tokens = np.zeros(len(found) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=tokens[1:])
+    np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4, out=tokens[1:])
     first = np.searchsorted(cuts[:-1], start)  # each text's first piece
     n = len(at) - 1
     row = np.repeat(np.arange(n), np.diff(first) + 1)  # its pieces and its length
