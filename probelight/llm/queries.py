@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 import public_tokenizers
 
-from . import bpe, gif, mixing, near_dup, pii, token_ids, topk
+from . import bpe, gif, mixing, near_dup, pii, quality, token_ids, topk
 from .common import digests, scratch_path, table
 
 
@@ -21,6 +21,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op2_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
 
@@ -115,6 +119,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_rule_quality": op2_rule_quality,
     "op3_source_mix": op3_source_mix,
     "op4_minhash_near_dup": op4_minhash_near_dup,
     "op5_exact_top_k": op5_exact_top_k,
