@@ -12,6 +12,8 @@ any order; a text of any length is one document; other columns are ignored; an e
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +29,9 @@ from .common import small_batches
 SHARD_IDS = 1 << 17
 # Every so many documents the position of the boundary's bit is kept.
 SELECT_EVERY = 64
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 CACHE_LENGTH = 48
+_MARKS = re.compile(r"(?<=[a-zß-öø-ÿ])([.,|!$%&*#]+)(?=[ \n])")
 
 SHARDS = "part int, shard int, part_at long, n_docs int, n_ids long, id_bytes int, low_bits int, ids binary, ends_high binary, ends_low binary, select_at binary, doc_ids array<long>"
 
@@ -80,36 +83,42 @@ class EliasFano:
 
 
 class WordIds(dict):
-    """Ids of each word as little-endian bytes. The tokenizer never looks across white space, so a text's ids are its words' ids."""
+    """Ids of each word as little-endian bytes; bounded, it starts anew when full.
+
+    The tokenizer lower-cases and never looks across white space, nor from letters to the marks behind them. So A-Z
+    is lower-cased first, unless a special token may be meant, marks between a letter and white space are words of
+    their own, and a text's ids are its words' ids.
+    """
 
     def __init__(self, tokenizer, kind: str) -> None:
         super().__init__()
         self.tokenizer, self.kind = tokenizer, kind
 
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def _split(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if "<|" not in text:
+            text = text.encode().lower().decode()
+        return _MARKS.sub(r" \1", text).split(" ")
 
     def look_up(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self)
+        split = [self._split(t) for t in texts]
+        found = [list(map(self.get, words)) for words in split]
+        new = list({w for words, ids in zip(split, found, strict=True) for w, i in zip(words, ids, strict=True) if i is None})
+        if not new:
+            return [b"".join(ids) for ids in found]
+        made = dict(zip(new, [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
-            new = set().union(*split)
-        words = list(new)
-        self.update(zip(words, self._encoded(words), strict=True))
-        out = [b"".join([self[w] for w in words]) for words in split]
-        for w in words:
-            if len(w) > CACHE_LENGTH:
-                del self[w]
-        return out
+        self.update((w, i) for w, i in made.items() if len(w) <= CACHE_LENGTH)
+        return [b"".join([made[w] if i is None else i for w, i in zip(words, ids, strict=True)]) for words, ids in zip(split, found, strict=True)]
 
 
 _words: dict[int, WordIds] = {}
 
 
 def _word_ids(data: str) -> WordIds:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
