@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 import public_tokenizers
 
-from . import bpe, gif, mixing, near_dup, pii, quality, token_ids, topk
+from . import bpe, gif, html_text, mixing, near_dup, pii, quality, token_ids, topk, toxicity
 from .common import digests, scratch_path, table
 
 
@@ -85,6 +85,14 @@ FROM scored QUALIFY rank <= 5
 """
 
 
+def op6_gbt_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_html_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe_digest(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
@@ -123,6 +131,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_minhash_near_dup": op4_minhash_near_dup,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_gbt_toxicity": op6_gbt_toxicity,
+    "op7_html_host_paths": op7_html_host_paths,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_gif_media": op9_gif_media,
     "op10_token_ids": op10_token_ids,
