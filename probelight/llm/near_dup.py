@@ -7,8 +7,9 @@ value, so indexing every chunk under each of its 4 ways to leave one value out f
 
 Pairs are confirmed on the full sets of shingles (64-bit hashes of all of them). No pairs within a group are
 enumerated: texts with equal sets are one node; in an index bucket every node is first compared with the bucket's
-smallest node; then, in buckets whose nodes are not in one component yet, the nodes outside the bucket's largest
-component are compared with the nodes of other components. That leaves out only pairs already connected.
+smallest node, then with its most central one; in buckets whose nodes are not in one component yet, the nodes outside
+the bucket's largest component are compared with the nodes of other components, unless the shingles that only one of
+them has rule the similarity out. That leaves out only pairs already connected and pairs that cannot be near.
 
 Cases: a null or empty text, or one of white space alone, has no shingles and is linked with nothing; a text with
 fewer words than a shingle is one shingle; texts of any length count whole; equal doc_ids with equal texts are one;
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -110,15 +112,28 @@ def buckets(nodes: DataFrame, *carry: str) -> DataFrame:
     return nodes.select(*carry, F.explode(F.array(*keys)).alias("_k")).select("_k.way", "_k.key", *carry)
 
 
+def _differing(a: str, b: str, c: int) -> Column:
+    """A bit for each value of chunk c that differs, at the value's lowest place."""
+    x = F.col(f"{a}s{c}").bitwiseXOR(F.col(f"{b}s{c}"))
+    for shift, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return x
+
+
 def distance(a: str, b: str) -> Column:
-    """Values that differ between two signatures, on the columns a_s0.. and b_s0..: non-zero 16-bit lanes."""
-    total = F.lit(0)
-    for c in range(CHUNKS):
-        x = F.col(f"{a}s{c}").bitwiseXOR(F.col(f"{b}s{c}"))
-        for shift, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask).cast("long"))
-        total = total + F.bit_count(x)
-    return total
+    """Values that differ between two signatures, on the columns a_s0.. and b_s0.. ."""
+    return reduce(lambda x, y: x + y, [F.bit_count(_differing(a, b, c)) for c in range(CHUNKS)])
+
+
+def first_way(a: str, b: str) -> Column:
+    """The first of the ways under which the two signatures share a key: of all buckets with a pair, one reports it."""
+    out = F.lit(None).cast("int")
+    for c in reversed(range(CHUNKS)):
+        x = _differing(a, b, c)
+        for j in reversed(range(PER_CHUNK)):
+            out = F.when(x == F.lit(1 << (BITS * j)).cast("long"), c * PER_CHUNK + j).otherwise(out)
+        out = F.when(x == 0, c * PER_CHUNK).otherwise(out)
+    return out
 
 
 def _signed(pairs: DataFrame, nodes: DataFrame, most: int, share: float) -> DataFrame:
@@ -130,17 +145,27 @@ def _signed(pairs: DataFrame, nodes: DataFrame, most: int, share: float) -> Data
     return joined.where(fits & (distance("a_", "b_") <= most)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, share: float) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids whose full sets have 100 * intersection >= 100 * share * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, shingles of the wanted doc_ids, written out."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(full_sets(texts, words), "sets")
+    return materialize(full_sets(texts, words), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Those of the pairs (a, b) of doc_ids whose full sets have 100 * intersection >= 100 * share * union."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     near = common * 100 >= (F.size("sa") + F.size("sb") - common) * int(round(share * 100))
     return both.where(near).select("a", "b")
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """node, own: how many of a set's shingles no other of these sets has, or fewer (32 bits of each are compared)."""
+    each = sets.select(F.col("doc_id").alias("node"), F.explode(F.transform("shingles", lambda s: (s.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) - F.lit(1 << 31).cast("long")).cast("int"))).alias("s"))
+    alone = each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) of every node with an edge (a, b).
 
@@ -168,6 +193,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (way, key, node) of buckets with several components, with their component and the bucket's largest."""
+    named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = named.groupBy("way", "key", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = parts.groupBy("way", "key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("way", "key", F.col("top.component").alias("largest"))
+    return named.join(several, ["way", "key"])
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, share: float = 0.8, most: int = DISTANCE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     signs = materialize(signatures(docs, words), "signatures")
@@ -178,25 +211,36 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, share: float = 0.8, most
     index = buckets(nodes, "node")
     heads = index.groupBy("way", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = materialize(index.join(heads, ["way", "key"]), "buckets")
-    stars = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    links = materialize(confirmed(materialize(_signed(stars, nodes, most, share), "pairs"), docs, words, share), "links")
-    labels = components(links)
-
-    # Pairs that stars left open: buckets with several components, nodes outside the largest against the others.
-    named = shared.select("way", "key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = named.groupBy("way", "key", "component").agg(F.count(F.lit(1)).alias("n"))
-    several = parts.groupBy("way", "key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("way", "key", F.col("top.component").alias("largest"))
-    detail = nodes.select("node", "n_shingles", *columns)
-    open_nodes = materialize(named.join(several, ["way", "key"]).join(detail, "node"), "open")
-    side = lambda p, df: df.select("way", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "component", "largest", "n_shingles", *columns)])
-    minor, every = side("a", open_nodes.where("component <> largest")), side("b", open_nodes)
+    stars = materialize(_signed(shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), nodes, most, share), "pairs")
+    links = materialize(confirmed(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, words), share), "links")
+
+    # What stars left open: buckets with several components. A set's own shingles are in no other open set, so they
+    # bound its similarity to all of them; sets that can reach none are out.
+    percent = int(round(share * 100))
+    opened = materialize(_open_buckets(shared.select("way", "key", "node"), components(links)), "open")
+    sets = sets_of(opened.select(F.col("node").alias("doc_id")).distinct(), docs, words)
+    own = own_shingles(sets)
+    detail = nodes.select("node", "n_shingles", *columns).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    able = materialize(opened.select("node").distinct().join(detail, "node").where((F.col("n_shingles") - F.col("own")) * 10000 >= percent * (percent * F.col("n_shingles") + 100 * F.col("own"))), "able")
+
+    # Again stars, around the set of each bucket with the fewest shingles of its own: copies gather about their source.
+    members = materialize(opened.select("way", "key", "node", "component").join(able, "node"), "members")
+    centres = members.groupBy("way", "key").agg(F.min_by("node", F.struct("own", "node")).alias("head"))
+    second = members.join(centres, ["way", "key"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    links = links.union(materialize(confirmed(materialize(_signed(second, nodes, most, share), "pairs"), sets, share), "links"))
+
+    # The rest, pair by pair: nodes outside their bucket's largest component against nodes of other components.
+    left = materialize(_open_buckets(members.select("way", "key", "node"), components(links)).join(able, "node"), "left")
+    side = lambda p, df: df.select("way", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "component", "largest", "n_shingles", "own", *columns)])
+    minor, every = side("a", left.where("component <> largest")), side("b", left)
     once = (F.col("b_component") == F.col("b_largest")) | (F.col("a_node") < F.col("b_node"))
-    fits = F.least("a_n_shingles", "b_n_shingles") * 100 >= F.greatest("a_n_shingles", "b_n_shingles") * int(share * 100)
-    pairs = minor.hint("merge").join(every, ["way", "key"]).where((F.col("a_component") != F.col("b_component")) & once & fits & (distance("a_", "b_") <= most))
-    rest = materialize(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "pairs")
-    more = confirmed(rest, docs, words, share)
-    bridged = links.union(materialize(more, "links"))
-    final = components(bridged)
+    apart = (F.col("a_component") != F.col("b_component")) & once
+    common = F.least(F.col("a_n_shingles") - F.col("a_own"), F.col("b_n_shingles") - F.col("b_own"))
+    whole = F.greatest(F.col("a_n_shingles") + F.col("b_own"), F.col("b_n_shingles") + F.col("a_own"), F.col("a_n_shingles") + F.col("b_n_shingles") - common)
+    pairs = minor.hint("merge").join(every, ["way", "key"]).where(apart & (common * 100 >= whole * percent) & (distance("a_", "b_") <= most) & (first_way("a_", "b_") == F.col("way")))
+    # A bucket's largest component is not the same everywhere, so a pair may still come from two buckets.
+    rest = materialize(pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "pairs")
+    final = components(links.union(materialize(confirmed(rest, sets, share), "links")))
 
     by_set = nodes.select("set_md5", "node").join(final, "node", "left").select("set_md5", F.coalesce("component", "node").alias("component_id"))
     out = signs.select("doc_id", "n_shingles", "set_md5").join(by_set, "set_md5", "left")
