@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("audit",)
+TOPICS = ("audit", "contrast", "vectors")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
