@@ -2,8 +2,9 @@
 
 A lexicon of words and word beginnings is learned from labelled documents (terms far more common in toxic ones) and
 joined with a short fixed list. Features of a whole text: lexicon densities, nearness to the second person, capitals,
-punctuation, and rates of obfuscated spelling. Trees are fitted to one part of the labelled rows, the lexicon to
-another, the calibration to a third, so that none judges its own.
+punctuation, and rates of obfuscated spelling. Each half of the labelled rows is judged with the lexicon of the other
+half; trees are fitted to a part of the rows so judged and calibrated on the rest, and all documents are scored with
+the lexicon of both halves.
 
 Labels come from at most about SAMPLE labelled rows outside the held-out fold, chosen by a hash of their ids; the
 lexicon keeps at most TERMS candidates for counting.
@@ -16,6 +17,7 @@ the share of toxic ones (0 without labels); an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ SAMPLE, TERMS = 16_000, 50_000
 FOLDS, HELD = 3, 1
 PREFIXES = (4, 5, 6, 7, 8)  # bytes of UTF-8
 LEAST_DOCS, LEAST_RATIO = 5, 12.0
+FEW, LEAST_OF_FEW = 100, 3  # with fewer toxic documents than FEW, terms of LEAST_OF_FEW will do
 NEAR = 6  # words
 TREES, DEPTH, STEP = 20, 3, 0.3
 LEAST_OF_CLASS = 5
@@ -182,7 +185,8 @@ def learned_lexicon(data: DataFrame) -> Lexicon:
         return run
 
     sums = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
-    toxic = data.where("label = 1").select("text").mapInArrow(counted(None), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    least = LEAST_DOCS if sums.get(1.0, 0) >= FEW else LEAST_OF_FEW
+    toxic = data.where("label = 1").select("text").mapInArrow(counted(None), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     top = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(TERMS).collect()}  # bounded by TERMS
     candidates = np.array(sorted(top), np.int64).view(np.uint64)
     clean = data.where("label = 0").select("text").mapInArrow(counted(candidates), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -224,19 +228,22 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     part = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(10))
     data = materialize(texts.withColumn("part", part), "toxicity-training")
-    sizes = {(r["label"], r["part"]): r["n"] for r in data.groupBy("label", F.when(F.col("part") < 5, 0).when(F.col("part") < 8, 1).otherwise(2).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if min(sizes.get((label, k), 0) for label in (0.0, 1.0) for k in range(3)) < LEAST_OF_CLASS:
+    rest = F.col("part").isin(3, 4, 8)
+    sizes = {(r["label"], r["rest"]): r["n"] for r in data.groupBy("label", rest.alias("rest")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if min(sizes.get((label, k), 0) for label in (0.0, 1.0) for k in (False, True)) < LEAST_OF_CLASS:
         total = sum(sizes.values())
         share = sum(n for (label, _), n in sizes.items() if label == 1.0) / total if total else 0.0
         return docs.select("doc_id", held, F.lit(float(share)).alias("score"), F.lit(int(share >= THRESHOLD)).alias("predicted"))
-    lexicon = learned_lexicon(data.where("part < 5").select("text", "label"))
-    judged = materialize(with_features(data.where("part >= 5"), lexicon, "doc_id", "label", "part"), "toxicity-features")
+    halves = [data.where("part < 5"), data.where("part >= 5")]
+    lexicons = [learned_lexicon(h) for h in halves]
+    lexicon = learned_lexicon(data)
+    judged = materialize(reduce(DataFrame.unionByName, [with_features(h, x, "doc_id", "label", "part") for h, x in zip(halves, reversed(lexicons), strict=True)]), "toxicity-features")
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, minInstancesPerNode=5, seed=5).fit(assemble.transform(judged.where("part < 8")).coalesce(1))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, minInstancesPerNode=5, seed=5).fit(assemble.transform(judged.where(~rest)).coalesce(1))
 
     def chance(df: DataFrame) -> DataFrame:
         return trees.transform(assemble.transform(df)).withColumn("chance", vector_to_array("probability")[1])
 
-    isotonic = IsotonicRegression(featuresCol="chance", predictionCol="score").fit(chance(judged.where("part >= 8")).select("chance", "label"))
+    isotonic = IsotonicRegression(featuresCol="chance", predictionCol="score").fit(chance(judged.where(rest)).select("chance", "label"))
     out = isotonic.transform(chance(with_features(docs, lexicon, "doc_id")).select("doc_id", "chance"))
     return out.select("doc_id", held, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
