@@ -9,7 +9,7 @@ Pairs are confirmed on the full sets of shingles (64-bit hashes of all of them).
 enumerated: texts with equal sets are one node; in an index bucket every node is first compared with the bucket's
 smallest node, then with its most central one; in buckets whose nodes are not in one component yet, the nodes outside
 the bucket's largest component are compared with the nodes of other components, unless the shingles that only one of
-them has rule the similarity out. That leaves out only pairs already connected and pairs that cannot be near.
+them has (in no other open set, or in a bitmap of each set) rule the similarity out. That leaves out only pairs already connected and pairs that cannot be near.
 
 Cases: a null or empty text, or one of white space alone, has no shingles and is linked with nothing; a text with
 fewer words than a shingle is one shingle; texts of any length count whole; equal doc_ids with equal texts are one;
@@ -31,6 +31,7 @@ from .common import ascii_words, chunks, materialize, mix64, slice_hashes, small
 
 VALUES, CHUNKS, PER_CHUNK, BITS = 32, 8, 4, 16
 DISTANCE = 15
+BIT_WORDS = 32
 _MULTIPLIERS = mix64(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 _OFFSETS = mix64(np.arange(101, VALUES + 101, dtype=np.uint64))
 
@@ -90,18 +91,29 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles: the sorted distinct hashes of each document."""
+    """doc_id, shingles (the sorted distinct hashes of each document) and bits: 2048 bits, set where a shingle falls."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = text_buffers(batch.column(1))
             for lo, hi, data, own in chunks(raw, at):
-                sets = [s.view(np.int64) for s in shingle_sets(data, own, words)]
+                sets = list(shingle_sets(data, own, words))
                 ends = np.cumsum([0, *map(len, sets)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["doc_id", "shingles"])
+                bits = np.zeros((len(sets), 64 * BIT_WORDS), np.uint8)
+                flat = np.concatenate(sets)
+                bits[np.repeat(np.arange(len(sets)), np.diff(ends)), (flat >> np.uint64(64 - (64 * BIT_WORDS).bit_length() + 1)).astype(np.int64)] = 1
+                packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(-1)
+                steps = pa.array(np.arange(len(sets) + 1) * BIT_WORDS, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(steps, pa.array(packed))], ["doc_id", "shingles", "bits"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<long>, bits array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
+def most_common(a: str, b: str) -> Column:
+    """No fewer shingles than two sets share: a bit that only one set has stands for a shingle that the other lacks."""
+    only = lambda p, q: reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{p}bits")[k].bitwiseAND(F.bitwise_not(F.col(f"{q}bits")[k]))) for k in range(BIT_WORDS)])
+    return F.least(F.col(f"{a}n_shingles") - only(a, b), F.col(f"{b}n_shingles") - only(b, a))
 
 
 def buckets(nodes: DataFrame, *carry: str) -> DataFrame:
@@ -230,14 +242,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, share: float = 0.8, most
     links = links.union(materialize(confirmed(materialize(_signed(second, nodes, most, share), "pairs"), sets, share), "links"))
 
     # The rest, pair by pair: nodes outside their bucket's largest component against nodes of other components.
-    left = materialize(_open_buckets(members.select("way", "key", "node"), components(links)).join(able, "node"), "left")
-    side = lambda p, df: df.select("way", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "component", "largest", "n_shingles", "own", *columns)])
+    left = materialize(_open_buckets(members.select("way", "key", "node"), components(links)).join(able.join(sets.select(F.col("doc_id").alias("node"), "bits"), "node"), "node"), "left")
+    side = lambda p, df: df.select("way", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "component", "largest", "n_shingles", "own", "bits", *columns)])
     minor, every = side("a", left.where("component <> largest")), side("b", left)
     once = (F.col("b_component") == F.col("b_largest")) | (F.col("a_node") < F.col("b_node"))
     apart = (F.col("a_component") != F.col("b_component")) & once
     common = F.least(F.col("a_n_shingles") - F.col("a_own"), F.col("b_n_shingles") - F.col("b_own"))
     whole = F.greatest(F.col("a_n_shingles") + F.col("b_own"), F.col("b_n_shingles") + F.col("a_own"), F.col("a_n_shingles") + F.col("b_n_shingles") - common)
-    pairs = minor.hint("merge").join(every, ["way", "key"]).where(apart & (common * 100 >= whole * percent) & (distance("a_", "b_") <= most) & (first_way("a_", "b_") == F.col("way")))
+    pairs = minor.hint("merge").join(every, ["way", "key"]).where(apart & (common * 100 >= whole * percent) & (distance("a_", "b_") <= most) & (first_way("a_", "b_") == F.col("way")) & (most_common("a_", "b_") * (100 + percent) >= (F.col("a_n_shingles") + F.col("b_n_shingles")) * percent))
     # A bucket's largest component is not the same everywhere, so a pair may still come from two buckets.
     rest = materialize(pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "pairs")
     final = components(links.union(materialize(confirmed(rest, sets, share), "links")))
