@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from .common import chunks, small_batches, text_buffers
 
 # Most entries of a worker's cache of pieces; it starts anew beyond.
-CACHE_PIECES = 500_000
-BLOCK = 64
+CACHE_PIECES = 1_000_000
+BLOCK = 256
 NONE = np.int32(2**31 - 1)
 
 # Symbols. SPACE is a space that ends a run of white space before a visible character and so may lead its token;
@@ -174,9 +174,10 @@ class Pieces(dict):
     def look_up(self, pieces: list[str]) -> list[bytes]:
         """The pieces' ids, as bytes of 32-bit integers."""
         found = list(map(self.get, pieces))
-        new = {p for p, ids in zip(pieces, found, strict=True) if ids is None}
-        if not new:
+        missed = [i for i, ids in enumerate(found) if ids is None]
+        if not missed:
             return found
+        new = {pieces[i] for i in missed}
         if len(self) + len(new) > CACHE_PIECES:
             self.clear()
         made: dict[str, bytes] = {}
@@ -195,7 +196,9 @@ class Pieces(dict):
                 made.update(zip([p for p, _ in group], self._merged([d for _, d in group], width), strict=True))
         self.update(made)
         made |= long
-        return [made[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+        for i in missed:
+            found[i] = made[pieces[i]]
+        return found
 
     def _merged(self, data: list[bytes], width: int) -> list[bytes]:
         """For each piece merge the adjacent pair of least rank, the leftmost of equals, until none is left."""

@@ -50,12 +50,16 @@ FROM documents d JOIN counted c USING (doc_id), (SELECT unnest(range(1, 200)) AS
 def bpe_digest(encoded: DataFrame, rank_file: str) -> DataFrame:
     """The decoded rows' counts and digests."""
     decoded = bpe.decode(encoded, rank_file)
+    with open(rank_file, "rb") as f:
+        size = max(bpe.load_ranks(f.read()).values()) + 1
+
     # The ids as decimal text and their digest: one string per row, built beside the ids.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decimal = [str(i) for i in range(size)]
         for batch in batches:
-            ids, at = batch.column(1).flatten().to_pylist(), batch.column(1).offsets.to_pylist()
-            at = [a - at[0] for a in at]
-            text = [" ".join(map(str, ids[a:b])).encode() for a, b in zip(at, at[1:], strict=False)]
+            ids, at = batch.column(1).flatten().to_numpy(zero_copy_only=False).tolist(), batch.column(1).offsets.to_numpy()
+            at = (at - at[0]).tolist()
+            text = [" ".join([decimal[i] for i in ids[a:b]]).encode() for a, b in zip(at, at[1:], strict=False)]
             counts = [b - a for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests(text)), pa.array(digests(batch.column(3).to_pylist()))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
