@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +111,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def most_common(a: str, b: str) -> Column:
     """No fewer shingles than two sets share: a bit that only one set has stands for a shingle that the other lacks."""
-    only = lambda p, q: reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{p}bits")[k].bitwiseAND(F.bitwise_not(F.col(f"{q}bits")[k]))) for k in range(BIT_WORDS)])
+    only = lambda p, q: F.aggregate(F.zip_with(f"{p}bits", f"{q}bits", lambda x, y: x.bitwiseAND(F.bitwise_not(y))), F.lit(0), lambda n, x: n + F.bit_count(x))
     return F.least(F.col(f"{a}n_shingles") - only(a, b), F.col(f"{b}n_shingles") - only(b, a))
 
 
@@ -124,28 +123,16 @@ def buckets(nodes: DataFrame, *carry: str) -> DataFrame:
     return nodes.select(*carry, F.explode(F.array(*keys)).alias("_k")).select("_k.way", "_k.key", *carry)
 
 
-def _differing(a: str, b: str, c: int) -> Column:
-    """A bit for each value of chunk c that differs, at the value's lowest place."""
-    x = F.col(f"{a}s{c}").bitwiseXOR(F.col(f"{b}s{c}"))
-    for shift, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask).cast("long"))
-    return x
+def distance(a: str, b: str) -> Column:
+    """Values that differ between two signatures, on the columns a_s0.. and b_s0..: lanes of 16 bits that are not equal."""
 
+    def lanes(x: Column) -> Column:
+        for shift, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return F.bit_count(x)
 
-def distance(a: str, b: str) -> Column:
-    """Values that differ between two signatures, on the columns a_s0.. and b_s0.. ."""
-    return reduce(lambda x, y: x + y, [F.bit_count(_differing(a, b, c)) for c in range(CHUNKS)])
-
-
-def first_way(a: str, b: str) -> Column:
-    """The first of the ways under which the two signatures share a key: of all buckets with a pair, one reports it."""
-    out = F.lit(None).cast("int")
-    for c in reversed(range(CHUNKS)):
-        x = _differing(a, b, c)
-        for j in reversed(range(PER_CHUNK)):
-            out = F.when(x == F.lit(1 << (BITS * j)).cast("long"), c * PER_CHUNK + j).otherwise(out)
-        out = F.when(x == 0, c * PER_CHUNK).otherwise(out)
-    return out
+    side = lambda p: F.array(*[F.col(f"{p}s{c}") for c in range(CHUNKS)])
+    return F.aggregate(F.zip_with(side(a), side(b), lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + lanes(x))
 
 
 def _signed(pairs: DataFrame, nodes: DataFrame, most: int, share: float) -> DataFrame:
@@ -243,14 +230,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, share: float = 0.8, most
 
     # The rest, pair by pair: nodes outside their bucket's largest component against nodes of other components.
     left = materialize(_open_buckets(members.select("way", "key", "node"), components(links)).join(able.join(sets.select(F.col("doc_id").alias("node"), "bits"), "node"), "node"), "left")
-    side = lambda p, df: df.select("way", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "component", "largest", "n_shingles", "own", "bits", *columns)])
+    side = lambda p, df: df.select("way", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "component", "largest", "n_shingles", "own", "bits")])
     minor, every = side("a", left.where("component <> largest")), side("b", left)
     once = (F.col("b_component") == F.col("b_largest")) | (F.col("a_node") < F.col("b_node"))
     apart = (F.col("a_component") != F.col("b_component")) & once
     common = F.least(F.col("a_n_shingles") - F.col("a_own"), F.col("b_n_shingles") - F.col("b_own"))
     whole = F.greatest(F.col("a_n_shingles") + F.col("b_own"), F.col("b_n_shingles") + F.col("a_own"), F.col("a_n_shingles") + F.col("b_n_shingles") - common)
-    pairs = minor.hint("merge").join(every, ["way", "key"]).where(apart & (common * 100 >= whole * percent) & (distance("a_", "b_") <= most) & (first_way("a_", "b_") == F.col("way")) & (most_common("a_", "b_") * (100 + percent) >= (F.col("a_n_shingles") + F.col("b_n_shingles")) * percent))
-    # A bucket's largest component is not the same everywhere, so a pair may still come from two buckets.
+    pairs = minor.hint("merge").join(every, ["way", "key"]).where(apart & (common * 100 >= whole * percent) & (most_common("a_", "b_") * (100 + percent) >= (F.col("a_n_shingles") + F.col("b_n_shingles")) * percent))
+    # The bounds are exact and closer than the signatures' distance here; a pair may come from several buckets.
     rest = materialize(pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "pairs")
     final = components(links.union(materialize(confirmed(rest, sets, share), "links")))
 
