@@ -6,8 +6,8 @@ punctuation, and rates of obfuscated spelling. Each half of the labelled rows is
 half; trees are fitted to a part of the rows so judged and calibrated on the rest, and all documents are scored with
 the lexicon of both halves.
 
-Labels come from at most about SAMPLE labelled rows outside the held-out fold, chosen by a hash of their ids; the
-lexicon keeps at most TERMS candidates for counting.
+Labels come from at most about SAMPLE labelled rows outside the held-out fold, chosen by a hash of their ids; every
+term of theirs is counted in both classes and only those that are telling are collected.
 
 Cases: a null or empty text has features of zero and is scored like any other; whole texts of any length count;
 repeated rows get repeated scores; unlabelled documents are scored too; with too few labels of a class the score is
@@ -31,11 +31,10 @@ from pyspark.sql import functions as F
 from .common import chunks, materialize, slice_hashes, small_batches, text_buffers
 from .textstats import labelled_sample, remainder
 
-SAMPLE, TERMS = 16_000, 50_000
+SAMPLE = 16_000
 FOLDS, HELD = 3, 1
 PREFIXES = (4, 5, 6, 7, 8)  # bytes of UTF-8
-LEAST_DOCS, LEAST_RATIO = 5, 12.0
-FEW, LEAST_OF_FEW = 100, 3  # with fewer toxic documents than FEW, terms of LEAST_OF_FEW will do
+LEAST_DOCS, LEAST_RATIO = 3, 12.0  # toxic documents with a term, at every size and for halves and whole
 NEAR = 6  # words
 TREES, DEPTH, STEP = 20, 3, 0.3
 LEAST_OF_CLASS = 5
@@ -167,44 +166,39 @@ def learned_lexicon(data: DataFrame) -> Lexicon:
     """Terms of the labelled texts (text, label) that are at least LEAST_RATIO times as common in toxic ones, and the fixed list."""
     small_batches(data.sparkSession)
 
-    def counted(only: np.ndarray | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                raw, at = text_buffers(batch.column(0))
-                text = folded(raw)
-                starts, ends, first = runs(_LETTER[raw], at)
-                row = np.repeat(np.arange(len(at) - 1), np.diff(first)).astype(np.uint64)
-                pairs = []
-                for index, h in terms(text, starts, ends):
-                    keep = slice(None) if only is None else np.isin(h, only)
-                    pairs.append(np.stack([row[index][keep], h[keep]]))
-                once = np.unique(np.concatenate(pairs, axis=1), axis=1)
-                found, n = np.unique(once[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["term", "n"])
-
-        return run
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = text_buffers(batch.column(0))
+            label = batch.column(1).to_numpy(zero_copy_only=False)
+            text = folded(raw)
+            starts, ends, first = runs(_LETTER[raw], at)
+            row = np.repeat(np.arange(len(at) - 1), np.diff(first)).astype(np.uint64)
+            once = np.unique(np.concatenate([np.stack([row[index], h]) for index, h in terms(text, starts, ends)], axis=1), axis=1)
+            found, place = np.unique(once[1], return_inverse=True)
+            own = label[once[0].astype(np.int64)]
+            n = [np.bincount(place[own == k], minlength=len(found)) for k in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *[pa.array(k.astype(np.int64)) for k in n]], ["term", "toxic", "clean"])
 
     sums = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
-    least = LEAST_DOCS if sums.get(1.0, 0) >= FEW else LEAST_OF_FEW
-    toxic = data.where("label = 1").select("text").mapInArrow(counted(None), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(TERMS).collect()}  # bounded by TERMS
-    candidates = np.array(sorted(top), np.int64).view(np.uint64)
-    clean = data.where("label = 0").select("text").mapInArrow(counted(candidates), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    common = {r["term"]: r["n"] for r in clean.collect()}
     n_toxic, n_clean = sums.get(1.0, 0), sums.get(0.0, 0)
+    counts = data.select("text", "label").mapInArrow(counted, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    ratio = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
+    telling = (F.col("toxic") >= LEAST_DOCS) & (ratio >= LEAST_RATIO)
+    fixed = word_hashes(INSULTS).view(np.int64).tolist()
     weights: dict[int, float] = {}
-    for term, n in top.items():
-        ratio = ((n + 0.5) / (n_toxic + 1)) / ((common.get(term, 0) + 0.5) / (n_clean + 1))
-        if ratio >= LEAST_RATIO:
-            weights[term] = float(np.log(ratio) * n / (n + 3))
-    for term in word_hashes(INSULTS).view(np.int64).tolist():
+    common: dict[int, int] = {}
+    for r in counts.select("*", ratio.alias("ratio"), telling.alias("telling")).where(F.col("telling") | F.col("term").isin(fixed)).collect():
+        common[r["term"]] = r["clean"]
+        if r["telling"]:
+            weights[r["term"]] = float(np.log(r["ratio"]) * r["toxic"] / (r["toxic"] + 3))
+    for term in fixed:
         if common.get(term, 0) <= max(1, n_clean // 1000):
             weights[term] = max(weights.get(term, 0.0), 2.0)
     return Lexicon(np.array(list(weights), np.int64).view(np.uint64), np.array(list(weights.values())))
 
 
 def with_features(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
-    """The kept columns and a double column for each of FEATURES. The lexicon has at most TERMS entries and the fixed list."""
+    """The kept columns and a double column for each of FEATURES. The lexicon has telling terms only, and the fixed list."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon.hashes, lexicon.weights))
 
