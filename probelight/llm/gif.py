@@ -1,11 +1,11 @@
-"""Media columns: GIF. Payloads are stored as grey palette images and read back by a full decoder.
+"""Media columns: GIF. Payloads are stored as palette images and read back by a full decoder.
 
 The decoder reads any GIF87a or GIF89a: LZW code streams, local and global palettes, interlacing, transparency and
 the disposal rules, giving timed frames composed on the canvas, each with a histogram of 64 colours.
 
 Cases: a null or empty text is one row of 64 zero bytes; long texts become several frames of at most 64 x 1024
 samples; equal texts give equal values; other columns are ignored; an empty table gives an empty table. A damaged
-stream raises ValueError from decode_gif, and in `frames` gives no rows for that media.
+stream raises ValueError from decode_gif, and in `frames` the row stays with null frames.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from .common import small_batches
 
 WIDTH, MOST_ROWS = 64, 1024
 DELAY = 10  # hundredths of a second for each stored frame
-GREYS = bytes(v for v in range(256) for _ in range(3))
+# Eight reds, eight greens, four blues; the other palette has them turned round by one channel.
+PALETTE = bytes(c for v in range(256) for c in ((v >> 5) * 36, (v >> 2 & 7) * 36, (v & 3) * 85))
+ODD_PALETTE = bytes(c for v in range(256) for c in ((v & 3) * 85, (v >> 5) * 36, (v >> 2 & 7) * 36))
 _INTERLACED = ((0, 8), (4, 8), (2, 4), (1, 2))
 
 
@@ -76,59 +78,65 @@ def lzw_encode(samples: bytes, size: int = 8) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _expanded(codes: np.ndarray, clear: int, most: int) -> np.ndarray:
+    """At most `most` samples of the codes between two clear codes.
+
+    The string that code k adds to the table is the output from where code k begins through the first sample of the
+    next code. So every sample of a later code is a copy of an earlier place; places are followed to the literals by
+    doubling, for all samples at once.
+    """
+    order = np.arange(len(codes))
+    literal = codes < clear
+    above = np.where(literal, order, codes - (clear + 2))  # the code whose string this one prolongs
+    if np.any(~literal & (above >= order)):
+        raise ValueError("LZW code beyond the table")
+    length, root = (~literal).astype(np.int64), above
+    while True:
+        further = root[root]
+        if np.array_equal(further, root):
+            break
+        length, root = length + length[root], further
+    ends = np.cumsum(length + 1)
+    n = min(len(codes), int(np.searchsorted(ends, most)) + 1)
+    size, starts = length[:n] + 1, ends[:n] - length[:n] - 1
+    source = np.arange(int(ends[n - 1])) - np.repeat(starts - starts[above[:n]], size)
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            break
+        source = further
+    samples = np.zeros(len(source), np.uint8)
+    samples[starts[literal[:n]]] = codes[:n][literal[:n]]
+    return samples[source[:most]]
+
+
 def lzw_decode(stream: bytes, size: int, count: int) -> bytes:
     """The first `count` samples of an LZW stream."""
     clear = 1 << size
     data = np.frombuffer(stream + bytes(8), np.uint8).astype(np.uint32)
     words = data[:-3] | data[1:-2] << 8 | data[2:-1] << 16
-    out: list[bytes] = []
+    out: list[np.ndarray] = []
     made, at, total = 0, 0, len(stream) * 8
-    roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     while at < total and made < count:
         # A clear code resets the widths, so codes are read in blocks up to the next one.
         widths, places = _code_widths(clear)
         fits = int(np.searchsorted(places, total - at, "right")) - 1
-        starts = at + places[: fits + 1]
-        places = starts[:fits]
-        codes = (words[places >> 3] >> (places & 7).astype(np.uint32)) & ((1 << widths[:fits]) - 1).astype(np.uint32)
+        starts, widths = at + places[:fits], widths[:fits]
+        if fits == RUN_CODES:  # a full table may go on without a clear code
+            more = np.arange(at + int(places[-1]), total - 11, 12)
+            starts, widths = np.append(starts, more), np.append(widths, np.full(len(more), 12))
+        codes = (words[starts >> 3] >> (starts & 7).astype(np.uint32)).astype(np.int64) & ((1 << widths) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
-        long_run = not len(stops) and fits == RUN_CODES
-        end = int(stops[0]) if len(stops) else fits
-        table, previous = roots.copy(), None
-        add, put = table.append, out.append
-        for code in codes[:end].tolist():
-            if previous is None:
-                entry = table[code]
-            else:
-                if code < len(table):
-                    entry = table[code]
-                elif code == len(table):
-                    entry = previous + previous[:1]
-                else:
-                    raise ValueError("LZW code beyond the table")
-                if len(table) < 4096:
-                    add(previous + entry[:1])
-            put(entry)
-            made += len(entry)
-            previous = entry
-        if long_run:  # a full table that is never cleared: go on with 12-bit codes
-            at = int(starts[end])
-            while at + 12 <= total:
-                code = int(words[at >> 3] >> (at & 7)) & 4095
-                if code in (clear, clear + 1):
-                    break
-                put(table[code])
-                made += len(table[code])
-                at += 12
-            stops, codes = np.array([0]), np.array([code])
-            end, starts = 0, np.array([at, at + 12])
+        end = int(stops[0]) if len(stops) else len(codes)
+        if end:
+            out.append(_expanded(codes[:end], clear, count - made))
+            made += len(out[-1])
         if not len(stops) or codes[end] == clear + 1:
             break
-        at = int(starts[end + 1])
-    samples = b"".join(out)
-    if len(samples) < count:
+        at = int(starts[end] + widths[end])
+    if made < count:
         raise ValueError("LZW stream ends early")
-    return samples[:count]
+    return b"".join(x.tobytes() for x in out)
 
 
 def _blocks(data: bytes) -> bytes:
@@ -136,13 +144,19 @@ def _blocks(data: bytes) -> bytes:
 
 
 def encode_gif(payload: bytes) -> bytes:
-    """A GIF89a with a grey palette that holds the payload, a multiple of 64 bytes, as samples of consecutive frames."""
+    """A GIF89a that holds the payload, a multiple of 64 bytes, as samples of consecutive frames.
+
+    The common palette serves even frames and a palette of their own the odd ones; NUL, the padding, is transparent;
+    frames stay, give way to the background and give way to what was before, in turn.
+    """
     most = WIDTH * MOST_ROWS
     parts = [payload[i : i + most] for i in range(0, len(payload), most)]
     height = len(parts[0]) // WIDTH
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, height, 0xF7, 0, 0), GREYS]
-    for part in parts:
-        out += [b"\x21\xf9\x04\x04", struct.pack("<HBB", DELAY, 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08", _blocks(lzw_encode(part))]
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, height, 0xF7, 0, 0), PALETTE]
+    for i, part in enumerate(parts):
+        control = struct.pack("<BHBB", (1 + i % 3) << 2 | 1, DELAY, 0, 0)
+        place = struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0x87 if i % 2 else 0)
+        out += [b"\x21\xf9\x04", control, b"\x2c", place, ODD_PALETTE if i % 2 else b"", b"\x08", _blocks(lzw_encode(part))]
     return b"".join([*out, b"\x3b"])
 
 
@@ -155,7 +169,10 @@ class Frame:
     width: int
     height: int
     indices: bytes
-    canvas: np.ndarray  # height x width x 4 of the whole picture, alpha 0 where nothing was drawn
+    canvas: np.ndarray  # height x width of the whole picture: red, green, blue and alpha from the lowest byte up, alpha 0 where nothing was drawn
+
+    def rgba(self) -> np.ndarray:
+        return self.canvas.view(np.uint8).reshape(*self.canvas.shape, 4)
 
 
 def decode_gif(data: bytes) -> list[Frame]:
@@ -169,7 +186,11 @@ def decode_gif(data: bytes) -> list[Frame]:
         if not flags & 0x80:
             return None, at
         n = 3 << ((flags & 7) + 1)
-        return np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
+        rgb = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
+        rgba = np.full((max(256, len(rgb)), 4), 255, np.uint8)
+        rgba[: len(rgb), :3] = rgb
+        rgba[len(rgb) :, :3] = rgb[-1]
+        return rgba.view("<u4").reshape(-1), at + n
 
     def blocks(at: int) -> tuple[bytes, int]:
         out = []
@@ -179,7 +200,7 @@ def decode_gif(data: bytes) -> list[Frame]:
         return b"".join(out), at + 1
 
     common, at = palette(flags, at)
-    canvas = np.zeros((high, wide, 4), np.uint8)
+    canvas = np.zeros((high, wide), np.uint32)
     frames: list[Frame] = []
     delay, disposal, clear_index, clock = 0, 0, None, 0
     try:
@@ -209,10 +230,8 @@ def decode_gif(data: bytes) -> list[Frame]:
                 raise ValueError("GIF frame without a palette")
             before = canvas.copy() if disposal == 3 else None
             inside = pixels[: max(0, high - top), : max(0, wide - left)]
-            drawn = np.ones(inside.shape, bool) if clear_index is None else inside != clear_index
             spot = canvas[top : top + inside.shape[0], left : left + inside.shape[1]]
-            rgb = colours[np.minimum(inside, len(colours) - 1)]
-            spot[drawn] = np.concatenate([rgb, np.full((*inside.shape, 1), 255, np.uint8)], axis=2)[drawn]
+            np.copyto(spot, colours[inside], where=True if clear_index is None else inside != clear_index)
             frames.append(Frame(clock, delay, left, top, w, h, pixels.tobytes(), canvas.copy()))
             clock += delay
             if disposal == 2:
@@ -227,9 +246,9 @@ def decode_gif(data: bytes) -> list[Frame]:
 
 def histogram(frame: Frame) -> list[int]:
     """Pixels of the frame's own rectangle by the top two bits of red, green and blue; undrawn pixels are not counted."""
-    part = frame.canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width].reshape(-1, 4)
-    part = part[part[:, 3] > 0] >> 6
-    return np.bincount(part[:, 0] * 16 + part[:, 1] * 4 + part[:, 2], minlength=64).tolist()
+    part = frame.canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width].reshape(-1)
+    part = part[part >> 24 > 0]
+    return np.bincount((part >> 6 & 3) << 4 | (part >> 14 & 3) << 2 | part >> 22 & 3, minlength=64).tolist()
 
 
 def payload(text: str | None) -> bytes:

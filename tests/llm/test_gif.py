@@ -31,7 +31,7 @@ def test_palette_transparency_disposal_and_times():
     frames = gif.decode_gif(_gif([(b"\1\1\1\1", 5, 1, None), (b"\0\2\2\0", 7, 3, 0), (b"\0\0\0\3", 2, 2, 0), (b"\0\0\0\0", 1, 0, 0)]))
     assert [(f.start_ms, f.delay_ms) for f in frames] == [(0, 50), (50, 70), (120, 20), (140, 10)]
     red, green, blue = (255, 0, 0, 255), (0, 255, 0, 255), (0, 0, 255, 255)
-    seen = [[tuple(map(int, p)) for p in f.canvas.reshape(-1, 4)] for f in frames]
+    seen = [[tuple(map(int, p)) for p in f.rgba().reshape(-1, 4)] for f in frames]
     assert seen[0] == [red] * 4 and seen[1] == [red, green, green, red] and seen[2] == [red, red, red, blue]  # the second was undone
     assert all(p[3] == 0 for p in seen[3])  # the third cleared its place
     assert sum(gif.histogram(frames[1])) == 4 and gif.histogram(frames[1])[48] == 2
