@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,11 @@ from .common import small_batches
 SHARD_IDS = 1 << 17
 # Every so many documents the position of the boundary's bit is kept.
 SELECT_EVERY = 64
-CACHE_WORDS = 500_000
+# Bytes of a worker's cache of words, about; a word costs its text, ids and entries.
+CACHE_BYTES = 100_000_000
+WORD_COST = 200
 CACHE_LENGTH = 48
-_MARKS = re.compile(r"(?<=[a-zß-öø-ÿ])([.,|!$%&*#]+)(?=[ \n])")
+_MARKS = re.compile(r"(?<=[a-zß-öø-ÿ])([.,|!$%&*#]+)\Z")
 
 SHARDS = "part int, shard int, part_at long, n_docs int, n_ids long, id_bytes int, low_bits int, ids binary, ends_high binary, ends_low binary, select_at binary, doc_ids array<long>"
 
@@ -56,64 +59,91 @@ class EliasFano:
         return cls(n, low_bits, pack(bits), pack(low), places[::SELECT_EVERY].astype(np.uint32).tobytes())
 
     def __getitem__(self, i: int) -> int:
-        """The i-th value, by select: from the sample before it, count bits."""
-        place = int(self.select_at[i // SELECT_EVERY])
-        need = i % SELECT_EVERY
-        byte, skip = place >> 3, place & 7
-        bits = int(self.high[byte]) >> skip << skip
-        while (found := bits.bit_count()) <= need:
-            need, byte = need - found, byte + 1
-            bits = int(self.high[byte])
-        for _ in range(need):
-            bits &= bits - 1
-        place = byte * 8 + (bits & -bits).bit_length() - 1
-        low = 0
-        for k in range(self.low_bits):
-            at = i * self.low_bits + k
-            low |= (int(self.low[at >> 3]) >> (at & 7) & 1) << k
-        return (place - i) << self.low_bits | low
-
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        value = (places - np.arange(self.n)).astype(np.int64) << self.low_bits
-        if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            value |= (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
-        return value
+        return int(self.select(np.array([i]))[0])
+
+    def select(self, index: np.ndarray) -> np.ndarray:
+        """The values of these indexes: from the sampled position before each, bits are counted byte by byte."""
+        place = self.select_at[index // SELECT_EVERY].astype(np.int64)
+        need, byte = index % SELECT_EVERY, place >> 3
+        bits = self.high[byte] >> (place & 7).astype(np.uint8) << (place & 7).astype(np.uint8)
+        while len(short := np.flatnonzero(_ONES[bits] <= need)):
+            need[short] -= _ONES[bits[short]]
+            byte[short] += 1
+            bits[short] = self.high[byte[short]]
+        value = (byte * 8 + _NTH[bits, need] - index) << self.low_bits
+        at = index[:, None] * self.low_bits + np.arange(self.low_bits)
+        low = self.low[at >> 3] >> (at & 7).astype(np.uint8) & 1
+        return value | (low.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+
+
+# Ones in each byte, and the place of its n-th one.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_ONES = _BITS.sum(axis=1).astype(np.int64)
+_NTH = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.int64)
 
 
 class WordIds(dict):
-    """Ids of each word as little-endian bytes; bounded, it starts anew when full.
+    """Ids of each word as little-endian bytes; bounded, the older half goes when full.
 
     The tokenizer lower-cases and never looks across white space, nor from letters to the marks behind them. So A-Z
-    is lower-cased first, unless a special token may be meant, marks between a letter and white space are words of
-    their own, and a text's ids are its words' ids.
+    is lower-cased first, unless a special token may be meant; a text's ids are its words' ids, and those of a word
+    with marks behind its letters are the letters' and the marks' ids.
     """
 
     def __init__(self, tokenizer, kind: str) -> None:
         super().__init__()
         self.tokenizer, self.kind = tokenizer, kind
-
-    def _split(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        if "<|" not in text:
-            text = text.encode().lower().decode()
-        return _MARKS.sub(r" \1", text).split(" ")
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        # By id: whether a unit of the tokenizer ends with it; without a suffix that says so, words are sent one by one.
+        self.ends_unit = np.zeros(tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends_unit[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
     def look_up(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
+        split = [_words_of(t) for t in texts]
         found = [list(map(self.get, words)) for words in split]
-        new = list({w for words, ids in zip(split, found, strict=True) for w, i in zip(words, ids, strict=True) if i is None})
+        new = {w for words, ids in zip(split, found, strict=True) for w, i in zip(words, ids, strict=True) if i is None}
         if not new:
             return [b"".join(ids) for ids in found]
-        made = dict(zip(new, [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
-        if len(self) + len(new) > CACHE_WORDS:
+        marked = {w: parts[:2] for w in new if not w.isalpha() and len(parts := _MARKS.split(w)) > 1}
+        unseen = (new - marked.keys()) | {p for parts in marked.values() for p in parts}
+        made = self._encoded([w for w in unseen if w not in self])
+        made |= {w: b"".join([made[p] if p in made else self[p] for p in parts]) for w, parts in marked.items()}
+        if (len(self) + len(made)) * WORD_COST > CACHE_BYTES:
+            newer = list(islice(self.items(), len(self) // 2, None))
             self.clear()
+            self.update(newer)
         self.update((w, i) for w, i in made.items() if len(w) <= CACHE_LENGTH)
         return [b"".join([made[w] if i is None else i for w, i in zip(words, ids, strict=True)]) for words, ids in zip(split, found, strict=True)]
 
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters alone are one unit each to the tokenizer: they are sent many at a time, and parted by units."""
+        single = self.ends_unit.any()
+        plain = [w for w in words if single and w.isalpha()]
+        runs = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        other = [w for w in words if not (single and w.isalpha())]
+        made, width = {}, np.dtype(self.kind).itemsize
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            ends = ((np.flatnonzero(self.ends_unit[ids]) + 1) * width).tolist()
+            if len(ends) != len(run):  # a letter whose lower case is more than a letter
+                other += run
+                continue
+            data = ids.tobytes()
+            made.update((w, data[a:b]) for w, a, b in zip(run, [0, *ends], ends, strict=False))
+        encoded = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        made.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(other, encoded, strict=True))
+        return made
+
+
+def _words_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    if "<|" not in text:
+        text = text.encode().lower().decode()
+    return text.split(" ")
+
 
 _words: dict[int, WordIds] = {}
 
@@ -181,7 +211,8 @@ def read_documents(spark, path: str) -> DataFrame:
         for batch in batches:
             for row in range(len(batch)):
                 get = lambda name: batch.column(batch.schema.get_field_index(name))[row]  # noqa: B023, E731
-                ends = EliasFano(get("n_docs").as_py(), get("low_bits").as_py(), get("ends_high").as_py(), get("ends_low").as_py(), get("select_at").as_py()).all()
+                ends = EliasFano(get("n_docs").as_py(), get("low_bits").as_py(), get("ends_high").as_py(), get("ends_low").as_py(), get("select_at").as_py())
+                ends = ends.select(np.arange(ends.n))
                 starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
                 ids = np.frombuffer(get("ids").as_buffer(), "<u2" if get("id_bytes").as_py() == 2 else "<u4").astype("<u4")
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
