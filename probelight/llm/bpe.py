@@ -17,15 +17,17 @@ import heapq
 import sys
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, small_batches, text_buffers
+from .common import chunks, digests, small_batches, text_buffers
 
-# Most entries of a worker's cache of pieces; it starts anew beyond.
-CACHE_PIECES = 1_000_000
+# Bytes of a worker's cache of pieces, about; beyond, the older half goes. A piece costs its text, ids and entries.
+CACHE_BYTES = 40_000_000
+PIECE_COST = 230
 BLOCK = 256
 NONE = np.int32(2**31 - 1)
 
@@ -164,7 +166,7 @@ class PairTable:
 
 
 class Pieces(dict):
-    """Ids by piece, as bytes; new pieces are merged together, many at a time. Bounded: it starts anew when full."""
+    """Ids by piece, as bytes; new pieces are merged together, many at a time. Bounded in bytes: the older half goes when full."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
@@ -178,8 +180,6 @@ class Pieces(dict):
         if not missed:
             return found
         new = {pieces[i] for i in missed}
-        if len(self) + len(new) > CACHE_PIECES:
-            self.clear()
         made: dict[str, bytes] = {}
         long: dict[str, bytes] = {}  # not kept
         groups: dict[int, list[tuple[str, bytes]]] = {8: [], 16: [], 32: [], 64: []}
@@ -194,7 +194,11 @@ class Pieces(dict):
         for width, group in groups.items():
             if group:
                 made.update(zip([p for p, _ in group], self._merged([d for _, d in group], width), strict=True))
-        self.update(made)
+        if (len(self) + len(made)) * PIECE_COST > CACHE_BYTES:
+            newer = list(islice(self.items(), len(self) // 2, None))
+            self.clear()
+            self.update(newer)
+        self.update(made)  # a chunk has fewer pieces than the bound
         made |= long
         for i in missed:
             found[i] = made[pieces[i]]
@@ -322,8 +326,24 @@ def decoder(data: bytes) -> list[bytes]:
     return table
 
 
+def decoded_rows(batch: pa.RecordBatch, table: list[bytes]) -> list[bytes]:
+    """The bytes of each row's ids (doc_id, ids, piece_at). Fails where their code points do not agree with the retained offsets."""
+    ids, marks = batch.column(1), batch.column(2)
+    flat, at = ids.flatten().to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_numpy()
+    ends = marks.flatten().to_numpy(zero_copy_only=False)
+    mark_at = marks.offsets.to_numpy()
+    at, mark_at = at - at[0], mark_at - mark_at[0]
+    out = []
+    for i in range(len(batch)):
+        data = b"".join([table[t] for t in flat[at[i] : at[i + 1]]])
+        if len(data.decode()) != ends[mark_at[i + 1] - 1]:
+            raise ValueError("decoded text does not agree with its offsets")
+        out.append(data)
+    return out
+
+
 def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
-    """Adds data: the decoded bytes. Fails on ids whose code points do not agree with the retained offsets."""
+    """Adds data: the decoded bytes."""
     spark = encoded.sparkSession
     small_batches(spark)
     with open(rank_file, "rb") as f:
@@ -332,18 +352,29 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decoder(ranks.value)
         for batch in batches:
-            ids, marks = batch.column(1), batch.column(2)
-            flat, at = ids.flatten().to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_numpy()
-            ends = marks.flatten().to_numpy(zero_copy_only=False)
-            mark_at = marks.offsets.to_numpy()
-            at, mark_at = at - at[0], mark_at - mark_at[0]
-            out = []
-            for i in range(len(batch)):
-                data = b"".join([table[t] for t in flat[at[i] : at[i + 1]]])
-                if len(data.decode()) != ends[mark_at[i + 1] - 1]:
-                    raise ValueError("decoded text does not agree with its offsets")
-                out.append(data)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "data"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded_rows(batch, table), pa.binary())], [*batch.schema.names, "data"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids", "piece_at").mapInArrow(run, f"doc_id {kind}, ids array<int>, piece_at array<int>, data binary")
+
+
+def digest(encoded: DataFrame, rank_file: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids), decoded_sha256: rows are decoded and digested in one pass."""
+    spark = encoded.sparkSession
+    small_batches(spark)
+    with open(rank_file, "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = decoder(ranks.value)
+        decimal = [str(i) for i in range(len(table))]
+        for batch in batches:
+            ids, at = batch.column(1).flatten().to_numpy(zero_copy_only=False).tolist(), batch.column(1).offsets.to_numpy()
+            at = (at - at[0]).tolist()
+            spelled = [" ".join([decimal[i] for i in ids[a:b]]).encode() for a, b in zip(at, at[1:], strict=False)]
+            counts = [b - a for a, b in zip(at, at[1:], strict=False)]
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests(spelled)), pa.array(digests(decoded_rows(batch, table)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids", "piece_at").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import bpe, gif, html_text, mixing, near_dup, pii, quality, token_ids, topk, toxicity
-from .common import digests, scratch_path, table
+from .common import scratch_path, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"), "doc_id")
     count = lambda k: F.size(F.filter("base", lambda p: p["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    digest = F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    extra = [F.size(F.filter("spans", lambda p: p["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.EXTRA]  # noqa: B023
+    return found.select("doc_id", *[count(k) for k in pii.BASE], digest, pii.joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), *extra)
 
 
 def op2_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,25 +49,6 @@ SELECT d.*, c.n_copies, r.copy_no::INTEGER AS copy_no, md5('mix:order:' || d.doc
 FROM documents d JOIN counted c USING (doc_id), (SELECT unnest(range(1, 200)) AS copy_no) r WHERE r.copy_no <= c.n_copies
 """
 
-def bpe_digest(encoded: DataFrame, rank_file: str) -> DataFrame:
-    """The decoded rows' counts and digests."""
-    decoded = bpe.decode(encoded, rank_file)
-    with open(rank_file, "rb") as f:
-        size = max(bpe.load_ranks(f.read()).values()) + 1
-
-    # The ids as decimal text and their digest: one string per row, built beside the ids.
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = [str(i) for i in range(size)]
-        for batch in batches:
-            ids, at = batch.column(1).flatten().to_numpy(zero_copy_only=False).tolist(), batch.column(1).offsets.to_numpy()
-            at = (at - at[0]).tolist()
-            text = [" ".join([decimal[i] for i in ids[a:b]]).encode() for a, b in zip(at, at[1:], strict=False)]
-            counts = [b - a for a, b in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests(text)), pa.array(digests(batch.column(3).to_pylist()))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return decoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
 
 def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, share=0.85)
@@ -99,7 +82,7 @@ def op7_html_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe_digest(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
 
 
 def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from probelight.llm import bpe, common, queries, token_ids
+from probelight.llm import bpe, common, token_ids
 from tests.llm.helpers import EDGE_TEXTS, documents
 
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
@@ -45,13 +45,13 @@ def test_elias_fano(steps):
     values = np.cumsum(np.array(steps, np.int64))
     built = token_ids.EliasFano.build(values)
     read = token_ids.EliasFano(built.n, built.low_bits, built.high.tobytes(), built.low.tobytes(), built.select_at.tobytes())
-    assert read.all().tolist() == values.tolist() == [read[i] for i in range(len(values))]
+    assert read.select(np.arange(len(values))).tolist() == values.tolist() == [read[i] for i in range(len(values))]
 
 
 def test_byte_bpe_edges(spark):
     docs = documents(spark, EDGE_TEXTS).withColumn("ids", F.lit(1))
     ranks = P.path("byte_bpe_50k.tiktoken")
-    got = {r.doc_id: r for r in queries.bpe_digest(bpe.encode(docs, ranks), ranks).collect()}
+    got = {r.doc_id: r for r in bpe.digest(bpe.encode(docs, ranks), ranks).collect()}
     for i, t in enumerate(EDGE_TEXTS):
         ids = TIKTOKEN.encode_ordinary(t or "")
         assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
