@@ -6,7 +6,8 @@ repeated that many times, and all copies are dealt out by a second hash.
 
 Cases: a null source is a source of its own; a null doc_id hashes as the empty string; repeated rows get the
 same count each; empty and very long texts are copied like any other; columns of the input that have the name
-of an added column are replaced; an empty table gives an empty table.
+of an added column are replaced, all others may have any names; an empty table gives an empty table. The inverted
+distribution reaches 12 deviations and 30 beyond its mean, which no 52-bit number can pass.
 """
 
 from __future__ import annotations
@@ -63,14 +64,15 @@ def poisson_mix(docs: DataFrame, targets: Mapping[str | None, float] | None = No
     The table of rates has a row for each source. It is written and read back, so Spark broadcasts it only when
     its true size is under spark.sql.autoBroadcastJoinThreshold, and otherwise splits a hot source's partition.
     """
-    docs = docs.drop(*ADDED)
-    rates = materialize(repetition_rates(docs, targets, power, total), "rates").select(F.col("source").alias("rate_source"), "parts", "cdf")
+    rates = materialize(repetition_rates(docs.select("source"), targets, power, total), "rates").select(F.col("source").alias("_rate_source"), "parts", "cdf")
+    docs = docs.drop(*ADDED).select(F.struct("*").alias("_row"), F.col("source").alias("_source"), "doc_id")
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("parts")),
         F.lit(0),
         lambda a, j: a + F.size(F.filter("cdf", lambda c: c <= unit_hash(F.lit(seed), F.col("doc_id"), j))),
     )
-    drawn = docs.join(rates, F.col("source").eqNullSafe(F.col("rate_source"))).withColumn("n_copies", count).drop("rate_source", "parts", "cdf")
+    drawn = docs.join(rates, F.col("_source").eqNullSafe(F.col("_rate_source"))).select("_row", "doc_id", count.alias("n_copies"))
     copies = drawn.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("doc_id").cast("string"), F.col("copy_no").cast("string")).cast("binary")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy_no")
+    dealt = keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy_no")
+    return dealt.select("_row.*", *ADDED)

@@ -6,8 +6,10 @@ around it. Votes are counted per pattern of votes; expectation-maximisation over
 labeler's reliability without labels, and a logistic span classifier is fitted to the resulting probabilities and
 compiled into a column expression. Accepted candidates are added; base spans always stay.
 
-Cases: a null or empty text has no spans; texts of any length are searched whole; repeated rows give repeated rows;
-an empty table gives an empty table and a classifier that accepts nothing. Positions are code points, end exclusive.
+Cases: a null or empty text has no spans; texts of any length are searched whole and so are spans of any length;
+spans of one kind do not overlap, the leftmost of equal starts wins; repeated rows give repeated rows; other columns
+may have any names; an empty table gives an empty table and a classifier that accepts nothing. Positions are code
+points, end exclusive.
 """
 
 from __future__ import annotations
@@ -33,12 +35,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 CANDIDATES = {
-    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}[0-9])(?=[0-9_-]{0,64}[A-Za-z])[A-Za-z0-9_-]{16,64}+(?![A-Za-z0-9_-])",
-    "email_hidden": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|@)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(](?:dot|\.)[\])] ?[A-Za-z0-9-]{1,63}+){1,5}+",
+    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])(?=[0-9_/+=-]*+[A-Za-z])[A-Za-z0-9_/+=-]{16,}+",
+    "email_hidden": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|@)[\])] ?[A-Za-z0-9-]++(?: ?[\[(](?:dot|\.)[\])] ?[A-Za-z0-9-]++)++",
     "phone_local": r"(?<![0-9A-Za-z+.,-])\(?0?[0-9]{2,4}\)?[ /-][0-9]{3,4}[ -][0-9]{3,5}(?![0-9A-Za-z.,-])",
 }
 STRICT = {
-    "secret": r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|[0-9a-f]{16,64}|eyJ[A-Za-z0-9_-]{13,})$",
+    # Keys of known shapes, digests, and long runs of mixed letters and digits without a plain word between slashes.
+    "secret": r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|[0-9a-f]{16,}|[0-9A-F]{16,}|eyJ[A-Za-z0-9_-]{13,}"
+    r"|(?!.*(?:^|/)[a-z]{3,}(?:/|$))(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9_/+-]{32,}={0,2})$",
     "email_hidden": r"(?i)[\[(](?:dot|\.)[\])] ?(?:com|org|net|edu|gov|info|io|de|fr|es|co|uk|eu)$",
     "phone_local": r"^\([0-9]{2,4}\)[ /-]|^0[0-9]",
 }
@@ -49,25 +53,75 @@ CUES = {
     "phone_local": "phone tel telephone call mobile cell fax telefon handy téléphone teléfono móvil",
 }
 COUNTER = "isbn issn version order invoice page pages volume vol doi sha commit checksum figure table"
-GAZETTEER = {"secret": "AKIA ghp_ gho_ ghs_ sk- eyJ xox", "email_hidden": "gmail yahoo hotmail outlook example mail proton gmx", "phone_local": "(0 ( 0"}
+GAZETTEER = {
+    # Beginnings of issued keys.
+    "secret": "AKIA ASIA AGPA AIDA AROA ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk- sk_live_ sk_test_ pk_live_ pk_test_ rk_live_ whsec_ eyJ xoxa- xoxb- xoxp- xoxr- xoxs- AIza ya29 npm_ pypi- dop_v1_ shpat_ SG. hf_ key- EAACEdEose0cBA",
+    # Mail services.
+    "email_hidden": "gmail googlemail yahoo ymail hotmail outlook live msn aol icloud me mac proton protonmail gmx web t-online freenet orange laposte free wanadoo mail yandex zoho fastmail tutanota example posteo telefonica hotmail libero",
+    # Beginnings of numbers as they are dialled within a country.
+    "phone_local": "(0 ( 0 1-800 1-888 1-877 800 888 877 900",
+}
 LABELERS = ("strict", "gazetteer", "cue", "counter")
 ACCEPT = 0.5
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(items: Column, emit, after, kind: str) -> Column:
+    """The values that emit(at, item) gives along an array, where `at` starts at 0 and after(at, item) follows it.
+
+    Items are taken in blocks of about the root of their number, so that arrays are copied n ** 1.5 times at most, not
+    n ** 2. The result has the last `at` and the values.
+    """
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+
+    def scan(v: Column) -> Column:
+        every, block = v["items"], v["block"]
+        return F.aggregate(
+            F.sequence(F.lit(0), F.ceil(F.size(every) / block).cast("int") - 1),
+            state(F.lit(0), F.array().cast(f"array<array<{kind}>>")),
+            lambda a, k: F.aggregate(
+                F.slice(every, k * block + 1, block),
+                state(a["at"], F.array().cast(f"array<{kind}>")),
+                lambda c, x: state(after(c["at"], x), F.concat(c["out"], F.array(emit(c["at"], x)))),
+                lambda c: state(c["at"], F.concat(a["out"], F.array(c["out"]))),
+            ),
+            lambda a: state(a["at"], F.flatten(a["out"])),
+        )
+
+    none = state(F.lit(0), F.array().cast(f"array<{kind}>"))
+    block = lambda v: F.ceil(F.sqrt(F.size(v))).cast("int")
+    return _let(items, lambda v: F.when(F.size(v) > 0, _let(F.struct(v.alias("items"), block(v).alias("block")), scan)).otherwise(none))
+
+
 def _located(text: Column, kind: str, pattern: str, found: Column) -> Column:
     """Matches of a pattern with their places: the pieces between matches give every match its start."""
-    gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<kind:string,s:int,e:int,x:string>>")
-    placed = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["g"]) + F.length(p["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct(F.lit(kind).alias("kind"), (a["at"] + F.length(p["g"])).alias("s"), (a["at"] + F.length(p["g"]) + F.length(p["m"])).alias("e"), p["m"].alias("x")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(F.size(found) > 0, placed).otherwise(empty)
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    sizes = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+    starts = _running(sizes, lambda at, x: at + x["g"], lambda at, x: at + x["g"] + x["m"], "int")["out"]
+    placed = F.zip_with(starts, found, lambda at, m: F.struct(F.lit(kind).alias("kind"), at.alias("s"), (at + F.length(m)).alias("e"), m.alias("x")))
+    return F.when(F.size(found) > 0, placed).otherwise(F.array().cast("array<struct<kind:string,s:int,e:int,x:string>>"))
+
+
+def _apart(size: Column, base: Column, found: Column) -> Column:
+    """The found spans of one kind that touch no base span, from one look along all of them from each end."""
+    mark = lambda own: lambda p: F.struct(p["s"].alias("s"), F.lit(own).alias("own"), p["e"].alias("e"), p["kind"].alias("kind"), (p["x"] if own else F.lit("")).alias("x"))
+    after = lambda edge: lambda at, p: F.when(p["own"] == 0, F.greatest(at, edge(p))).otherwise(at)
+
+    def free(items: Column) -> Column:
+        left = _running(items, lambda at, p: at > p["s"], after(lambda p: p["e"]), "boolean")["out"]
+        right = F.reverse(_running(F.reverse(items), lambda at, p: at > size - p["e"], after(lambda p: size - p["s"]), "boolean")["out"])
+        alone = F.zip_with(F.zip_with(left, right, lambda a, b: a | b), items, lambda t, p: F.when((p["own"] == 1) & ~t, F.struct(*[p[c].alias(c) for c in ("kind", "s", "e", "x")])))
+        return F.filter(alone, lambda p: p.isNotNull())
+
+    def kept(v: Column) -> Column:
+        items = F.array_sort(F.concat(F.transform(base, mark(0)), F.transform(v, mark(1))))
+        return F.when((F.size(v) == 0) | (F.size(base) == 0), v).otherwise(_let(items, free))
+
+    return _let(found, kept)
 
 
 def _digits(x: Column) -> Column:
@@ -125,8 +179,8 @@ def find_candidates(docs: DataFrame, *keep: str) -> DataFrame:
     bare = lambda a: F.transform(a, lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e")))
     place = lambda k: _located(F.col("_text"), k, every[k], F.col(f"_{k}"))
     kept = lambda k: F.filter(place(k), lambda p: _valid(k, p["x"]))
-    base = matched.withColumn("base", F.concat(*[bare(kept(k)) for k in BASE])).withColumn("_extra", F.concat(*[place(k) for k in EXTRA]))
-    free = F.filter("_extra", lambda p: ~F.exists("base", lambda b: (b["s"] < p["e"]) & (p["s"] < b["e"])))
+    base = matched.withColumn("base", F.concat(*[bare(kept(k)) for k in BASE])).withColumn("_extra", F.concat(*[place(k) for k in EXTRA])).withColumn("_size", F.length("_text"))
+    free = F.concat(*[_apart(F.col("_size"), F.col("base"), F.filter("_extra", lambda p: p["kind"] == k)) for k in EXTRA])  # noqa: B023
     voted = F.transform(free, lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e"), _votes(F.col("_text"), p).alias("votes")))
     return base.select(*keep, "base", F.when(F.size("_extra") > 0, voted).otherwise(F.array().cast(voted_type())).alias("candidates"))
 
@@ -209,11 +263,16 @@ def fit_classifier(rows: list[Row], steps: int = 400, rate: float = 0.5, shrink:
 
 
 def find_pii(docs: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns, `base` and `spans`: arrays of (kind, s, e), each by kind as listed, then start."""
-    found = materialize(find_candidates(docs, *keep), "pii")
+    """The kept columns, `base` and `spans`: arrays of (kind, s, e), each by kind as listed, then start.
+
+    A kept column named base or spans gives way to the result.
+    """
+    kept = [c for c in keep if c not in ("base", "spans")]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(None)
+    found = materialize(find_candidates(docs.select(row.alias("_row"), "text"), "_row"), "pii")
     model = fit_classifier(vote_counts(found))
     bare = F.transform(F.filter("candidates", lambda p: model.column(p) >= ACCEPT), lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e")))
-    return found.select(*keep, "base", F.concat("base", bare).alias("spans"))
+    return found.select(*[F.col("_row")[c].alias(c) for c in kept], "base", F.concat("base", bare).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -221,18 +280,14 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; overlapping spans become one, named after the first."""
-    rest = [c for c in docs.columns if c != "text"]
-    found = find_pii(docs, *rest, "text")
+    """The documents with every span replaced by its kind in brackets; overlapping spans become one, named after the first.
+
+    All other columns, whatever their names, come back as they were.
+    """
+    found = find_pii(docs.select(F.struct("*").alias("row"), "text"), "row", "text")
     ordered = F.array_sort(F.transform("spans", lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), p["kind"].alias("kind"))))
-    merged = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, p: F.when(
-            p["s"] >= a["at"],
-            F.struct(p["e"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, p["s"] - a["at"]), F.lit("["), F.upper(p["kind"]), F.lit("]")).alias("out")),
-        ).otherwise(F.struct(F.greatest(a["at"], p["e"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
-    )
+    piece = lambda at, p: F.when(p["s"] >= at, F.concat(F.substring(F.col("text"), at + 1, p["s"] - at), F.lit("["), F.upper(p["kind"]), F.lit("]"))).otherwise("")
+    pieces = _running(ordered, piece, lambda at, p: F.greatest(at, p["e"]), "string")
+    merged = F.transform(F.array(pieces), lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))[0]
     text = F.when(F.size("spans") > 0, merged).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    return found.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

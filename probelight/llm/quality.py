@@ -6,8 +6,9 @@ regression gives the rules weights, most of them zero, and the rest are compiled
 Labels come from at most about SAMPLE labelled rows outside the held-out fold, chosen by a hash of their ids.
 
 Cases: a null or empty text has statistics of zero and is scored like any other; whole texts of any length count;
-repeated rows get repeated scores; unlabelled documents are scored too; with too few labels of a class the score is
-the share of good ones (0.5 without labels); an empty table gives an empty table.
+repeated rows get repeated scores; of repeated labels of a document one counts, any of them where they differ;
+unlabelled documents are scored too; with too few labels of a class the score is the share of good ones (0.5 without
+labels); other columns may have any names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -102,6 +103,7 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """The documents predicted good, scored and kept where they stand, without a join."""
+    """The documents predicted good, scored and kept where they stand, without a join; columns of any names come back as they were."""
     model = fit(docs, labels, most)
-    return with_stats(docs, *docs.columns).where(model.score() >= THRESHOLD).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    return with_stats(rows, "_row").where(model.score() >= THRESHOLD).select("_row.*")
