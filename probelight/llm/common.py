@@ -25,7 +25,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-scratch-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="spark-scratch-")  # one machine: driver and executors are the same process
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where}/{spark.sparkContext.applicationId}"
 
@@ -42,6 +44,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run in the shared folder, by name; a table goes when no later step reads it."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.folder = spark, scratch_path(spark, label)
+        self.count = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The table written and read back."""
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for table in tables:
+            at = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Keep Arrow batches of whole texts small; never raises a lower setting."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -12,8 +12,10 @@ the bucket's largest component are compared with the nodes of other components,
 them has (in no other open set, or in a bitmap of each set) rule the similarity out. That leaves out only pairs already connected and pairs that cannot be near.
 
 Cases: a null or empty text, or one of white space alone, has no shingles and is linked with nothing; a text with
-fewer words than a shingle is one shingle; texts of any length count whole; equal doc_ids with equal texts are one;
-rows with a null doc_id are scored and kept, and linked with nothing; an empty table gives an empty table.
+fewer words than a shingle is one shingle; texts of any length count whole; repeated rows are one node and a row each
+in the result; rows of one doc_id with different texts are linked each by its own text, and belong to the class of
+the smallest doc_id linked with it; rows with a null doc_id are scored and kept, and linked with nothing; other
+columns may have any names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, chunks, materialize, mix64, slice_hashes, small_batches, text_buffers
+from .common import Scratch, ascii_words, chunks, mix64, slice_hashes, small_batches, text_buffers
 
 VALUES, CHUNKS, PER_CHUNK, BITS = 32, 8, 4, 16
 DISTANCE = 15
 BIT_WORDS = 32
+# Pairs of a bucket that one part of it may hold.
+PAIRS_OF_TASK = 2_000_000
 _MULTIPLIERS = mix64(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 _OFFSETS = mix64(np.arange(101, VALUES + 101, dtype=np.uint64))
 
@@ -89,24 +93,34 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, n_shingles long, set_md5 binary, {kinds}")
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles (the sorted distinct hashes of each document) and bits: 2048 bits, set where a shingle falls."""
-    small_batches(docs.sparkSession)
+def full_sets(rows: DataFrame, words: int) -> DataFrame:
+    """node, shingles (the sorted distinct hashes of its text) and bits: 2048 bits, set where a shingle falls.
+
+    rows: node, set_md5, text. A text whose set is not the node's is another row of the same doc_id and left out.
+    """
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = text_buffers(batch.column(1))
+            raw, at = text_buffers(batch.column(2))
             for lo, hi, data, own in chunks(raw, at):
-                sets = list(shingle_sets(data, own, words))
+                wanted = batch.column(1).slice(lo, hi - lo).to_pylist()
+                every = list(shingle_sets(data, own, words))
+                mine = [i for i, s in enumerate(every) if hashlib.md5(s.tobytes()).digest() == wanted[i]]
+                if not mine:
+                    continue
+                sets = [every[i] for i in mine]
                 ends = np.cumsum([0, *map(len, sets)])
                 bits = np.zeros((len(sets), 64 * BIT_WORDS), np.uint8)
                 flat = np.concatenate(sets)
                 bits[np.repeat(np.arange(len(sets)), np.diff(ends)), (flat >> np.uint64(64 - (64 * BIT_WORDS).bit_length() + 1)).astype(np.int64)] = 1
                 packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(-1)
                 steps = pa.array(np.arange(len(sets) + 1) * BIT_WORDS, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(steps, pa.array(packed))], ["doc_id", "shingles", "bits"])
+                node = batch.column(0).slice(lo, hi - lo).take(pa.array(mine))
+                columns = [node, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(steps, pa.array(packed))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<long>, bits array<long>")
+    return rows.select("node", "set_md5", "text").mapInArrow(run, "node long, shingles array<long>, bits array<long>")
 
 
 def most_common(a: str, b: str) -> Column:
@@ -115,12 +129,16 @@ def most_common(a: str, b: str) -> Column:
     return F.least(F.col(f"{a}n_shingles") - only(a, b), F.col(f"{b}n_shingles") - only(b, a))
 
 
-def buckets(nodes: DataFrame, *carry: str) -> DataFrame:
-    """Every node under 8 x 4 keys: chunk, value left out, and the chunk with that value blanked."""
-    lanes = [((1 << 64) - 1) ^ (0xFFFF << (BITS * j)) for j in range(PER_CHUNK)]
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in lanes]
-    keys = [F.struct(F.lit(c * PER_CHUNK + j).cast("byte").alias("way"), F.col(f"s{c}").bitwiseAND(F.lit(m).cast("long")).alias("key")) for c in range(CHUNKS) for j, m in enumerate(masks)]
-    return nodes.select(*carry, F.explode(F.array(*keys)).alias("_k")).select("_k.way", "_k.key", *carry)
+def buckets(nodes: DataFrame) -> DataFrame:
+    """Every node under 8 x 4 keys: a chunk in which the number of the way stands for the value left out."""
+    keys = []
+    for way in range(CHUNKS * PER_CHUNK):
+        chunk, lane = divmod(way, PER_CHUNK)
+        mask = ((1 << 64) - 1) ^ (0xFFFF << (BITS * lane))
+        mark = way << (BITS * lane)
+        signed = [F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long") for m in (mask, mark)]
+        keys.append(F.col(f"s{chunk}").bitwiseAND(signed[0]).bitwiseOR(signed[1]))
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), "node")
 
 
 def distance(a: str, b: str) -> Column:
@@ -144,15 +162,17 @@ def _signed(pairs: DataFrame, nodes: DataFrame, most: int, share: float) -> Data
     return joined.where(fits & (distance("a_", "b_") <= most)).select("a", "b")
 
 
-def sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles of the wanted doc_ids, written out."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return materialize(full_sets(texts, words), "sets")
+def sets_of(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """full_sets of the nodes (node, first_id, set_md5). The documents are dealt by id once, at every size."""
+    wanted = nodes.select(F.col("first_id").alias("doc_id"), "node", "set_md5")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id")
+    return full_sets(texts.dropDuplicates(["doc_id", "node", "text"]), words)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids whose full sets have 100 * intersection >= 100 * share * union."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    """Those of the pairs (a, b) of nodes whose full sets have 100 * intersection >= 100 * share * union."""
+    side = lambda p: sets.select(F.col("node").alias(p), F.col("shingles").alias(f"s{p}"))
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     near = common * 100 >= (F.size("sa") + F.size("sb") - common) * int(round(share * 100))
     return both.where(near).select("a", "b")
@@ -160,7 +180,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
 
 def own_shingles(sets: DataFrame) -> DataFrame:
     """node, own: how many of a set's shingles no other of these sets has, or fewer (32 bits of each are compared)."""
-    each = sets.select(F.col("doc_id").alias("node"), F.explode(F.transform("shingles", lambda s: (s.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) - F.lit(1 << 31).cast("long")).cast("int"))).alias("s"))
+    each = sets.select("node", F.explode(F.transform("shingles", lambda s: (s.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) - F.lit(1 << 31).cast("long")).cast("int"))).alias("s"))
     alone = each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
     return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
@@ -169,21 +189,31 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) of every node with an edge (a, b).
 
     Alternating large-star and small-star steps: each keeps connectivity and hangs nodes on smaller ones until
-    nothing changes, in about log(longest path) rounds. Edges go to the shared folder between rounds.
+    nothing changes, in about log(longest path) rounds. Edges go to the shared folder between rounds; so do the
+    smallest neighbours, which are summed per task first, so that Spark can split the edges of a hub.
     """
+    scratch = Scratch(edges.sparkSession, "components")
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        both = edges.select("a", "b").union(turned) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         linked = both.join(least, "a")
         if large:
-            return linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
-
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+            out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:
+            out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.where("a <> m").select("a", F.col("m").alias("b")))
+        next_edges = scratch.keep(out.distinct())
+        scratch.drop(least)
+        return next_edges
+
+    now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
-        now = materialize(star(star(now, True), False), "edges")
+        half = star(now, True)
+        scratch.drop(now)
+        now = star(half, False)
+        scratch.drop(half)
         # A round that leaves count and sums as they were has changed nothing: labels only ever fall.
         found = now.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if found == state:
@@ -192,63 +222,124 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (way, key, node) of buckets with several components, with their component and the bucket's largest."""
-    named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = named.groupBy("way", "key", "component").agg(F.count(F.lit(1)).alias("n"))
-    several = parts.groupBy("way", "key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("way", "key", F.col("top.component").alias("largest"))
-    return named.join(several, ["way", "key"])
+def _open_buckets(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (key, node) of buckets with several components, with their component, and the bucket's largest one and sizes."""
+    named = scratch.keep(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = F.max(F.struct("n", "component"))
+    several = parts.groupBy("key").agg(top.alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members")).where("parts > 1")
+    # Written first: the join then has plain tables on both sides, and Spark can split a bucket with most of the rows.
+    written = scratch.keep(several.select("key", F.col("top.component").alias("largest"), "members", (F.col("members") - F.col("top.n")).alias("minors")))
+    out = scratch.keep(named.join(written, "key"))
+    scratch.drop(named, written)
+    return out
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, share: float = 0.8, most: int = DISTANCE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each document."""
-    signs = materialize(signatures(docs, words), "signatures")
+def linked_nodes(docs: DataFrame, signs: DataFrame, scratch: Scratch, words: int, share: float, most: int) -> DataFrame:
+    """set_md5, node, first_id and component (a node) of every distinct set."""
     columns = [f"s{c}" for c in range(CHUNKS)]
-    nodes = materialize(signs.where("set_md5 is not null and doc_id is not null").groupBy("set_md5").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), *[F.first(s).alias(s) for s in columns]), "nodes")
+    percent = int(round(share * 100))
+    distinct = signs.where("set_md5 is not null and doc_id is not null").groupBy("set_md5").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), *[F.first(s).alias(s) for s in columns])
+    nodes = scratch.keep(distinct.withColumn("node", F.monotonically_increasing_id()))
 
     # Each node and the smallest node of each of its buckets.
-    index = buckets(nodes, "node")
-    heads = index.groupBy("way", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = materialize(index.join(heads, ["way", "key"]), "buckets")
-    stars = materialize(_signed(shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), nodes, most, share), "pairs")
-    links = materialize(confirmed(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, words), share), "links")
+    index = buckets(nodes)
+    heads = scratch.keep(index.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    shared = scratch.keep(index.join(heads, "key"))
+    scratch.drop(heads)
+    sets = scratch.keep(sets_of(nodes.select("node", "first_id", "set_md5").join(shared.select("node").distinct(), "node", "left_semi"), docs, words))
+    stars = scratch.keep(_signed(shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), nodes, most, share))
+    links = scratch.keep(confirmed(stars, sets, share))
 
     # What stars left open: buckets with several components. A set's own shingles are in no other open set, so they
     # bound its similarity to all of them; sets that can reach none are out.
-    percent = int(round(share * 100))
-    opened = materialize(_open_buckets(shared.select("way", "key", "node"), components(links)), "open")
-    sets = sets_of(opened.select(F.col("node").alias("doc_id")).distinct(), docs, words)
-    own = own_shingles(sets)
-    detail = nodes.select("node", "n_shingles", *columns).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    able = materialize(opened.select("node").distinct().join(detail, "node").where((F.col("n_shingles") - F.col("own")) * 10000 >= percent * (percent * F.col("n_shingles") + 100 * F.col("own"))), "able")
+    opened = _open_buckets(shared.select("key", "node"), components(links), scratch)
+    scratch.drop(stars, shared)
+    own = own_shingles(sets.join(opened.select("node").distinct().hint("merge"), "node", "left_semi"))
+    detail = nodes.select("node", "n_shingles").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    able = scratch.keep(opened.select("node").distinct().join(detail, "node").where((F.col("n_shingles") - F.col("own")) * 10000 >= percent * (percent * F.col("n_shingles") + 100 * F.col("own"))))
 
     # Again stars, around the set of each bucket with the fewest shingles of its own: copies gather about their source.
-    members = materialize(opened.select("way", "key", "node", "component").join(able, "node"), "members")
-    centres = members.groupBy("way", "key").agg(F.min_by("node", F.struct("own", "node")).alias("head"))
-    second = members.join(centres, ["way", "key"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    links = links.union(materialize(confirmed(materialize(_signed(second, nodes, most, share), "pairs"), sets, share), "links"))
-
-    # The rest, pair by pair: nodes outside their bucket's largest component against nodes of other components.
-    left = materialize(_open_buckets(members.select("way", "key", "node"), components(links)).join(able.join(sets.select(F.col("doc_id").alias("node"), "bits"), "node"), "node"), "left")
-    side = lambda p, df: df.select("way", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "component", "largest", "n_shingles", "own", "bits")])
-    minor, every = side("a", left.where("component <> largest")), side("b", left)
+    members = scratch.keep(opened.select("key", "node").join(able, "node"))
+    scratch.drop(opened)
+    centres = scratch.keep(members.groupBy("key").agg(F.min(F.struct("own", "node")).alias("_m")).select("key", F.col("_m.node").alias("head")))
+    second = members.join(centres, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    links = links.union(scratch.keep(confirmed(scratch.keep(_signed(second, nodes, most, share)), sets, share)))
+
+    # The rest, pair by pair: nodes outside their bucket's largest component against nodes of other components. Sizes
+    # of near sets are in the same or the next class, and a bucket with many pairs is dealt over several parts.
+    left = _open_buckets(members.select("key", "node"), components(links), scratch)
+    sized = left.join(able.join(sets.select("node", "bits"), "node"), "node").withColumn("size_class", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent) * (1 + 1e-9))).cast("int"))
+    parts = F.ceil(F.col("minors") * F.col("members") / PAIRS_OF_TASK).cast("int")
+    carried = ("node", "component", "largest", "n_shingles", "own", "bits")
+    side = lambda p, df: df.select("key", "size_class", "part", *[F.col(c).alias(f"{p}_{c}") for c in carried])
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    classes = F.explode(F.sequence(F.col("size_class") - 1, F.col("size_class") + 1))
+    minor = side("a", sized.where("component <> largest").withColumn("part", part).withColumn("size_class", classes))
+    every = side("b", sized.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))))
     once = (F.col("b_component") == F.col("b_largest")) | (F.col("a_node") < F.col("b_node"))
     apart = (F.col("a_component") != F.col("b_component")) & once
     common = F.least(F.col("a_n_shingles") - F.col("a_own"), F.col("b_n_shingles") - F.col("b_own"))
     whole = F.greatest(F.col("a_n_shingles") + F.col("b_own"), F.col("b_n_shingles") + F.col("a_own"), F.col("a_n_shingles") + F.col("b_n_shingles") - common)
-    pairs = minor.hint("merge").join(every, ["way", "key"]).where(apart & (common * 100 >= whole * percent) & (most_common("a_", "b_") * (100 + percent) >= (F.col("a_n_shingles") + F.col("b_n_shingles")) * percent))
+    close = (common * 100 >= whole * percent) & (most_common("a_", "b_") * (100 + percent) >= (F.col("a_n_shingles") + F.col("b_n_shingles")) * percent)
     # The bounds are exact and closer than the signatures' distance here; a pair may come from several buckets.
-    rest = materialize(pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "pairs")
-    final = components(links.union(materialize(confirmed(rest, sets, share), "links")))
+    pairs = minor.hint("merge").join(every, ["key", "size_class", "part"]).where(apart & close)
+    rest = scratch.keep(pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
+    final = components(links.union(scratch.keep(confirmed(rest, sets, share))))
+    scratch.drop(sets, left, members, able, centres)
+    return nodes.select("set_md5", "node", "first_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    by_set = nodes.select("set_md5", "node").join(final, "node", "left").select("set_md5", F.coalesce("component", "node").alias("component_id"))
-    out = signs.select("doc_id", "n_shingles", "set_md5").join(by_set, "set_md5", "left")
+
+def _classes(docs: DataFrame, words: int, share: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' signatures (a row each) and, by set_md5, the smallest doc_id of the set and of its component."""
+    scratch = Scratch(docs.sparkSession, "near-dup")
+    signs = scratch.keep(signatures(docs, words))
+    linked = scratch.keep(linked_nodes(docs, signs, scratch, words, share, most))
+    least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min(F.struct("first_id", "set_md5")).alias("_top"))
+    named = linked.join(least, "component").select("set_md5", "first_id", "component_id", (F.col("_top.set_md5") == F.col("set_md5")).alias("chosen"))
+    return signs, scratch.keep(named)
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, share: float = 0.8, most: int = DISTANCE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row."""
+    signs, named = _classes(docs, words, share, most)
+    out = signs.select("doc_id", "n_shingles", "set_md5").join(named.select("set_md5", "component_id"), "set_md5", "left")
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", mine.alias("component_id"), F.coalesce(F.col("doc_id") == mine, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """One row of each group stays: the row of its smallest doc_id, the first of repeated rows; null doc_ids stay."""
-    gone = near_duplicates(docs, **how).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+def drop_near_duplicates(docs: DataFrame, *, words: int = 5, share: float = 0.8, most: int = DISTANCE) -> DataFrame:
+    """One row of each group stays: that of its smallest doc_id (of several sets there, the first by digest).
+
+    Rows repeated with their doc_id and set count once; rows of one doc_id with different texts are judged each by
+    its own text; rows without a doc_id or without words stay. Other columns may have any names.
+    """
+    signs, named = _classes(docs, words, share, most)
+    rows = signs.where("doc_id is not null").select("doc_id", "set_md5").join(named, "set_md5", "left")
+    stays = F.col("set_md5").isNull() | (F.col("chosen") & (F.col("doc_id") == F.col("first_id")))
+    fates = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(stays).alias("stays"))
+    scratch = Scratch(docs.sparkSession, "fates")
+    # Most ids have one row and are decided by their id; the rows of repeated ids are looked at again by their sets.
+    gone = scratch.keep(fates.where("n > 1 or not stays"))
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text")
+    single = whole.join(gone.select(F.col("doc_id").alias("_id")), "_id", "left_anti").select("_row.*")
+    again = whole.join(gone.where("n > 1").select(F.col("doc_id").alias("_id")), "_id", "left_semi")
+    seen = _with_set(again, words)
+    fate = named.where("chosen").select(F.col("set_md5").alias("_md5"), F.col("first_id").alias("_id"))
+    kept = seen.where("_md5 is not null").join(fate, ["_md5", "_id"], "left_semi").unionByName(seen.where("_md5 is null"))
+    return single.unionByName(kept.withColumn("_set", F.coalesce("_md5", F.lit(b""))).dropDuplicates(["_id", "_set"]).select("_row.*"))
+
+
+def _with_set(rows: DataFrame, words: int) -> DataFrame:
+    """_row, _id and _md5, the digest of the text's set (null for none)."""
+    small_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = text_buffers(batch.column(2))
+            md5 = []
+            for _, _, data, own in chunks(raw, at):
+                md5 += [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in shingle_sets(data, own, words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(md5, pa.binary())], ["_row", "_id", "_md5"])
+
+    return rows.select("_row", "_id", "text").mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, _id long, _md5 binary")

@@ -30,6 +30,22 @@ def test_groups_of_copies_edges_and_clashes(spark):
     check(near_dup.near_duplicates(docs, words=3, share=0.85).collect(), dict(enumerate(texts)), 3, 85)
 
 
+def test_passages_in_common_and_parts_of_a_bucket(spark, monkeypatch):
+    """Texts that share most of a passage but belong to several groups, with buckets dealt over many parts."""
+    monkeypatch.setattr(near_dup, "PAIRS_OF_TASK", 3)
+    rng = random.Random(8)
+    passage = [f"p{rng.randrange(4000)}" for _ in range(100)]
+    texts = []
+    for _ in range(12):
+        group = passage + [f"g{rng.randrange(10**9)}" for _ in range(rng.choice((8, 12, 20, 60)))]
+        for _ in range(5):
+            own = group.copy()
+            for _ in range(rng.randrange(6)):
+                own[rng.randrange(len(own))] = f"edit{rng.randrange(10**9)}"
+            texts.append(" ".join(own))
+    check(near_dup.near_duplicates(documents(spark, texts), words=3, share=0.85).collect(), dict(enumerate(texts)), 3, 85)
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(1, "a b c d e f", "en", "s", 1)] * 3 + [(None, "a b c d e f", "en", "s", 1), (2, "a b c d e f", "en", "s", 1)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -38,5 +54,26 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted(r.doc_id or 0 for r in near_dup.drop_near_duplicates(docs).collect()) == [0, 1]
 
 
+def test_one_id_with_different_texts(spark):
+    """No text is lost that has no near copy, and no group keeps two rows."""
+    a, b, c = "a b c d e f g h", "one two three four five six seven", "l m n o p q r s"
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 2), (1, b, "en", "s", 2), (2, a, "en", "s", 1), (3, c, "en", "s", 1), (3, None, "en", "s", 0), (3, "", "en", "s", 0), (0, c, "de", "s", 1)]
+    names = ["component_id", "node", "kept", "set_md5", "_id", "_md5", "first_id", "n", "_row", "key"]
+    docs = spark.createDataFrame(rows, DOCS)
+    for name in names:
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    out = near_dup.drop_near_duplicates(docs)
+    kept = out.collect()
+    assert out.columns == docs.columns and all(r[n] == f"own {n}" for r in kept for n in names)
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(0, c), (1, a), (1, b), (3, "")]
+
+
+def test_components_of_a_hub_and_a_path(spark):
+    edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(60)]
+    found = {r.node: r.component for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(1, 300)} | {1001 + i: 1000 for i in range(60)}
+
+
 def test_empty_table(spark):
     assert near_dup.near_duplicates(documents(spark, [])).count() == 0
+    assert near_dup.drop_near_duplicates(documents(spark, [])).count() == 0
