@@ -1,55 +1,5 @@
-"""A corpus from raw documents to token ids, stage by stage; each stage's output is written and read again."""
+"""The corpus pipeline: quality, near-duplicates, personal data, mixing and tokens, over the documents of a folder."""
 
-from __future__ import annotations
+from probelight.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from probelight.llm import bpe, mixing, near_dup, pii, quality, queries
-from probelight.llm.common import materialize, table
-
-
-def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble accepts; the others go."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
-
-
-def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
-    return near_dup.drop_near_duplicates(docs, words=5, share=0.8)
-
-
-def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind; n_chars follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the sources' target weights, in global hash order."""
-    return mixing.poisson_mix(docs).drop(*mixing.ADDED)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the bytes decoded from them, for every copy."""
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return queries.bpe_digest(bpe.encode(docs, ranks), ranks)
-
-
-STAGES = [
-    ("quality", good_documents),
-    ("near-dedup", without_near_duplicates),
-    ("pii", redacted),
-    ("mixing", mixed),
-    ("bpe", tokens),
-]
-
-# Fitted models, minhashing and tokenisation have no SQL; tests hold run() against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
