@@ -1,33 +1,337 @@
-"""Fitted queries: nested ridge decoding, label-shuffle null, random-direction null. Rows only; tests hold them against NumPy."""
+"""Fitted queries: nested ridge decoding and what is held against it. Those without SQL are held against NumPy in tests."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import r6
-from ..operators.models import leave_one_out, shuffle_null
-from ..operators.vectors import dot
-from .vectors import _left_out, vector_pairs
+from ..functions.labels import win_score
+from ..functions.stats import hash_draw, r6
+from ..operators import models as M
+from ..operators.vectors import dot, group_sum, norm, unit
+from ..sources.tables import load
+from .vectors import VPAIRS_SQL, vector_pairs
+
+# The seven penalties of the text baselines.
+TEXT_PENALTIES = (1.0, 10.0, 100.0, 1e3, 1e4, 1e5, 1e6)
+FOLDS = 5
+
+
+def _units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list, int]:
+    """Pairs with the fold of their span; the clauses, and the length of the vectors."""
+    p = vector_pairs(spark, sf_dir).withColumn("fold", F.col("span") % FOLDS)
+    about = p.agg(F.array_sort(F.collect_set("clause")).alias("clauses"), F.max(F.size("b")).alias("dims")).first()
+    return p, about["clauses"], about["dims"] or 0
+
+
+def _lines_table(spark: SparkSession, lines: dict) -> DataFrame:
+    rows = [(int(c), w.tolist()) for c, (w, _) in lines.items()]
+    return spark.createDataFrame(rows, "clause int, w array<double>")
 
 
 def ridge_loco(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leave_one_out(vector_pairs(spark, sf_dir), "clause", "span")
-    return found.select(F.col("held").alias("clause"), "alpha", "n", r6(F.col("accuracy")).alias("accuracy"))
+    """Per clause: the penalty chosen on all other clauses, and the paired accuracy of their line on its pairs."""
+    p, clauses, dims = _units(spark, sf_dir)
+    chosen, lines = M.leave_one_out(p, clauses, dims, FOLDS)
+    penalty = spark.createDataFrame([(int(c), a) for c, a in chosen.items()], "clause int, alpha double")
+    scored = p.join(F.broadcast(_lines_table(spark, lines)), "clause").select("clause", win_score(dot(F.col("b"), F.col("w")), dot(F.col("c"), F.col("w"))).alias("hit"))
+    return scored.groupBy("clause").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("hit")).alias("accuracy")).join(F.broadcast(penalty), "clause")
+
+
+def off_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clauses' lines on pairs they were not made for (every fourth): by class of record, folded, and their mean."""
+    p, clauses, dims = _units(spark, sf_dir)
+    away = F.col("pair") % 8 == 0
+    _, lines = M.leave_one_out(p.where(~away), clauses, dims, FOLDS)
+    d = p.where(away).join(F.broadcast(_lines_table(spark, lines)), "clause").withColumn("d", dot(F.col("diff"), F.col("w")))
+    cls = F.when(F.col("span") % 16 < 8, "consistent").otherwise("planted")
+    folded = F.when(F.col("d") == 0, 0.5).when(F.when(F.col("span") % 16 < 8, F.col("d") > 0).otherwise(F.col("d") < 0), 1.0).otherwise(0.0)
+    return d.groupBy(cls.alias("cls")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(folded)).alias("q"), F.countDistinct("clause").alias("clauses"))
+
+
+def trained_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ridge probe, its penalty the first best on dev spans, and its cosine with the contrastive direction."""
+    p, clauses, dims = _units(spark, sf_dir)
+    dev = F.col("span") % 4 == 0
+    sums = M.clause_moments(p.where(~dev), clauses, dims).sum(axis=0)
+    weights, _ = M.Moments(sums, dims).lines(M.PENALTIES)
+    table = spark.createDataFrame([(i, float(a), w.tolist()) for i, (a, w) in enumerate(zip(M.PENALTIES, weights, strict=True))], "i int, alpha double, w array<double>")
+    judged = p.where(dev).select("b", "c").crossJoin(F.broadcast(table))  # thirteen lines
+    best = judged.groupBy("i", "alpha").agg(F.avg(win_score(dot(F.col("b"), F.col("w")), dot(F.col("c"), F.col("w")))).alias("a"), F.first("w").alias("w"))
+    top = best.agg(F.max_by(F.struct("alpha", "a", "w"), F.struct("a", -F.col("i"))).alias("t")).select("t.*")
+    u = group_sum(p.where(~dev), [], "diff", "total").select(unit(F.col("total")).alias("u"))
+    return top.crossJoin(u).select("alpha", r6(F.col("a")).alias("accuracy"), r6(dot(F.col("w"), F.col("u")) / norm(F.col("w"))).alias("cosine"))  # one row each
+
+
+def nested_boot(spark: SparkSession, sf_dir: str, draws: int = 200, penalty: float = 1.0) -> DataFrame:
+    """Clauses drawn with replacement; per draw the decoding is fitted anew without each clause, and its macro accuracy taken.
+
+    Draws are dealt over tasks; a fit needs only the clauses' moments. One pass scores every pair under all draws.
+    """
+    p, clauses, dims = _units(spark, sf_dir)
+    k = len(clauses)
+    sums = M.clause_moments(p, clauses, dims)
+    picks = spark.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"))
+    counted = picks.select("b", hash_draw(F.lit(k), F.col("b"), F.col("slot")).cast("int").alias("g")).groupBy("b").agg(F.collect_list("g").alias("g"))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.array([np.bincount(g, minlength=k) for g in batch.column(1).to_pylist()])
+            lines = M.resampled_lines(sums, counts, penalty, dims)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.tolist(), pa.list_(pa.int64())), pa.array(lines.reshape(len(counts), -1).tolist(), pa.list_(pa.float64()))], ["b", "n", "w"])
+
+    fitted = counted.mapInArrow(fit, "b long, n array<long>, w array<double>").collect()  # draws x clauses x dims
+    weights = np.array([r["w"] for r in fitted]).reshape(draws, k, dims)
+    counts = np.array([r["n"] for r in fitted])
+    place = {c: i for i, c in enumerate(clauses)}
+
+    def hits(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        own, diff = np.array([place[c] for c in batch.column(0).to_pylist()], int), M.matrix(batch, "diff")
+        out = {}
+        for g in np.unique(own):
+            m = diff[own == g] @ weights[:, g].T
+            out[int(g)] = np.append((m > 0).sum(axis=0) + 0.5 * (m == 0).sum(axis=0), float((own == g).sum()))
+        return out
+
+    found = M.summed(p, ["clause", "diff"], hits, draws + 1)
+    accuracy = np.array([found[g][:-1] / found[g][-1] for g in range(k)]).T  # [draw, clause]
+    macro = (accuracy * counts).sum(axis=1) / counts.sum(axis=1)
+    values = spark.createDataFrame([(float(m),) for m in macro], "m double")
+    return values.agg(r6(F.percentile("m", F.lit(0.025))).alias("low"), r6(F.percentile("m", F.lit(0.975))).alias("high"), r6(F.avg("m")).alias("mean"), r6(F.stddev_pop("m")).alias("sd"), F.count(F.lit(1)).alias("draws"))
+
+
+def _signs(draws: int) -> Column:
+    """A sign for each draw and pair, by the first figure of a digest."""
+    return F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.when(F.substring(F.md5(F.concat_ws(":", d.cast("string"), F.col("pair").cast("string")).cast("binary")), 1, 1) < "8", 1.0).otherwise(-1.0))
 
 
 def perm_null(spark: SparkSession, sf_dir: str, draws: int = 50) -> DataFrame:
-    null = shuffle_null(_left_out(vector_pairs(spark, sf_dir), "clause"), draws)
-    return null.agg(r6(F.avg("accuracy")).alias("mean"), r6(F.percentile("accuracy", F.lit(0.025))).alias("low"), r6(F.percentile("accuracy", F.lit(0.975))).alias("high"), F.count(F.lit(1)).alias("draws"))
+    """Label-shuffle null: per draw the differences' signs are shuffled, the direction refitted, and the shuffled dev pairs scored."""
+    p = vector_pairs(spark, sf_dir).select("diff", (F.col("span") % 4 == 0).alias("dev"), _signs(draws).alias("signs"))
+    dims = p.agg(F.max(F.size("diff")).alias("d")).first()["d"]
+    directions = M.summed(p.where("not dev"), ["diff", "signs"], lambda b: {0: (M.matrix(b, "signs").T @ M.matrix(b, "diff")).reshape(-1)}, draws * dims)
+    u = M.unit_rows(directions[0].reshape(draws, dims))
+
+    def hits(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        margins = (M.matrix(batch, "diff") @ u.T) * M.matrix(batch, "signs")
+        return {0: np.append((margins > 0).sum(axis=0) + 0.5 * (margins == 0).sum(axis=0), float(len(batch)))}
+
+    found = M.summed(p.where("dev"), ["diff", "signs"], hits, draws + 1)[0]
+    null = spark.createDataFrame([(float(x),) for x in found[:-1] / found[-1]], "a double")
+    low, high = F.percentile("a", F.lit(0.025)), F.percentile("a", F.lit(0.975))
+    return null.agg(r6(F.avg("a")).alias("mean"), r6(low).alias("low"), r6(high).alias("high"), F.count(F.lit(1)).alias("draws"), F.when((low <= 0.5) & (high >= 0.5), "PASS").otherwise("KILL").alias("verdict"))
+
+
+def _gauss(draw: Column, i: Column) -> Column:
+    """A Gaussian number of draw and dimension, from two hashed uniform ones."""
+    u = lambda salt: (F.conv(F.substring(F.md5(F.concat_ws(":", draw.cast("string"), i.cast("string"), F.lit(salt)).cast("binary")), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
+    return F.sqrt(-2 * F.log(u("r"))) * F.cos(2 * F.pi() * u("a"))
 
 
-def random_directions(spark: SparkSession, sf_dir: str, draws: int = 100) -> DataFrame:
-    """Accuracy of hashed random sign directions: mean, 95th percentile and largest."""
-    signs = spark.range(draws).select(F.col("id").alias("draw"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.when(F.pmod(F.xxhash64(F.col("id"), i), F.lit(2)) == 0, 1.0).otherwise(-1.0)).alias("u"))
-    every = vector_pairs(spark, sf_dir).select("diff").crossJoin(F.broadcast(signs))  # a fixed number of draws
-    accuracy = every.groupBy("draw").agg(F.avg((dot(F.col("diff"), F.col("u")) > 0).cast("int")).alias("a"))
+def random_directions(spark: SparkSession, sf_dir: str, draws: int = 1000) -> DataFrame:
+    """Accuracy of a thousand random Gaussian directions: mean, 95th percentile and largest."""
+    p = vector_pairs(spark, sf_dir)
+    dims = p.agg(F.max(F.size("diff")).alias("d")).first()["d"]
+    made = spark.range(draws).select("id", F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: _gauss(F.col("id"), i)).alias("u")).orderBy("id").collect()
+    u = np.array([r["u"] for r in made])
+
+    def hits(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        return {0: np.append((M.matrix(batch, "diff") @ u.T > 0).sum(axis=0), float(len(batch)))}
+
+    found = M.summed(p, ["diff"], hits, draws + 1)[0]
+    accuracy = spark.createDataFrame([(float(x),) for x in found[:-1] / found[-1]], "a double")
     return accuracy.agg(r6(F.avg("a")).alias("mean"), r6(F.percentile("a", F.lit(0.95))).alias("p95"), r6(F.max("a")).alias("largest"))
 
 
-QUERIES = {"ridge_loco": ridge_loco, "perm_null": perm_null, "random_direction_null": random_directions}
-ORACLES: dict[str, str] = {}
+BLOCKS, LEAST_HELD, LEAST_REST = 8, 5, 20
+
+
+def pseudo_group_null(spark: SparkSession, sf_dir: str, draws: int = 200) -> DataFrame:
+    """Spans dealt by hash into eight pseudo-groups per draw; how often some group has an internal accuracy of .90 and a text one of .55 at most.
+
+    The internal one comes from the direction of the other groups, refitted per draw and group; the text one from the lengths of the pairs' documents.
+    """
+    texts = load(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    p = vector_pairs(spark, sf_dir).join(texts.select(F.col("doc_id").alias("pair"), F.col("n").alias("nb")), "pair", "left").join(texts.select((F.col("doc_id") - 1).alias("pair"), F.col("n").alias("nc")), "pair", "left")
+    block = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", d.cast("string"), F.col("span").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(BLOCKS)).cast("double"))
+    p = p.select("diff", block.alias("block"), win_score(F.coalesce("nb", F.lit(0)), F.coalesce("nc", F.lit(0))).alias("text"))
+    dims = p.agg(F.max(F.size("diff")).alias("d")).first()["d"]
+
+    def held(batch: pa.RecordBatch) -> np.ndarray:
+        return M.matrix(batch, "block")[:, :, None] == np.arange(BLOCKS)
+
+    def sums(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        return {0: np.einsum("ndk,nx->dkx", held(batch).astype(float), M.matrix(batch, "diff"), optimize=True).reshape(-1)}
+
+    own = M.summed(p, ["diff", "block"], sums, draws * BLOCKS * dims)[0].reshape(draws, BLOCKS, dims)
+    u = own.sum(axis=1, keepdims=True) - own  # the sign of a margin does not need the length
+
+    def hits(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        inside = held(batch)
+        m = np.einsum("nx,dkx->ndk", M.matrix(batch, "diff"), u, optimize=True)
+        won = (m > 0) + 0.5 * (m == 0)
+        text = M.numbers(batch, "text")[:, None, None]
+        return {0: np.concatenate([(inside * x).sum(axis=0).reshape(-1) for x in (1.0, won, text)])}
+
+    n, internal, text = M.summed(p, ["diff", "block", "text"], hits, 3 * draws * BLOCKS)[0].reshape(3, draws, BLOCKS)
+    usable = (n >= LEAST_HELD) & (n.sum(axis=1, keepdims=True) - n >= LEAST_REST)
+    share = np.where(usable, internal / np.maximum(n, 1), 0.0)
+    event = (usable & (share >= 0.9) & (text / np.maximum(n, 1) <= 0.55)).any(axis=1)
+    rows = spark.createDataFrame([(int(e), float(s)) for e, s in zip(event, share.max(axis=1), strict=True)], "event int, best double")
+    rate = F.avg("event")
+    return rows.agg(F.count(F.lit(1)).alias("draws"), r6(rate).alias("event_rate"), r6(F.median("best")).alias("best_median"), F.when(rate >= 0.1, "KILL").otherwise("PASS").alias("verdict"))
+
+
+def no_record_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs against the condition without a record, which has a vector at the last position only, the same for its clause.
+
+    The position is the first at which every condition has a vector for every pair; the direction is refitted there.
+    Clause by clause: mean projections and the population deviation of the constant one.
+    """
+    p = vector_pairs(spark, sf_dir)
+    constant = load(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("clause")).agg(F.min_by("embedding", "vec_id").alias("none"))
+    every = p.join(constant, "clause")
+    half = lambda c, at: F.slice(F.col(c), 1 if at == "span_last" else 33, 32)
+    vector = lambda cond, at: half(cond, at) if cond != "none" or at == "prompt_last" else F.lit(None).cast("array<float>")
+    places = ("span_last", "prompt_last")
+    long = every.select("pair", "clause", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(at).alias("place"), *[vector(c, at).alias(c) for c in ("b", "c", "none")]) for i, at in enumerate(places)])).alias("x")).select("pair", "clause", "x.*")
+    whole = F.col("b").isNotNull() & F.col("c").isNotNull() & F.col("none").isNotNull()
+    usable = long.groupBy("rank", "place").agg(F.bool_and(whole).alias("whole")).where("whole").agg(F.min(F.struct("rank", "place")).alias("t")).select("t.place")
+    used = long.join(F.broadcast(usable), "place")  # one row
+    diff = used.withColumn("diff", F.zip_with("c", "b", lambda x, y: x.cast("double") - y.cast("double")))
+    u = group_sum(diff, [], "diff", "total").select(unit(F.col("total")).alias("u"))
+    on = lambda c: dot(F.col(c), F.col("u"))
+    return diff.crossJoin(F.broadcast(u)).groupBy("place", "clause").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(on("b"))).alias("mean_b"), r6(F.avg(on("c"))).alias("mean_c"), r6(F.avg(on("none"))).alias("mean_none"), r6(F.stddev_pop(on("none"))).alias("sd_none"))  # one direction
+
+
+def iid_boot(spark: SparkSession, sf_dir: str, draws: int = 200) -> DataFrame:
+    """Items drawn with replacement by a Poisson count of mean one for each item and draw: no item is looked up, sums alone are shuffled."""
+    m = vector_pairs(spark, sf_dir).select("pair", "clause", norm(F.col("diff")).alias("x"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("d").cast("string"), F.col("pair").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    count = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in POISSON_STEPS), F.lit(0))
+    drawn = m.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("u", u).withColumn("w", count)
+    means = drawn.groupBy("clause", "d").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m"))
+    return means.groupBy("clause").agg(r6(F.percentile("m", F.lit(0.025))).alias("low"), r6(F.percentile("m", F.lit(0.975))).alias("high"), r6(F.avg("m")).alias("mean"))
+
+
+# The Poisson distribution of mean one: the share of counts up to k, to the last that a 32-bit number can tell.
+POISSON_STEPS = [float(x) for x in np.cumsum([1 / (np.e * float(np.prod(np.arange(1, k + 1)))) for k in range(13)])]
+
+_WORDS = "[a-zàèéìòù']+"
+
+
+def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two turns of each conversation as the members of a pair: pair, clause, split, b, c as words."""
+    words = lambda k: F.regexp_extract_all(F.lower(F.max(F.when(F.col("turn") == k, F.col("text")))), F.lit(_WORDS), F.lit(0))
+    tenth = F.col("conv_id") % 10
+    wide = load(spark, sf_dir, "conversations").where("turn in (0, 1)").groupBy("conv_id").agg(words(0).alias("b"), words(1).alias("c"))
+    return wide.where("b is not null and c is not null").select(F.col("conv_id").alias("pair"), (F.col("conv_id") % 4).alias("clause"), F.when(tenth <= 5, "train").when(tenth <= 7, "dev").otherwise("test").alias("split"), "b", "c")
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    """Both members of each pair as rows: c as 1, b as -1."""
+    side = lambda c, y: F.struct(F.col(c).alias("words"), F.lit(y).alias("y"))
+    return pairs.select("pair", F.explode(F.array(side("b", -1.0), side("c", 1.0))).alias("m")).select("pair", "m.*")
+
+
+def _bag_lines(train: DataFrame, penalties: tuple[float, ...], least: int) -> tuple[CountVectorizerModel, list[LinearRegression]]:
+    """A bag of the words that occur at least `least` times in the training members, and a ridge line for each penalty.
+
+    The vocabulary goes to the driver, as the weights do: it is bounded by the words of the labelled pairs.
+    """
+    members = _members(train).persist()
+    n = members.count()
+    often = members.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    known = often.agg(F.array_sort(F.collect_list("w")).alias("v")).first()["v"]
+    bag = CountVectorizerModel.from_vocabulary(known or [""], "words", "features")
+    rows = bag.transform(members).select("features", F.col("y").alias("label")).persist()
+    lines = [LinearRegression(regParam=a / max(n, 1), elasticNetParam=0.0, standardization=False, solver="l-bfgs", maxIter=60, tol=1e-9).fit(rows) for a in penalties]
+    rows.unpersist()
+    members.unpersist()
+    return bag, lines
+
+
+def _paired_scores(pairs: DataFrame, bag, line, name: str) -> DataFrame:
+    """pair, clause and the win of c over b under a line."""
+    scored = line.transform(bag.transform(_members(pairs).join(pairs.select("pair", "clause"), "pair")))
+    wide = scored.groupBy("pair", "clause").agg(F.max(F.when(F.col("y") < 0, F.col("prediction"))).alias("sb"), F.max(F.when(F.col("y") > 0, F.col("prediction"))).alias("sc"))
+    return wide.select("pair", "clause", win_score(F.round("sb", 9), F.round("sc", 9)).alias(name))
+
+
+def bow_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bag-of-words ridge: words that occur twice in training, the first best penalty on dev, its accuracies and ten heaviest words."""
+    p = text_pairs(spark, sf_dir).persist()
+    bag, lines = _bag_lines(p.where("split = 'train'"), TEXT_PENALTIES, 2)
+    mean = lambda line, split: _paired_scores(p.where(F.col("split") == split), bag, line, "w").agg(F.avg("w")).first()[0] or 0.0
+    dev = [mean(line, "dev") for line in lines]
+    best = int(np.argmax(np.array(dev)))
+    weights = lines[best].coefficients.toArray()
+    top = sorted(zip(bag.vocabulary, weights, strict=True), key=lambda x: (-abs(x[1]), x[0]))[:10]
+    test = mean(lines[best], "test")
+    p.unpersist()
+    return spark.createDataFrame([(i + 1, w, round(float(x), 4), TEXT_PENALTIES[best], round(dev[best], 6), round(test, 6), len(weights)) for i, (w, x) in enumerate(top)], "place int, word string, weight double, alpha double, dev double, test double, vocabulary int")
+
+
+def bow_loco(spark: SparkSession, sf_dir: str, penalty: float = 100.0) -> DataFrame:
+    """Out of fold: for each clause the vocabulary and the line are made from the others' pairs alone."""
+    p = text_pairs(spark, sf_dir).persist()
+    clauses = [r[0] for r in p.select("clause").distinct().orderBy("clause").collect()]
+    found = []
+    for clause in clauses:  # as many as a study has clauses
+        bag, (line,) = _bag_lines(p.where(F.col("clause") != clause), (penalty,), 2)
+        found.append(_paired_scores(p.where(F.col("clause") == clause), bag, line, "w").groupBy("clause").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("w")).alias("accuracy")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def final_word_ridge(spark: SparkSession, sf_dir: str, penalty: float = 100.0) -> DataFrame:
+    """The same from the last word, and from the last three, of each member; every word counts."""
+    p = text_pairs(spark, sf_dir).persist()
+    clauses = [r[0] for r in p.select("clause").distinct().orderBy("clause").collect()]
+    out = None
+    for k in (1, 3):
+        last = lambda c: F.when(F.size(c) > 0, F.slice(c, -F.least(F.size(c), F.lit(k)), F.lit(k))).otherwise(F.array(F.lit("")))  # noqa: B023, E731
+        cut = p.withColumn("b", last(F.col("b"))).withColumn("c", last(F.col("c")))
+        for clause in clauses:
+            bag, (line,) = _bag_lines(cut.where(F.col("clause") != clause), (penalty,), 1)
+            row = _paired_scores(cut.where(F.col("clause") == clause), bag, line, "w").groupBy(F.lit(k).alias("k"), "clause").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("w")).alias("accuracy"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+QUERIES = {
+    "ridge_loco": ridge_loco, "perm_null": perm_null, "random_direction_null": random_directions, "off_target": off_target, "trained_probe": trained_probe, "nested_boot": nested_boot, "pseudo_group_null": pseudo_group_null,
+    "no_record_control": no_record_control, "iid_boot": iid_boot, "bow_ridge": bow_ridge, "bow_loco": bow_loco, "final_word_ridge": final_word_ridge,
+}
+
+_PERCENTILES = "round(quantile_cont({0}, 0.025), 6) AS low, round(quantile_cont({0}, 0.975), 6) AS high"
+_UNIT32 = "(('0x' || substr(md5({0}), 1, 8))::BIGINT + {1})::DOUBLE / {2}"
+ORACLES: dict[str, str] = {
+    "perm_null": f"""WITH {VPAIRS_SQL}, s AS (SELECT pair, span % 4 = 0 AS dev, d, n, x * CASE WHEN substr(md5(n || ':' || pair), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS x FROM dims, (SELECT unnest(range(0, 50)) AS n)),
+      u AS (SELECT n, d, sum(x) AS s FROM s WHERE NOT dev GROUP BY 1, 2), m AS (SELECT s.n, pair, sum(s.x * u.s) AS m FROM s JOIN u ON u.n = s.n AND u.d = s.d WHERE dev GROUP BY 1, 2),
+      a AS (SELECT n, avg(CASE WHEN m > 0 THEN 1.0 WHEN m = 0 THEN 0.5 ELSE 0.0 END::DOUBLE) AS a FROM m GROUP BY 1)
+      SELECT round(avg(a), 6) AS mean, {_PERCENTILES.format('a')}, count(*) AS draws, CASE WHEN quantile_cont(a, 0.025) <= 0.5 AND quantile_cont(a, 0.975) >= 0.5 THEN 'PASS' ELSE 'KILL' END AS verdict FROM a""",
+    "random_direction_null": f"""WITH {VPAIRS_SQL}, g AS (SELECT n, d, sqrt(-2 * ln({_UNIT32.format("n || ':' || d || ':r'", 1, '4294967297.0::DOUBLE')})) * cos(2 * pi() * {_UNIT32.format("n || ':' || d || ':a'", 1, '4294967297.0::DOUBLE')}) AS u FROM (SELECT unnest(range(0, 1000)) AS n), (SELECT unnest(range(1, 65)) AS d)),
+      v AS (SELECT n, list(u ORDER BY d) AS u FROM g GROUP BY 1), a AS (SELECT n, avg((list_dot_product(diff, u) > 0)::INT) AS a FROM vp, v GROUP BY 1) SELECT round(avg(a), 6) AS mean, round(quantile_cont(a, 0.95), 6) AS p95, round(max(a), 6) AS largest FROM a""",
+    "no_record_control": f"""WITH {VPAIRS_SQL}, f AS (SELECT label AS clause, arg_min(embedding, vec_id) AS none FROM embeddings GROUP BY 1), h AS (SELECT pair, vp.clause, b[33:64]::DOUBLE[] AS b, c[33:64]::DOUBLE[] AS c, none[33:64]::DOUBLE[] AS z FROM vp JOIN f ON f.clause = vp.clause),
+      l AS (SELECT unnest(range(1, 33)) AS d, unnest(c) - unnest(b) AS x FROM h), t AS (SELECT d, sum(x) AS s FROM l GROUP BY 1), u AS (SELECT list(s / (SELECT sqrt(sum(s * s)) FROM t) ORDER BY d) AS u FROM t)
+      SELECT 'prompt_last' AS place, clause, count(*) AS n, round(avg(list_dot_product(b, u)), 6) AS mean_b, round(avg(list_dot_product(c, u)), 6) AS mean_c, round(avg(list_dot_product(z, u)), 6) AS mean_none, round(stddev_pop(list_dot_product(z, u)), 6) AS sd_none FROM h, u GROUP BY 2""",
+    "iid_boot": f"""WITH {VPAIRS_SQL}, m AS (SELECT pair, clause, sqrt(list_dot_product(diff, diff)) AS x FROM vp), steps AS (SELECT k, sum(exp(-1 - lgamma(k + 1))) OVER (ORDER BY k) AS c FROM (SELECT unnest(range(0, 13)) AS k)),
+      drawn AS (SELECT clause, n, x, {_UNIT32.format("n || ':' || pair", 0, '4294967296.0::DOUBLE')} AS u FROM m, (SELECT unnest(range(0, 200)) AS n)), w AS (SELECT clause, n, x, len([c FOR c IN (SELECT list(c) FROM steps) IF c <= u]) AS w FROM drawn),
+      a AS (SELECT clause, n, sum(w * x) / nullif(sum(w), 0) AS m FROM w GROUP BY 1, 2) SELECT clause, {_PERCENTILES.format('m')}, round(avg(m), 6) AS mean FROM a GROUP BY 1""",
+    "pseudo_group_null": f"""WITH {VPAIRS_SQL}, t AS (SELECT pair, CASE WHEN coalesce(length(c.text), 0) > coalesce(length(b.text), 0) THEN 1.0 WHEN coalesce(length(c.text), 0) = coalesce(length(b.text), 0) THEN 0.5 ELSE 0.0 END::DOUBLE AS text FROM vp LEFT JOIN documents b ON b.doc_id = pair LEFT JOIN documents c ON c.doc_id = pair + 1),
+      k AS (SELECT n, span, ('0x' || substr(md5(n || ':' || span), 1, 8))::BIGINT % 8 AS k FROM (SELECT DISTINCT span FROM vp), (SELECT unnest(range(0, 200)) AS n)), s AS (SELECT span, d, sum(x) AS s FROM dims GROUP BY 1, 2), own AS (SELECT n, k, d, sum(s) AS s FROM s JOIN k USING (span) GROUP BY 1, 2, 3),
+      total AS (SELECT d, sum(x) AS s FROM dims GROUP BY 1), rest AS (SELECT n, k, list(total.s - own.s ORDER BY d) AS u FROM own JOIN total USING (d) GROUP BY 1, 2),
+      m AS (SELECT n, k.k, list_dot_product(diff, u) AS m, text FROM vp JOIN k USING (span) JOIN rest USING (n, k) JOIN t USING (pair)),
+      g AS (SELECT n, k, count(*) AS held, avg(CASE WHEN m > 0 THEN 1.0 WHEN m = 0 THEN 0.5 ELSE 0.0 END::DOUBLE) AS internal, avg(text) AS text FROM m GROUP BY 1, 2), ok AS (SELECT *, held >= 5 AND (SELECT count(*) FROM vp) - held >= 20 AS ok FROM g),
+      e AS (SELECT n, max((ok AND internal >= 0.9 AND text <= 0.55)::INT) AS event, max(CASE WHEN ok THEN internal ELSE 0.0 END) AS best FROM ok GROUP BY 1)
+      SELECT count(*) AS draws, round(avg(event), 6) AS event_rate, round(median(best), 6) AS best_median, CASE WHEN avg(event) >= 0.1 THEN 'KILL' ELSE 'PASS' END AS verdict FROM e""",
+}

@@ -1,29 +1,87 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from probelight.operators.models import leave_one_out, ridge, shuffle_null
+from probelight.operators import models as M
+from probelight.plans import models as plans
 from probelight.streaming import runlog
 
 
-def test_both_forms_of_ridge_agree():
+def test_lines_from_moments_are_ridge_lines():
+    """Against the normal equations on standardised columns, for every penalty."""
     rng = np.random.default_rng(0)
-    for n, d in ((40, 5), (10, 30)):
-        x, y = rng.normal(size=(n, d)), rng.normal(size=n)
-        w, b = ridge(x, y, 2.0)
-        xc, yc = x - x.mean(axis=0), y - y.mean()
-        want = np.linalg.solve(xc.T @ xc + 2.0 * np.eye(d), xc.T @ yc)
-        assert np.allclose(w, want) and np.isclose(b, y.mean() - x.mean(axis=0) @ want)
+    x, y = rng.normal(size=(40, 5)) * [1, 2, 3, 4, 5] + 1, rng.normal(size=40)
+    weights, free = M.Moments(M.Moments.of(x, y), 5).lines(M.PENALTIES)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-8)
+    for i, penalty in enumerate(M.PENALTIES):
+        want = np.linalg.solve(z.T @ z + penalty * np.eye(5), z.T @ (y - y.mean()))
+        assert np.allclose(z @ want + y.mean(), x @ weights[i] + free[i])
+    assert len(M.PENALTIES) == 13 and np.isclose(M.PENALTIES[0], 1e-3) and np.isclose(M.PENALTIES[-1], 1e3)
 
 
-def test_nested_decoding_finds_a_planted_direction(spark):
+def units(spark, n=80, noise=0.1):
     rng = np.random.default_rng(1)
     shift = rng.normal(size=8) * 3
-    rows = [(i, i % 4, i % 10, (b := rng.normal(size=8)).tolist(), (b + shift + rng.normal(size=8) * 0.1).tolist()) for i in range(80)]
-    units = spark.createDataFrame(rows, "pair long, clause int, span int, b array<double>, c array<double>")
-    got = leave_one_out(units, "clause", "span").collect()
-    assert len(got) == 4 and all(r.accuracy == 1.0 and r.n == 20 for r in got)
-    null = shuffle_null(units.select("pair", F.lit(1.0).alias("margin")), 100).agg(F.avg("accuracy")).first()[0]
-    assert abs(null - 0.5) < 0.05
+    rows = [(i, i % 4, (i // 4) % 5, (b := rng.normal(size=8)).tolist(), (b + shift * (noise < 1) + rng.normal(size=8) * noise).tolist()) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "pair long, clause int, fold int, b array<double>, c array<double>")
+
+
+def test_nested_decoding_against_loops(spark):
+    """Penalties, lines and accuracies against a plain version that refits on rows, fold by fold; all rows count."""
+    rows, df = units(spark, 120, 3.0)
+    chosen, lines = M.leave_one_out(df, [0, 1, 2, 3], 8)
+    for clause in range(4):
+        rest = [r for r in rows if r[1] != clause]
+
+        def fit(part, penalty):
+            x = np.array([r[4] for r in part] + [r[3] for r in part])
+            y = np.repeat([1.0, -1.0], len(part))
+            mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-8
+            z = (x - mean) / spread
+            w = np.linalg.solve(z.T @ z + penalty * np.eye(8), z.T @ (y - y.mean()))
+            return lambda v: (np.array(v) - mean) / spread @ w + y.mean()
+
+        scores = []
+        for penalty in M.PENALTIES:
+            by_fold = []
+            for f in range(5):
+                line, test = fit([r for r in rest if r[2] != f], penalty), [r for r in rest if r[2] == f]
+                by_fold.append(np.mean([np.sign(line(r[4])) == 1 for r in test] + [np.sign(line(r[3])) == -1 for r in test]))
+            scores.append(np.mean(by_fold))
+        want = next(p for p, s in zip(M.PENALTIES, scores, strict=True) if s >= max(scores) - 1e-12)
+        assert chosen[clause] == want
+        line = fit(rest, want)
+        w, c = lines[clause]
+        assert all(np.isclose(line(r[3]), np.array(r[3]) @ w + c) for r in rows)
+
+
+def test_nested_decoding_finds_a_planted_direction(spark):
+    rows, df = units(spark)
+    _, lines = M.leave_one_out(df, [0, 1, 2, 3], 8)
+    assert all((np.array(r[4]) - np.array(r[3])) @ lines[r[1]][0] > 0 for r in rows)
+
+
+def test_resamples_weigh_clauses(spark):
+    _, df = units(spark)
+    sums = M.clause_moments(df, [0, 1, 2, 3], 8)
+    lines = M.resampled_lines(sums, np.array([[2, 0, 1, 1]]), 1.0, 8)
+    assert np.allclose(lines[0, 0], M.Moments(sums[2] + sums[3], 8).lines(np.array([1.0]))[0][0]) and not lines[0, 1].any()
+
+
+def test_bag_of_words_tells_members_apart(spark):
+    """A word that only one member has decides; a clause's own words do not make its vocabulary."""
+    rows = [(i, i % 3, "train" if i % 10 < 6 else "dev" if i % 10 < 8 else "test", ["all", "old"], ["all", "new", f"x{i}"]) for i in range(60)]
+    p = spark.createDataFrame(rows, "pair long, clause long, split string, b array<string>, c array<string>")
+    bag, lines = plans._bag_lines(p.where("split = 'train'"), (1.0, 10.0), 2)
+    assert bag.vocabulary == ["all", "new", "old"]
+    weights = dict(zip(bag.vocabulary, lines[0].coefficients, strict=True))
+    assert weights["new"] > 0.1 > weights["all"] > -0.1 > weights["old"]
+    # The ridge line itself, from the normal equations: 72 rows, intercept free.
+    x = np.array([[1.0, 0, 1]] * 36 + [[1.0, 1, 0]] * 36)
+    y = np.repeat([-1.0, 1.0], 36)
+    z = x - x.mean(axis=0)
+    want = np.linalg.solve(z.T @ z + np.eye(3), z.T @ y)
+    assert np.allclose(want, [weights[w] for w in bag.vocabulary], atol=1e-3)
+    assert {r.w for r in plans._paired_scores(p.where("split = 'test'"), bag, lines[0], "w").collect()} == {1.0}
 
 
 def test_stream_of_the_run_log(spark, tmp_path):
