@@ -117,3 +117,10 @@ def first_tool(tool_round: Column) -> Column:
 def win_score(lower: Column, upper: Column) -> Column:
     """1 if the upper member wins, 0.5 for a tie, 0 otherwise."""
     return F.when(upper > lower, 1.0).when(upper == lower, 0.5).otherwise(0.0)
+
+
+def text_of(json: Column, keys: tuple[str, ...]) -> Column:
+    """A JSON string itself, or the first of the keys that an object has; empty for neither."""
+    parsed = F.try_parse_json(json)
+    held = F.coalesce(*[F.get_json_object(json, f"$.{k}") for k in keys], F.lit(""))
+    return F.when(F.schema_of_variant(parsed) == "STRING", F.try_variant_get(parsed, "$", "string")).otherwise(held)

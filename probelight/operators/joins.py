@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,18 +33,49 @@ def missing(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def shingle_exists(texts: DataFrame, text: str, parts: DataFrame, part: str, words: int) -> DataFrame:
-    """Texts that contain one of the parts as a substring, found through shared word n-grams.
+GRAM = 8
+
+
+def contains_any(texts: DataFrame, key: str, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """The keys of texts that contain one of the parts as a substring; an empty part is in every text.
 
-    Every part long enough has an n-gram of words that a containing text has too, so candidates come from an equi-join
-    on n-gram hashes rather than from all pairs; each candidate is then checked as a substring.
+    A containing text has the part's first GRAM characters, or all of a shorter part, at some place. So candidates
+    come from an equi-join on runs of characters of the few lengths that parts have, and each is then checked.
     """
-    grams = lambda df, c, every: df.withColumn("_w", F.split(F.trim(F.col(c)), r"\s+")).where(F.size("_w") >= words).withColumn("_g", F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - words if every else F.lit(0)), lambda i: F.xxhash64(F.array_join(F.slice("_w", i + 1, words), " "))))).drop("_w")
-    inner = parts.select(part).distinct()
-    # The part's own first words may be cut by the text's words at its ends, so its second n-gram is the key.
-    keyed = inner.withColumn("_w", F.split(F.trim(F.col(part)), r"\s+")).where(F.size("_w") >= words + 2).withColumn("_g", F.xxhash64(F.array_join(F.slice("_w", 2, words), " "))).drop("_w")
-    hits = grams(texts, text, True).join(keyed, "_g").where(F.col(text).contains(F.col(part)))
-    return hits.drop("_g", part).distinct()
+    inner = parts.select(F.col(part).alias("_part")).where(F.col(part).isNotNull()).distinct()
+    keyed = inner.where("_part <> ''").select("_part", F.left("_part", F.lit(GRAM)).alias("_gram")).withColumn("_len", F.length("_gram"))
+    lengths = sorted(r[0] for r in keyed.select("_len").distinct().collect())  # at most GRAM numbers
+    everywhere = inner.where("_part = ''").limit(1)
+    out = texts.where(F.col(text).isNotNull()).join(everywhere.select(F.lit(True).alias("_all")), F.lit(True), "left_semi").select(key)
+    if lengths:
+        n = F.length(F.col(text))
+        runs = F.array_distinct(F.flatten(F.array(*[F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in lengths])))  # noqa: B023
+        grams = texts.select(key, text, F.explode(runs).alias("_gram"))
+        out = out.unionByName(grams.join(keyed.select("_part", "_gram"), "_gram").where(F.col(text).contains(F.col("_part"))).select(key))
+    return out.distinct()
+
+
+def shingle_exists(texts: DataFrame, key: str, text: str, parts: DataFrame, part: str, words: int) -> DataFrame:
+    """The same for parts of many words in long texts: candidates share an n-gram of words, shorter parts go through contains_any.
+
+    Every part of two words more has an n-gram that a containing text has too: its own first word may be cut by the
+    text's words at its ends, so its second n-gram is the key. Texts that have no part's n-gram in a Bloom filter of
+    those keys are passed over before anything is shuffled.
+    """
+    inner = parts.select(F.col(part).alias("_part")).where(F.col(part).isNotNull()).distinct().withColumn("_w", F.split(F.trim("_part"), r"\s+"))
+    long = (F.size("_w") >= words + 2) & ~F.col("_part").rlike(r"^\s|\s$|\s\s|[^\S ]")
+    keyed = inner.where(long).select("_part", F.xxhash64(F.array_join(F.slice("_w", 2, words), " ")).alias("_g"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("_w") - words), lambda i: F.xxhash64(F.array_join(F.slice("_w", i + 1, words), " ")))
+    split = texts.withColumn("_w", F.split(F.col(text), " ")).where(F.size("_w") >= words)
+    hits = split.select(key, text, F.explode(grams).alias("_g")).join(keyed, "_g").where(F.col(text).contains(F.col("_part"))).select(key)
+    return hits.unionByName(contains_any(texts, key, text, inner.where(~long), "_part")).distinct()
+
+
+def required(rows: DataFrame, lookup: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows with the value of their keys; a row without one stops the query."""
+    joined = rows.join(lookup, keys, "left")
+    told = F.raise_error(F.concat(F.lit(f"no {value} for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    return joined.withColumn(value, F.coalesce(F.col(value), told.cast("double")))
 
 
 def full_comparison(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
@@ -55,14 +90,38 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_similar(queries: DataFrame, store: DataFrame, k: int, least: float, blocks: int = 8) -> DataFrame:
+BLOCK_ROWS = 4096
+
+
+def top_similar(queries: DataFrame, store: DataFrame, k: int, least: float, other: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """For each query vector the k most similar earlier stored vectors with similarity at least `least`.
 
-    A stated query set meets the store in blocks: queries are repeated once per block, so each task holds one block
-    of the store. Ties keep the store's order.
+    A stated query set meets the store in blocks of bounded size, as many as the store has rows for; a block is scored
+    as a product of matrices, and only pairs over the threshold leave it. Ties keep the store's order. With `other`
+    (query_id, query_text and id, text) pairs of equal text are left out.
     """
-    spread = queries.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = store.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    pairs = spread.join(dealt, "_b").where(F.col("id") < F.col("query_id")).withColumn("score", cosine(F.col("query_vec"), F.col("vec"))).where(F.col("score") >= least)
+    blocks = max(1, -(-store.count() // BLOCK_ROWS))
+    q_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    pack = lambda df, i, v, n: df.groupBy(deal(i, n).alias("_b")).agg(F.collect_list(F.struct(F.col(i).alias("id"), F.col(v).alias("vec"))).alias("rows"))
+    left = pack(queries, "query_id", "query_vec", q_blocks).select(F.col("rows").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    tiles = left.join(pack(store, "id", "vec", blocks), "_b").select("q", "rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                (qi, qv), (si, sv) = (_unpacked(batch.column(c)[r].values) for c in (0, 1))
+                score = qv @ sv.T
+                a, b = np.nonzero((score >= least - 1e-9) & (si[None, :] < qi[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(si[b]), pa.array(score[a, b])], ["query_id", "id", "score"])
+
+    pairs = tiles.mapInArrow(run, "query_id long, id long, score double").where(F.col("score") >= least)
+    if other is not None:
+        pairs = pairs.join(other[0], "query_id").join(other[1], "id").where(~F.col("query_text").eqNullSafe(F.col("text"))).drop("query_text", "text")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return pairs.select("query_id", "id", "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+
+
+def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    ids = rows.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return ids, rows.field(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)

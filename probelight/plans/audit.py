@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import labels as L
 from ..functions.stats import hash_draw, r6
 from ..operators import dedup
+from ..operators.order import numbered
 from ..sources.tables import RUNS_SQL, TAGGED_SQL, load, points, runs, tagged_text
 
 
@@ -198,10 +199,10 @@ def ratio_bootstrap(spark: SparkSession, sf_dir: str, draws: int = 200) -> DataF
     Each resample is a row count by draws, so points meet draws once; what is shuffled is a partial sum per draw.
     """
     table = point_table(spark, sf_dir).where("m1_modal is not null and m2_modal is not null and m1_share > 0")
-    numbered = table.select("m1_share", "m2_to_m1", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pid")) - 1).alias("i"))
-    n = F.lit(numbered.count())
+    placed = numbered(table.select("pid", "m1_share", "m2_to_m1"), None, "pid", "i").withColumn("i", F.col("i") - 1)
+    n = F.lit(table.count())
     picks = spark.range(draws).select(F.col("id").alias("b")).select("b", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).select("b", hash_draw(n, F.col("b"), F.col("k")).alias("i"))
-    ratios = picks.join(numbered, "i").groupBy("b").agg((F.sum("m2_to_m1") / F.sum("m1_share")).alias("ratio"))
+    ratios = picks.join(placed, "i").groupBy("b").agg((F.sum("m2_to_m1") / F.sum("m1_share")).alias("ratio"))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ratio"))
     ordered = ratios.withColumn("place", place)
     low, high = draws * 25 // 1000, draws * 975 // 1000

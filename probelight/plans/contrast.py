@@ -115,13 +115,27 @@ def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sign_flip_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of all sign patterns over the first ten clauses' mean shifts whose mean is at least the observed."""
-    means = complete(spark, sf_dir).groupBy("clause").agg(F.avg("shift").alias("m"))
-    first = means.orderBy("clause").limit(10).agg(F.transform(F.array_sort(F.collect_list(F.struct("clause", "m"))), lambda x: F.round(x["m"], 9)).alias("ms"))
-    masks = first.select("ms", F.expr("explode(sequence(0, shiftleft(1, size(ms)) - 1))").alias("mask"))
+    """The share of all sign patterns over the clauses' mean shifts whose mean is at least the observed.
+
+    The clauses are cut in two halves. A pattern's sum is the sum of one pattern of each, so the patterns of both are
+    put in one order and, for each of the first, those of the second that reach the rest are counted in passing:
+    2 ** (k / 2) sums stand for 2 ** k patterns, and none is left out.
+    """
+    means = complete(spark, sf_dir).groupBy("clause").agg(F.round(F.avg("shift"), 9).alias("m"))
+    placed = means.select("m", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("clause")) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("k"))  # a row for each clause
+    side = F.when(F.col("i") < F.expr("k div 2"), 0).otherwise(1)
+    halves = placed.groupBy(side.alias("half")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("ms"))
+    both = spark.range(2).select(F.col("id").cast("int").alias("half")).join(halves, "half", "left").withColumn("ms", F.coalesce("ms", F.array().cast("array<double>")))
+    masks = both.select("half", "ms", F.expr("explode(sequence(0, shiftleft(1, size(ms)) - 1))").alias("mask"))
     total = F.aggregate(F.expr("transform(ms, (m, i) -> CASE WHEN (mask & shiftleft(1, i)) > 0 THEN -m ELSE m END)"), F.lit(0.0), lambda a, x: a + x)
-    seen = F.aggregate("ms", F.lit(0.0), lambda a, x: a + x)
-    return masks.select(F.size("ms").alias("k"), (total >= seen - 1e-9).alias("hit")).groupBy("k").agg(F.count(F.lit(1)).alias("patterns"), F.count_if("hit").alias("at_least"), r6(F.avg(F.col("hit").cast("int"))).alias("p"))
+    seen = means.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("seen"), F.count(F.lit(1)).cast("int").alias("k"))
+    sums = masks.select("half", total.alias("t")).crossJoin(F.broadcast(seen))  # one row
+    # A first-half sum asks for second-half sums from its rest on; equal ones come before it.
+    asked = sums.select("k", "half", F.when(F.col("half") == 0, F.col("seen") - F.col("t") - 1e-9).otherwise(F.col("t")).alias("v"))
+    order = Window.partitionBy("k").orderBy(F.desc("v"), F.desc("half")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = asked.withColumn("n", F.sum("half").over(order)).where("half = 0")
+    patterns = F.pow(F.lit(2.0), F.col("k")).cast("long")
+    return met.groupBy("k").agg(F.sum("n").alias("at_least")).select("k", patterns.alias("patterns"), "at_least", r6(F.col("at_least") / patterns).alias("p"))
 
 
 def cluster_bootstrap(spark: SparkSession, sf_dir: str, draws: int = 200) -> DataFrame:
@@ -166,7 +180,7 @@ def median_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def condition_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complete(spark, sf_dir).groupBy("clause").agg(r6(F.avg("delta_c") - F.avg("delta_b")).alias("gap"), F.signum(F.avg("delta_c") - F.avg("delta_b")).cast("int").alias("direction"))
+    return complete(spark, sf_dir).groupBy("clause").agg(r6(F.avg("delta_c") - F.avg("delta_b") + 1e-9).alias("gap"), F.signum(F.avg("delta_c") - F.avg("delta_b")).cast("int").alias("direction"))
 
 
 def spillover(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,10 +211,9 @@ def cell_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded against recomputed values: largest difference and how many pass a tolerance, by flag."""
-    li = load(spark, sf_dir, "lineitem")
-    off = F.abs(F.col("l_extendedprice") * (1 - F.col("l_discount")) - (F.col("l_extendedprice") - F.col("l_extendedprice") * F.col("l_discount")))
-    return li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if(off > 1e-3).alias("n_off"), (F.max(off) <= 1e-6).cast("int").alias("tight"))
+    """Recorded lengths of documents against those of their texts: largest difference and how many are off, by source."""
+    d = load(spark, sf_dir, "documents").withColumn("off", F.abs(F.col("n_chars") - F.length("text")))
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("off") > 1e-3, F.lit(True))).alias("n_off"), F.max("off").alias("largest"))
 
 
 def probe_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,17 +258,20 @@ ORACLES = {
     "spearman": _W + ", ranked AS (SELECT clause, rank() OVER (PARTITION BY clause ORDER BY delta_c - delta_b) + (count(*) OVER (PARTITION BY clause, delta_c - delta_b) - 1) / 2 AS rs, rank() OVER (PARTITION BY clause ORDER BY delta_none) + (count(*) OVER (PARTITION BY clause, delta_none) - 1) / 2 AS rn FROM complete WHERE delta_none IS NOT NULL) SELECT clause, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(rs) * stddev_pop(rn) > 0 THEN round(covar_pop(rs, rn) / (stddev_pop(rs) * stddev_pop(rn)), 6) END AS rho FROM ranked GROUP BY 1",
     "avg_rank": _W + "SELECT item, clause, rank() OVER (PARTITION BY clause ORDER BY delta_b) + (count(*) OVER (PARTITION BY clause, delta_b) - 1) / 2 AS rank FROM complete",
     "mcnemar": _W + f", g AS (SELECT split, count(*) AS n, count(*) FILTER (delta_c > delta_b AND NOT delta_c > delta_none) AS only_one, count(*) FILTER (NOT delta_c > delta_b AND delta_c > delta_none) AS only_two, round(avg((delta_c > delta_b)::INT) - avg((delta_c > delta_none)::INT), 6) AS difference FROM complete WHERE delta_none IS NOT NULL GROUP BY 1) SELECT *, round({_BINOMIAL.format(k='only_one', n='(only_one + only_two)')}, 6) AS p, CASE WHEN n < 10 THEN 'few common items' ELSE '' END AS note FROM g",
-    "sign_flip_exact": _W + ", ms AS (SELECT round(avg(delta_c - delta_b), 9) AS m, row_number() OVER (ORDER BY clause) - 1 AS i FROM complete GROUP BY clause QUALIFY i < 10), k AS (SELECT count(*) AS k, sum(m) AS seen FROM ms), sums AS (SELECT mask, sum(CASE WHEN (mask >> i) & 1 = 1 THEN -m ELSE m END) AS total FROM ms, (SELECT unnest(range(0, (1 << (SELECT k FROM k))::BIGINT)) AS mask) GROUP BY mask) SELECT k::INTEGER AS k, count(*) AS patterns, count(*) FILTER (total >= seen - 1e-9) AS at_least, round(avg((total >= seen - 1e-9)::INT), 6) AS p FROM sums, k GROUP BY k",
+    "sign_flip_exact": _W + """, ms AS (SELECT round(avg(delta_c - delta_b), 9) AS m, row_number() OVER (ORDER BY clause) - 1 AS i, count(*) OVER () AS k FROM complete GROUP BY clause), k AS (SELECT count(*) AS k, sum(m) AS seen FROM ms),
+      one AS (SELECT mask, coalesce(sum(CASE WHEN (mask >> i) & 1 = 1 THEN -m ELSE m END), 0) AS t FROM (SELECT unnest(range(0, (1 << (SELECT k // 2 FROM k))::BIGINT)) AS mask) LEFT JOIN (SELECT * FROM ms WHERE i < k // 2) ON TRUE GROUP BY mask),
+      two AS (SELECT mask, sum(CASE WHEN (mask >> (i - k // 2)) & 1 = 1 THEN -m ELSE m END) AS t FROM (SELECT unnest(range(0, (1 << (SELECT k - k // 2 FROM k))::BIGINT)) AS mask), (SELECT * FROM ms WHERE i >= k // 2) GROUP BY mask),
+      n AS (SELECT count(*) AS patterns, count(*) FILTER (one.t + two.t >= seen - 1e-9) AS at_least FROM one, two, k) SELECT k::INTEGER AS k, patterns, at_least, round(at_least / patterns, 6) AS p FROM n, k""",
     "cluster_boot_hash": _W + f", cells AS (SELECT split, clause, sum(CASE WHEN delta_c > delta_b THEN 1.0 WHEN delta_c = delta_b THEN 0.5 ELSE 0.0 END)::DOUBLE AS score, count(*) AS n FROM complete GROUP BY 1, 2), ordered AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY clause) - 1 AS i, count(*) OVER (PARTITION BY split) AS k FROM cells), picks AS (SELECT split, b, {_DRAW.format(chr(98) + ' || chr(58) || i')} % k AS i FROM ordered, (SELECT unnest(range(0, 200)) AS b)), acc AS (SELECT p.split, b, sum(score) / sum(n) AS acc FROM picks p JOIN ordered o ON o.split = p.split AND o.i = p.i GROUP BY 1, 2) SELECT split, round(quantile_cont(acc, 0.025), 6) AS low, round(quantile_cont(acc, 0.975), 6) AS high, round(avg(acc), 6) AS mean, round(stddev_pop(acc), 6) AS sd FROM acc GROUP BY 1",
     "stratified_boot_hash": _W + f", d AS (SELECT clause, delta_c - delta_b AS shift, row_number() OVER (PARTITION BY clause ORDER BY item) - 1 AS i, count(*) OVER (PARTITION BY clause) AS n FROM complete WHERE split = 'test'), picks AS (SELECT clause, b, {_DRAW.format('clause || chr(58) || b || chr(58) || i')} % n AS i FROM d, (SELECT unnest(range(0, 100)) AS b)), each AS (SELECT b, avg(m) AS macro FROM (SELECT b, p.clause, avg(shift) AS m FROM picks p JOIN d ON d.clause = p.clause AND d.i = p.i GROUP BY 1, 2) GROUP BY b), point AS (SELECT avg(m) AS point FROM (SELECT avg(shift) AS m FROM d GROUP BY clause)), i AS (SELECT quantile_cont(macro, 0.025) AS low, quantile_cont(macro, 0.975) AS high, min(macro) AS least, max(macro) AS most FROM each) SELECT round(low, 6) AS low, round(high, 6) AS high, round(least, 6) AS least, round(most, 6) AS most, round(point, 6) AS point, CASE WHEN low > 0 THEN 'above zero' ELSE 'not above zero' END AS verdict FROM i, point",
     "headroom_corr": _W + ", " + HEADROOM_SQL + ", every AS (SELECT cls, effect, room FROM effects UNION ALL SELECT 'both', effect, room FROM effects) SELECT cls, count(*) AS n, round(corr(room, effect), 6) AS corr, round(regr_slope(effect, room), 6) AS slope, round(median(room), 6) AS median_room FROM every GROUP BY 1",
     "median_split": _W + ", d AS (SELECT *, median(delta_none) OVER (PARTITION BY clause) AS mid FROM complete WHERE delta_none IS NOT NULL) SELECT split, CASE WHEN delta_none <= mid THEN 'low' ELSE 'high' END AS half, count(*) AS n, round(avg(delta_c - delta_b), 6) AS mean_shift FROM d GROUP BY 1, 2",
-    "condition_gap": _W + "SELECT clause, round(avg(delta_c) - avg(delta_b), 6) AS gap, sign(avg(delta_c) - avg(delta_b))::INTEGER AS direction FROM complete GROUP BY 1",
+    "condition_gap": _W + "SELECT clause, round(avg(delta_c) - avg(delta_b) + 1e-9, 6) AS gap, sign(avg(delta_c) - avg(delta_b))::INTEGER AS direction FROM complete GROUP BY 1",
     "spillover": _W + ", d AS (SELECT item, clause, delta_c - delta_b AS shift FROM complete) SELECT (a.clause = b.clause)::INTEGER AS same_clause, count(*) AS n, round(avg(b.shift - a.shift), 6) AS mean, round(stddev_pop(b.shift - a.shift), 6) AS sd, round(max(abs(b.shift - a.shift)), 6) AS largest FROM d a JOIN d b ON b.item = a.item + 1 GROUP BY 1",
     "score_bands": _W + "SELECT CASE WHEN abs(shift) <= 1 THEN 'flat' WHEN shift > 0 THEN 'up' ELSE 'down' END AS band, (abs(8 * shift - round_even(8 * shift, 0)) < 1e-6)::INTEGER AS on_grid, count(*) AS n FROM (SELECT delta_c - delta_b AS shift FROM complete) GROUP BY 1, 2",
     "macro_average": "SELECT c_mktsegment, round(avg(m), 6) AS macro, round(sum(m * n) / sum(n), 6) AS micro, count(*) AS cells FROM (SELECT c_mktsegment, c_nationkey, avg(c_acctbal) AS m, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1",
     "cell_max": "SELECT o_orderstatus, round(max(m), 6) AS largest, arg_max(o_orderpriority, m) AS cell FROM (SELECT o_orderstatus, o_orderpriority, avg(o_totalprice) AS m FROM orders GROUP BY 1, 2) GROUP BY 1",
-    "record_integrity": "SELECT l_returnflag, count(*) AS n, count(*) FILTER (d > 1e-3) AS n_off, (max(d) <= 1e-6)::INTEGER AS tight FROM (SELECT l_returnflag, abs(l_extendedprice * (1 - l_discount) - (l_extendedprice - l_extendedprice * l_discount)) AS d FROM lineitem) GROUP BY 1",
+    "record_integrity": "SELECT source, count(*) AS n, count(*) FILTER (coalesce(abs(n_chars - length(text)) > 1e-3, TRUE)) AS n_off, max(abs(n_chars - length(text))) AS largest FROM documents GROUP BY 1",
     "probe_signs": _W + ", d AS (SELECT clause, avg(delta_none) FILTER (item % 2 = 0) AS even, avg(delta_none) FILTER (item % 2 = 1) AS odd FROM pairs WHERE delta_none IS NOT NULL GROUP BY 1) SELECT count(*) AS clauses, count(*) FILTER (sign(even) <> sign(odd)) AS flips, CASE WHEN count(*) FILTER (sign(even) <> sign(odd)) > 2 THEN 'KILL' ELSE 'PASS' END AS verdict, round(avg(abs(even - odd)), 6) AS mean_difference, round(avg((abs(even) + abs(odd)) / 4), 6) AS half_effect FROM d",
     "says_by_crossed": _W + "SELECT (CASE WHEN delta_none > 0 THEN 'says' ELSE 'denies' END) || '/' || (CASE WHEN delta_b <= 0 AND delta_c > 0 THEN 'crossed' ELSE 'stayed' END) AS cell, count(*) AS n, round(avg(delta_c - delta_b), 6) AS mean_shift FROM complete WHERE delta_none IS NOT NULL GROUP BY 1",
 }

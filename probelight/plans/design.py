@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.stats import r6
 from ..operators.dedup import change_points
 from ..operators.joins import as_of, full_comparison, missing, prior_rows, shingle_exists
+from ..operators.order import numbered
 from ..sources.tables import RUNS_SQL, load, points, runs
 
 # Fixed small tables of the replay calendar: eras (from, specs) and goals (id, since, length, status).
@@ -65,9 +66,8 @@ _E = "(SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ERAS) +
 
 def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running ids by kind, in order of the point; opt-out points share one id."""
-    p = points(spark, sf_dir)
-    number = F.row_number().over(Window.partitionBy("kind").orderBy("pid"))
-    return p.select("pid", F.when(F.col("kind") == "genesis", F.format_string("G%02d", number)).when(F.col("kind") == "probe", F.format_string("P%02d", number)).otherwise("OPTOUT1").alias("point_id"))
+    p = numbered(points(spark, sf_dir), "kind", "pid", "number")
+    return p.select("pid", F.when(F.col("kind") == "genesis", F.format_string("G%02d", "number")).when(F.col("kind") == "probe", F.format_string("P%02d", "number")).otherwise("OPTOUT1").alias("point_id"))
 
 
 def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def exists_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain the middle of a benchmark item, words 3 to 22 of it."""
     part = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 3, 20), " ")
     items = load(spark, sf_dir, "benchmark").select(part.alias("part"))
-    return shingle_exists(load(spark, sf_dir, "documents").select("doc_id", "text"), "text", items, "part", 8).select("doc_id")
+    return shingle_exists(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", items, "part", 8)
 
 
 def design_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,11 +140,11 @@ def disjoint_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def setdiff_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines that recur across sources, without those that recur within conversations."""
-    first = lambda df: F.left(F.substring_index("text", "\n", 1), F.lit(60))
-    d, c = load(spark, sf_dir, "documents"), load(spark, sf_dir, "conversations")
-    shared = d.groupBy(first(d).alias("line")).agg(F.countDistinct("source").alias("n")).where("n > 1").select("line")
-    return shared.exceptAll(shared.intersect(c.select(first(c).alias("line"))))
+    """Lines that documents share with benchmark items or conversations, without those shared with benchmark items alone."""
+    lines = lambda name: load(spark, sf_dir, name).select(F.explode(F.split("text", "\n")).alias("s")).select(F.trim("s").alias("line")).where(F.col("line") != "").distinct()
+    a, text = lines("documents"), lines("benchmark")
+    every = text.union(lines("conversations")).distinct()
+    return a.intersect(every).exceptAll(a.intersect(text))
 
 
 def sha_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,13 +190,18 @@ def schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fault_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label agreement with history before and after the labels of hashed victims are exchanged, and the shift's verdict."""
+    """Label agreement with history before and after each of six corruptions of hashed victims, and the shift's verdict."""
     joined = runs(spark, sf_dir).where("label <> 'error'").join(points(spark, sf_dir), "pid")
     victim = F.conv(F.substring(F.md5(F.col("ord").cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % 20 == 0
-    bad = F.when(victim, F.when(F.col("label") == "view", "click").otherwise("view")).otherwise(F.col("label"))
-    rate = lambda c: F.avg((c == F.col("hist")).cast("int"))
-    g = joined.groupBy("kind").agg(rate(F.col("label")).alias("a"), rate(bad).alias("b"), F.count_if(victim).alias("victims"))
-    return g.select("kind", "victims", r6(F.col("a")).alias("clean"), r6(F.col("b")).alias("faulty"), F.when(F.abs(F.col("b") - F.col("a")) > 0.02, "KILL").otherwise("PASS").alias("verdict"))
+    label, hist = F.col("label"), F.col("hist")
+    other = F.when(label == "view", "click").otherwise("view")
+    # Label exchanged, history exchanged, label blanked, row dropped, row doubled, label set to history's.
+    kinds = [("exchange", other, hist, 1), ("history", label, F.when(hist == "view", "click").otherwise("view"), 1), ("blank", F.lit(""), hist, 1), ("drop", label, hist, 0), ("double", label, hist, 2), ("copy", hist, hist, 1)]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("fault"), F.when(victim, a).otherwise(label).alias("a"), F.when(victim, b).otherwise(hist).alias("b"), F.when(victim, w).otherwise(1).alias("w")) for n, a, b, w in kinds]))
+    long = joined.select("kind", (label == hist).cast("int").alias("clean"), victim.alias("victim"), rows.alias("x")).select("kind", "clean", "victim", "x.*")
+    faulty = F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0)) / F.sum("w")
+    g = long.groupBy("kind", "fault").agg(F.avg("clean").alias("c"), faulty.alias("f"), F.count_if("victim").alias("victims"))
+    return g.select("kind", "fault", "victims", r6(F.col("c")).alias("clean"), r6(F.col("f")).alias("faulty"), F.when(F.abs(F.col("f") - F.col("c")) > 0.02, "KILL").otherwise("PASS").alias("verdict"))
 
 
 def test_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +229,7 @@ ORACLES = {
       SELECT event_id, want, coalesce(b.goals, (SELECT string_agg(id, ',' ORDER BY i) FROM g WHERE i < e.n AND status = 'active'), '') AS goals, CASE WHEN b.n IS NOT NULL THEN 'validated' ELSE 'UNVALIDATED' END AS status FROM e LEFT JOIN best b ON b.n = e.n AND b.len = e.want""",
     "point_ids": _W + "SELECT pid, CASE kind WHEN 'genesis' THEN printf('G%02d', row_number() OVER (PARTITION BY kind ORDER BY pid)) WHEN 'probe' THEN printf('P%02d', row_number() OVER (PARTITION BY kind ORDER BY pid)) ELSE 'OPTOUT1' END AS point_id FROM points",
     "resume_anti": _W + "SELECT pid, arm, rep FROM points, (SELECT unnest(['M1', 'M2']) AS arm), (SELECT unnest(range(0, 12)) AS rep) WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.pid = points.pid AND r.arm = arm.arm AND r.rep = rep.rep)".replace("arm.arm", "a.arm").replace("rep.rep", "b.rep").replace("AS arm), ", "AS arm) a, ").replace("AS rep) WHERE", "AS rep) b WHERE"),
-    "exists_substring_semi": "WITH w AS (SELECT string_split_regex(trim(text), '\\s+') AS w FROM benchmark), parts AS (SELECT DISTINCT array_to_string(w[3:22], ' ') AS part FROM w WHERE len(w[3:22]) >= 10) SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM parts WHERE contains(d.text, part))",
+    "exists_substring_semi": "WITH w AS (SELECT string_split_regex(trim(text), '\\s+') AS w FROM benchmark), parts AS (SELECT DISTINCT array_to_string(w[3:22], ' ') AS part FROM w) SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM parts WHERE contains(d.text, part))",
     "design_cross": "WITH c AS (SELECT n_nationkey AS clause, n_name AS name FROM nation), x AS (SELECT *, unnest(['AGREE', 'CONFLICT', 'none']) AS cls FROM c), i AS (SELECT *, unnest(['plain', 'mirror']) AS version FROM x) SELECT clause || '-' || cls || '-' || version AS item_id, name, left(sha256(name || '|' || cls || '|' || version), 12) AS sha FROM i",
     "cyclic_partner": "WITH n AS (SELECT n_regionkey AS r, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS k FROM nation) SELECT a.n_name, b.n_name AS partner FROM n a JOIN n b ON b.r = a.r AND b.i = (a.i + 1) % a.k",
     "per_group_numbering": "SELECT p_brand, p_type, p_name, min(p_partkey) AS first_part, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_name)::INTEGER AS number FROM part GROUP BY 1, 2, 3",
@@ -233,13 +238,18 @@ ORACLES = {
     "bow_matrix_long": f"SELECT conv_id, word, count(*) AS n FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '{_TOKENS.replace(chr(39), chr(39) * 2)}')) AS word FROM conversations) GROUP BY 1, 2",
     "final_k_words": f"SELECT role, array_to_string(w[-3:], ' ') AS ending, count(*) AS n FROM (SELECT role, regexp_extract_all(lower(text), '{_TOKENS.replace(chr(39), chr(39) * 2)}') AS w FROM conversations) WHERE len(w) > 0 GROUP BY 1, 2",
     "disjoint_strings": "WITH d AS (SELECT DISTINCT trim(s) AS s FROM (SELECT unnest(string_split(text, chr(10))) AS s FROM documents) WHERE length(trim(s)) >= 21), b AS (SELECT DISTINCT trim(s) AS s FROM (SELECT unnest(string_split(text, chr(10))) AS s FROM benchmark) WHERE length(trim(s)) >= 21), c AS (SELECT (SELECT count(*) FROM d) AS n_documents, (SELECT count(*) FROM b) AS n_benchmark, (SELECT count(*) FROM d JOIN b USING (s)) AS shared) SELECT *, CASE WHEN n_documents = 0 OR n_benchmark = 0 THEN 'no verdict' WHEN shared = 0 THEN 'disjoint' ELSE 'overlap' END AS status FROM c",
-    "setdiff_meta": "WITH s AS (SELECT left(split_part(text, chr(10), 1), 60) AS line FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1) SELECT line FROM s EXCEPT SELECT left(split_part(text, chr(10), 1), 60) FROM conversations",
+    "setdiff_meta": "WITH a AS (SELECT DISTINCT trim(unnest(string_split(text, chr(10)))) AS line FROM documents), t AS (SELECT DISTINCT trim(unnest(string_split(text, chr(10)))) AS line FROM benchmark), c AS (SELECT DISTINCT trim(unnest(string_split(text, chr(10)))) AS line FROM conversations) SELECT line FROM a WHERE line <> '' AND line IN (SELECT line FROM t UNION SELECT line FROM c) AND line NOT IN (SELECT line FROM t)",
     "sha_manifest": "WITH p AS (SELECT page_id, sha256(html) AS sha FROM pages), now AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN reverse(sha) ELSE sha END AS sha FROM p WHERE page_id % 11 <> 0 UNION ALL SELECT page_id + 10000000, sha FROM p WHERE page_id % 13 = 0) SELECT CASE WHEN n.page_id IS NULL THEN 'MISSING' WHEN p.page_id IS NULL THEN 'UNLISTED' WHEN p.sha = n.sha THEN 'ok' ELSE 'MISMATCH' END AS state, count(*) AS n, min(coalesce(p.page_id, n.page_id)) AS first FROM p FULL JOIN now n ON n.page_id = p.page_id GROUP BY 1",
     "json_schema_profile": "WITH k AS (SELECT props, unnest(json_keys(props)) AS key FROM events), v AS (SELECT key, json_extract_string(props, key) AS value FROM k) SELECT key, string_agg(DISTINCT CASE WHEN regexp_matches(value, '^-?[0-9]+$') THEN 'int' WHEN regexp_matches(value, '^-?[0-9]+\\.[0-9]+$') THEN 'float' WHEN value IN ('true', 'false') THEN 'bool' ELSE 'str' END, ',') AS types, count(*) AS n FROM v GROUP BY 1",
     "shard_coverage": "WITH s AS (SELECT user_id % 5 AS series, event_id // 250 AS shard, min(event_id) AS a, max(event_id) + 1 AS b FROM events GROUP BY 1, 2), l AS (SELECT *, lag(b) OVER (PARTITION BY series ORDER BY a) AS before FROM s) SELECT series, shard, CASE WHEN before IS NULL THEN 'first' WHEN a > before THEN 'gap' WHEN a < before THEN 'overlap' ELSE 'ok' END AS state FROM l",
     "stimulation_pattern": "WITH h AS (SELECT p_partkey, sha256('salt|' || p_partkey || '|' || p_name) AS s FROM part) SELECT p_partkey, (('0x' || s[1:2])::INTEGER % 8) AS channel, (5 + ('0x' || s[3:4])::INTEGER % 20) AS rate, (1 + ('0x' || s[5:6])::INTEGER % 4) AS seconds FROM h",
     "spike_rates": "WITH c AS (SELECT event_type, user_id % 16 AS channel, count(*) / 30.0::DOUBLE AS rate FROM events GROUP BY 1, 2) SELECT event_type, round(avg(rate), 6) AS mean_rate, count(*) FILTER (rate > 0.5) AS active, round(max(rate), 6) AS fastest FROM c GROUP BY 1",
     "schema_gate": "WITH v AS (SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'event_id' WHEN event_type NOT IN ('view', 'signup', 'click', 'purchase') THEN 'event_type' WHEN value < 1 THEN 'value' WHEN length(props) < 3 THEN 'props' END AS violation FROM events) SELECT violation, count(*) AS n, min(event_id) AS first FROM v WHERE violation IS NOT NULL GROUP BY 1",
-    "fault_injection": _W + "SELECT kind, count(*) FILTER (victim) AS victims, round(avg((label = hist)::INT), 6) AS clean, round(avg((bad = hist)::INT), 6) AS faulty, CASE WHEN abs(avg((bad = hist)::INT) - avg((label = hist)::INT)) > 0.02 THEN 'KILL' ELSE 'PASS' END AS verdict FROM (SELECT *, CASE WHEN victim THEN CASE WHEN label = 'view' THEN 'click' ELSE 'view' END ELSE label END AS bad FROM (SELECT *, ('0x' || substr(md5(ord::VARCHAR), 1, 8))::BIGINT % 20 = 0 AS victim FROM runs JOIN points USING (pid) WHERE label <> 'error')) GROUP BY 1",
+    "fault_injection": _W + """, j AS (SELECT kind, label, hist, ('0x' || substr(md5(ord::VARCHAR), 1, 8))::BIGINT % 20 = 0 AS victim FROM runs JOIN points USING (pid) WHERE label <> 'error'),
+      x AS (SELECT kind, victim, label = hist AS clean, fault, CASE WHEN victim AND fault = 'exchange' THEN CASE WHEN label = 'view' THEN 'click' ELSE 'view' END WHEN victim AND fault = 'blank' THEN '' WHEN victim AND fault = 'copy' THEN hist ELSE label END AS a,
+        CASE WHEN victim AND fault = 'history' THEN CASE WHEN hist = 'view' THEN 'click' ELSE 'view' END ELSE hist END AS b, CASE WHEN victim AND fault = 'drop' THEN 0 WHEN victim AND fault = 'double' THEN 2 ELSE 1 END AS w
+        FROM j, (SELECT unnest(['exchange', 'history', 'blank', 'drop', 'double', 'copy']) AS fault)),
+      g AS (SELECT kind, fault, count(*) FILTER (victim) AS victims, avg(clean::INT) AS c, sum(CASE WHEN a = b THEN w ELSE 0 END)::DOUBLE / sum(w) AS f FROM x GROUP BY 1, 2)
+      SELECT kind, fault, victims, round(c, 6) AS clean, round(f, 6) AS faulty, CASE WHEN abs(f - c) > 0.02 THEN 'KILL' ELSE 'PASS' END AS verdict FROM g""",
     "test_verdicts": "SELECT o_orderpriority, count(*) AS n, round(avg((o_orderstatus = 'F')::INT), 6) AS share, CASE WHEN count(*) < 10 THEN 'SKIP' WHEN avg((o_orderstatus = 'F')::INT) >= 0.5 THEN 'PASS' WHEN avg((o_orderstatus = 'F')::INT) >= 0.3 THEN 'SOFT-FLAG' ELSE 'KILL' END AS verdict FROM orders GROUP BY 1",
 }

@@ -55,11 +55,11 @@ def probe_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a document's first two words occur for the last time in its first line, by position of the word; -1 for nowhere else."""
-    words = F.split(F.substring_index("text", "\n", 1), " ")
-    d = load(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    starts = F.expr("filter(sequence(1, greatest(size(w) - 1, 1)), i -> slice(w, i, 2) = slice(w, 1, 2) AND i > 1)")
-    return d.select("doc_id", F.coalesce(F.array_max(starts), F.lit(-1)).cast("int").alias("last"))
+    """Where a document's first two words occur for the last time after its start, by position of the word, and where that span ends; -1 for nowhere else."""
+    d = load(spark, sf_dir, "documents").select("doc_id", F.split("text", r"[ \n]").alias("w"))
+    starts = F.expr("filter(sequence(2, greatest(size(w) - 1, 2)), i -> try_element_at(w, i) = w[0] AND try_element_at(w, i + 1) = w[1])")
+    last = F.coalesce(F.array_max(F.when(F.size("w") >= 3, starts)), F.lit(-1))
+    return d.select("doc_id", last.cast("int").alias("last"), F.when(last > 0, last + 2).otherwise(-1).cast("int").alias("end"))
 
 
 def length_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys on one side only, of items with rows and items with an entry, and keys with more than one row."""
     rows = pair_rows(spark, sf_dir).groupBy("item", "cond").agg(F.count(F.lit(1)).alias("n"))
-    items = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"))
+    items = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"))
     have = rows.groupBy("item").agg(F.count_if(F.col("n") > 1).alias("twice"))
     both = items.withColumn("listed", F.lit(True)).join(have.withColumn("seen", F.lit(True)), "item", "full_outer")
     return both.groupBy(F.when(F.col("listed").isNull(), "orphan").when(F.col("seen").isNull(), "no rows").otherwise("ok").alias("state")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("twice"), F.lit(0)).alias("twice"))
@@ -126,10 +126,10 @@ ORACLES = {
     "pushed_words": _W + "SELECT clause, CASE WHEN item % 2 = (item // 2) % 2 THEN 'own' ELSE 'other' END AS word, count(*) AS n, round(avg(delta_c - delta_none), 6) AS effect FROM pairs WHERE delta_c IS NOT NULL AND delta_none < -3 GROUP BY 1, 2",
     "signed_union": _W + "SELECT split, count(*) AS n, round(2 * avg(CASE WHEN item % 2 = 1 THEN delta_c - delta_b ELSE delta_b - delta_c END), 6) AS contrast FROM complete GROUP BY 1",
     "probe_items": _W + ", f AS (SELECT clause, item, row_number() OVER (PARTITION BY clause ORDER BY item) AS k FROM complete QUALIFY k <= 2), p AS (SELECT 'T16' AS test, clause, item, v.variant::INTEGER AS variant, c.cond FROM f, (SELECT unnest(range(0, 3)) AS variant) v, (SELECT unnest(['B', 'C', 'none']) AS cond) c UNION ALL SELECT t.test, clause, item, 0, c.cond FROM f, (SELECT unnest(['T17', 'T18']) AS test) t, (SELECT unnest(['B', 'C']) AS cond) c WHERE k = 1) SELECT *, test || '-' || item || '-' || variant || '-' || cond AS probe_id FROM p",
-    "last_containment": "WITH w AS (SELECT doc_id, string_split(split_part(text, chr(10), 1), ' ') AS w FROM documents) SELECT doc_id, coalesce(list_max([i FOR i IN range(2, len(w)) IF w[i:i+1] = w[1:2]]), -1)::INTEGER AS last FROM w",
+    "last_containment": "WITH w AS (SELECT doc_id, string_split_regex(text, '[ \\n]') AS w FROM documents), l AS (SELECT doc_id, coalesce(list_max([i FOR i IN range(2, len(w)) IF w[i] = w[1] AND w[i+1] = w[2]]), -1)::INTEGER AS last FROM w) SELECT doc_id, last, CASE WHEN last > 0 THEN last + 2 ELSE -1 END::INTEGER AS end FROM l",
     "length_baseline": f"WITH {_TURNS}, s AS (SELECT conv_id, CASE WHEN lb > la THEN 1.0 WHEN lb = la THEN 0.5 ELSE 0.0 END::DOUBLE AS win FROM turns WHERE la IS NOT NULL AND lb IS NOT NULL), g AS (SELECT count(*) AS n, avg(win) FILTER (conv_id % 3 = 0) AS dev, avg(win) FILTER (conv_id % 3 <> 0) AS test FROM s) SELECT n, CASE WHEN dev >= 0.5 THEN 'longer' ELSE 'shorter' END AS sign, round(CASE WHEN dev >= 0.5 THEN test ELSE 1 - test END, 6) AS accuracy FROM g",
     "length_matched": "WITH c AS (SELECT role, length(text) AS n, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT role, count(*) AS n, count(*) FILTER (abs(n - before) * 10 <= before) AS matched, round(avg(n - before) FILTER (abs(n - before) * 10 <= before), 6) AS mean_difference FROM c WHERE before IS NOT NULL GROUP BY 1",
     "seed_stability": _W + ", cells AS (SELECT sum(delta_c - delta_b) AS s, count(*) AS n, row_number() OVER (ORDER BY clause) - 1 AS i, count(*) OVER () AS k FROM complete GROUP BY clause), picks AS (SELECT seed, b, ('0x' || substr(md5(seed || ':' || b || ':' || i), 1, 8))::BIGINT % k AS i FROM cells, (SELECT unnest(range(0, 4)) AS seed), (SELECT unnest(range(0, 60)) AS b)), means AS (SELECT seed, b, sum(s) / sum(n) AS m FROM picks JOIN cells USING (i) GROUP BY 1, 2), bounds AS (SELECT seed, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY 1), z AS (SELECT * FROM bounds WHERE seed = 0) SELECT round(max(greatest(abs(b.low - z.low), abs(b.high - z.high))), 6) AS largest_move FROM bounds b, z",
     "kappa": "WITH e AS (SELECT user_id % 3 AS grp, event_type AS y, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS x FROM events), f AS (SELECT * FROM e WHERE x IS NOT NULL), g AS (SELECT grp, count(*) AS n, count(*) FILTER (x = y) AS same FROM f GROUP BY 1), a AS (SELECT grp, x AS v, count(*) AS a FROM f GROUP BY 1, 2), b AS (SELECT grp, y AS v, count(*) AS b FROM f GROUP BY 1, 2), c AS (SELECT a.grp, sum(a * b) AS ab FROM a JOIN b ON a.grp = b.grp AND a.v = b.v GROUP BY 1), k AS (SELECT grp, n, same / n AS p, ab / n / n AS pe, 1.959963984540054::DOUBLE AS z FROM g JOIN c USING (grp)) SELECT grp, n, round((p - pe) / (1 - pe), 6) AS kappa, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high FROM k",
-    "orphan_rows": "WITH r AS (SELECT DISTINCT l_partkey AS item FROM lineitem WHERE l_linenumber = 1 AND l_partkey IN (SELECT p_partkey FROM part)) SELECT CASE WHEN p.p_partkey IS NULL THEN 'orphan' WHEN r.item IS NULL THEN 'no rows' ELSE 'ok' END AS state, count(*) AS n, 0::BIGINT AS twice FROM part p FULL JOIN r ON r.item = p.p_partkey GROUP BY 1",
+    "orphan_rows": "WITH r AS (SELECT DISTINCT l_orderkey AS item FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) SELECT CASE WHEN o.o_orderkey IS NULL THEN 'orphan' WHEN r.item IS NULL THEN 'no rows' ELSE 'ok' END AS state, count(*) AS n, 0::BIGINT AS twice FROM orders o FULL JOIN r ON r.item = o.o_orderkey GROUP BY 1",
 }

@@ -67,13 +67,17 @@ def loso_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("span").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("margin")).alias("mean_margin"), F.count_if(F.col("margin") > 0).alias("wins"))
 
 
-def grid_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices of eight dimensions as layers: fit on three quarters of the spans, order by accuracy on the rest, then layer."""
+def layer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of eight dimensions as layers: fitted on three quarters of the spans, accuracy on the rest."""
     p = vector_pairs(spark, sf_dir)
     layers = p.select("pair", (F.col("span") % 4 == 0).alias("dev"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct(k.alias("layer"), F.slice("diff", k * 8 + 1, 8).alias("v")))).alias("x")).select("pair", "dev", "x.layer", "x.v")
     fitted = group_sum(layers.where("not dev"), ["layer"], "v", "total").select("layer", unit(F.col("total")).alias("u"))
-    judged = layers.where("dev").join(fitted, "layer").withColumn("m", dot(F.col("v"), F.col("u"))).groupBy("layer").agg(F.avg((F.col("m") > 0).cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
-    return judged.select("layer", "n", r6(F.col("accuracy")).alias("accuracy")).orderBy(F.desc("accuracy"), "layer").limit(10)
+    return layers.where("dev").join(fitted, "layer").withColumn("m", dot(F.col("v"), F.col("u"))).groupBy("layer").agg(F.avg((F.col("m") > 0).cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def grid_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers by accuracy, then in their order."""
+    return layer_accuracy(spark, sf_dir).select("layer", "n", r6(F.col("accuracy")).alias("accuracy")).orderBy(F.desc("accuracy"), "layer").limit(10)
 
 
 def cosine_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +122,11 @@ def _left_out_sql(by: str) -> str:
       scaled AS (SELECT {by}, d, s / sqrt(sum(s * s) OVER (PARTITION BY {by})) AS x FROM rest), margins AS (SELECT a.pair, a.{by}, sum(a.x * s.x) AS margin FROM dims a JOIN scaled s ON s.{by} = a.{by} AND s.d = a.d GROUP BY 1, 2)"""
 
 
+def layer_sql() -> str:
+    return _W + """, l AS (SELECT pair, span % 4 = 0 AS dev, (d - 1) // 8 AS layer, d, x FROM dims), f AS (SELECT layer, d, sum(x) AS s FROM l WHERE NOT dev GROUP BY 1, 2),
+      m AS (SELECT l.layer, pair, sum(l.x * f.s) AS m FROM l JOIN f ON f.layer = l.layer AND f.d = l.d WHERE dev GROUP BY 1, 2), per AS (SELECT layer::INTEGER AS layer, avg((m > 0)::INT) AS accuracy FROM m GROUP BY 1)"""
+
+
 _LOCO = _left_out_sql("clause") + ", per AS (SELECT clause, count(*) AS n, round(avg(CASE WHEN margin > 0 THEN 1.0 WHEN margin = 0 THEN 0.5 ELSE 0.0 END), 6) AS accuracy, round(avg(margin), 6) AS mean_margin FROM margins GROUP BY 1)"
 ORACLES = {
     "similarity_topk": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings) SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT q.id AS query_id, s.id, list_cosine_similarity(q.vec, s.vec) AS score, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.vec, s.vec) DESC, s.id)::INTEGER AS rank FROM v q JOIN v s ON s.id < q.id WHERE q.id % 10 = 0 AND list_cosine_similarity(q.vec, s.vec) >= 0.25) WHERE rank <= 5",

@@ -17,10 +17,14 @@ from pyspark.sql.window import Window
 def numbered_lines(spark: SparkSession, path: str, lenient: bool = True) -> DataFrame:
     """file, ord (line number in its file, from 1) and value of every line.
 
-    Order within a file needs the file whole, so this is for logs of bounded files; Parquet logs bring an id column.
+    Files are read in splits, side by side. Rows of a split stand in order in their task, so a line's number is its
+    place in the split and the number of lines in the splits before it, which are counted first: a row for each split.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("ord", "value")).withColumn("ord", F.col("ord") + 1)
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    spans = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = spans.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    lines = rows.join(shifts, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("ord"), "value")
     return lines.where(F.trim("value") != "") if lenient else lines
 
 
@@ -31,9 +35,6 @@ def jsonl(spark: SparkSession, path: str, schema: str, bad: str = "keep-null") -
     the first malformed line and on an empty input, 'strict' also at blank lines and values that are no object.
     """
     lines = numbered_lines(spark, path, lenient=bad != "strict")
-    if bad == "strict":  # the newline at a file's end makes no line
-        last = F.max("ord").over(Window.partitionBy("file"))
-        lines = lines.withColumn("_last", last).where(~((F.col("ord") == F.col("_last")) & (F.col("value") == ""))).drop("_last")
     parsed = lines.withColumn("_v", F.try_parse_json("value"))
     kind = F.schema_of_variant("_v")
     good = F.col("_v").isNotNull() & kind.startswith("OBJECT")
@@ -46,6 +47,11 @@ def jsonl(spark: SparkSession, path: str, schema: str, bad: str = "keep-null") -
     return parsed.withColumn("_r", F.from_json("value", schema)).select("file", "ord", "_r.*")
 
 
+def ordered_shards(spark: SparkSession, pattern: str, schema: str, by: str = "start") -> DataFrame:
+    """The records of all shard files that the pattern names, in the order of a column."""
+    return spark.read.schema(schema).json(pattern).orderBy(by)
+
+
 def last_by_key(df: DataFrame, key: str, order: tuple[str, ...] = ("file", "ord")) -> DataFrame:
     """The last record of each key."""
     rest = [c for c in df.columns if c != key]

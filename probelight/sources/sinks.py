@@ -25,6 +25,18 @@ def append_missing(rows: DataFrame, path: str, keys: list[str], schema: str) ->
     return n
 
 
+def append_result(results: DataFrame, path: str) -> None:
+    """The rows of a finished test, added at once, so that what ran before a fault is kept; its columns: id, status, numbers."""
+    results.select("id", "status", F.to_json(F.struct(*[c for c in results.columns if c not in ("id", "status")])).alias("numbers")).write.mode("append").parquet(path)
+
+
+def inspection(df: DataFrame, order: str, most: int = 20, chars: int = 80) -> str:
+    """The first rows by a column as text for the console, values cut."""
+    rows = df.orderBy(order).limit(most).collect()  # a look, not a result
+    cut = lambda v: str(v) if len(str(v)) <= chars else str(v)[: chars - 3] + "..."
+    return "\n".join(" | ".join(f"{c}={cut(r[c])}" for c in df.columns) for r in rows)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Flags as 0 and 1, a header, one format on every machine."""
     flags = {c: F.col(c).cast("int") for c, kind in df.dtypes if kind == "boolean"}
@@ -57,6 +69,11 @@ def markdown_table(df: DataFrame, most: int = 1000) -> str:
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError("a report table is for aggregated results")
-    show = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    show = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows])
+
+
+def markdown_report(title: str, sections: list[tuple[str, DataFrame]]) -> str:
+    """A report: a table under each heading."""
+    return "\n\n".join([f"# {title}", *(f"## {name}\n\n{markdown_table(df)}" for name, df in sections)]) + "\n"

@@ -37,17 +37,22 @@ RUNS_SQL = """runs AS (
 
 
 def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The paired study, long: item, cond (B, C, none), delta, clause, family, split, span_key."""
-    line, part = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "part")
+    """The paired study, long: item (an order), cond (B, C, none) by its lines' flags, delta, clause, family, split, span_key."""
+    line, order = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders")
     cond = F.when(F.col("l_returnflag") == "A", "B").when(F.col("l_returnflag") == "R", "C").otherwise("none")
-    rows = line.where("l_linenumber = 1").groupBy(F.col("l_partkey").alias("item"), cond.alias("cond")).agg((F.avg("l_quantity") - 25).alias("delta"))
-    tenth = F.col("p_partkey") % 10
-    about = part.select(
-        F.col("p_partkey").alias("item"), F.col("p_brand").alias("clause"), F.col("p_type").alias("family"),
+    rows = line.groupBy(F.col("l_orderkey").alias("item"), cond.alias("cond")).agg((F.avg("l_quantity") - 25).alias("delta"))
+    return rows.join(study_items(order), "item")
+
+
+def study_items(order: DataFrame) -> DataFrame:
+    """item, clause, family, split and span_key of every order."""
+    tenth = F.col("o_orderkey") % 10
+    clause = F.concat(F.substring("o_orderpriority", 1, 1), F.lit("#"), (F.col("o_custkey") % 5).cast("string"))
+    return order.select(
+        F.col("o_orderkey").alias("item"), clause.alias("clause"), F.concat_ws("-", "o_orderstatus", (F.col("o_custkey") % 3).cast("string")).alias("family"),
         F.when(tenth <= 5, "train").when(tenth <= 7, "dev").otherwise("test").alias("split"),
-        F.concat_ws("|", "p_brand", (F.col("p_size") % 6).cast("string")).alias("span_key"),
+        F.concat_ws("|", clause, (F.col("o_custkey") % 6).cast("string")).alias("span_key"),
     )
-    return rows.join(about, "item")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,14 +63,14 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS_SQL = """rows_long AS (
-  SELECT l_partkey AS item, CASE l_returnflag WHEN 'A' THEN 'B' WHEN 'R' THEN 'C' ELSE 'none' END AS cond, avg(l_quantity) - 25 AS delta
-  FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2
+  SELECT l_orderkey AS item, CASE l_returnflag WHEN 'A' THEN 'B' WHEN 'R' THEN 'C' ELSE 'none' END AS cond, avg(l_quantity) - 25 AS delta
+  FROM lineitem GROUP BY 1, 2
 ), pairs AS (
-  SELECT p_partkey AS item, p_brand AS clause, p_type AS family,
-    CASE WHEN p_partkey % 10 <= 5 THEN 'train' WHEN p_partkey % 10 <= 7 THEN 'dev' ELSE 'test' END AS split,
-    p_brand || '|' || (p_size % 6) AS span_key,
+  SELECT o_orderkey AS item, left(o_orderpriority, 1) || '#' || (o_custkey % 5) AS clause, o_orderstatus || '-' || (o_custkey % 3) AS family,
+    CASE WHEN o_orderkey % 10 <= 5 THEN 'train' WHEN o_orderkey % 10 <= 7 THEN 'dev' ELSE 'test' END AS split,
+    left(o_orderpriority, 1) || '#' || (o_custkey % 5) || '|' || (o_custkey % 6) AS span_key,
     max(delta) FILTER (cond = 'B') AS delta_b, max(delta) FILTER (cond = 'C') AS delta_c, max(delta) FILTER (cond = 'none') AS delta_none
-  FROM rows_long JOIN part ON p_partkey = item GROUP BY 1, 2, 3, 4, 5
+  FROM rows_long JOIN orders ON o_orderkey = item GROUP BY 1, 2, 3, 4, 5
 ), complete AS (SELECT * FROM pairs WHERE delta_b IS NOT NULL AND delta_c IS NOT NULL)"""
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from probelight.functions import labels as L
 from probelight.functions.stats import binomial_p, safe_corr
-from probelight.operators import dedup
+from probelight.operators import dedup, guards, joins, order
 from probelight.operators.joins import as_of, full_comparison
 from probelight.sources import readers, sinks
 
@@ -129,3 +129,63 @@ def test_binomial_and_guarded_correlation(spark):
     df = spark.createDataFrame([("flat", 1.0, 1.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0), ("ok", 1.0, 2.0), ("ok", 2.0, 4.0), ("ok", 3.0, 6.0), ("few", 1.0, 1.0)], "g string, x double, y double")
     got = {r.g: r.c for r in df.groupBy("g").agg(safe_corr(F.col("x"), F.col("y")).alias("c")).collect()}
     assert got["flat"] is None and got["few"] is None and abs(got["ok"] - 1) < 1e-12
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """A file read in many splits has the numbers that its lines have in order, blank ones counted."""
+    lines = [f"line {i} " + "x" * (i % 50) if i % 7 else "" for i in range(1, 3001)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("one\ntwo")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = readers.numbered_lines(spark, str(tmp_path / "*.txt"), lenient=False).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    found = {(r.file[-5], r.ord): r.value for r in rows}
+    assert found == {("a", i + 1): v for i, v in enumerate(lines)} | {("b", 1): "one", ("b", 2): "two"}
+
+
+def test_shards_results_and_reports(spark, tmp_path):
+    for start in (200, 0, 100):
+        (tmp_path / f"shard_{start}.json").write_text(f'{{"start": {start}, "end": {start + 100}, "seed": 7}}\n')
+    shards = readers.ordered_shards(spark, str(tmp_path / "shard_*.json"), "start int, end int, seed int").collect()
+    assert [r.start for r in shards] == [0, 100, 200]
+    for name in ("T1", "T2"):
+        sinks.append_result(spark.createDataFrame([(name, "PASS", 0.5)], "id string, status string, share double"), str(tmp_path / "results"))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "results")).collect()) == [("T1", "PASS", '{"share":0.5}'), ("T2", "PASS", '{"share":0.5}')]
+    df = spark.createDataFrame([(2, "b" * 200), (1, "a|a")], "k int, v string")
+    assert sinks.inspection(df, "k").splitlines()[0] == "k=1 | v=a|a" and sinks.inspection(df, "k").endswith("...")
+    report = sinks.markdown_report("Study", [("First", df.limit(1)), ("Second", df)])
+    assert report.startswith("# Study\n\n## First") and "a\\|a" in report
+
+
+def test_substrings_short_long_and_empty(spark):
+    """Against a plain search, for parts of all lengths; an empty part is in every text."""
+    texts = [(i, t) for i, t in enumerate(["the quick brown fox jumps over the lazy dog near the river bank today", "quick", "", "a b", "xa by", None, "the quick  brown fox jumps over the lazy dog near the river bank today"])]
+    df = spark.createDataFrame(texts, "id long, t string")
+    for parts in (["quick", "a b"], ["ick brown fox jumps over the lazy dog near the river ba"], ["zzz"], [""], [], ["b", "quick  brown"]):
+        p = spark.createDataFrame([(x,) for x in parts], "p string")
+        want = {i for i, t in texts if t is not None and any(x in t for x in parts)}
+        assert {r.id for r in joins.contains_any(df, "id", "t", p, "p").collect()} == want
+        assert {r.id for r in joins.shingle_exists(df, "id", "t", p, "p", 3).collect()} == want
+
+
+def test_guards(spark):
+    df = spark.createDataFrame([("train", 1), ("test", 2)], "split string, k int")
+    assert guards.open_splits(df, "explore").count() == 1 and guards.open_splits(df, "confirm").count() == 2
+    digest = lambda d: guards.rows_digest(d, ["split"], ["k"]).collect()
+    assert digest(df) == digest(df.orderBy("k")) and digest(df) != digest(df.withColumn("k", F.lit(1)))
+    with pytest.raises(ValueError):
+        guards.require_open(spark.createDataFrame([("a", "rows changed")], "c string, state string"), "state")
+    rows, lookup = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, 0.5)], "k int, base double")
+    with pytest.raises(Exception, match="no base for 2"):
+        joins.required(rows, lookup, ["k"], "base").collect()
+    assert joins.required(rows.where("k = 1"), lookup, ["k"], "base").first().base == 0.5
+
+
+def test_numbers_by_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), (F.col("id") % 2).alias("g")).repartition(5)
+    assert {(r.k, r.n) for r in order.numbered(df, None, "k", "n").collect()} == {(i, i + 1) for i in range(1000)}
+    one = sorted((r.k, r.n) for r in order.numbered(df, "g", "k", "n").where("g = 1").collect())
+    assert [n for _, n in one] == list(range(1, 501))
