@@ -6,11 +6,14 @@ host's winning paths, in their order; a page that has none of them falls back on
 
 A container inside an article (or else a main) element stands for that element. Menus, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts and styles are left out wherever they are; headings inside an article's
-header stay. Character references are decoded, white space within a block is one space, blocks are lines.
+header stay. A class or id leaves its part out only if the whole name says so: 'share-buttons' does, 'share-price'
+does not; and if such names would leave out the whole page, they are not heeded. Text of formulas stays, drawings go.
+Character references are decoded, white space within a block is one space, blocks are lines.
 
 Cases: a null or empty html has no text; a null or odd url belongs to the host ''; unclosed and stray tags are read
-as browsers do, roughly; pages of any length are read whole; repeated rows give repeated rows; an empty table gives
-an empty table.
+as browsers do, roughly; pages of any length are read whole; repeated rows give repeated rows; other columns, also
+those named text, n_chars or paths, are ignored; of paths with equal votes and worth the first by name stands first;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,23 +26,29 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialize, small_batches
 
-PATHS_PER_HOST = 5
+# A path stands for its host if it has this share of the host's votes: at most a hundred paths do.
+LEAST_SHARE = 0.01
 
 # Fixed lists of names.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe textarea select option title head math object canvas video audio map".split())
+RAW = frozenset("script style noscript iframe textarea title head".split())
+HIDDEN = frozenset("template svg object canvas video audio map select option datalist".split())
+FOREIGN = frozenset("svg math".split())
 LEFT_OUT = frozenset("nav footer aside form button menu dialog label fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKS = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs footer sidebar aside rail masthead topbar toolbar ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond replies reply pagination pager widget search skip tracking".split()
 )
+# Words that say nothing of what a part is about: a name of marks and these alone marks its part.
+PLAIN = frozenset(
+    "box list block container wrapper wrap section area button buttons link links bar panel form post posts article articles item items content contents inner outer slot unit top bottom left right header title icon icons widget body group row col column text main site page global js u".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body html article section main div aside nav footer header form blockquote".split())
@@ -55,6 +64,9 @@ class Node:
     path: str
     parent: Node | None
     out: bool  # left out, or inside something that is
+    article: Node | None = None  # the outermost article, or main, around it
+    main: Node | None = None
+    headed: bool = False  # inside a heading
     inline: bool = False
     heading_only: bool = False
     score: int = 0
@@ -65,15 +77,21 @@ class Node:
 class Page:
     nodes: list[Node]
     blocks: list[tuple[str, Node, bool]]  # text, container, heading
+    source: str = ""
+    marks: bool = True
 
-    def within(self, node: Node) -> list[str]:
-        """The texts of the blocks under a node, in page order."""
+    def within(self, chosen: list[Node]) -> list[str]:
+        """The texts of the blocks under any of the nodes, in page order; every node is looked at once."""
+        inside: dict[int, bool] = {id(n): True for n in chosen}
         found = []
         for text, at, _ in self.blocks:
-            above: Node | None = at
-            while above is not None and above is not node:
+            way, above = [], at
+            while above is not None and id(above) not in inside:
+                way.append(id(above))
                 above = above.parent
-            if above is not None:
+            held = above is not None and inside[id(above)]
+            inside.update(dict.fromkeys(way, held))
+            if held:
                 found.append(text)
         return found
 
@@ -91,21 +109,34 @@ def _attributes(source: str) -> tuple[list[str], set[str], str, bool]:
         else:
             if name == "class":
                 classes = value.split()
-            names.update(w.lower() for w in _WORD.findall(value))
+            names.update(value.split())
     return classes, names, role, hidden
 
 
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(name)]
+
+
+def _marked(names: set[str]) -> bool:
+    """Whether a class or id, taken whole, says that its part is no article text: 'share-buttons' does, 'share-price' does not."""
+    for name in names:
+        words = _words(name)
+        if any(w in MARKS for w in words) and all(w in MARKS or w in PLAIN for w in words):
+            return True
+    return False
+
+
 def _general(tag: str, classes: list[str]) -> str:
     kept = sorted({re.sub(r"\d+", "", c) for c in classes} - {""})
-    return ".".join([tag, *kept[:4]])
+    return ".".join([tag, *kept])
 
 
-def parse(source: str) -> Page:
+def parse(source: str, marks: bool = True) -> Page:
+    """The page's containers and blocks of text; with marks=False names of classes and ids leave nothing out."""
     root = Node("", "", None, False)
-    page = Page([root], [])
+    page = Page([root], [], source, marks)
     node, buffer, linked = root, [], 0
     links = 0
-    heading: Node | None = None
 
     def flush() -> None:
         nonlocal buffer, linked
@@ -116,7 +147,7 @@ def parse(source: str) -> Page:
                 at = at.parent
             page.blocks.append((text, at, at.tag in HEADINGS))
             # Prose counts for the block's container, by half for the one above.
-            worth = max(0, len(text) - 2 * linked) * (1 if at.tag in BLOCKS else 1)
+            worth = max(0, len(text) - 2 * linked)
             holder = at.parent if at.tag in ("p", "pre", "li", "blockquote", "td", *HEADINGS) and at.parent is not None else at
             holder.score += 2 * worth
             if holder.parent is not None:
@@ -125,7 +156,7 @@ def parse(source: str) -> Page:
 
     def text(piece: str) -> None:
         nonlocal linked
-        if piece and not node.out and not (node.heading_only and not _in_heading(node)):
+        if piece and not node.out and not (node.heading_only and not node.headed):
             piece = unescape(piece) if "&" in piece else piece
             buffer.append(piece)
             if links:
@@ -180,10 +211,15 @@ def parse(source: str) -> Page:
             links += 1
         block = tag in BLOCKS
         if block:
+            above = node  # drawings and formulas end where a block begins
+            while above.inline:
+                if above.tag in FOREIGN:
+                    node = above.parent
+                above = above.parent
             flush()
             links = 0 if tag != "a" else links
             shut = node
-            while shut.inline:
+            while shut.inline and shut.tag not in HIDDEN:  # what is hidden closes nothing around it
                 shut = shut.parent
             if shut.tag == "p" or (shut.tag in HEADINGS and tag in HEADINGS):
                 close(shut)
@@ -194,50 +230,42 @@ def parse(source: str) -> Page:
                 if above is not None and above.tag in CLOSES[tag]:
                     close(above)
         classes, names, role, hidden = _attributes(m[3]) if m[3] else ([], set(), "", False)
-        gone = tag in LEFT_OUT or hidden or bool(names & MARKS and tag not in ("html", "body", "article", "main")) or role in ROLES
-        header = tag == "header" or ("header" in names and block and tag not in ("article", "main", "body", "html", *HEADINGS))
-        inside = header and _ancestor(node, "article") is not None
+        whole = tag in ("html", "body", "article", "main")
+        gone = tag in LEFT_OUT or tag in HIDDEN or hidden or role in ROLES or bool(marks and not whole and names and _marked(names))
+        header = tag == "header" or (block and not whole and tag not in HEADINGS and any(_words(n)[-1:] == ["header"] for n in names))
+        inside = header and node.article is not None
+        if m[3].endswith("/") and tag in FOREIGN:
+            continue
         if block:
             path = f"{node.path}/{_general(tag, classes)}" if not node.inline else node.path
-            node = Node(tag, path, node, node.out or gone or (header and not inside), heading_only=node.heading_only or inside)
+            own = Node(tag, path, node, node.out or gone or (header and not inside), node.article, node.main, node.headed or tag in HEADINGS, heading_only=node.heading_only or inside)
+            own.article = own.article or (own if tag == "article" else None)
+            own.main = own.main or (own if tag == "main" else None)
+            node = own
             page.nodes.append(node)
-        elif gone or (node.inline and node.tag == tag):
-            node = Node(tag, node.path, node, node.out or gone, inline=True, heading_only=node.heading_only)
+        elif gone or tag in FOREIGN or (node.inline and node.tag == tag):
+            node = Node(tag, node.path, node, node.out or gone, node.article, node.main, node.headed, inline=True, heading_only=node.heading_only)
     flush()
     return page
 
 
-def _in_heading(node: Node | None) -> bool:
-    while node is not None and node.tag not in HEADINGS:
-        node = node.parent
-    return node is not None
-
-
-def _ancestor(node: Node | None, tag: str) -> Node | None:
-    """The outermost element of that name, the node itself included."""
-    found = None
-    while node is not None:
-        if node.tag == tag:
-            found = node
-        node = node.parent
-    return found
-
-
 def best_container(page: Page) -> Node:
     best = max(page.nodes, key=lambda n: n.score)  # the first of equals
-    return _ancestor(best, "article") or _ancestor(best, "main") or best
+    return best.article or best.main or best
 
 
 def extract(page: Page, paths: list[str] | None) -> str:
     """The text under the first of the paths that has any on this page, or else under the page's best container."""
     for path in paths or ():
         chosen = [n for n in page.nodes if n.path == path and not n.out]
-        lines = [line for n in chosen for line in page.within(n)] if chosen else []
+        lines = page.within(chosen) if chosen else []
         if lines:
             break
     else:
         chosen = [best_container(page)]
-        lines = page.within(chosen[0])
+        lines = page.within(chosen)
+    if not lines and not page.blocks and page.marks and page.source:
+        return extract(parse(page.source, marks=False), paths)  # a name round the whole page left everything out
     titles = [i for i, (_, n, _) in enumerate(page.blocks) if n.tag == "h1"]
     if len(titles) == 1 and lines and page.blocks[titles[0]][0] not in lines:
         first = next(i for i, (t, _, _) in enumerate(page.blocks) if t == lines[0])
@@ -251,23 +279,27 @@ def host(url):
 
 
 def vote(pages: DataFrame) -> DataFrame:
-    """host, paths: the paths with most votes on each host, best first."""
+    """host, paths: the paths with LEAST_SHARE of the votes of their host, best first."""
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, worth = [], []
             for source in batch.column(1).to_pylist():
-                best = best_container(parse(source)) if source else None
+                page = parse(source) if source else None
+                if page is not None and not page.blocks:
+                    page = parse(source, marks=False)
+                best = best_container(page) if page is not None else None
                 paths.append(best.path if best is not None and best.path else None)
                 worth.append(best.score if best is not None else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(worth, pa.int64())], ["host", "path", "worth"])
 
     ballots = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, worth long")
     counted = ballots.where("path is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("worth").alias("worth"))
-    order = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("worth"), "path")
-    top = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PATHS_PER_HOST)
-    return top.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("_p")).select("host", F.col("_p.path").alias("paths"))
+    cast = counted.groupBy("host").agg(F.sum("votes").alias("cast"))
+    top = counted.join(cast, "host").where(F.col("votes") >= F.col("cast") * LEAST_SHARE)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("worth")).alias("w"), "path")))
+    return top.groupBy("host").agg(ranked.alias("_p")).select("host", F.col("_p.path").alias("paths"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import time
+from html.parser import HTMLParser
+
 from pyspark.sql import functions as F
 
 from probelight.llm import html_text, queries
@@ -31,3 +34,93 @@ def test_pages_table(spark, sf_dir):
     rows = queries.op7_html_host_paths(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
     assert all(r.n_chars == len(r.text) > 0 and "<" not in r.text and "©" not in r.text for r in rows)
+
+
+def text_of(html):
+    return html_text.extract(html_text.parse(html), None)
+
+
+def test_names_are_read_whole():
+    """Parts of the article stay though one word of their class is that of a menu; marked parts go."""
+    page = """<article><h1>T</h1><p>One plain paragraph of the article, long enough.</p><p class="share-price">The price rose.</p><div class="related-work"><p>Others did this before.</p></div>
+    <div class="share-buttons">Tweet</div><div id="related-posts">More to read</div><p class="comment-list">no</p><p class="ad">buy</p><p>End.</p></article>"""
+    assert text_of(page) == "T\nOne plain paragraph of the article, long enough.\nThe price rose.\nOthers did this before.\nEnd."
+
+
+def test_wrappers_do_not_take_their_article():
+    inner = "<article><p>The story of the page, with some words in it.</p></article>"
+    for name in ("has-sidebar", "search-results-page", "layout no-comments-page"):
+        assert text_of(f'<div class="{name}">{inner}</div>') == "The story of the page, with some words in it."
+    assert text_of(f'<div id="sidebar">{inner}</div>') == "The story of the page, with some words in it."
+
+
+def test_formulas_drawings_and_what_is_left_open():
+    assert text_of("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></article>") == "Let x=1 be."
+    assert text_of("<article><p>a <svg><title>no</title><text>no</text></svg>b</p><p>c</p></article>") == "a b\nc"
+    assert text_of("<article><p>a <svg><text>no</p><p>b</p></article>") == "a\nb"
+    assert text_of("<article><div>a <svg><text>no<p>b</p></div><p>c</p></article>") == "a\nb\nc"
+    assert text_of("<article><p>a<select><option>no</select> b <noscript><p>no</p></noscript></p><video>no</video><p>c</p></article>") == "a b\nc"
+
+
+def test_time_is_linear_in_the_page():
+    took = []
+    for n in (4000, 16000):
+        page = "<body>" + "".join(f'<div class="row"><p>Text of row {i}.</p></div>' for i in range(n)) + "</body>"
+        paths = ["/body/div.row"]
+        start = time.process_time()
+        assert html_text.extract(html_text.parse(page), paths).count("\n") == n - 1
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.2
+
+
+class Slow(HTMLParser):
+    """The article's blocks by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.lines, self.line, self.on, self.off = [], "", 0, 0
+
+    def cut(self):
+        if self.line.split():
+            self.lines.append(" ".join(self.line.split()))
+        self.line = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "form", "nav", "aside", "footer"):
+            self.off += 1
+        if tag == "article":
+            self.on += 1
+        if tag in html_text.BLOCKS:
+            self.cut()
+        if tag == "br":
+            self.line += " "
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCKS:
+            self.cut()
+        if tag in ("script", "style", "form", "nav", "aside", "footer") and self.off:
+            self.off -= 1
+        if tag == "article":
+            self.on -= 1
+
+    def handle_data(self, data):
+        if self.on and not self.off:
+            self.line += data
+
+
+def test_query_against_a_slow_parser(spark, sf_dir):
+    """Over the whole table: where a page's article holds no part that goes, both give the same text."""
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in queries.op7_html_host_paths(spark, sf_dir).collect()}
+    assert set(got) == set(pages)
+    compared = 0
+    for i, html in pages.items():
+        body = html[html.find("<article") : html.find("</article>")] if html and "<article" in html else None
+        if body is None or any(x in body for x in ("<nav", "<aside", "<form", "<footer", "class=", "id=", "<script", "<header", "hidden")):
+            continue
+        slow = Slow()
+        slow.feed(html)
+        slow.cut()
+        assert got[i] == "\n".join(slow.lines), i
+        compared += 1
+    assert compared > 0.5 * len(pages)
