@@ -1,6 +1,7 @@
 import math
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from probelight.llm import queries, topk
@@ -22,3 +23,27 @@ def test_invalid_ties_lengths_and_few(spark):
 
 def test_empty_table(spark):
     assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 0
+
+
+def test_whole_tiles_are_passed_over(spark, monkeypatch):
+    """Clustered vectors in small blocks: results are those of all pairs, and most pairs of blocks never meet."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 2)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        v = rng.normal(size=16) * 0.01
+        v[4 * (i % 4) : 4 * (i % 4) + 4] += 1 if i % 8 < 4 else -1
+        rows.append((i, v.tolist()))
+    vectors = spark.createDataFrame([*rows, rows[7], rows[7]], "vec_id long, embedding array<double>")
+    made = []
+    tiles = topk._tiles
+    monkeypatch.setattr(topk, "_tiles", lambda t, k: made.append(t.count()) or tiles(t, k))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.exact_top_k(vectors, F.col("vec_id") % 50 == 0, 5).collect()}
+    ids = np.array([r[0] for r in rows] + [7, 7])
+    x = np.floor(256 * np.array([r[1] for r in rows] + [rows[7][1]] * 2)).astype(int)
+    for q in range(0, 400, 50):
+        score = x @ x[q]
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != q][:5]
+        assert [got[q, r + 1] for r in range(5)] == [(ids[j], score[j]) for j in order]
+    assert made[1] < 0.6 * 21 * 4  # of 21 blocks of rows and 4 of queries
