@@ -33,3 +33,13 @@ def test_large_means_are_sums_of_parts(spark):
 
 def test_empty_table(spark):
     assert mixing.poisson_mix(documents(spark, [])).count() == 0
+
+
+def test_columns_of_any_name_come_back(spark):
+    docs = documents(spark, [f"t{i}" for i in range(300)])
+    names = ("parts", "cdf", "rate_source", "_rate_source", "_row", "_source", "mean", "rate")
+    for name in names:
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    out = mixing.poisson_mix(docs)
+    assert out.columns == [*docs.columns, *mixing.ADDED]
+    assert out.count() and all(r[n] == f"own {n}" for r in out.collect() for n in names)

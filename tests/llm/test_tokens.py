@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from probelight.llm import bpe, common, token_ids
+from probelight.llm import bpe, common, queries, token_ids
 from tests.llm.helpers import EDGE_TEXTS, documents
 
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
@@ -69,3 +69,43 @@ def test_token_shards(spark, texts, tmp_path):
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert got == want
+
+
+def test_queries_over_the_whole_table(spark, sf_dir):
+    """Both queries against the libraries, text by text."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    pieces = {r.doc_id: r for r in queries.op8_byte_bpe(spark, sf_dir).collect()}
+    shards = {r.doc_id: r for r in queries.op10_token_ids(spark, sf_dir).collect()}
+    assert set(pieces) == set(shards) == set(texts)
+    at = 0
+    for i in sorted(texts):
+        ids = TIKTOKEN.encode_ordinary(texts[i])
+        spelled = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert (pieces[i].n_tokens, pieces[i].ids_sha256, pieces[i].decoded_sha256) == (len(ids), spelled, hashlib.sha256(texts[i].encode()).hexdigest())
+        own = np.array([*WORDS.encode(texts[i], add_special_tokens=False).ids, 1], "<u4")
+        assert (shards[i].start, shards[i].n_tokens, shards[i].ids_crc32) == (at, len(own), zlib.crc32(own.tobytes()))
+        at += len(own)
+
+
+def test_small_caches_change_nothing(monkeypatch):
+    """Caches that overflow at every batch give the same ids."""
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(token_ids, "CACHE_BYTES", 2000)
+    words, pieces = token_ids.WordIds(WORDS, "<u2"), bpe.Pieces(RANKS)
+    for k in range(0, 300, 3):
+        texts = [f"word{i} other{i % 7}, again {i * 31}!" for i in range(k, k + 3)]
+        raw, at = common.text_buffers(pa.array(texts))
+        ids, id_at, _, _ = bpe.encode_texts(raw, at, pieces)
+        for i, (t, found) in enumerate(zip(texts, words.look_up(texts), strict=True)):
+            assert ids[id_at[i] : id_at[i + 1]].tolist() == TIKTOKEN.encode_ordinary(t)
+            assert np.frombuffer(found, "<u2").tolist() == WORDS.encode(t, add_special_tokens=False).ids
+    assert len(words) < 60 and len(pieces) < 60
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Null ids come first; rows of one id stand together."""
+    rows = [(2, "b b"), (None, "n"), (1, "a"), (1, "a"), (None, None)]
+    token_ids.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), P.path("word_bpe_49k.json"), str(tmp_path / "shards"))
+    got = sorted(token_ids.read_documents(spark, str(tmp_path / "shards")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 1, 1, 2] and sorted(r.n_tokens for r in got) == [1, 2, 2, 2, 3]
+    assert [r.start for r in got] == list(np.cumsum([0, *[r.n_tokens for r in got[:-1]]]))
