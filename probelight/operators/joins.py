@@ -11,19 +11,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+# Rows that a side may have to be sent to every task; larger ones are joined by other means.
+FEW = 20_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The side marked for broadcast if a count shows that it has few rows; otherwise as it is."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def as_of(facts: DataFrame, eras: DataFrame, at: Column, start: str, value: str, default: Column) -> DataFrame:
     """The value of the last era whose start is not after `at`, else the default.
 
-    Eras are few (a versioned configuration): they are folded into one sorted array, a single row, and each fact
-    looks its era up in it. Facts are neither shuffled nor multiplied.
+    Few eras (a versioned configuration) are folded into one sorted array, a single row, and each fact looks its era
+    up in it: facts are neither shuffled nor multiplied. Many are sorted together with the facts, by ranges.
     """
+    if eras.count() > FEW:
+        return _as_of_by_ranges(facts, eras, at, start, value, default)
     timeline = eras.agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(value).alias("v")))).alias("_eras"))
     found = F.element_at(F.filter("_eras", lambda e: e["s"] <= at), -1)["v"]
     return facts.crossJoin(F.broadcast(timeline)).withColumn(value, F.coalesce(F.when(F.size(F.filter("_eras", lambda e: e["s"] <= at)) > 0, found), default)).drop("_eras")
 
 
+def _as_of_by_ranges(facts: DataFrame, eras: DataFrame, at: Column, start: str, value: str, default: Column) -> DataFrame:
+    """Facts and eras in one order of time: each range looks back within itself, and what is open at its beginning is carried over."""
+    own = facts.select(F.struct("*").alias("_row"), at.alias("_t"), F.lit(1).alias("_k"))
+    both = own.unionByName(eras.select(F.col(start).alias("_t"), F.lit(0).alias("_k"), F.struct(F.col(value).alias("v")).alias("_era")), allowMissingColumns=True)
+    dealt = both.repartitionByRange("_t", "_k").withColumn("_part", F.spark_partition_id())
+    back = Window.partitionBy("_part").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = dealt.withColumn("_here", F.last("_era", ignorenulls=True).over(back))
+    ends = dealt.groupBy("_part").agg(F.max_by("_era", F.when(F.col("_k") == 0, F.col("_t"))).alias("_end"))
+    parts = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    carried = ends.select("_part", F.last("_end", ignorenulls=True).over(parts).alias("_open"))
+    era = F.coalesce("_here", "_open")
+    found = seen.where("_k = 1").join(carried, "_part").withColumn("_v", F.when(era.isNotNull(), era["v"]).otherwise(F.lit(None)))
+    return found.select("_row.*", F.coalesce("_v", default).alias(value))
+
+
 def prior_rows(facts: DataFrame, dims: DataFrame, at: str, since: str, key: str) -> DataFrame:
-    """Per fact the keys of all dimension rows not later than it; dims are few and folded into one row."""
+    """Per fact the keys of all dimension rows not later than it. Dims are few, since every fact lists them; more stop the query."""
+    if dims.count() > FEW:
+        raise ValueError(f"a fact would list more than {FEW} rows")
     folded = dims.agg(F.array_sort(F.collect_list(F.struct(F.col(since).alias("s"), F.col(key).alias("k")))).alias("_dims"))
     return facts.crossJoin(F.broadcast(folded)).withColumn("prior", F.transform(F.filter("_dims", lambda d: d["s"] <= F.col(at)), lambda d: d["k"])).drop("_dims")
 
@@ -51,7 +79,7 @@ def contains_any(texts: DataFrame, key: str, text: str, parts: DataFrame, part:
         n = F.length(F.col(text))
         runs = F.array_distinct(F.flatten(F.array(*[F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in lengths])))  # noqa: B023
         grams = texts.select(key, text, F.explode(runs).alias("_gram"))
-        out = out.unionByName(grams.join(keyed.select("_part", "_gram"), "_gram").where(F.col(text).contains(F.col("_part"))).select(key))
+        out = out.unionByName(grams.join(few(keyed.select("_part", "_gram")), "_gram").where(F.col(text).contains(F.col("_part"))).select(key))
     return out.distinct()
 
 
@@ -59,15 +87,15 @@ def shingle_exists(texts: DataFrame, key: str, text: str, parts: DataFrame, part
     """The same for parts of many words in long texts: candidates share an n-gram of words, shorter parts go through contains_any.
 
     Every part of two words more has an n-gram that a containing text has too: its own first word may be cut by the
-    text's words at its ends, so its second n-gram is the key. Texts that have no part's n-gram in a Bloom filter of
-    those keys are passed over before anything is shuffled.
+    text's words at its ends, so its second n-gram is the key. Few parts go to every task, and texts stay where they
+    are; many are joined by a shuffle of the n-grams.
     """
     inner = parts.select(F.col(part).alias("_part")).where(F.col(part).isNotNull()).distinct().withColumn("_w", F.split(F.trim("_part"), r"\s+"))
     long = (F.size("_w") >= words + 2) & ~F.col("_part").rlike(r"^\s|\s$|\s\s|[^\S ]")
     keyed = inner.where(long).select("_part", F.xxhash64(F.array_join(F.slice("_w", 2, words), " ")).alias("_g"))
     grams = F.transform(F.sequence(F.lit(0), F.size("_w") - words), lambda i: F.xxhash64(F.array_join(F.slice("_w", i + 1, words), " ")))
     split = texts.withColumn("_w", F.split(F.col(text), " ")).where(F.size("_w") >= words)
-    hits = split.select(key, text, F.explode(grams).alias("_g")).join(keyed, "_g").where(F.col(text).contains(F.col("_part"))).select(key)
+    hits = split.select(key, text, F.explode(grams).alias("_g")).join(few(keyed), "_g").where(F.col(text).contains(F.col("_part"))).select(key)
     return hits.unionByName(contains_any(texts, key, text, inner.where(~long), "_part")).distinct()
 
 

@@ -189,3 +189,14 @@ def test_numbers_by_ranges(spark):
     assert {(r.k, r.n) for r in order.numbered(df, None, "k", "n").collect()} == {(i, i + 1) for i in range(1000)}
     one = sorted((r.k, r.n) for r in order.numbered(df, "g", "k", "n").where("g = 1").collect())
     assert [n for _, n in one] == list(range(1, 501))
+
+
+def test_eras_by_ranges_as_by_folding(spark, monkeypatch):
+    facts = spark.createDataFrame([(i, i * 37 % 500) for i in range(400)], "id int, t int").repartition(6)
+    eras = spark.createDataFrame([(50 * k + 7, f"era{k}") for k in range(9)], "since int, specs string")
+    folded = sorted(tuple(r) for r in as_of(facts, eras, F.col("t"), "since", "specs", F.lit("none")).collect())
+    monkeypatch.setattr(joins, "FEW", 3)
+    ranged = sorted(tuple(r) for r in as_of(facts, eras, F.col("t"), "since", "specs", F.lit("none")).collect())
+    assert ranged == folded and {r[2] for r in ranged} >= {"none", "era0", "era8"}
+    with pytest.raises(ValueError):
+        joins.prior_rows(facts, eras, "t", "since", "specs")
