@@ -193,7 +193,7 @@ def squeeze_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", L.squeezed(F.col("text"), 80).alias("line"))
 
 
-def ratio_bootstrap(spark: SparkSession, sf_dir: str, draws: int = 200) -> DataFrame:
+def ratio_bootstrap(spark: SparkSession, sf_dir: str, draws: int = 1000) -> DataFrame:
     """Transfer coefficient over hashed resamples of points; the interval takes order statistics, without interpolation.
 
     Each resample is a row count by draws, so points meet draws once; what is shuffled is a partial sum per draw.
@@ -250,8 +250,8 @@ ORACLES = {
     "squeeze_truncate": "SELECT doc_id, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 80) AS line FROM documents",
     "ratio_boot_orderstat": _WITH + """, numbered AS (SELECT m1_share, m2_to_m1, row_number() OVER (ORDER BY pid) - 1 AS i FROM point_table WHERE m1_modal IS NOT NULL AND m2_modal IS NOT NULL AND m1_share > 0),
       size AS (SELECT count(*) AS n FROM numbered),
-      picks AS (SELECT b, ('0x' || substr(md5(b || ':' || k), 1, 8))::BIGINT % n AS i FROM size, (SELECT unnest(range(0, 200)) AS b), (SELECT unnest(range(0, (SELECT n FROM size))) AS k)),
+      picks AS (SELECT b, ('0x' || substr(md5(b || ':' || k), 1, 8))::BIGINT % n AS i FROM size, (SELECT unnest(range(0, 1000)) AS b), (SELECT unnest(range(0, (SELECT n FROM size))) AS k)),
       ratios AS (SELECT b, sum(m2_to_m1) / sum(m1_share) AS ratio FROM picks JOIN numbered USING (i) GROUP BY b),
       placed AS (SELECT ratio, row_number() OVER (ORDER BY ratio) AS place FROM ratios)
-      SELECT round(max(ratio) FILTER (place = 5), 6) AS low, round(max(ratio) FILTER (place = 195), 6) AS high, round(avg(ratio), 6) AS mean FROM placed""",
+      SELECT round(max(ratio) FILTER (place = 25), 6) AS low, round(max(ratio) FILTER (place = 975), 6) AS high, round(avg(ratio), 6) AS mean FROM placed""",
 }

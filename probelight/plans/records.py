@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import norm_condition
-from ..functions.stats import hash_draw, r6, wilson
+from ..functions.stats import average_ranks, hash_draw, r6, safe_corr, wilson
 from ..sources.tables import PAIRS_SQL, load, pair_rows, pairs
 from .contrast import complete
 
@@ -19,9 +19,16 @@ def condition_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why a span's pair of turns is not comparable: a member missing, another length class, or nothing."""
-    c = load(spark, sf_dir, "conversations").where("turn in (0, 1)").groupBy("conv_id").agg(F.count_if(F.col("turn") == 0).alias("a"), F.count_if(F.col("turn") == 1).alias("b"), F.max(F.when(F.col("turn") == 0, F.length("text"))).alias("la"), F.max(F.when(F.col("turn") == 1, F.length("text"))).alias("lb"))
-    reason = F.when((F.col("a") != 1) | (F.col("b") != 1), "members").when(F.expr("la div 100") != F.expr("lb div 100"), "length").otherwise("ok")
+    """Why a span's pair of turns is not comparable: a member missing, another probe index, length class or record, or nothing.
+
+    The probe index is the place of the last word, in words; the record is a turn's first line.
+    """
+    member = lambda k, x: F.max(F.when(F.col("turn") == k, x))
+    values = {"i": F.size(F.split("text", " ")), "l": F.expr("length(text) div 100"), "r": F.substring_index("text", "\n", 1)}
+    each = [member(k, v).alias(f"{n}{k}") for n, v in values.items() for k in (0, 1)]
+    c = load(spark, sf_dir, "conversations").where("turn in (0, 1)").groupBy("conv_id").agg(F.count_if(F.col("turn") == 0).alias("n0"), F.count_if(F.col("turn") == 1).alias("n1"), *each)
+    differs = lambda n: ~F.col(f"{n}0").eqNullSafe(F.col(f"{n}1"))
+    reason = F.when((F.col("n0") != 1) | (F.col("n1") != 1), "members").when(differs("l"), "length").when(differs("i"), "index").when(differs("r"), "record").otherwise("ok")
     return c.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first"))
 
 
@@ -72,11 +79,14 @@ def length_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def length_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares by role of turns within a tenth of the length of the turn before."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = load(spark, sf_dir, "conversations").select("role", F.length("text").alias("n"), F.lag(F.length("text")).over(w).alias("before")).where("before is not null")
-    near = F.abs(F.col("n") - F.col("before")) * 10 <= F.col("before")
-    return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("matched"), r6(F.avg(F.when(near, F.col("n") - F.col("before")))).alias("mean_difference"))
+    """Pairs of the study whose items' texts have nearly one length: how they do, and the rank correlation of shift and length difference, beside all pairs."""
+    n = load(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    d = complete(spark, sf_dir).join(n.select(F.col("doc_id").alias("item"), F.col("n").alias("nb")), "item").join(n.select((F.col("doc_id") - 1).alias("item"), F.col("n").alias("nc")), "item")
+    d = d.withColumn("apart", F.col("nc") - F.col("nb")).withColumn("near", F.abs("apart") * 2 <= F.col("nb"))
+    both = d.withColumn("subset", F.lit("all")).unionByName(d.where("near").withColumn("subset", F.lit("matched")))
+    ranked = average_ranks(average_ranks(both, ["subset"], "shift", "rs"), ["subset"], "apart", "ra")
+    win = F.when(F.col("shift") > 0, 1.0).when(F.col("shift") == 0, 0.5).otherwise(0.0)
+    return ranked.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(win)).alias("accuracy"), r6(F.avg("shift")).alias("margin"), r6(safe_corr(F.col("rs"), F.col("ra"))).alias("rho"))
 
 
 def seed_stability(spark: SparkSession, sf_dir: str, draws: int = 60) -> DataFrame:
@@ -121,14 +131,19 @@ _W = f"WITH {PAIRS_SQL} "
 _TURNS = "turns AS (SELECT conv_id, count(*) FILTER (turn = 0) AS a, count(*) FILTER (turn = 1) AS b, max(length(text)) FILTER (turn = 0) AS la, max(length(text)) FILTER (turn = 1) AS lb FROM conversations WHERE turn IN (0, 1) GROUP BY 1)"
 ORACLES = {
     "condition_names": "SELECT CASE l_orderkey % 5 WHEN 0 THEN 'B' WHEN 4 THEN 'B' WHEN 1 THEN 'C' ELSE 'none' END AS cond, count(*) AS n FROM lineitem GROUP BY 1",
-    "pair_parity": f"WITH {_TURNS} SELECT CASE WHEN a <> 1 OR b <> 1 THEN 'members' WHEN la // 100 <> lb // 100 THEN 'length' ELSE 'ok' END AS reason, count(*) AS n, min(conv_id) AS first FROM turns GROUP BY 1",
+    "pair_parity": """WITH m AS (SELECT conv_id, turn, len(string_split(text, ' ')) AS i, length(text) // 100 AS l, split_part(text, chr(10), 1) AS r FROM conversations WHERE turn IN (0, 1)),
+      p AS (SELECT conv_id, count(*) FILTER (turn = 0) AS n0, count(*) FILTER (turn = 1) AS n1, max(i) FILTER (turn = 0) AS i0, max(i) FILTER (turn = 1) AS i1, max(l) FILTER (turn = 0) AS l0, max(l) FILTER (turn = 1) AS l1, max(r) FILTER (turn = 0) AS r0, max(r) FILTER (turn = 1) AS r1 FROM m GROUP BY 1)
+      SELECT CASE WHEN n0 <> 1 OR n1 <> 1 THEN 'members' WHEN l0 <> l1 THEN 'length' WHEN i0 <> i1 THEN 'index' WHEN r0 <> r1 THEN 'record' ELSE 'ok' END AS reason, count(*) AS n, min(conv_id) AS first FROM p GROUP BY 1""",
     "prior_decomposition": _W + ", z AS (SELECT clause, avg(delta_none) FILTER (item % 2 = 0) AS p, avg(delta_none) FILTER (item % 2 = 1) AS q FROM pairs WHERE delta_none IS NOT NULL GROUP BY 1) SELECT clause, round((p + q) / 2, 6) AS prior, round((p - q) / 2, 6) AS swing FROM z",
     "pushed_words": _W + "SELECT clause, CASE WHEN item % 2 = (item // 2) % 2 THEN 'own' ELSE 'other' END AS word, count(*) AS n, round(avg(delta_c - delta_none), 6) AS effect FROM pairs WHERE delta_c IS NOT NULL AND delta_none < -3 GROUP BY 1, 2",
     "signed_union": _W + "SELECT split, count(*) AS n, round(2 * avg(CASE WHEN item % 2 = 1 THEN delta_c - delta_b ELSE delta_b - delta_c END), 6) AS contrast FROM complete GROUP BY 1",
     "probe_items": _W + ", f AS (SELECT clause, item, row_number() OVER (PARTITION BY clause ORDER BY item) AS k FROM complete QUALIFY k <= 2), p AS (SELECT 'T16' AS test, clause, item, v.variant::INTEGER AS variant, c.cond FROM f, (SELECT unnest(range(0, 3)) AS variant) v, (SELECT unnest(['B', 'C', 'none']) AS cond) c UNION ALL SELECT t.test, clause, item, 0, c.cond FROM f, (SELECT unnest(['T17', 'T18']) AS test) t, (SELECT unnest(['B', 'C']) AS cond) c WHERE k = 1) SELECT *, test || '-' || item || '-' || variant || '-' || cond AS probe_id FROM p",
     "last_containment": "WITH w AS (SELECT doc_id, string_split_regex(text, '[ \\n]') AS w FROM documents), l AS (SELECT doc_id, coalesce(list_max([i FOR i IN range(2, len(w)) IF w[i] = w[1] AND w[i+1] = w[2]]), -1)::INTEGER AS last FROM w) SELECT doc_id, last, CASE WHEN last > 0 THEN last + 2 ELSE -1 END::INTEGER AS end FROM l",
     "length_baseline": f"WITH {_TURNS}, s AS (SELECT conv_id, CASE WHEN lb > la THEN 1.0 WHEN lb = la THEN 0.5 ELSE 0.0 END::DOUBLE AS win FROM turns WHERE la IS NOT NULL AND lb IS NOT NULL), g AS (SELECT count(*) AS n, avg(win) FILTER (conv_id % 3 = 0) AS dev, avg(win) FILTER (conv_id % 3 <> 0) AS test FROM s) SELECT n, CASE WHEN dev >= 0.5 THEN 'longer' ELSE 'shorter' END AS sign, round(CASE WHEN dev >= 0.5 THEN test ELSE 1 - test END, 6) AS accuracy FROM g",
-    "length_matched": "WITH c AS (SELECT role, length(text) AS n, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT role, count(*) AS n, count(*) FILTER (abs(n - before) * 10 <= before) AS matched, round(avg(n - before) FILTER (abs(n - before) * 10 <= before), 6) AS mean_difference FROM c WHERE before IS NOT NULL GROUP BY 1",
+    "length_matched": _W + """, d AS (SELECT delta_c - delta_b AS shift, length(c.text) - length(b.text) AS apart, abs(length(c.text) - length(b.text)) * 2 <= length(b.text) AS near FROM complete JOIN documents b ON b.doc_id = item JOIN documents c ON c.doc_id = item + 1),
+      s AS (SELECT 'all' AS subset, shift, apart FROM d UNION ALL SELECT 'matched', shift, apart FROM d WHERE near),
+      r AS (SELECT subset, shift, rank() OVER (PARTITION BY subset ORDER BY shift) + (count(*) OVER (PARTITION BY subset, shift) - 1) / 2 AS rs, rank() OVER (PARTITION BY subset ORDER BY apart) + (count(*) OVER (PARTITION BY subset, apart) - 1) / 2 AS ra FROM s)
+      SELECT subset, count(*) AS n, round(avg(CASE WHEN shift > 0 THEN 1.0 WHEN shift = 0 THEN 0.5 ELSE 0.0 END::DOUBLE), 6) AS accuracy, round(avg(shift), 6) AS margin, CASE WHEN count(*) >= 3 THEN round(corr(rs, ra), 6) END AS rho FROM r GROUP BY 1""",
     "seed_stability": _W + ", cells AS (SELECT sum(delta_c - delta_b) AS s, count(*) AS n, row_number() OVER (ORDER BY clause) - 1 AS i, count(*) OVER () AS k FROM complete GROUP BY clause), picks AS (SELECT seed, b, ('0x' || substr(md5(seed || ':' || b || ':' || i), 1, 8))::BIGINT % k AS i FROM cells, (SELECT unnest(range(0, 4)) AS seed), (SELECT unnest(range(0, 60)) AS b)), means AS (SELECT seed, b, sum(s) / sum(n) AS m FROM picks JOIN cells USING (i) GROUP BY 1, 2), bounds AS (SELECT seed, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY 1), z AS (SELECT * FROM bounds WHERE seed = 0) SELECT round(max(greatest(abs(b.low - z.low), abs(b.high - z.high))), 6) AS largest_move FROM bounds b, z",
     "kappa": "WITH e AS (SELECT user_id % 3 AS grp, event_type AS y, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS x FROM events), f AS (SELECT * FROM e WHERE x IS NOT NULL), g AS (SELECT grp, count(*) AS n, count(*) FILTER (x = y) AS same FROM f GROUP BY 1), a AS (SELECT grp, x AS v, count(*) AS a FROM f GROUP BY 1, 2), b AS (SELECT grp, y AS v, count(*) AS b FROM f GROUP BY 1, 2), c AS (SELECT a.grp, sum(a * b) AS ab FROM a JOIN b ON a.grp = b.grp AND a.v = b.v GROUP BY 1), k AS (SELECT grp, n, same / n AS p, ab / n / n AS pe, 1.959963984540054::DOUBLE AS z FROM g JOIN c USING (grp)) SELECT grp, n, round((p - pe) / (1 - pe), 6) AS kappa, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high FROM k",
     "orphan_rows": "WITH r AS (SELECT DISTINCT l_orderkey AS item FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) SELECT CASE WHEN o.o_orderkey IS NULL THEN 'orphan' WHEN r.item IS NULL THEN 'no rows' ELSE 'ok' END AS state, count(*) AS n, 0::BIGINT AS twice FROM orders o FULL JOIN r ON r.item = o.o_orderkey GROUP BY 1",

@@ -61,10 +61,16 @@ def loco_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("clause").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.when(F.col("margin") > 0, 1.0).when(F.col("margin") == 0, 0.5).otherwise(0.0))).alias("accuracy"), r6(F.avg("margin")).alias("mean_margin"))
 
 
+LEAST_REST = 10
+
+
 def loso_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with spans left out."""
-    m = _left_out(vector_pairs(spark, sf_dir), "span")
-    return m.groupBy("span").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("margin")).alias("mean_margin"), F.count_if(F.col("margin") > 0).alias("wins"))
+    """The same with spans left out; a span that leaves fewer than ten pairs to fit on is passed over."""
+    p = vector_pairs(spark, sf_dir)
+    m = _left_out(p, "span")
+    g = m.groupBy("span").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("margin")).alias("mean_margin"), F.count_if(F.col("margin") > 0).alias("wins"))
+    total = p.agg(F.count(F.lit(1)).alias("_all"))
+    return g.crossJoin(F.broadcast(total)).where(F.col("_all") - F.col("n") >= LEAST_REST).drop("_all")  # one row
 
 
 def layer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +140,7 @@ ORACLES = {
     "contrast_direction": _W + " SELECT d::INTEGER AS dim, round(x, 6) AS x FROM u",
     "projection": _W + " SELECT pair, round(sum(dims.x * u.x), 6) AS margin FROM dims JOIN u USING (d) GROUP BY 1",
     "loco_margins": _LOCO + " SELECT * FROM per",
-    "loso_margins": _left_out_sql("span") + " SELECT span, count(*) AS n, round(avg(margin), 6) AS mean_margin, count(*) FILTER (margin > 0) AS wins FROM margins GROUP BY 1",
+    "loso_margins": _left_out_sql("span") + " SELECT span, count(*) AS n, round(avg(margin), 6) AS mean_margin, count(*) FILTER (margin > 0) AS wins FROM margins GROUP BY 1 HAVING (SELECT count(*) FROM vp) - count(*) >= 10",
     "grid_select": _W + ", l AS (SELECT pair, span % 4 = 0 AS dev, (d - 1) // 8 AS layer, d, x FROM dims), f AS (SELECT layer, d, sum(x) AS s FROM l WHERE NOT dev GROUP BY 1, 2), g AS (SELECT layer, d, s / sqrt(sum(s * s) OVER (PARTITION BY layer)) AS s FROM f), m AS (SELECT l.layer, pair, sum(l.x * g.s) AS m FROM l JOIN g ON g.layer = l.layer AND g.d = l.d WHERE dev GROUP BY 1, 2) SELECT layer::INTEGER AS layer, count(*) AS n, round(avg((m > 0)::INT), 6) AS accuracy FROM m GROUP BY 1 ORDER BY accuracy DESC, layer LIMIT 10",
     "cosine_matrix": "WITH d AS (SELECT label, unnest(range(1, 65)) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT label, d, sum(x) AS x FROM d GROUP BY 1, 2), u AS (SELECT label, d, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM s) SELECT a.label AS label_a, b.label AS label_b, round(sum(a.x * b.x), 6) AS cosine FROM u a JOIN u b ON b.d = a.d AND a.label < b.label GROUP BY 1, 2",
     "pair_geometry": _W + ", m AS (SELECT pair, clause, sqrt(sum(dims.x * dims.x)) AS n, sum(dims.x * u.x) AS m FROM dims JOIN u USING (d) GROUP BY 1, 2) SELECT clause, round(avg(n), 6) AS mean_norm, round(avg(m / n), 6) AS coherence, round(corr(n, abs(m)), 6) AS corr FROM m GROUP BY 1",
