@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import with_range
+
 
 # Rows that a side may have to be sent to every task; larger ones are joined by other means.
 FEW = 20_000
@@ -37,8 +39,8 @@ def _as_of_by_ranges(facts: DataFrame, eras: DataFrame, at: Column, start: str,
     """Facts and eras in one order of time: each range looks back within itself, and what is open at its beginning is carried over."""
     own = facts.select(F.struct("*").alias("_row"), at.alias("_t"), F.lit(1).alias("_k"))
     both = own.unionByName(eras.select(F.col(start).alias("_t"), F.lit(0).alias("_k"), F.struct(F.col(value).alias("v")).alias("_era")), allowMissingColumns=True)
-    dealt = both.repartitionByRange("_t", "_k").withColumn("_part", F.spark_partition_id())
-    back = Window.partitionBy("_part").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = with_range(both.withColumn("_order", F.struct("_t", "_k")), "_order", "_part")
+    back = Window.partitionBy("_part").orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = dealt.withColumn("_here", F.last("_era", ignorenulls=True).over(back))
     ends = dealt.groupBy("_part").agg(F.max_by("_era", F.when(F.col("_k") == 0, F.col("_t"))).alias("_end"))
     parts = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range

@@ -1,4 +1,4 @@
-"""Running numbers over large groups: sorted parts are numbered side by side and shifted by what comes before them."""
+"""Running numbers over large groups: ranges are numbered side by side and shifted by what comes before them."""
 
 from __future__ import annotations
 
@@ -6,17 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Keys that a range's bounds are chosen from.
+KEYS_OF_RANGE = 50
+
+
+def with_range(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds the number of the row's range of a column: as many ranges of about equal size as shuffles have partitions.
+
+    The bounds are taken from keys chosen by their hash, so they depend on the data alone and every plan that uses
+    them has the same ranges. They are one row of fewer keys than there are ranges.
+    """
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every = max(1, df.count() // (KEYS_OF_RANGE * ranges))
+    keys = df.where(F.pmod(F.xxhash64(F.col(order).cast("string"), F.lit(17)), F.lit(every)) == 0).agg(F.array_sort(F.collect_list(order)).alias("_keys"))
+    at = lambda i: F.element_at("_keys", F.greatest(F.lit(1), F.floor(i * F.size("_keys") / ranges).cast("int")))
+    bounds = F.when(F.size("_keys") > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(ranges)), at)))
+    cut = keys.select(F.coalesce(bounds, F.col("_keys")).alias("_bounds"))
+    return df.crossJoin(F.broadcast(cut)).withColumn(name, F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
+
 
 def numbered(df: DataFrame, group: str | None, order: str, name: str) -> DataFrame:
     """Adds the row's number in its group, from 1, by a column that is unique in the group.
 
-    Rows are dealt by ranges of the order, so a group spreads over as many tasks as it needs. Each part counts its
-    groups, the few counts are summed up part by part, and a row's number is its place in the part and that sum.
+    Rows are dealt by ranges of the order, so a group spreads over as many tasks as it needs. Each range counts its
+    groups, the few counts are summed up range by range, and a row's number is its place in the range and that sum.
     """
     by = [group] if group else []
-    dealt = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    dealt = with_range(df, order, "_part")
     here = F.row_number().over(Window.partitionBy("_part", *by).orderBy(order))
     counts = dealt.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = counts.withColumn("_before", before).drop("_n")  # a row for each part and group
+    shifts = counts.withColumn("_before", before).drop("_n")  # a row for each range and group
     return dealt.withColumn("_here", here).join(shifts, ["_part", *by]).withColumn(name, (F.col("_here") + F.col("_before")).cast("int")).drop("_part", "_here", "_before")
