@@ -295,7 +295,8 @@ def vote(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(worth, pa.int64())], ["host", "path", "worth"])
 
     ballots = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, worth long")
-    counted = ballots.where("path is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("worth").alias("worth"))
+    # Written, since votes are counted once and read twice.
+    counted = materialize(ballots.where("path is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("worth").alias("worth")), "votes")
     cast = counted.groupBy("host").agg(F.sum("votes").alias("cast"))
     top = counted.join(cast, "host").where(F.col("votes") >= F.col("cast") * LEAST_SHARE)
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("worth")).alias("w"), "path")))

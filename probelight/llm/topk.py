@@ -147,8 +147,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     scratch = Scratch(spark, "top-k")
     rows = scratch.keep(quantised(vectors))
     data = scratch.keep(packed(ordered(rows, BLOCK_ROWS)))
-    chosen = packed(ordered(rows.where(is_query).dropDuplicates(["vec_id"]), BLOCK_QUERIES))
-    q_data = scratch.keep(chosen.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "data", "low", "high", "spread")]))
+    chosen = scratch.keep(ordered(rows.where(is_query).dropDuplicates(["vec_id"]), BLOCK_QUERIES))
+    q_data = scratch.keep(packed(chosen).select("dim", *[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "data", "low", "high", "spread")]))
     # Tiles are chosen by the blocks' statistics alone; ids and data join those that are left.
     about = data.select("block", "dim", "low", "high", "spread")
     bounds = scratch.keep(q_data.select("q_block", "dim", "q_low", "q_high", "q_spread").join(about, "dim").select("q_block", "block", "dim", tile_bound().alias("bound")))
@@ -169,11 +169,10 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     best = bounds.groupBy("q_block", "dim").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
     whole = lambda tiles, queries: tiles.join(queries, ["q_block", "dim"]).join(data.select("block", "dim", "ids", "data"), ["block", "dim"])
     pilot = _ranked(_tiles(whole(best, floored(none)), k), k).where(F.col("rank") == k)
-    where = rows.where(is_query).dropDuplicates(["vec_id"])
-    placed = ordered(where, BLOCK_QUERIES).select("vec_id", "dim", F.col("block").alias("q_block"))
+    placed = chosen.select("vec_id", "dim", F.col("block").alias("q_block"))
     known = scratch.keep(pilot.select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor")).join(placed, "vec_id").select("q_block", "dim", "vec_id", "floor"))
     queries = scratch.keep(floored(known))
     near = bounds.join(queries.select("q_block", "dim", "least"), ["q_block", "dim"]).where(F.col("bound") * (1 + 1e-9) + 1 >= F.col("least"))
     found = scratch.keep(_ranked(_tiles(whole(near.select("q_block", "block", "dim"), queries), k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
-    scratch.drop(rows, data, q_data, bounds, known, queries)
+    scratch.drop(rows, data, chosen, q_data, bounds, known, queries)
     return found
