@@ -121,7 +121,12 @@ def sign_flip_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     put in one order and, for each of the first, those of the second that reach the rest are counted in passing:
     2 ** (k / 2) sums stand for 2 ** k patterns, and none is left out.
     """
-    means = complete(spark, sf_dir).groupBy("clause").agg(F.round(F.avg("shift"), 9).alias("m"))
+    return sign_flips(complete(spark, sf_dir).groupBy("clause").agg(F.round(F.avg("shift"), 9).alias("m")))
+
+
+def sign_flips(means: DataFrame) -> DataFrame:
+    """k, patterns, at_least and p for the means m of clauses: see sign_flip_exact."""
+    spark = means.sparkSession
     placed = means.select("m", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("clause")) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("k"))  # a row for each clause
     side = F.when(F.col("i") < F.expr("k div 2"), 0).otherwise(1)
     halves = placed.groupBy(side.alias("half")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("ms"))

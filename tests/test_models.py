@@ -1,7 +1,10 @@
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from probelight.operators import models as M
+from probelight.plans import contrast
 from probelight.plans import models as plans
 from probelight.streaming import runlog
 
@@ -92,3 +95,14 @@ def test_stream_of_the_run_log(spark, tmp_path):
     query = runlog.write_counts(runlog.label_counts(once, "ts", "10 minutes", "label"), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)
     assert query.exception() is None
+
+
+def test_sign_flips_against_all_patterns(spark):
+    """Every pattern enumerated, for one to nine clauses with ties; six clauses all above zero give one in sixty-four."""
+    rng = np.random.default_rng(5)
+    for means in ([1.0], [0.5, -0.5], [1.0, 1.0, 1.0], list(np.round(rng.normal(size=8), 2)), [0.25] * 9, [0.3, 0.1, 0.4, 0.1, 0.5, 0.9]):
+        row = contrast.sign_flips(spark.createDataFrame([(f"c{i}", float(m)) for i, m in enumerate(means)], "clause string, m double")).first()
+        signs = np.array(list(itertools.product((1, -1), repeat=len(means))))
+        want = int((signs @ np.array(means) >= sum(means) - 1e-9).sum())
+        assert (row.k, row.patterns, row.at_least, row.p) == (len(means), 2 ** len(means), want, round(want / 2 ** len(means), 6))
+    assert row.p == 0.015625
