@@ -1,10 +1,12 @@
+import hashlib
 import itertools
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from probelight.operators import models as M
-from probelight.plans import contrast
+from probelight.plans import contrast, vectors
 from probelight.plans import models as plans
 from probelight.streaming import runlog
 
@@ -106,3 +108,85 @@ def test_sign_flips_against_all_patterns(spark):
         want = int((signs @ np.array(means) >= sum(means) - 1e-9).sum())
         assert (row.k, row.patterns, row.at_least, row.p) == (len(means), 2 ** len(means), want, round(want / 2 ** len(means), 6))
     assert row.p == 0.015625
+
+
+def ridge_line(x, y, penalty):
+    """Weights and intercept on plain columns, from standardised ones."""
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-8
+    z = (x - mean) / spread
+    w = np.linalg.solve(z.T @ z + penalty * np.eye(x.shape[1]), z.T @ (y - y.mean())) / spread
+    return w, y.mean() - mean @ w
+
+
+def fitted(pairs, penalty):
+    x = np.concatenate([np.array([p.c for p in pairs]), np.array([p.b for p in pairs])]).astype(float)
+    return ridge_line(x, np.repeat([1.0, -1.0], len(pairs)), penalty)
+
+
+def wins(pairs, w):
+    d = np.array([p.diff for p in pairs]) @ w
+    return np.where(d > 0, 1.0, np.where(d == 0, 0.5, 0.0))
+
+
+def test_fitted_queries_against_refits(spark, sf_dir):
+    """trained_probe, nested_boot and off_target over the whole table, against lines refitted on rows."""
+    every = sorted(vectors.vector_pairs(spark, sf_dir).collect(), key=lambda p: p.pair)
+    clauses = sorted({p.clause for p in every})
+    dev, rest = [p for p in every if p.span % 4 == 0], [p for p in every if p.span % 4]
+    scores = [wins(dev, fitted(rest, a)[0]).mean() for a in M.PENALTIES]
+    best = int(np.argmax(scores))
+    w, u = fitted(rest, M.PENALTIES[best])[0], np.sum([p.diff for p in rest], axis=0)
+    got = plans.trained_probe(spark, sf_dir).first()
+    assert np.isclose(got.alpha, M.PENALTIES[best]) and np.isclose(got.accuracy, scores[best], atol=1e-6)
+    assert np.isclose(got.cosine, w @ u / np.linalg.norm(w) / np.linalg.norm(u), atol=1e-5)
+
+    k, macro = len(clauses), []
+    for b in range(20):
+        drawn = [int(hashlib.md5(f"{b}:{slot}".encode()).hexdigest()[:8], 16) % k for slot in range(k)]
+        values = []
+        for g in drawn:
+            train = [p for h in drawn if h != g for p in every if p.clause == clauses[h]]
+            values.append(wins([p for p in every if p.clause == clauses[g]], fitted(train, 1.0)[0]).mean())
+        macro.append(np.mean(values))
+    got = plans.nested_boot(spark, sf_dir, draws=20).first()
+    assert np.allclose([got.low, got.high, got.mean, got.sd], [np.percentile(macro, 2.5), np.percentile(macro, 97.5), np.mean(macro), np.std(macro)], atol=1e-5)
+
+    main, away = [p for p in every if p.pair % 8], [p for p in every if p.pair % 8 == 0]
+    folded = {"consistent": [], "planted": []}
+    for clause in clauses:
+        others = [p for p in main if p.clause != clause]
+        means = []
+        for a in M.PENALTIES:
+            by_fold = []
+            for f in range(5):
+                test = [p for p in others if p.span % 5 == f]
+                w, c = fitted([p for p in others if p.span % 5 != f], a)
+                by_fold.append(np.mean([np.sign(np.array(p.c) @ w + c) == 1 for p in test] + [np.sign(np.array(p.b) @ w + c) == -1 for p in test]))
+            means.append(np.mean(by_fold))
+        w, _ = fitted(others, next(a for a, m in zip(M.PENALTIES, means, strict=True) if m >= max(means) - 1e-12))
+        for p in away:
+            if p.clause == clause:
+                won = wins([p], w)[0]
+                folded["consistent" if p.span % 16 < 8 else "planted"].append(won if p.span % 16 < 8 else 1 - won)
+    got = {r.cls: (r.n, r.q) for r in plans.off_target(spark, sf_dir).collect()}
+    assert got == {c: (len(v), round(float(np.mean(v)), 6)) for c, v in folded.items()}
+
+
+def test_text_baselines_against_refits(spark, sf_dir):
+    """bow_loco and final_word_ridge against ridge on dense counts, clause by clause."""
+    every = plans.text_pairs(spark, sf_dir).collect()
+    cut = {0: lambda w: w, 1: lambda w: w[-1:] or [""], 3: lambda w: w[-3:] or [""]}
+    found = {(r.k, r.clause): (r.n, r.accuracy) for r in plans.final_word_ridge(spark, sf_dir).collect()} | {(0, r.clause): (r.n, r.accuracy) for r in plans.bow_loco(spark, sf_dir).collect()}
+    for (k, clause), (n, accuracy) in found.items():
+        train, held = [p for p in every if p.clause != clause], [p for p in every if p.clause == clause]
+        members = [cut[k](p.b) for p in train] + [cut[k](p.c) for p in train]
+        times = Counter(w for m in members for w in m)
+        vocabulary = sorted(w for w, c in times.items() if c >= (2 if k == 0 else 1))
+        count = lambda words: [words.count(w) for w in vocabulary]  # noqa: B023, E731
+        x, y = np.array([count(m) for m in members], float), np.repeat([-1.0, 1.0], len(train))
+        z = x - x.mean(axis=0)
+        w = z.T @ np.linalg.solve(z @ z.T + 100.0 * np.eye(len(z)), y - y.mean())
+        margin = np.array([(np.array(count(cut[k](p.c))) - np.array(count(cut[k](p.b)))) @ w for p in held])
+        # The fitted lines stop at a tolerance: pairs too close to a tie may fall either way.
+        sure = np.where(margin > 1e-4, 1.0, np.where(margin < -1e-4, 0.0, 0.5))
+        assert n == len(held) and abs(accuracy - sure.mean()) <= np.mean(np.abs(margin) <= 1e-4) / 2 + 1e-6
