@@ -85,20 +85,20 @@ def contains_any(texts: DataFrame, key: str, text: str, parts: DataFrame, part:
     return out.distinct()
 
 
-def shingle_exists(texts: DataFrame, key: str, text: str, parts: DataFrame, part: str, words: int) -> DataFrame:
-    """The same for parts of many words in long texts: candidates share an n-gram of words, shorter parts go through contains_any.
+def words_exist(texts: DataFrame, key: str, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """The same for parts of words in long texts: candidates share a word, parts of fewer than three go through contains_any.
 
-    Every part of two words more has an n-gram that a containing text has too: its own first word may be cut by the
-    text's words at its ends, so its second n-gram is the key. Few parts go to every task, and texts stay where they
-    are; many are joined by a shuffle of the n-grams.
+    A part's own first and last word may be cut out of longer words of a text, but those between are words of it too.
+    The longest of them, mostly a rare one, is the key. Few parts go to every task, and texts stay where they are;
+    many are joined by a shuffle of words.
     """
-    inner = parts.select(F.col(part).alias("_part")).where(F.col(part).isNotNull()).distinct().withColumn("_w", F.split(F.trim("_part"), r"\s+"))
-    long = (F.size("_w") >= words + 2) & ~F.col("_part").rlike(r"^\s|\s$|\s\s|[^\S ]")
-    keyed = inner.where(long).select("_part", F.xxhash64(F.array_join(F.slice("_w", 2, words), " ")).alias("_g"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("_w") - words), lambda i: F.xxhash64(F.array_join(F.slice("_w", i + 1, words), " ")))
-    split = texts.withColumn("_w", F.split(F.col(text), " ")).where(F.size("_w") >= words)
-    hits = split.select(key, text, F.explode(grams).alias("_g")).join(few(keyed), "_g").where(F.col(text).contains(F.col("_part"))).select(key)
-    return hits.unionByName(contains_any(texts, key, text, inner.where(~long), "_part")).distinct()
+    inner = parts.select(F.col(part).alias("_part")).where(F.col(part).isNotNull()).distinct().withColumn("_w", F.split("_part", " "))
+    between = F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(1)))
+    longest = F.array_max(F.transform(between, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = inner.where(F.size("_w") >= 3).select("_part", longest.alias("_word"))
+    words = texts.select(key, text, F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("_word"))
+    hits = words.join(few(keyed), "_word").where(F.col(text).contains(F.col("_part"))).select(key)
+    return hits.unionByName(contains_any(texts, key, text, inner.where(F.size("_w") < 3), "_part")).distinct()
 
 
 def required(rows: DataFrame, lookup: DataFrame, keys: list[str], value: str) -> DataFrame:

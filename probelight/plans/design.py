@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stats import r6
 from ..operators.dedup import change_points
-from ..operators.joins import as_of, full_comparison, missing, prior_rows, shingle_exists
+from ..operators.joins import as_of, full_comparison, missing, prior_rows, words_exist
 from ..operators.order import numbered
 from ..sources.tables import RUNS_SQL, load, points, runs
 
@@ -80,7 +80,7 @@ def exists_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain the middle of a benchmark item, words 3 to 22 of it."""
     part = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 3, 20), " ")
     items = load(spark, sf_dir, "benchmark").select(part.alias("part"))
-    return shingle_exists(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", items, "part", 8)
+    return words_exist(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", items, "part")
 
 
 def design_cross(spark: SparkSession, sf_dir: str) -> DataFrame:

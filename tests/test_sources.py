@@ -168,7 +168,7 @@ def test_substrings_short_long_and_empty(spark):
         p = spark.createDataFrame([(x,) for x in parts], "p string")
         want = {i for i, t in texts if t is not None and any(x in t for x in parts)}
         assert {r.id for r in joins.contains_any(df, "id", "t", p, "p").collect()} == want
-        assert {r.id for r in joins.shingle_exists(df, "id", "t", p, "p", 3).collect()} == want
+        assert {r.id for r in joins.words_exist(df, "id", "t", p, "p").collect()} == want
 
 
 def test_guards(spark):
