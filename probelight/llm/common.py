@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,18 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Small Arrow batches for the jobs run inside; the session has its own setting again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n+1 row offsets of a string column; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 import public_tokenizers
 
-from . import bpe, gif, html_text, mixing, near_dup, pii, quality, token_ids, topk, toxicity
+from . import bpe, gif, html_text, mixing, near_dup, pii, quality, resample, token_ids, topk, toxicity
 from .common import scratch_path, table
 
 
@@ -112,6 +112,54 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_documents(spark, path)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resample.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return resample.ranked(scored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# CRC-32 in SQL: a byte's entry of the table is the exclusive or of the entries of its bits (fixed values).
+_CRC_BITS = (0x77073096, 0xEE0E612C, 0x076DC419, 0x0EDB8832, 0x1DB71064, 0x3B6E20C8, 0x76DC4190, 0xEDB88320)
+
+
+def crc32_sql(text: str) -> str:
+    """A DuckDB expression for the unsigned CRC-32 of the UTF-8 bytes of a column."""
+    entry = "0"
+    for k, value in enumerate(_CRC_BITS):
+        entry = f"xor({entry}, ((xor(c, b) >> {k}) & 1) * {value})"
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i::INTEGER + 1, 2))::BIGINT"
+    many = f"list_transform(range(0, octet_length(encode({text}))), lambda i: {byte})"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {many}), lambda c, b: xor(c >> 8, {entry})))"
+
+
+OP11_SQL = rf"""
+WITH texts AS (
+  SELECT doc_id AS id, 's' AS side, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
+  UNION ALL SELECT item_id, 't', translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+),
+words AS (SELECT id, side, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (
+  SELECT id, side, unnest(w) AS f FROM words
+  UNION ALL SELECT id, side, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words WHERE len(w) > 1
+),
+per_text AS (SELECT id, side, f, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT f, {crc32_sql("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM per_text)),
+features AS (SELECT id, side, bucket, sum(n) AS n FROM per_text JOIN hashed USING (f) GROUP BY ALL),
+both_sides AS (SELECT bucket, coalesce(sum(n) FILTER (side = 's'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t FROM features GROUP BY 1),
+sums AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM both_sides),
+gains AS (
+  SELECT bucket, floor(1000 * ln((b.t + 1)::DOUBLE * (sums.s + 10000) / ((b.s + 1)::DOUBLE * (sums.t + 10000))))::BIGINT AS gain FROM both_sides b, sums
+),
+weights AS (SELECT id, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM features JOIN gains USING (bucket) WHERE side = 's' GROUP BY 1),
+scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(words.w) >= 20 AS able,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM documents d LEFT JOIN weights ON weights.id = d.doc_id JOIN words ON words.id = d.doc_id AND words.side = 's'
+),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE able)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM placed) // 100 THEN rank END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_rule_quality": op2_rule_quality,
@@ -123,5 +171,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_gif_media": op9_gif_media,
     "op10_token_ids": op10_token_ids,
+    "op11_importance_resampling": op11_importance_resampling,
 }
-ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL, "op5_exact_top_k": OP5_SQL}
+ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op11_importance_resampling": OP11_SQL}
