@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 import public_tokenizers
 
-from . import bpe, gif, html_text, mixing, near_dup, pii, quality, resample, token_ids, topk, toxicity
+from . import bpe, chat, gif, html_text, mixing, near_dup, pii, quality, resample, token_ids, topk, toxicity
 from .common import scratch_path, table
 
 
@@ -160,6 +160,33 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*
 """
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+    return chat.digest(chat.formatted(rows))
+
+
+OP13_SQL = r"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+told AS (
+  SELECT *, regexp_replace(text, '([\[<])(\\*)(/?(?:INST|SYS|as|next|s|turn)[\]>])', '\1\\\2\3', 'g') AS escaped,
+    regexp_replace(role, '([\[<])(\\*)(/?(?:INST|SYS|as|next|s|turn)[\]>])', '\1\\\2\3', 'g') AS named,
+    role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS again FROM every
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(escaped) + CASE WHEN again THEN 6 WHEN role = 'system' THEN 11 WHEN role = 'user' THEN 13 WHEN role = 'assistant' THEN 7 ELSE 17 + length(named) END)::BIGINT AS formatted_chars
+FROM told GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_rule_quality": op2_rule_quality,
@@ -172,5 +199,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_gif_media": op9_gif_media,
     "op10_token_ids": op10_token_ids,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_chat_format": op13_chat_format,
 }
-ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op11_importance_resampling": OP11_SQL}
+ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op11_importance_resampling": OP11_SQL, "op13_chat_format": OP13_SQL}
