@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 import public_tokenizers
 
-from . import bpe, chat, gif, html_text, mixing, near_dup, pii, quality, resample, token_ids, topk, toxicity
+from . import bpe, chat, gif, html_text, mixing, near_dup, pii, quality, repair, resample, token_ids, topk, toxicity
 from .common import scratch_path, table
 
 
@@ -160,6 +160,79 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.audited(repair.fragments(rows, copies=F.col("copies")), "conv_id")
+
+
+_SPACES = r"[\x20\x09-\x0D]"
+OP12_SQL = rf"""
+WITH RECURSIVE hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS f FROM conversations
+),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(0, CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM (SELECT *, {crc32_sql("f")} % 20 AS k FROM hashed)
+),
+placed AS (
+  SELECT *, row_number() OVER w AS i, left(role, 1) AS initial, lag(left(role, 1)) OVER w AS prior,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, regexp_extract(text, '([^\x20\x09-\x0D]){_SPACES}*$', 1) AS final
+  FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy)
+),
+judged AS (
+  SELECT *, CASE WHEN final = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed
+),
+costed AS (
+  SELECT *, fault NOT IN ('blank', 'duplicate') AS may, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS extra FROM judged
+),
+ends AS (SELECT conv_id, max(i) AS n FROM placed GROUP BY 1),
+back(conv_id, i, h0, h1, h2, h3) AS (
+  SELECT conv_id, n + 1, 0, 6, 3, 0 FROM ends
+  UNION ALL
+  SELECT conv_id, i, least(r0, r2 + 3, r3 + 6), least(r1, r2 + 3, r3 + 6), least(r2, r3 + 3), least(r3, r2 + 3)
+  FROM (
+    SELECT c.conv_id, c.i,
+      least(h0 + 4, CASE WHEN may AND initial = 's' THEN h1 + extra ELSE 1000000 END, CASE WHEN may THEN h2 + extra + CASE initial WHEN 'u' THEN 0 ELSE 3 END ELSE 1000000 END) AS r0,
+      least(h1 + 4, CASE WHEN may THEN h2 + extra + CASE initial WHEN 'u' THEN 0 ELSE 3 END ELSE 1000000 END) AS r1,
+      least(h2 + 4, CASE WHEN may THEN h3 + extra + CASE initial WHEN 'a' THEN 0 ELSE 3 END ELSE 1000000 END) AS r2,
+      least(h3 + 4, CASE WHEN may THEN h2 + extra + CASE initial WHEN 'u' THEN 0 ELSE 3 END ELSE 1000000 END) AS r3
+    FROM back b JOIN costed c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.i = b.i - 1
+  )
+),
+costs AS (SELECT conv_id, i, [h0, h1, h2, h3] AS h FROM back),
+steps AS (
+  SELECT a.conv_id, a.i, a.h, b.h AS next, c.role, c.text, c.initial, coalesce(c.may, false) AS may, coalesce(c.extra, 0) AS extra
+  FROM costs a LEFT JOIN costs b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = a.i + 1 LEFT JOIN costed c ON c.conv_id IS NOT DISTINCT FROM a.conv_id AND c.i = a.i
+),
+walk(conv_id, i, q, audit, lines) AS (
+  SELECT conv_id, 1::BIGINT, 1, '', []::VARCHAR[] FROM ends
+  UNION ALL
+  SELECT conv_id, CASE letter WHEN 'I' THEN i ELSE i + 1 END,
+    CASE WHEN letter = 'D' THEN q WHEN letter = 'K' AND initial = 's' THEN 2 ELSE speaks END, audit || letter,
+    CASE letter WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text) WHEN 'R' THEN list_append(lines, said || ':' || text) ELSE list_append(lines, said || ':') END
+  FROM (
+    SELECT w.*, s.role, s.text, s.initial, CASE w.q WHEN 3 THEN 4 ELSE 3 END AS speaks, CASE w.q WHEN 3 THEN 'assistant' ELSE 'user' END AS said,
+      CASE
+        WHEN next IS NOT NULL AND next[w.q] + 4 = h[w.q] THEN 'D'
+        WHEN h[CASE w.q WHEN 3 THEN 4 ELSE 3 END] + 3 = h[w.q] THEN 'I'
+        WHEN may AND ((initial = 's' AND w.q = 1 AND next[2] + extra = h[w.q]) OR (initial = 'a' AND w.q = 3 AND next[4] + extra = h[w.q]) OR (initial = 'u' AND w.q <> 3 AND next[3] + extra = h[w.q])) THEN 'K'
+        ELSE 'R' END AS letter
+    FROM walk w JOIN steps s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.i = w.i WHERE next IS NOT NULL OR h[w.q] > 0
+  )
+),
+done AS (SELECT w.conv_id, audit, lines FROM walk w JOIN ends e ON e.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = e.n + 1 AND w.q IN (1, 4)),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (prior IS NOT NULL AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(h0, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN back b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 1
+"""
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
@@ -199,6 +272,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_gif_media": op9_gif_media,
     "op10_token_ids": op10_token_ids,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_chat_format": op13_chat_format,
 }
-ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op11_importance_resampling": OP11_SQL, "op13_chat_format": OP13_SQL}
+ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op11_importance_resampling": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_chat_format": OP13_SQL}
