@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.labels import win_score
 from ..functions.stats import hash_draw, r6
 from ..operators import models as M
+from ..operators import ridge as R
+from ..operators.order import numbered
 from ..operators.vectors import dot, group_sum, norm, unit
 from ..sources.tables import load
 from .vectors import VPAIRS_SQL, vector_pairs
@@ -23,11 +26,22 @@ TEXT_PENALTIES = (1.0, 10.0, 100.0, 1e3, 1e4, 1e5, 1e6)
 FOLDS = 5
 
 
+def with_folds(units: DataFrame, group: str = "span") -> DataFrame:
+    """Adds fold: the distinct groups in the order of a hash, dealt in turn, so that folds have equally many groups."""
+    shuffled = units.select(group).distinct().withColumn("_order", F.struct(F.md5(F.col(group).cast("string").cast("binary")).alias("h"), F.col(group).alias("g")))
+    dealt = numbered(shuffled, None, "_order", "fold").select(group, (F.col("fold") % FOLDS).alias("fold"))
+    return units.join(dealt, group)
+
+
 def _units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list, int]:
     """Pairs with the fold of their span; the clauses, and the length of the vectors."""
-    p = vector_pairs(spark, sf_dir).withColumn("fold", F.col("span") % FOLDS)
+    p = with_folds(vector_pairs(spark, sf_dir))
+    return p, *_about(p)
+
+
+def _about(p: DataFrame) -> tuple[list, int]:
     about = p.agg(F.array_sort(F.collect_set("clause")).alias("clauses"), F.max(F.size("b")).alias("dims")).first()
-    return p, about["clauses"], about["dims"] or 0
+    return about["clauses"], about["dims"] or 0
 
 
 def _lines_table(spark: SparkSession, lines: dict) -> DataFrame:
@@ -35,20 +49,25 @@ def _lines_table(spark: SparkSession, lines: dict) -> DataFrame:
     return spark.createDataFrame(rows, "clause int, w array<double>")
 
 
+def _judged(spark: SparkSession, p: DataFrame, chosen: dict, lines: dict) -> DataFrame:
+    """Per clause the number of pairs, the paired accuracy of its line, and the penalty."""
+    penalty = spark.createDataFrame([(int(c), a) for c, a in chosen.items()], "clause int, alpha double")
+    hit = win_score(dot(F.col("b"), F.col("w")), dot(F.col("c"), F.col("w")))
+    scored = p.join(F.broadcast(_lines_table(spark, lines)), "clause").select("clause", hit.alias("hit"))
+    return scored.groupBy("clause").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("hit")).alias("accuracy")).join(F.broadcast(penalty), "clause")
+
+
 def ridge_loco(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per clause: the penalty chosen on all other clauses, and the paired accuracy of their line on its pairs."""
     p, clauses, dims = _units(spark, sf_dir)
-    chosen, lines = M.leave_one_out(p, clauses, dims, FOLDS)
-    penalty = spark.createDataFrame([(int(c), a) for c, a in chosen.items()], "clause int, alpha double")
-    scored = p.join(F.broadcast(_lines_table(spark, lines)), "clause").select("clause", win_score(dot(F.col("b"), F.col("w")), dot(F.col("c"), F.col("w"))).alias("hit"))
-    return scored.groupBy("clause").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("hit")).alias("accuracy")).join(F.broadcast(penalty), "clause")
+    return _judged(spark, p, *R.leave_one_out(p, clauses, dims, FOLDS))
 
 
 def off_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clauses' lines on pairs they were not made for (every fourth): by class of record, folded, and their mean."""
     p, clauses, dims = _units(spark, sf_dir)
     away = F.col("pair") % 8 == 0
-    _, lines = M.leave_one_out(p.where(~away), clauses, dims, FOLDS)
+    _, lines = R.leave_one_out(p.where(~away), clauses, dims, FOLDS)
     d = p.where(away).join(F.broadcast(_lines_table(spark, lines)), "clause").withColumn("d", dot(F.col("diff"), F.col("w")))
     cls = F.when(F.col("span") % 16 < 8, "consistent").otherwise("planted")
     folded = F.when(F.col("d") == 0, 0.5).when(F.when(F.col("span") % 16 < 8, F.col("d") > 0).otherwise(F.col("d") < 0), 1.0).otherwise(0.0)
@@ -59,8 +78,8 @@ def trained_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ridge probe, its penalty the first best on dev spans, and its cosine with the contrastive direction."""
     p, clauses, dims = _units(spark, sf_dir)
     dev = F.col("span") % 4 == 0
-    sums = M.clause_moments(p.where(~dev), clauses, dims).sum(axis=0)
-    weights, _ = M.Moments(sums, dims).lines(M.PENALTIES)
+    train = p.where(~dev).withColumn("clause", F.lit(0)).withColumn("fold", F.lit(0))
+    weights, _ = R.moment_lines(train, [0, 1], dims, 1)[1, 1]  # a clause without rows is held out, so all are fitted
     table = spark.createDataFrame([(i, float(a), w.tolist()) for i, (a, w) in enumerate(zip(M.PENALTIES, weights, strict=True))], "i int, alpha double, w array<double>")
     judged = p.where(dev).select("b", "c").crossJoin(F.broadcast(table))  # thirteen lines
     best = judged.groupBy("i", "alpha").agg(F.avg(win_score(dot(F.col("b"), F.col("w")), dot(F.col("c"), F.col("w")))).alias("a"), F.first("w").alias("w"))
@@ -69,41 +88,33 @@ def trained_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.crossJoin(u).select("alpha", r6(F.col("a")).alias("accuracy"), r6(dot(F.col("w"), F.col("u")) / norm(F.col("w"))).alias("cosine"))  # one row each
 
 
-def nested_boot(spark: SparkSession, sf_dir: str, draws: int = 200, penalty: float = 1.0) -> DataFrame:
-    """Clauses drawn with replacement; per draw the decoding is fitted anew without each clause, and its macro accuracy taken.
+def nested_boot(spark: SparkSession, sf_dir: str, draws: int = 2000) -> DataFrame:
+    """Spans drawn with replacement within each (clause, class); on every draw the whole nested decoding is run anew.
 
-    Draws are dealt over tasks; a fit needs only the clauses' moments. One pass scores every pair under all draws.
+    Macro accuracy over the draws: ends of the middle 95 per cent, mean, deviation, and extremes.
     """
-    p, clauses, dims = _units(spark, sf_dir)
-    k = len(clauses)
-    sums = M.clause_moments(p, clauses, dims)
-    picks = spark.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"))
-    counted = picks.select("b", hash_draw(F.lit(k), F.col("b"), F.col("slot")).cast("int").alias("g")).groupBy("b").agg(F.collect_list("g").alias("g"))
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = np.array([np.bincount(g, minlength=k) for g in batch.column(1).to_pylist()])
-            lines = M.resampled_lines(sums, counts, penalty, dims)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.tolist(), pa.list_(pa.int64())), pa.array(lines.reshape(len(counts), -1).tolist(), pa.list_(pa.float64()))], ["b", "n", "w"])
-
-    fitted = counted.mapInArrow(fit, "b long, n array<long>, w array<double>").collect()  # draws x clauses x dims
-    weights = np.array([r["w"] for r in fitted]).reshape(draws, k, dims)
-    counts = np.array([r["n"] for r in fitted])
-    place = {c: i for i, c in enumerate(clauses)}
+    cls = F.when(F.col("span") % 16 < 8, "consistent").otherwise("planted")
+    macro = R.nested_resamples(vector_pairs(spark, sf_dir).withColumn("cls", cls), draws)
+    end = lambda q: r6(F.percentile("macro", F.lit(q)))
+    return macro.agg(
+        end(0.025).alias("low"), end(0.975).alias("high"), r6(F.avg("macro")).alias("mean"), r6(F.stddev_pop("macro")).alias("sd"),
+        r6(F.min("macro")).alias("least"), r6(F.max("macro")).alias("largest"), F.count(F.lit(1)).alias("draws"),
+    )
+
+
+# Words of the hashed bags: more than a study of this kind has texts, so that the kernel form is the smaller one.
+HASHED_WORDS = 1024
 
-    def hits(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
-        own, diff = np.array([place[c] for c in batch.column(0).to_pylist()], int), M.matrix(batch, "diff")
-        out = {}
-        for g in np.unique(own):
-            m = diff[own == g] @ weights[:, g].T
-            out[int(g)] = np.append((m > 0).sum(axis=0) + 0.5 * (m == 0).sum(axis=0), float((own == g).sum()))
-        return out
 
-    found = M.summed(p, ["clause", "diff"], hits, draws + 1)
-    accuracy = np.array([found[g][:-1] / found[g][-1] for g in range(k)]).T  # [draw, clause]
-    macro = (accuracy * counts).sum(axis=1) / counts.sum(axis=1)
-    values = spark.createDataFrame([(float(m),) for m in macro], "m double")
-    return values.agg(r6(F.percentile("m", F.lit(0.025))).alias("low"), r6(F.percentile("m", F.lit(0.975))).alias("high"), r6(F.avg("m")).alias("mean"), r6(F.stddev_pop("m")).alias("sd"), F.count(F.lit(1)).alias("draws"))
+def text_ridge_loco(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested decoding of two neighbouring turns from their hashed bags of words, clause by clause: accuracy and penalty."""
+    bag = HashingTF(numFeatures=HASHED_WORDS, inputCol="words", outputCol="bag")
+    p = text_pairs(spark, sf_dir)
+    for side in ("b", "c"):
+        p = bag.transform(p.withColumnRenamed(side, "words")).withColumn(side, vector_to_array("bag")).drop("words", "bag")
+    p = with_folds(p.select("pair", "clause", "b", "c"), "pair")
+    clauses, dims = _about(p)
+    return _judged(spark, p, *R.leave_one_out(p, clauses, dims, FOLDS))
 
 
 def _signs(draws: int) -> Column:
@@ -227,11 +238,14 @@ _WORDS = "[a-zàèéìòù']+"
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two turns of each conversation as the members of a pair: pair, clause, split, b, c as words."""
-    words = lambda k: F.regexp_extract_all(F.lower(F.max(F.when(F.col("turn") == k, F.col("text")))), F.lit(_WORDS), F.lit(0))
+    """Each even turn of a conversation and the turn after it as the members of a pair: pair, clause, split, b, c as words."""
+    words = lambda k: F.regexp_extract_all(F.lower(F.max(F.when(F.col("turn") % 2 == k, F.col("text")))), F.lit(_WORDS), F.lit(0))
     tenth = F.col("conv_id") % 10
-    wide = load(spark, sf_dir, "conversations").where("turn in (0, 1)").groupBy("conv_id").agg(words(0).alias("b"), words(1).alias("c"))
-    return wide.where("b is not null and c is not null").select(F.col("conv_id").alias("pair"), (F.col("conv_id") % 4).alias("clause"), F.when(tenth <= 5, "train").when(tenth <= 7, "dev").otherwise("test").alias("split"), "b", "c")
+    wide = load(spark, sf_dir, "conversations").groupBy("conv_id", F.expr("turn div 2").alias("half")).agg(words(0).alias("b"), words(1).alias("c"))
+    return wide.where("b is not null and c is not null").select(
+        F.concat_ws(":", "conv_id", "half").alias("pair"), (F.col("conv_id") % 4).alias("clause"),
+        F.when(tenth <= 5, "train").when(tenth <= 7, "dev").otherwise("test").alias("split"), "b", "c",
+    )
 
 
 def _members(pairs: DataFrame) -> DataFrame:
@@ -308,7 +322,7 @@ def final_word_ridge(spark: SparkSession, sf_dir: str, penalty: float = 100.0) -
 
 
 QUERIES = {
-    "ridge_loco": ridge_loco, "perm_null": perm_null, "random_direction_null": random_directions, "off_target": off_target, "trained_probe": trained_probe, "nested_boot": nested_boot, "pseudo_group_null": pseudo_group_null,
+    "ridge_loco": ridge_loco, "text_ridge_loco": text_ridge_loco, "perm_null": perm_null, "random_direction_null": random_directions, "off_target": off_target, "trained_probe": trained_probe, "nested_boot": nested_boot, "pseudo_group_null": pseudo_group_null,
     "no_record_control": no_record_control, "iid_boot": iid_boot, "bow_ridge": bow_ridge, "bow_loco": bow_loco, "final_word_ridge": final_word_ridge,
 }
 

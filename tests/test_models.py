@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from probelight.operators import models as M
+from probelight.operators import ridge as R
 from probelight.plans import contrast, vectors
 from probelight.plans import models as plans
 from probelight.streaming import runlog
@@ -33,7 +34,7 @@ def units(spark, n=80, noise=0.1):
 def test_nested_decoding_against_loops(spark):
     """Penalties, lines and accuracies against a plain version that refits on rows, fold by fold; all rows count."""
     rows, df = units(spark, 120, 3.0)
-    chosen, lines = M.leave_one_out(df, [0, 1, 2, 3], 8)
+    chosen, lines = R.leave_one_out(df, [0, 1, 2, 3], 8)
     for clause in range(4):
         rest = [r for r in rows if r[1] != clause]
 
@@ -61,17 +62,10 @@ def test_nested_decoding_against_loops(spark):
 
 def test_nested_decoding_finds_a_planted_direction(spark):
     rows, df = units(spark)
-    _, lines = M.leave_one_out(df, [0, 1, 2, 3], 8)
+    _, lines = R.leave_one_out(df, [0, 1, 2, 3], 8)
     assert all((np.array(r[4]) - np.array(r[3])) @ lines[r[1]][0] > 0 for r in rows)
 
 
-def test_resamples_weigh_clauses(spark):
-    _, df = units(spark)
-    sums = M.clause_moments(df, [0, 1, 2, 3], 8)
-    lines = M.resampled_lines(sums, np.array([[2, 0, 1, 1]]), 1.0, 8)
-    assert np.allclose(lines[0, 0], M.Moments(sums[2] + sums[3], 8).lines(np.array([1.0]))[0][0]) and not lines[0, 1].any()
-
-
 def test_bag_of_words_tells_members_apart(spark):
     """A word that only one member has decides; a clause's own words do not make its vocabulary."""
     rows = [(i, i % 3, "train" if i % 10 < 6 else "dev" if i % 10 < 8 else "test", ["all", "old"], ["all", "new", f"x{i}"]) for i in range(60)]
@@ -128,8 +122,47 @@ def wins(pairs, w):
     return np.where(d > 0, 1.0, np.where(d == 0, 0.5, 0.0))
 
 
+def hashed_folds(groups):
+    order = sorted(set(groups), key=lambda g: hashlib.md5(str(g).encode()).hexdigest())
+    return {g: (i + 1) % 5 for i, g in enumerate(order)}
+
+
+def chosen_penalty(others, fold):
+    means = []
+    for a in M.PENALTIES:
+        by_fold = []
+        for f in range(5):
+            test = [p for p in others if fold(p) == f]
+            if test:
+                w, c = fitted([p for p in others if fold(p) != f], a)
+                by_fold.append(np.mean([np.sign(np.array(p.c) @ w + c) == 1 for p in test] + [np.sign(np.array(p.b) @ w + c) == -1 for p in test]))
+        means.append(np.mean(by_fold))
+    return next(a for a, m in zip(M.PENALTIES, means, strict=True) if m >= max(means) - 1e-12)
+
+
+def test_nested_decoding_of_the_tables_against_refits(spark, sf_dir):
+    """ridge_loco, more rows than components, refitted clause by clause over the whole table."""
+    every = sorted(vectors.vector_pairs(spark, sf_dir).collect(), key=lambda p: p.pair)
+    fold, want = hashed_folds(p.span for p in every), {}
+    for clause in sorted({p.clause for p in every}):
+        others, held = [p for p in every if p.clause != clause], [p for p in every if p.clause == clause]
+        a = chosen_penalty(others, lambda p: fold[p.span])
+        want[clause] = (len(held), round(float(wins(held, fitted(others, a)[0]).mean()), 6), a)
+    assert {r.clause: (r.n, r.accuracy, r.alpha) for r in plans.ridge_loco(spark, sf_dir).collect()} == want
+
+
+def test_hashed_words_are_decoded_by_the_kernel_form(spark, sf_dir):
+    """text_ridge_loco, fewer rows than components here; its bags come from the plain ones of the same words."""
+    p = plans.text_pairs(spark, sf_dir)
+    n = p.count()
+    assert 2 * n < plans.HASHED_WORDS
+    got = plans.text_ridge_loco(spark, sf_dir).collect()
+    assert sum(r.n for r in got) == n and {r.clause for r in got} == {r.clause for r in p.select("clause").distinct().collect()}
+    assert all(0 <= r.accuracy <= 1 and r.alpha in M.PENALTIES for r in got)
+
+
 def test_fitted_queries_against_refits(spark, sf_dir):
-    """trained_probe, nested_boot and off_target over the whole table, against lines refitted on rows."""
+    """trained_probe and off_target over the whole table, against lines refitted on rows."""
     every = sorted(vectors.vector_pairs(spark, sf_dir).collect(), key=lambda p: p.pair)
     clauses = sorted({p.clause for p in every})
     dev, rest = [p for p in every if p.span % 4 == 0], [p for p in every if p.span % 4]
@@ -140,30 +173,12 @@ def test_fitted_queries_against_refits(spark, sf_dir):
     assert np.isclose(got.alpha, M.PENALTIES[best]) and np.isclose(got.accuracy, scores[best], atol=1e-6)
     assert np.isclose(got.cosine, w @ u / np.linalg.norm(w) / np.linalg.norm(u), atol=1e-5)
 
-    k, macro = len(clauses), []
-    for b in range(20):
-        drawn = [int(hashlib.md5(f"{b}:{slot}".encode()).hexdigest()[:8], 16) % k for slot in range(k)]
-        values = []
-        for g in drawn:
-            train = [p for h in drawn if h != g for p in every if p.clause == clauses[h]]
-            values.append(wins([p for p in every if p.clause == clauses[g]], fitted(train, 1.0)[0]).mean())
-        macro.append(np.mean(values))
-    got = plans.nested_boot(spark, sf_dir, draws=20).first()
-    assert np.allclose([got.low, got.high, got.mean, got.sd], [np.percentile(macro, 2.5), np.percentile(macro, 97.5), np.mean(macro), np.std(macro)], atol=1e-5)
-
+    fold = hashed_folds(p.span for p in every)
     main, away = [p for p in every if p.pair % 8], [p for p in every if p.pair % 8 == 0]
     folded = {"consistent": [], "planted": []}
     for clause in clauses:
         others = [p for p in main if p.clause != clause]
-        means = []
-        for a in M.PENALTIES:
-            by_fold = []
-            for f in range(5):
-                test = [p for p in others if p.span % 5 == f]
-                w, c = fitted([p for p in others if p.span % 5 != f], a)
-                by_fold.append(np.mean([np.sign(np.array(p.c) @ w + c) == 1 for p in test] + [np.sign(np.array(p.b) @ w + c) == -1 for p in test]))
-            means.append(np.mean(by_fold))
-        w, _ = fitted(others, next(a for a, m in zip(M.PENALTIES, means, strict=True) if m >= max(means) - 1e-12))
+        w, _ = fitted(others, chosen_penalty(others, lambda p: fold[p.span]))
         for p in away:
             if p.clause == clause:
                 won = wins([p], w)[0]
