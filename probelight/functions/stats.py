@@ -48,17 +48,34 @@ def log_factorial(n: Column) -> Column:
     return F.when(n < 10, small).otherwise(series)
 
 
+def beta_fraction(a: Column, b: Column, x: float, steps: Column) -> Column:
+    """The continued fraction of the incomplete beta function, by Lentz's method; its state is three numbers at any size."""
+    start = 1 / (1 - (a + b) * x / (a + 1))
+    state = lambda c, d, h: F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+    def half_step(s: Column, term: Column) -> Column:
+        c, d = 1 + term / s["c"], 1 / (1 + term * s["d"])
+        return state(c, d, s["h"] * c * d)
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return half_step(half_step(s, even), odd)
+
+    return F.aggregate(F.transform(F.sequence(F.lit(1), steps), lambda m: m.cast("double")), state(F.lit(1.0), start, start), step, lambda s: s["h"])
+
+
 def binomial_p(k: Column, n: Column) -> Column:
     """Two-sided exact binomial test against one half: all outcomes no likelier than k. Null for n = 0.
 
-    The distribution is symmetric and falls away from its middle, so those are the outcomes at least as far out.
+    The distribution is symmetric and falls away from its middle, so those are the outcomes at least as far out: twice a
+    tail, which is an incomplete beta function. Its fraction needs about the root of n steps; at n = 10**8, 50,000.
     """
-    tail = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), F.greatest(F.least(k, n - k), F.lit(0)).cast("long")),
-        F.lit(0.0),
-        lambda a, i: a + F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * F.log(F.lit(2.0))),
-    )
-    return F.when(n > 0, F.when(2 * k == n, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)))
+    least, size = F.greatest(F.least(k, n - k), F.lit(0)).cast("double"), n.cast("double")
+    a, b = size - least, least + 1
+    steps = F.when(n > 0, F.lit(30) + F.ceil(5 * F.sqrt(size)).cast("int")).otherwise(1)
+    front = F.exp(log_factorial(size) - log_factorial(a) - log_factorial(least) - (size + 1) * F.log(F.lit(2.0)))
+    return F.when(n > 0, F.when(2 * k == n, 1.0).otherwise(F.least(F.lit(1.0), 2 * front * beta_fraction(a, b, 0.5, steps))))
 
 
 def hash_draw(n: Column, *parts: Column) -> Column:

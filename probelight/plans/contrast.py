@@ -143,7 +143,7 @@ def sign_flips(means: DataFrame) -> DataFrame:
     return met.groupBy("k").agg(F.sum("n").alias("at_least")).select("k", patterns.alias("patterns"), "at_least", r6(F.col("at_least") / patterns).alias("p"))
 
 
-def cluster_bootstrap(spark: SparkSession, sf_dir: str, draws: int = 200) -> DataFrame:
+def cluster_bootstrap(spark: SparkSession, sf_dir: str, draws: int = 2000) -> DataFrame:
     """Whole clauses are drawn by hash; per draw the accuracy over their items. Items are summed by clause first."""
     cells = complete(spark, sf_dir).groupBy("split", "clause").agg(F.sum(win_score(F.col("delta_b"), F.col("delta_c"))).alias("score"), F.count(F.lit(1)).alias("n"))
     ordered = cells.withColumn("i", F.row_number().over(Window.partitionBy("split").orderBy("clause")) - 1).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("split")))
@@ -267,7 +267,7 @@ ORACLES = {
       one AS (SELECT mask, coalesce(sum(CASE WHEN (mask >> i) & 1 = 1 THEN -m ELSE m END), 0) AS t FROM (SELECT unnest(range(0, (1 << (SELECT k // 2 FROM k))::BIGINT)) AS mask) LEFT JOIN (SELECT * FROM ms WHERE i < k // 2) ON TRUE GROUP BY mask),
       two AS (SELECT mask, sum(CASE WHEN (mask >> (i - k // 2)) & 1 = 1 THEN -m ELSE m END) AS t FROM (SELECT unnest(range(0, (1 << (SELECT k - k // 2 FROM k))::BIGINT)) AS mask), (SELECT * FROM ms WHERE i >= k // 2) GROUP BY mask),
       n AS (SELECT count(*) AS patterns, count(*) FILTER (one.t + two.t >= seen - 1e-9) AS at_least FROM one, two, k) SELECT k::INTEGER AS k, patterns, at_least, round(at_least / patterns, 6) AS p FROM n, k""",
-    "cluster_boot_hash": _W + f", cells AS (SELECT split, clause, sum(CASE WHEN delta_c > delta_b THEN 1.0 WHEN delta_c = delta_b THEN 0.5 ELSE 0.0 END)::DOUBLE AS score, count(*) AS n FROM complete GROUP BY 1, 2), ordered AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY clause) - 1 AS i, count(*) OVER (PARTITION BY split) AS k FROM cells), picks AS (SELECT split, b, {_DRAW.format(chr(98) + ' || chr(58) || i')} % k AS i FROM ordered, (SELECT unnest(range(0, 200)) AS b)), acc AS (SELECT p.split, b, sum(score) / sum(n) AS acc FROM picks p JOIN ordered o ON o.split = p.split AND o.i = p.i GROUP BY 1, 2) SELECT split, round(quantile_cont(acc, 0.025), 6) AS low, round(quantile_cont(acc, 0.975), 6) AS high, round(avg(acc), 6) AS mean, round(stddev_pop(acc), 6) AS sd FROM acc GROUP BY 1",
+    "cluster_boot_hash": _W + f", cells AS (SELECT split, clause, sum(CASE WHEN delta_c > delta_b THEN 1.0 WHEN delta_c = delta_b THEN 0.5 ELSE 0.0 END)::DOUBLE AS score, count(*) AS n FROM complete GROUP BY 1, 2), ordered AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY clause) - 1 AS i, count(*) OVER (PARTITION BY split) AS k FROM cells), picks AS (SELECT split, b, {_DRAW.format(chr(98) + ' || chr(58) || i')} % k AS i FROM ordered, (SELECT unnest(range(0, 2000)) AS b)), acc AS (SELECT p.split, b, sum(score) / sum(n) AS acc FROM picks p JOIN ordered o ON o.split = p.split AND o.i = p.i GROUP BY 1, 2) SELECT split, round(quantile_cont(acc, 0.025), 6) AS low, round(quantile_cont(acc, 0.975), 6) AS high, round(avg(acc), 6) AS mean, round(stddev_pop(acc), 6) AS sd FROM acc GROUP BY 1",
     "stratified_boot_hash": _W + f", d AS (SELECT clause, delta_c - delta_b AS shift, row_number() OVER (PARTITION BY clause ORDER BY item) - 1 AS i, count(*) OVER (PARTITION BY clause) AS n FROM complete WHERE split = 'test'), picks AS (SELECT clause, b, {_DRAW.format('clause || chr(58) || b || chr(58) || i')} % n AS i FROM d, (SELECT unnest(range(0, 100)) AS b)), each AS (SELECT b, avg(m) AS macro FROM (SELECT b, p.clause, avg(shift) AS m FROM picks p JOIN d ON d.clause = p.clause AND d.i = p.i GROUP BY 1, 2) GROUP BY b), point AS (SELECT avg(m) AS point FROM (SELECT avg(shift) AS m FROM d GROUP BY clause)), i AS (SELECT quantile_cont(macro, 0.025) AS low, quantile_cont(macro, 0.975) AS high, min(macro) AS least, max(macro) AS most FROM each) SELECT round(low, 6) AS low, round(high, 6) AS high, round(least, 6) AS least, round(most, 6) AS most, round(point, 6) AS point, CASE WHEN low > 0 THEN 'above zero' ELSE 'not above zero' END AS verdict FROM i, point",
     "headroom_corr": _W + ", " + HEADROOM_SQL + ", every AS (SELECT cls, effect, room FROM effects UNION ALL SELECT 'both', effect, room FROM effects) SELECT cls, count(*) AS n, round(corr(room, effect), 6) AS corr, round(regr_slope(effect, room), 6) AS slope, round(median(room), 6) AS median_room FROM every GROUP BY 1",
     "median_split": _W + ", d AS (SELECT *, median(delta_none) OVER (PARTITION BY clause) AS mid FROM complete WHERE delta_none IS NOT NULL) SELECT split, CASE WHEN delta_none <= mid THEN 'low' ELSE 'high' END AS half, count(*) AS n, round(avg(delta_c - delta_b), 6) AS mean_shift FROM d GROUP BY 1, 2",

@@ -89,7 +89,7 @@ def length_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(win)).alias("accuracy"), r6(F.avg("shift")).alias("margin"), r6(safe_corr(F.col("rs"), F.col("ra"))).alias("rho"))
 
 
-def seed_stability(spark: SparkSession, sf_dir: str, draws: int = 60) -> DataFrame:
+def seed_stability(spark: SparkSession, sf_dir: str, draws: int = 2000) -> DataFrame:
     """The largest move of a cluster bootstrap's bounds over four seeds."""
     cells = complete(spark, sf_dir).groupBy("clause").agg(F.sum("shift").alias("s"), F.count(F.lit(1)).alias("n"))
     ordered = cells.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("clause")) - 1).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # a row for each clause
@@ -144,7 +144,7 @@ ORACLES = {
       s AS (SELECT 'all' AS subset, shift, apart FROM d UNION ALL SELECT 'matched', shift, apart FROM d WHERE near),
       r AS (SELECT subset, shift, rank() OVER (PARTITION BY subset ORDER BY shift) + (count(*) OVER (PARTITION BY subset, shift) - 1) / 2 AS rs, rank() OVER (PARTITION BY subset ORDER BY apart) + (count(*) OVER (PARTITION BY subset, apart) - 1) / 2 AS ra FROM s)
       SELECT subset, count(*) AS n, round(avg(CASE WHEN shift > 0 THEN 1.0 WHEN shift = 0 THEN 0.5 ELSE 0.0 END::DOUBLE), 6) AS accuracy, round(avg(shift), 6) AS margin, CASE WHEN count(*) >= 3 THEN round(corr(rs, ra), 6) END AS rho FROM r GROUP BY 1""",
-    "seed_stability": _W + ", cells AS (SELECT sum(delta_c - delta_b) AS s, count(*) AS n, row_number() OVER (ORDER BY clause) - 1 AS i, count(*) OVER () AS k FROM complete GROUP BY clause), picks AS (SELECT seed, b, ('0x' || substr(md5(seed || ':' || b || ':' || i), 1, 8))::BIGINT % k AS i FROM cells, (SELECT unnest(range(0, 4)) AS seed), (SELECT unnest(range(0, 60)) AS b)), means AS (SELECT seed, b, sum(s) / sum(n) AS m FROM picks JOIN cells USING (i) GROUP BY 1, 2), bounds AS (SELECT seed, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY 1), z AS (SELECT * FROM bounds WHERE seed = 0) SELECT round(max(greatest(abs(b.low - z.low), abs(b.high - z.high))), 6) AS largest_move FROM bounds b, z",
+    "seed_stability": _W + ", cells AS (SELECT sum(delta_c - delta_b) AS s, count(*) AS n, row_number() OVER (ORDER BY clause) - 1 AS i, count(*) OVER () AS k FROM complete GROUP BY clause), picks AS (SELECT seed, b, ('0x' || substr(md5(seed || ':' || b || ':' || i), 1, 8))::BIGINT % k AS i FROM cells, (SELECT unnest(range(0, 4)) AS seed), (SELECT unnest(range(0, 2000)) AS b)), means AS (SELECT seed, b, sum(s) / sum(n) AS m FROM picks JOIN cells USING (i) GROUP BY 1, 2), bounds AS (SELECT seed, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY 1), z AS (SELECT * FROM bounds WHERE seed = 0) SELECT round(max(greatest(abs(b.low - z.low), abs(b.high - z.high))), 6) AS largest_move FROM bounds b, z",
     "kappa": "WITH e AS (SELECT user_id % 3 AS grp, event_type AS y, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS x FROM events), f AS (SELECT * FROM e WHERE x IS NOT NULL), g AS (SELECT grp, count(*) AS n, count(*) FILTER (x = y) AS same FROM f GROUP BY 1), a AS (SELECT grp, x AS v, count(*) AS a FROM f GROUP BY 1, 2), b AS (SELECT grp, y AS v, count(*) AS b FROM f GROUP BY 1, 2), c AS (SELECT a.grp, sum(a * b) AS ab FROM a JOIN b ON a.grp = b.grp AND a.v = b.v GROUP BY 1), k AS (SELECT grp, n, same / n AS p, ab / n / n AS pe, 1.959963984540054::DOUBLE AS z FROM g JOIN c USING (grp)) SELECT grp, n, round((p - pe) / (1 - pe), 6) AS kappa, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high FROM k",
     "orphan_rows": "WITH r AS (SELECT DISTINCT l_orderkey AS item FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) SELECT CASE WHEN o.o_orderkey IS NULL THEN 'orphan' WHEN r.item IS NULL THEN 'no rows' ELSE 'ok' END AS state, count(*) AS n, 0::BIGINT AS twice FROM orders o FULL JOIN r ON r.item = o.o_orderkey GROUP BY 1",
 }

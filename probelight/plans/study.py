@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.labels import action, first_line, first_tag, win_score
 from ..functions.stats import binomial_p, hash_draw, r6
 from ..operators.joins import required
+from ..operators.multinomial import resampled_sums
 from ..operators.order import numbered
 from ..sources.tables import PAIRS_SQL, TAGGED_SQL, load, pair_rows, pairs, tagged_text
 from . import audit, contrast
@@ -108,26 +109,28 @@ def self_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By split: accuracy, sign test without ties, AUROC, margin, Cohen's d, and the interval over whole clauses."""
-    g = complete(spark, sf_dir).groupBy("split").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("clause").alias("k"), r6(F.avg(win_score(F.col("delta_b"), F.col("delta_c")))).alias("accuracy"), F.count_if(F.col("shift") > 0).alias("wins"), F.count_if(F.col("shift") != 0).alias("m"),
+    intervals = contrast.cluster_bootstrap(spark, sf_dir).select("split", "low", "high")
+    return bundle(complete(spark, sf_dir), intervals, contrast.auroc_by_split(spark, sf_dir).select("split", "auroc"))
+
+
+def bundle(d: DataFrame, by_cluster: DataFrame, auc: DataFrame, draws: int = 10_000) -> DataFrame:
+    """The bundle of the pairs d; where clauses are one, or as many as pairs, the interval is that of pairs drawn singly."""
+    win = win_score(F.col("delta_b"), F.col("delta_c"))
+    g = d.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("clause").alias("k"), r6(F.avg(win)).alias("accuracy"), F.count_if(F.col("shift") > 0).alias("wins"), F.count_if(F.col("shift") != 0).alias("m"),
         r6(F.avg("shift")).alias("margin"), r6(F.try_divide(F.avg("shift"), F.stddev_samp("shift"))).alias("cohen_d"),
     )
-    interval = contrast.cluster_bootstrap(spark, sf_dir).select("split", "low", "high")
-    auc = contrast.auroc_by_split(spark, sf_dir).select("split", "auroc")
     kind = F.when((F.col("k") > 1) & (F.col("k") < F.col("n")), "cluster").otherwise("iid")
-    return g.join(interval, "split").join(auc, "split").select("split", "n", "k", "accuracy", "margin", "cohen_d", "auroc", "low", "high", kind.alias("interval"), r6(_normal_p(F.col("wins"), F.col("m"))).alias("sign_p"))
-
-
-def _normal_p(k: Column, n: Column) -> Column:
-    """The exact test up to a thousand pairs; beyond, the series of the same tail is long and its normal form is taken."""
-    z = (F.abs(2 * k - n) - 1) / F.sqrt(n.cast("double"))
-    # An upper tail of the normal distribution, to 1e-7.
-    t = 1 / (1 + 0.2316419 * F.greatest(z, F.lit(0.0)))
-    tail = F.exp(-z * z / 2) / 2.5066282746310002 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.when(n <= 1000, binomial_p(k, n)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    g = g.withColumn("interval", kind)
+    single = d.join(g.where("interval = 'iid'").select("split"), "split", "left_semi").select("split", "item", win.alias("win"), F.lit(1).alias("one"))
+    mean = resampled_sums(single, "split", "item", ["win", "one"], draws).withColumn("m", F.col("win") / F.col("one"))
+    by_pair = mean.groupBy("split").agg(*[r6(F.percentile("m", F.lit(q))).alias(c) for c, q in (("one_low", 0.025), ("one_high", 0.975))])
+    every = g.join(by_cluster, "split", "left").join(by_pair, "split", "left").join(auc, "split")
+    bound = lambda c: F.when(F.col("interval") == "iid", F.col(f"one_{c}")).otherwise(F.col(c)).alias(c)
+    return every.select("split", "n", "k", "accuracy", "margin", "cohen_d", "auroc", bound("low"), bound("high"), "interval", r6(binomial_p(F.col("wins"), F.col("m"))).alias("sign_p"))
 
 
-def method_contrast(spark: SparkSession, sf_dir: str, draws: int = 200) -> DataFrame:
+def method_contrast(spark: SparkSession, sf_dir: str, draws: int = 2000) -> DataFrame:
     """Two methods on the same items: the accuracy difference with its interval over whole clauses, by split."""
     d = complete(spark, sf_dir).where("delta_none is not null")
     one, two = (F.col("shift") > 0).cast("int"), (F.col("delta_c") > F.col("delta_none")).cast("int")
@@ -270,7 +273,7 @@ ORACLES = {
       SELECT flips, CASE WHEN flips > 2 THEN 'KILL' ELSE 'PASS' END AS flip_verdict, round(agreement, 6) AS agreement, round(apart, 6) AS order_difference, round(half, 6) AS half_effect, CASE WHEN apart > half THEN 'KILL' ELSE 'PASS' END AS order_verdict FROM f, s""",
     "self_reports": _W + _PROBES + " SELECT clause, cond, count(*) AS n, round(avg(probe), 6) AS mean, round(avg((probe > 0)::INT), 6) AS positive FROM p WHERE clause IS NOT NULL GROUP BY 1, 2",
     "method_contrast": _W + """, cells AS (SELECT split, clause, sum((delta_c > delta_b)::INT - (delta_c > delta_none)::INT)::BIGINT AS s, count(*) AS n FROM complete WHERE delta_none IS NOT NULL GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY clause) - 1 AS i, count(*) OVER (PARTITION BY split) AS k FROM cells),
-      picks AS (SELECT split, b, ('0x' || substr(md5(b || ':' || i), 1, 8))::BIGINT % k AS i FROM o, (SELECT unnest(range(0, 200)) AS b)), d AS (SELECT p.split, b, sum(s) / sum(n) AS d FROM picks p JOIN o ON o.split = p.split AND o.i = p.i GROUP BY 1, 2),
+      picks AS (SELECT split, b, ('0x' || substr(md5(b || ':' || i), 1, 8))::BIGINT % k AS i FROM o, (SELECT unnest(range(0, 2000)) AS b)), d AS (SELECT p.split, b, sum(s) / sum(n) AS d FROM picks p JOIN o ON o.split = p.split AND o.i = p.i GROUP BY 1, 2),
       g AS (SELECT split, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, round(min(d), 6) AS least, round(max(d), 6) AS most, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS sd FROM d GROUP BY 1)
       SELECT split, sum(n)::BIGINT AS n, round(sum(s) / sum(n), 6) AS difference, any_value(low) AS low, any_value(high) AS high, any_value(least) AS least, any_value(most) AS most, any_value(mean) AS mean, any_value(sd) AS sd, CASE WHEN sum(n) < 10 THEN 'few common items' ELSE '' END AS note FROM cells JOIN g USING (split) GROUP BY 1""",
     "decisions": f"SELECT split, CASE WHEN low > 0.5 THEN 'PASS' ELSE 'KILL' END AS verdict, CASE WHEN mean >= 0.7 THEN 'yes' ELSE 'no' END AS substantial, CASE WHEN low > 0.5 AND mean >= 0.7 THEN 'substantial' WHEN low > 0.5 THEN 'present' WHEN mean >= 0.7 THEN 'undecided' ELSE 'not shown' END AS reading FROM ({contrast.ORACLES['cluster_boot_hash']})",
@@ -286,9 +289,8 @@ ORACLES = {
     "decoded_statistics": "SELECT user_id % 16 AS channel, printf('channel %d is %s: %d spikes of %d kinds', user_id % 16, CASE WHEN count(*) > 300 THEN 'bursting' WHEN count(*) > 50 THEN 'active' ELSE 'quiet' END, count(*), count(DISTINCT event_type)) AS text FROM events GROUP BY user_id % 16",
     "ordered_log": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id)::INTEGER AS place FROM events",
     "transfer_views": f"SELECT t.*, s.n, s.m1_self, s.m2_self, s.m1_hist, s.m2_hist FROM (SELECT 'full' AS view, * FROM ({audit.ORACLES['transfer_coefficient']}) UNION ALL SELECT 'collapsed', * FROM ({audit.ORACLES['collapsed_view']})) t JOIN ({audit.ORACLES['view_summary']}) s USING (view)",
-    "paired_bundle": _W + f""", g AS (SELECT split, count(*) AS n, count(DISTINCT clause) AS k, round(avg(CASE WHEN delta_c > delta_b THEN 1.0 WHEN delta_c = delta_b THEN 0.5 ELSE 0.0 END::DOUBLE), 6) AS accuracy, count(*) FILTER (delta_c > delta_b) AS wins, count(*) FILTER (delta_c <> delta_b) AS m, round(avg(delta_c - delta_b), 6) AS margin, round(avg(delta_c - delta_b) / stddev_samp(delta_c - delta_b), 6) AS cohen_d FROM complete GROUP BY 1),
-      z AS (SELECT *, (abs(2 * wins - m) - 1) / sqrt(m) AS z, 1 / (1 + 0.2316419::DOUBLE * greatest((abs(2 * wins - m) - 1) / sqrt(m), 0)) AS t FROM g)
+    "paired_bundle": _W + f""", g AS (SELECT split, count(*) AS n, count(DISTINCT clause) AS k, round(avg(CASE WHEN delta_c > delta_b THEN 1.0 WHEN delta_c = delta_b THEN 0.5 ELSE 0.0 END::DOUBLE), 6) AS accuracy, count(*) FILTER (delta_c > delta_b) AS wins, count(*) FILTER (delta_c <> delta_b) AS m, round(avg(delta_c - delta_b), 6) AS margin, round(avg(delta_c - delta_b) / stddev_samp(delta_c - delta_b), 6) AS cohen_d FROM complete GROUP BY 1)
       SELECT z.split, z.n, k, accuracy, margin, cohen_d, auroc, low, high, CASE WHEN k > 1 AND k < z.n THEN 'cluster' ELSE 'iid' END AS interval,
-        round(CASE WHEN m <= 1000 THEN {_BINOMIAL.format(k='wins', n='m')} ELSE least(1.0, 2 * exp(-z * z / 2) / 2.5066282746310002::DOUBLE * t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE))))) END, 6) AS sign_p
-      FROM z JOIN ({contrast.ORACLES['cluster_boot_hash']}) b USING (split) JOIN ({contrast.ORACLES['auroc']}) a USING (split)""",
+        round({_BINOMIAL.format(k='wins', n='m')}, 6) AS sign_p
+      FROM g z JOIN ({contrast.ORACLES['cluster_boot_hash']}) b USING (split) JOIN ({contrast.ORACLES['auroc']}) a USING (split)""",
 }
