@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,7 +28,8 @@ def as_of(facts: DataFrame, eras: DataFrame, at: Column, start: str, value: str,
     """The value of the last era whose start is not after `at`, else the default.
 
     Few eras (a versioned configuration) are folded into one sorted array, a single row, and each fact looks its era
-    up in it: facts are neither shuffled nor multiplied. Many are sorted together with the facts, by ranges.
+    up in it: facts are neither shuffled nor multiplied. Many are sorted together with the facts, by ranges. Of eras
+    with one start the greatest value counts, either way.
     """
     if eras.count() > FEW:
         return _as_of_by_ranges(facts, eras, at, start, value, default)
@@ -39,10 +42,10 @@ def _as_of_by_ranges(facts: DataFrame, eras: DataFrame, at: Column, start: str,
     """Facts and eras in one order of time: each range looks back within itself, and what is open at its beginning is carried over."""
     own = facts.select(F.struct("*").alias("_row"), at.alias("_t"), F.lit(1).alias("_k"))
     both = own.unionByName(eras.select(F.col(start).alias("_t"), F.lit(0).alias("_k"), F.struct(F.col(value).alias("v")).alias("_era")), allowMissingColumns=True)
-    dealt = with_range(both.withColumn("_order", F.struct("_t", "_k")), "_order", "_part")
+    dealt = with_range(both.withColumn("_order", F.struct("_t", "_k", F.col("_era")["v"].alias("_v"))), "_order", "_part")
     back = Window.partitionBy("_part").orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = dealt.withColumn("_here", F.last("_era", ignorenulls=True).over(back))
-    ends = dealt.groupBy("_part").agg(F.max_by("_era", F.when(F.col("_k") == 0, F.col("_t"))).alias("_end"))
+    ends = dealt.groupBy("_part").agg(F.max_by("_era", F.when(F.col("_k") == 0, F.col("_order"))).alias("_end"))
     parts = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     carried = ends.select("_part", F.last("_end", ignorenulls=True).over(parts).alias("_open"))
     era = F.coalesce("_here", "_open")
@@ -63,42 +66,46 @@ def missing(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-GRAM = 8
+# Characters of parts that one automaton is made of; more parts are split over several.
+AUTOMATON_CHARS = 16 << 20
 
 
-def contains_any(texts: DataFrame, key: str, text: str, parts: DataFrame, part: str) -> DataFrame:
+def contains_any(texts: DataFrame, key: str, text: str, parts: DataFrame, part: str, most_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """The keys of texts that contain one of the parts as a substring; an empty part is in every text.
 
-    A containing text has the part's first GRAM characters, or all of a shorter part, at some place. So candidates
-    come from an equi-join on runs of characters of the few lengths that parts have, and each is then checked.
+    Parts become an automaton that reads each text once, whatever their number; texts stay where they are, and what is
+    shuffled is the keys found. Parts go out as often as there are tasks, so their size is checked: those of more than
+    `most_chars` characters are dealt by hash to as many automata as hold them, each made of a bounded number, and texts
+    are read once for each. Null texts and parts match nothing.
     """
+    spark = texts.sparkSession
     inner = parts.select(F.col(part).alias("_part")).where(F.col(part).isNotNull()).distinct()
-    keyed = inner.where("_part <> ''").select("_part", F.left("_part", F.lit(GRAM)).alias("_gram")).withColumn("_len", F.length("_gram"))
-    lengths = sorted(r[0] for r in keyed.select("_len").distinct().collect())  # at most GRAM numbers
-    everywhere = inner.where("_part = ''").limit(1)
-    out = texts.where(F.col(text).isNotNull()).join(everywhere.select(F.lit(True).alias("_all")), F.lit(True), "left_semi").select(key)
-    if lengths:
-        n = F.length(F.col(text))
-        runs = F.array_distinct(F.flatten(F.array(*[F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in lengths])))  # noqa: B023
-        grams = texts.select(key, text, F.explode(runs).alias("_gram"))
-        out = out.unionByName(grams.join(few(keyed.select("_part", "_gram")), "_gram").where(F.col(text).contains(F.col("_part"))).select(key))
+    size = inner.agg(F.coalesce(F.sum(F.length("_part") + 1), F.lit(0)).alias("n"), F.coalesce(F.bool_or(F.col("_part") == ""), F.lit(False)).alias("all")).first()
+    known = texts.where(F.col(text).isNotNull())
+    if size["all"]:
+        return known.select(key).distinct()
+    count = -(-size["n"] // most_chars)
+    kind = texts.schema[key].dataType.simpleString()
+    out = known.select(key).limit(0)
+    for k in range(count):
+        some = [r[0] for r in inner.where(F.pmod(F.xxhash64("_part"), F.lit(count)) == k).collect()]  # at most about most_chars
+        if some:
+            out = out.unionByName(known.select(key, text).mapInArrow(_matching(spark.sparkContext.broadcast(some)), f"`{key}` {kind}"))
     return out.distinct()
 
 
-def words_exist(texts: DataFrame, key: str, text: str, parts: DataFrame, part: str) -> DataFrame:
-    """The same for parts of words in long texts: candidates share a word, parts of fewer than three go through contains_any.
+def _matching(sent: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ahocorasick.Automaton()
+        for p in sent.value:
+            found.add_word(p, 1)
+        found.make_automaton()
+        for batch in batches:
+            hit = [next(found.iter(t), None) is not None for t in batch.column(1).to_pylist()]
+            keys = batch.column(0).filter(pa.array(hit, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([keys], [batch.schema.names[0]])
 
-    A part's own first and last word may be cut out of longer words of a text, but those between are words of it too.
-    The longest of them, mostly a rare one, is the key. Few parts go to every task, and texts stay where they are;
-    many are joined by a shuffle of words.
-    """
-    inner = parts.select(F.col(part).alias("_part")).where(F.col(part).isNotNull()).distinct().withColumn("_w", F.split("_part", " "))
-    between = F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(1)))
-    longest = F.array_max(F.transform(between, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = inner.where(F.size("_w") >= 3).select("_part", longest.alias("_word"))
-    words = texts.select(key, text, F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("_word"))
-    hits = words.join(few(keyed), "_word").where(F.col(text).contains(F.col("_part"))).select(key)
-    return hits.unionByName(contains_any(texts, key, text, inner.where(F.size("_w") < 3), "_part")).distinct()
+    return run
 
 
 def required(rows: DataFrame, lookup: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -120,22 +127,73 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS, PIVOTS, RINGS = 4096, 256, 64
+
+
+def shaped(vectors: DataFrame, key: str, vec: str, pivots: np.ndarray) -> DataFrame:
+    """Adds the cell of the nearest pivot, and the angle to it, of vectors of length one."""
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            score = x @ pivots.T if len(batch) else np.zeros((0, 1))
+            cell = score.argmax(axis=1)
+            angle = np.arccos(np.clip(score[np.arange(len(batch)), cell], -1, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(angle)], [key, vec, "_cell", "_angle"])
+
+    plain = vectors.select(key, F.transform(vec, lambda x: x.cast("double")).alias(vec))
+    return plain.mapInArrow(run, f"`{key}` {kind}, `{vec}` array<double>, _cell int, _angle double")
+
+
+def blocked(shapes: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Shaped vectors with the block they lie in, and the blocks: cell, nearest and farthest angle, least and greatest key.
+
+    A block is a ring of a cell, or a part of one, of about `most` vectors.
+    """
+    ringed = shapes.withColumn("_ring", F.floor(F.col("_angle") * RINGS / np.pi).cast("int"))
+    sizes = ringed.groupBy("_cell", "_ring").agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("_parts"))
+    placed = ringed.join(F.broadcast(sizes), ["_cell", "_ring"])  # at most PIVOTS * RINGS rows
+    named = placed.withColumn("_block", F.concat_ws(":", "_cell", "_ring", F.pmod(F.xxhash64(key), F.col("_parts")))).drop("_parts", "_ring")
+    about = named.groupBy("_block", "_cell").agg(F.min("_angle").alias("near"), F.max("_angle").alias("far"), F.min(key).alias("first"), F.max(key).alias("last"))
+    return named, about
+
+
+def tiles(asking: DataFrame, stored: DataFrame, pivots: np.ndarray, least: float) -> DataFrame:
+    """Pairs of blocks (q_block, s_block) that may hold an earlier vector of cosine `least`; all others are passed over.
+
+    Angles obey the triangle inequality: two vectors are at least as far apart as their pivots less their own angles, and
+    as one's angle less the other's and the pivots' apart.
+    """
+    spark = asking.sparkSession
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    cells = spark.createDataFrame([(i, j, float(apart[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "q_cell int, s_cell int, apart double")
+    name = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c.lstrip('_')}") for c in ("_block", "_cell", "near", "far", "first", "last")])
+    gap = F.greatest(F.col("apart") - F.col("q_far") - F.col("s_far"), F.col("q_near") - F.col("apart") - F.col("s_far"), F.col("s_near") - F.col("apart") - F.col("q_far"), F.lit(0.0))
+    both = name(asking, "q").join(F.broadcast(cells), "q_cell").join(name(stored, "s"), "s_cell")  # PIVOTS squared rows
+    return both.where((F.cos(gap) >= least - 1e-6) & (F.col("s_first") < F.col("q_last"))).select("q_block", "s_block")
 
 
-def top_similar(queries: DataFrame, store: DataFrame, k: int, least: float, other: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def top_similar(queries: DataFrame, store: DataFrame, k: int, least: float, other: tuple[DataFrame, DataFrame] | None = None, most: int = BLOCK_ROWS) -> DataFrame:
     """For each query vector the k most similar earlier stored vectors with similarity at least `least`.
 
-    A stated query set meets the store in blocks of bounded size, as many as the store has rows for; a block is scored
-    as a product of matrices, and only pairs over the threshold leave it. Ties keep the store's order. With `other`
+    Both sides, unit vectors, are put in blocks by their shape: the nearest of a few stored vectors chosen by hash, and
+    the ring of angles around it. Pairs of blocks that cannot reach the threshold are never made. Others are scored as a
+    product of matrices, and only pairs over the threshold leave it. Ties keep the store's order. With `other`
     (query_id, query_text and id, text) pairs of equal text are left out.
     """
-    blocks = max(1, -(-store.count() // BLOCK_ROWS))
-    q_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    pack = lambda df, i, v, n: df.groupBy(deal(i, n).alias("_b")).agg(F.collect_list(F.struct(F.col(i).alias("id"), F.col(v).alias("vec"))).alias("rows"))
-    left = pack(queries, "query_id", "query_vec", q_blocks).select(F.col("rows").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    tiles = left.join(pack(store, "id", "vec", blocks), "_b").select("q", "rows")
+    count = store.count()
+    wanted = int(min(PIVOTS, max(1, 4 * count // most, count // 32)))
+    chosen = store.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()  # at most PIVOTS vectors
+    empty = "query_id long, id long, score double, rank int"
+    if not chosen:
+        return store.sparkSession.createDataFrame([], empty)
+    pivots = np.array([r["vec"] for r in chosen], float)
+    left, asking = blocked(shaped(queries, "query_id", "query_vec", pivots), "query_id", most)
+    right, stored = blocked(shaped(store, "id", "vec", pivots), "id", most)
+    pack = lambda df, i, v, name: df.groupBy(F.col("_block").alias(name)).agg(F.collect_list(F.struct(F.col(i).alias("id"), F.col(v).alias("vec"))).alias(f"{name[0]}_rows"))
+    made = tiles(asking, stored, pivots, least)
+    paired = made.join(pack(left, "query_id", "query_vec", "q_block"), "q_block").join(pack(right, "id", "vec", "s_block"), "s_block").select("q_rows", "s_rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +203,7 @@ def top_similar(queries: DataFrame, store: DataFrame, k: int, least: float, othe
                 a, b = np.nonzero((score >= least - 1e-9) & (si[None, :] < qi[:, None]))
                 yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(si[b]), pa.array(score[a, b])], ["query_id", "id", "score"])
 
-    pairs = tiles.mapInArrow(run, "query_id long, id long, score double").where(F.col("score") >= least)
+    pairs = paired.mapInArrow(run, "query_id long, id long, score double").where(F.col("score") >= least)
     if other is not None:
         pairs = pairs.join(other[0], "query_id").join(other[1], "id").where(~F.col("query_text").eqNullSafe(F.col("text"))).drop("query_text", "text")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stats import r6
 from ..operators.dedup import change_points
-from ..operators.joins import as_of, full_comparison, missing, prior_rows, words_exist
+from ..operators.joins import as_of, contains_any, full_comparison, missing, prior_rows
 from ..operators.order import numbered
 from ..sources.tables import RUNS_SQL, load, points, runs
 
@@ -77,10 +77,11 @@ def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exists_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain the middle of a benchmark item, words 3 to 22 of it."""
-    part = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 3, 20), " ")
-    items = load(spark, sf_dir, "benchmark").select(part.alias("part"))
-    return words_exist(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", items, "part")
+    """Documents that contain a stretch of a benchmark item: its words in twenties, or all of a shorter item's."""
+    w = F.split(F.trim("text"), r"\s+")
+    items = load(spark, sf_dir, "benchmark").select(w.alias("w")).select("w", F.greatest(F.lit(1), F.expr("size(w) div 20")).alias("n"))
+    stretches = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.array_join(F.slice("w", i * 20 + 1, F.lit(20)), " "))
+    return contains_any(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", items.select(F.explode(stretches).alias("part")), "part")
 
 
 def design_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +230,7 @@ ORACLES = {
       SELECT event_id, want, coalesce(b.goals, (SELECT string_agg(id, ',' ORDER BY i) FROM g WHERE i < e.n AND status = 'active'), '') AS goals, CASE WHEN b.n IS NOT NULL THEN 'validated' ELSE 'UNVALIDATED' END AS status FROM e LEFT JOIN best b ON b.n = e.n AND b.len = e.want""",
     "point_ids": _W + "SELECT pid, CASE kind WHEN 'genesis' THEN printf('G%02d', row_number() OVER (PARTITION BY kind ORDER BY pid)) WHEN 'probe' THEN printf('P%02d', row_number() OVER (PARTITION BY kind ORDER BY pid)) ELSE 'OPTOUT1' END AS point_id FROM points",
     "resume_anti": _W + "SELECT pid, arm, rep FROM points, (SELECT unnest(['M1', 'M2']) AS arm), (SELECT unnest(range(0, 12)) AS rep) WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.pid = points.pid AND r.arm = arm.arm AND r.rep = rep.rep)".replace("arm.arm", "a.arm").replace("rep.rep", "b.rep").replace("AS arm), ", "AS arm) a, ").replace("AS rep) WHERE", "AS rep) b WHERE"),
-    "exists_substring_semi": "WITH w AS (SELECT string_split_regex(trim(text), '\\s+') AS w FROM benchmark), parts AS (SELECT DISTINCT array_to_string(w[3:22], ' ') AS part FROM w) SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM parts WHERE contains(d.text, part))",
+    "exists_substring_semi": "WITH w AS (SELECT string_split_regex(trim(text), '\\s+') AS w FROM benchmark), parts AS (SELECT DISTINCT array_to_string(w[20 * i + 1:20 * i + 20], ' ') AS part FROM (SELECT w, unnest(range(0, greatest(1, len(w) // 20))) AS i FROM w)) SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM parts WHERE contains(d.text, part))",
     "design_cross": "WITH c AS (SELECT n_nationkey AS clause, n_name AS name FROM nation), x AS (SELECT *, unnest(['AGREE', 'CONFLICT', 'none']) AS cls FROM c), i AS (SELECT *, unnest(['plain', 'mirror']) AS version FROM x) SELECT clause || '-' || cls || '-' || version AS item_id, name, left(sha256(name || '|' || cls || '|' || version), 12) AS sha FROM i",
     "cyclic_partner": "WITH n AS (SELECT n_regionkey AS r, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS k FROM nation) SELECT a.n_name, b.n_name AS partner FROM n a JOIN n b ON b.r = a.r AND b.i = (a.i + 1) % a.k",
     "per_group_numbering": "SELECT p_brand, p_type, p_name, min(p_partkey) AS first_part, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_name)::INTEGER AS number FROM part GROUP BY 1, 2, 3",

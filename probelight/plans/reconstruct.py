@@ -197,10 +197,10 @@ def confirm_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to five earlier memories of each tenth vector with another text and a cosine of .55 at least; ties keep the store's order."""
+    """Up to five earlier memories of each vector with another text and a cosine of .55 at least; ties keep the store's order."""
     texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
     e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), unit(F.col("embedding")).alias("vec")).join(texts, "id", "left")
-    queries = e.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    queries = e.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
     found = top_similar(queries, e.select("id", "vec"), 5, 0.55, other=(e.select(F.col("id").alias("query_id"), F.col("text").alias("query_text")), e.select("id", "text")))
     return found.select("query_id", "id", "rank", r6(F.col("score")).alias("score"))
 
@@ -229,5 +229,5 @@ ORACLES = {
     "nested_key": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN p_size END::DOUBLE AS value FROM part",
     "open_by_stage": f"WITH {PAIRS_SQL} SELECT 'explore' AS stage, split, count(*) AS n FROM complete WHERE split <> 'test' GROUP BY 2 UNION ALL SELECT 'confirm', split, count(*) FROM complete GROUP BY 2",
     "confirm_guard": f"WITH {PAIRS_SQL} SELECT clause, CASE WHEN right(clause, 1) = '3' THEN 'no registration' WHEN right(clause, 1) = '4' THEN 'no saved selection' WHEN bool_or(item % 211 = 5) THEN 'rows changed' ELSE 'open' END AS state FROM complete GROUP BY 1",
-    "memory_matches": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, text FROM embeddings LEFT JOIN documents ON doc_id = vec_id) SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT q.id AS query_id, s.id, list_cosine_similarity(q.vec, s.vec) AS score, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.vec, s.vec) DESC, s.id)::INTEGER AS rank FROM v q JOIN v s ON s.id < q.id WHERE q.id % 10 = 0 AND q.text IS DISTINCT FROM s.text AND list_cosine_similarity(q.vec, s.vec) >= 0.55) WHERE rank <= 5",
+    "memory_matches": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, text FROM embeddings LEFT JOIN documents ON doc_id = vec_id) SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT q.id AS query_id, s.id, list_cosine_similarity(q.vec, s.vec) AS score, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.vec, s.vec) DESC, s.id)::INTEGER AS rank FROM v q JOIN v s ON s.id < q.id WHERE q.text IS DISTINCT FROM s.text AND list_cosine_similarity(q.vec, s.vec) >= 0.55) WHERE rank <= 5",
 }

@@ -26,9 +26,9 @@ VPAIRS_SQL = """vp AS (
 
 
 def similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to five earlier vectors with cosine at least 0.25 for every tenth vector."""
+    """Up to five earlier vectors with cosine at least 0.25 for every vector."""
     e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), unit(F.col("embedding")).alias("vec"))
-    queries = e.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    queries = e.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
     return top_similar(queries, e, 5, 0.25).select("query_id", "id", "rank", r6(F.col("score")).alias("score"))
 
 
@@ -135,7 +135,7 @@ def layer_sql() -> str:
 
 _LOCO = _left_out_sql("clause") + ", per AS (SELECT clause, count(*) AS n, round(avg(CASE WHEN margin > 0 THEN 1.0 WHEN margin = 0 THEN 0.5 ELSE 0.0 END), 6) AS accuracy, round(avg(margin), 6) AS mean_margin FROM margins GROUP BY 1)"
 ORACLES = {
-    "similarity_topk": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings) SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT q.id AS query_id, s.id, list_cosine_similarity(q.vec, s.vec) AS score, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.vec, s.vec) DESC, s.id)::INTEGER AS rank FROM v q JOIN v s ON s.id < q.id WHERE q.id % 10 = 0 AND list_cosine_similarity(q.vec, s.vec) >= 0.25) WHERE rank <= 5",
+    "similarity_topk": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings) SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT q.id AS query_id, s.id, list_cosine_similarity(q.vec, s.vec) AS score, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.vec, s.vec) DESC, s.id)::INTEGER AS rank FROM v q JOIN v s ON s.id < q.id WHERE list_cosine_similarity(q.vec, s.vec) >= 0.25) WHERE rank <= 5",
     "vector_norms": "SELECT label, count(*) AS n, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS mean_norm FROM embeddings GROUP BY 1",
     "contrast_direction": _W + " SELECT d::INTEGER AS dim, round(x, 6) AS x FROM u",
     "projection": _W + " SELECT pair, round(sum(dims.x * u.x), 6) AS margin FROM dims JOIN u USING (d) GROUP BY 1",

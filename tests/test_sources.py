@@ -168,7 +168,39 @@ def test_substrings_short_long_and_empty(spark):
         p = spark.createDataFrame([(x,) for x in parts], "p string")
         want = {i for i, t in texts if t is not None and any(x in t for x in parts)}
         assert {r.id for r in joins.contains_any(df, "id", "t", p, "p").collect()} == want
-        assert {r.id for r in joins.words_exist(df, "id", "t", p, "p").collect()} == want
+        assert {r.id for r in joins.contains_any(df, "id", "t", p, "p", most_chars=4).collect()} == want  # several automata
+
+
+def test_many_parts_shuffle_less_than_the_input(spark, tmp_path):
+    """200,000 parts: the plan shuffles parts to make them distinct and the keys found, never a text."""
+    texts = spark.range(400).select("id", F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(400)), lambda i: F.concat(F.lit("w"), (F.col("id") * 401 + i).cast("string")))).alias("t"))
+    parts = spark.range(200_000).select(F.when(F.col("id") % 1000 == 0, F.concat_ws(" ", F.concat(F.lit("w"), F.col("id").cast("string")), F.concat(F.lit("w"), (F.col("id") + 1).cast("string")))).otherwise(F.concat(F.lit("none"), F.col("id").cast("string"))).alias("p"))
+    found = joins.contains_any(texts, "id", "t", parts, "p")
+    assert {r.id for r in found.collect()} == {i // 401 for i in range(0, 160_400, 1000) if i % 401 < 400}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanged and not any("t#" in line for line in exchanged)
+
+
+def test_blocks_that_cannot_reach_the_threshold_are_passed_over(spark):
+    """Vectors in narrow bundles: most pairs of blocks are never made, and the results equal all pairs."""
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(12, 16))
+    x = np.array([middle[i % 12] + rng.normal(size=16) * 0.1 for i in range(600)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    store = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(4)
+    queries = store.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    pivots = x[:12]
+    for least in (0.25, 0.55, 0.9):
+        score = x @ x.T
+        want = set()
+        for q in range(600):
+            near = sorted((-score[q, s], s) for s in range(q) if score[q, s] >= least)[:5]
+            want |= {(q, s, r + 1) for r, (_, s) in enumerate(near)}
+        assert {(r.query_id, r.id, r.rank) for r in joins.top_similar(queries, store, 5, least, most=64).collect()} == want
+        named, blocks = joins.blocked(joins.shaped(store, "id", "vec", pivots), "id", 64)
+        made, every = joins.tiles(blocks, blocks, pivots, least).count(), blocks.count() ** 2
+        assert made < every * {0.25: 0.75, 0.55: 0.4, 0.9: 0.12}[least], (least, made, every)
 
 
 def test_guards(spark):
@@ -193,10 +225,10 @@ def test_numbers_by_ranges(spark):
 
 def test_eras_by_ranges_as_by_folding(spark, monkeypatch):
     facts = spark.createDataFrame([(i, i * 37 % 500) for i in range(400)], "id int, t int").repartition(6)
-    eras = spark.createDataFrame([(50 * k + 7, f"era{k}") for k in range(9)], "since int, specs string")
+    eras = spark.createDataFrame([(50 * k + 7, f"era{k}") for k in range(9)] + [(107, "era2a"), (107, "a"), (207, None)], "since int, specs string")
     folded = sorted(tuple(r) for r in as_of(facts, eras, F.col("t"), "since", "specs", F.lit("none")).collect())
     monkeypatch.setattr(joins, "FEW", 3)
     ranged = sorted(tuple(r) for r in as_of(facts, eras, F.col("t"), "since", "specs", F.lit("none")).collect())
-    assert ranged == folded and {r[2] for r in ranged} >= {"none", "era0", "era8"}
+    assert ranged == folded and {r[2] for r in ranged} >= {"none", "era0", "era2a", "era8"} and not {"a", "era2"} & {r[2] for r in ranged}
     with pytest.raises(ValueError):
         joins.prior_rows(facts, eras, "t", "since", "specs")
