@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,27 +37,55 @@ def era_changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def range_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     goals = spark.createDataFrame(GOALS, "id int, since string, size int, status string")
-    e = _text_time(load(spark, sf_dir, "events").where("event_type = 'signup'"))
+    e = _text_time(load(spark, sf_dir, "events"))
     return prior_rows(e, goals, "at", "since", "id").select("event_id", F.array_join("prior", ",").alias("goals"))
 
 
 def subset_length_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first subset of prior goals, larger ones first, whose assembled prompt has the wanted length.
+    """The first subset of prior goals, larger ones first, whose assembled prompt has the wanted length; none wanted takes all."""
+    goals = spark.createDataFrame(GOALS, "id int, since string, size int, status string")
+    want = F.when(F.col("event_id") % 11 != 0, PROFILE + F.col("event_id") % 130)
+    e = _text_time(load(spark, sf_dir, "events")).select("event_id", "at", want.alias("want"))
+    return matched_subsets(e, goals, "at", "want").select("event_id", "want", F.array_join("chosen", ",").alias("goals"), "status")
+
 
-    Lengths add up, so subsets are bit masks with a length each and no text is built. Item 0 is the highest bit, so
-    that masks of one size in falling order are combinations in order. Without a match the active goals stand.
+def matched_subsets(facts: DataFrame, goals: DataFrame, at: str, want: str) -> DataFrame:
+    """Adds chosen (ids of goals) and status to facts: see subset_length_match. goals: id, since, size, status.
+
+    Lengths add up, so no text is built. Prior goals are a beginning of the goals in order of time, so facts have few
+    different questions (how many goals, what length), and each is answered once. The goals of a question are cut in two
+    halves; of the subsets of a half only the first of each size and length is kept, and the halves meet on the length
+    that is missing: 2 ** (n / 2) subsets stand for 2 ** n. The first goal is the highest bit of a subset's mask, so that
+    masks of one size in falling order are combinations in order.
     """
-    goals = spark.createDataFrame(GOALS, "id int, since string, size int, status string")
-    e = _text_time(load(spark, sf_dir, "events").where("event_type = 'purchase'")).select("event_id", "at", (PROFILE + F.col("event_id") % 130).alias("want"))
-    folded = goals.agg(F.array_sort(F.collect_list(F.struct("since", "id", "size", "status"))).alias("g"))
-    prior = e.crossJoin(F.broadcast(folded)).withColumn("g", F.expr("filter(g, x -> x.since <= at)")).withColumn("n", F.size("g"))
-    length = f"{PROFILE} + CASE WHEN m = 0 THEN 0 ELSE {JOINER} + {HEADER} + aggregate(transform(g, (x, i) -> CASE WHEN (m & shiftleft(1, n - 1 - i)) > 0 THEN x.size + 1 ELSE 0 END), 0, (a, b) -> a + b) - 1 END"
-    masks = F.expr(f"transform(sequence(0, shiftleft(1, n) - 1), m -> struct(bit_count(m) AS k, m AS m, {length} AS len))")
-    found = F.element_at(F.array_sort(F.filter(masks, lambda s: s["len"] == F.col("want"))), -1)
-    active = F.expr("aggregate(transform(g, (x, i) -> CASE WHEN x.status = 'active' THEN shiftleft(1, n - 1 - i) ELSE 0 END), 0, (a, b) -> a + b)")
-    out = prior.withColumn("all", masks).withColumn("hit", F.when(F.size(F.filter("all", lambda s: s["len"] == F.col("want"))) > 0, F.element_at(F.array_sort(F.filter("all", lambda s: s["len"] == F.col("want"))), -1)["m"]))
-    chosen = F.coalesce("hit", active)
-    return out.withColumn("chosen", chosen).select("event_id", "want", F.expr("array_join(transform(filter(transform(g, (x, i) -> struct(x.id AS id, (chosen & shiftleft(1, n - 1 - i)) > 0 AS used)), y -> y.used), y -> y.id), ',')").alias("goals"), F.when(F.col("hit").isNotNull(), "validated").otherwise("UNVALIDATED").alias("status"))
+    folded = goals.agg(F.array_sort(F.collect_list(F.struct("since", "id", "size", "status"))).alias("_g"))
+    counted = facts.crossJoin(F.broadcast(folded)).withColumn("_n", F.size(F.filter("_g", lambda g: g["since"] <= F.col(at)))).drop("_g")
+    asked = counted.select("_n", F.col(want).alias("_want")).where("_want is not null").distinct()
+    sizes = asked.select("_n").distinct().crossJoin(F.broadcast(folded))  # a row for each number of goals
+    lower = F.expr("_n div 2")  # the later goals, the lower bits
+
+    def half(first: Column, m: Column, shift: Column, name: str) -> DataFrame:
+        own = F.transform(F.slice("_g", first, m), lambda g: g["size"] + 1)
+        masks = sizes.select("_n", own.alias("own"), m.alias("m"), shift.alias("shift")).withColumn("mask", F.explode(F.expr("sequence(0L, shiftleft(1L, m) - 1)")))
+        total = F.expr("aggregate(transform(own, (x, i) -> IF((mask & shiftleft(1L, m - 1 - i)) > 0, x, 0)), 0, (a, b) -> a + b)")
+        each = masks.select("_n", F.bit_count("mask").alias("k"), total.alias("len"), F.expr("shiftleft(mask, shift)").alias("mask"))
+        return each.groupBy("_n", "len", "k").agg(F.max("mask").alias("mask")).select("_n", *[F.col(c).alias(f"{name}_{c}") for c in ("len", "k", "mask")])
+
+    upper = F.col("_n") - lower
+    early, late = half(F.lit(1), upper, lower, "a"), half(upper + 1, lower, F.lit(0), "b")
+    # The profile alone, or the profile, joiner, header and the goals joined.
+    rest = F.when(F.col("_want") == PROFILE, 0).otherwise(F.col("_want") - PROFILE - JOINER - HEADER + 1)
+    missing_length = asked.withColumn("rest", rest).join(early, "_n").withColumn("b_len", F.col("rest") - F.col("a_len"))
+    met = missing_length.join(late, ["_n", "b_len"]).where((F.col("rest") > 0) | (F.col("_want") == PROFILE))
+    top = F.max(F.struct((F.col("a_k") + F.col("b_k")).alias("k"), F.col("a_mask").bitwiseOR(F.col("b_mask")).alias("mask")))
+    best = met.groupBy(F.col("_n").alias("_bn"), "_want").agg(top["mask"].alias("_mask"))
+    out = counted.join(best, (F.col("_n") == F.col("_bn")) & (F.col(want) == F.col("_want")), "left").crossJoin(F.broadcast(folded))
+    prior = F.slice("_g", 1, F.col("_n"))
+    hit = F.expr("transform(filter(transform(slice(_g, 1, _n), (x, i) -> struct(x.id AS id, (_mask & shiftleft(1L, _n - 1 - i)) > 0 AS used)), y -> y.used), y -> y.id)")
+    active = F.transform(F.filter(prior, lambda g: g["status"] == "active"), lambda g: g["id"])
+    chosen = F.when(F.col(want).isNull(), F.transform(prior, lambda g: g["id"])).when(F.col("_mask").isNotNull(), hit).otherwise(active)
+    told = F.when(F.col(want).isNull() | F.col("_mask").isNotNull(), "validated").otherwise("UNVALIDATED")
+    return out.select(*[c for c in facts.columns], chosen.alias("chosen"), told.alias("status"))
 
 
 _G = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', {n}, '{t}')" for i, s, n, t in GOALS) + ") v(id, since, size, status))"
@@ -223,11 +251,11 @@ _W = f"WITH {RUNS_SQL} "
 ORACLES = {
     "era_asof": f"WITH e AS (SELECT event_id, event_type, coalesce((SELECT arg_max(specs, since) FROM {_E} r WHERE r.since <= {_AT}), 'default') AS specs FROM events) SELECT specs, event_type, count(*) AS n, min(event_id) AS first FROM e GROUP BY 1, 2",
     "era_changepoints": "SELECT user_id, count(*) AS changes, max(event_id) AS last FROM (SELECT user_id, event_id, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS new FROM events) WHERE new GROUP BY 1",
-    "range_goals": f"SELECT event_id, coalesce((SELECT string_agg(id, ',' ORDER BY since) FROM {_G} g WHERE g.since <= {_AT}), '') AS goals FROM events WHERE event_type = 'signup'",
-    "subset_length_match": f"""WITH g AS (SELECT *, row_number() OVER (ORDER BY since) - 1 AS i FROM {_G}), e AS (SELECT event_id, {PROFILE} + event_id % 130 AS want, (SELECT count(*) FROM g WHERE g.since <= {_AT}) AS n FROM events WHERE event_type = 'purchase'),
+    "range_goals": f"SELECT event_id, coalesce((SELECT string_agg(id, ',' ORDER BY since) FROM {_G} g WHERE g.since <= {_AT}), '') AS goals FROM events",
+    "subset_length_match": f"""WITH g AS (SELECT *, row_number() OVER (ORDER BY since) - 1 AS i FROM {_G}), e AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN {PROFILE} + event_id % 130 END AS want, (SELECT count(*) FROM g WHERE g.since <= {_AT}) AS n FROM events),
       subsets AS (SELECT n, m, bit_count(m) AS k, {PROFILE} + CASE WHEN m = 0 THEN 0 ELSE {JOINER} + {HEADER} + (SELECT sum(size + 1) FROM g WHERE i < n AND (m >> (n - 1 - i)) & 1 = 1) - 1 END AS len, coalesce((SELECT string_agg(id, ',' ORDER BY i) FROM g WHERE i < n AND (m >> (n - 1 - i)) & 1 = 1), '') AS goals FROM (SELECT unnest(range(0, 5)) AS n), (SELECT unnest(range(0, 16)) AS m) WHERE m < (1 << n)),
       best AS (SELECT n, len, arg_max(goals, k::INTEGER * 100 + m) AS goals FROM subsets GROUP BY 1, 2)
-      SELECT event_id, want, coalesce(b.goals, (SELECT string_agg(id, ',' ORDER BY i) FROM g WHERE i < e.n AND status = 'active'), '') AS goals, CASE WHEN b.n IS NOT NULL THEN 'validated' ELSE 'UNVALIDATED' END AS status FROM e LEFT JOIN best b ON b.n = e.n AND b.len = e.want""",
+      SELECT event_id, want, coalesce(CASE WHEN want IS NULL THEN coalesce((SELECT string_agg(id, ',' ORDER BY i) FROM g WHERE i < e.n), '') END, b.goals, (SELECT string_agg(id, ',' ORDER BY i) FROM g WHERE i < e.n AND status = 'active'), '') AS goals, CASE WHEN b.n IS NOT NULL OR want IS NULL THEN 'validated' ELSE 'UNVALIDATED' END AS status FROM e LEFT JOIN best b ON b.n = e.n AND b.len = e.want""",
     "point_ids": _W + "SELECT pid, CASE kind WHEN 'genesis' THEN printf('G%02d', row_number() OVER (PARTITION BY kind ORDER BY pid)) WHEN 'probe' THEN printf('P%02d', row_number() OVER (PARTITION BY kind ORDER BY pid)) ELSE 'OPTOUT1' END AS point_id FROM points",
     "resume_anti": _W + "SELECT pid, arm, rep FROM points, (SELECT unnest(['M1', 'M2']) AS arm), (SELECT unnest(range(0, 12)) AS rep) WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.pid = points.pid AND r.arm = arm.arm AND r.rep = rep.rep)".replace("arm.arm", "a.arm").replace("rep.rep", "b.rep").replace("AS arm), ", "AS arm) a, ").replace("AS rep) WHERE", "AS rep) b WHERE"),
     "exists_substring_semi": "WITH w AS (SELECT string_split_regex(trim(text), '\\s+') AS w FROM benchmark), parts AS (SELECT DISTINCT array_to_string(w[20 * i + 1:20 * i + 20], ' ') AS part FROM (SELECT w, unnest(range(0, greatest(1, len(w) // 20))) AS i FROM w)) SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM parts WHERE contains(d.text, part))",

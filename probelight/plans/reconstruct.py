@@ -151,33 +151,43 @@ def era_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first number under a key anywhere in a JSON object, depth first, what was pushed last first; null for none.
+    """The first number (a truth value is one too) under a key anywhere in a JSON object, depth first, what was pushed last first; null for none.
 
-    Levels are unpacked one by one, all objects at once, until none is left to unpack; a node's place in the search is
-    the array of places on the way to it.
+    Levels are unpacked one by one, all objects at once; a node's place in the search is the array of places on the way
+    to it.
     """
     p = load(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.format_string('{"a":{"alpha":%d},"b":[{"alpha":%d},{"c":1}]}', "p_partkey", "p_size")).when(F.col("p_partkey") % 3 == 1, F.format_string('{"x":[[{"alpha":"text"}],{"y":{"alpha":%d}}],"z":{"w":0}}', "p_size")).otherwise('{"none":[1,2]}').alias("j"))
     return search_key(p, "p_partkey", "j", "alpha").select("p_partkey", "value")
 
 
+# The deepest nesting that is searched; a deeper text stops the query.
+DEEPEST = 1000
+
+
 def search_key(df: DataFrame, key: str, json: str, name: str) -> DataFrame:
-    """key and value of every row: see nested_key."""
+    """key and value of every row: see nested_key. One recursive query: each step unpacks the nodes of the one before.
+
+    A node is searched before its children, in order; of the nodes still to come the last pushed is next, so the way to
+    a node is the list of its places, each negated. The number of nodes has no limit of its own here, since the search
+    ends with the nesting; that session setting is lifted.
+    """
     spark = df.sparkSession
-    shape = F.schema_of_variant("v")
-    level = df.select(F.col(key).alias("_k"), F.array().cast("array<int>").alias("way"), F.try_parse_json(F.col(json)).alias("v"))
-    hits = None
-    while True:
-        level = level.where(shape.startswith("OBJECT") | shape.startswith("ARRAY"))
-        if hits is not None and level.isEmpty():
-            break
-        inner = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("pos"), F.col("key"), F.col("value")))
-        number = F.when((F.col("key") == name) & F.schema_of_variant("value").isin("BIGINT", "DOUBLE"), F.try_variant_get("value", "$", "double"))
-        # A node is searched before its children, in order; of the nodes still to come the last pushed is next.
-        found = inner.where(number.isNotNull()).select("_k", "way", "pos", number.alias("value"))
-        hits = found if hits is None else hits.unionByName(found)
-        level = inner.select("_k", F.concat("way", F.array(-F.col("pos"))).alias("way"), F.col("value").alias("v"))
-    first = hits.groupBy("_k").agg(F.min(F.struct("way", "pos", "value")).alias("h"))
-    return df.select(F.col(key)).join(first, F.col(key) == F.col("_k"), "left").select(key, F.col("h.value").alias("value"))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    source = df.select(F.col(key).alias("k"), F.try_parse_json(F.col(json)).alias("v"))
+    hits = spark.sql(
+        f"""WITH RECURSIVE walk(k, way, pos, name, v) MAX RECURSION LEVEL {DEEPEST} AS (
+          SELECT k, CAST(array() AS ARRAY<INT>), 0, CAST(NULL AS STRING), v FROM {{source}}
+          UNION ALL
+          SELECT w.k, CASE WHEN w.name IS NULL AND size(w.way) = 0 AND w.pos = 0 THEN array(1) ELSE concat(w.way, array(-w.pos)) END, e.pos, coalesce(e.key, ''), e.value
+          FROM walk w, LATERAL variant_explode(w.v) AS e
+          WHERE startswith(schema_of_variant(w.v), 'OBJECT') OR startswith(schema_of_variant(w.v), 'ARRAY')
+        )
+        SELECT k, way, pos, try_variant_get(v, '$', 'double') AS value FROM walk
+        WHERE name = :name AND schema_of_variant(v) RLIKE '^(BIGINT|DOUBLE|DECIMAL|BOOLEAN)'""",
+        args={"name": name}, source=source,
+    )
+    first = hits.groupBy("k").agg(F.min(F.struct("way", "pos", "value")).alias("h"))
+    return df.select(F.col(key)).join(first, F.col(key) == F.col("k"), "left").select(key, F.col("h.value").alias("value"))
 
 
 def open_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:

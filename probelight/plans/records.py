@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.labels import norm_condition
 from ..functions.stats import average_ranks, hash_draw, r6, safe_corr, wilson
+from ..functions.tokens import failure_function, last_occurrence
 from ..sources.tables import PAIRS_SQL, load, pair_rows, pairs
 from .contrast import complete
 
@@ -69,6 +70,24 @@ def last_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", last.cast("int").alias("last"), F.when(last > 0, last + 2).otherwise(-1).cast("int").alias("end"))
 
 
+def record_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of spans, one a document: its last one to four words, or for every fifth document its third word alone, twice."""
+    w = F.filter(F.split(F.col("text"), r"[ \n]+"), lambda x: x != "")
+    d = load(spark, sf_dir, "documents").select("doc_id", w.alias("w")).where(F.size("w") >= 8)
+    n = (1 + F.col("doc_id") % 4).cast("int")
+    twice = F.array(F.element_at("w", 3), F.element_at("w", 3))
+    return d.select("doc_id", F.when(F.col("doc_id") % 5 == 0, twice).otherwise(F.slice("w", F.size("w") - 3, n)).alias("span"))
+
+
+def span_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the span of a document's record occurs for the last time among its words, and the word after it; -1 for nowhere."""
+    w = F.filter(F.split(F.col("text"), r"[ \n]+"), lambda x: x != "")
+    tokens = load(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
+    spans = record_spans(spark, sf_dir).withColumn("failure", failure_function(F.col("span")))
+    found = tokens.join(spans, "doc_id").withColumn("last", last_occurrence(F.col("w"), F.col("span"), F.col("failure")))
+    return found.select("doc_id", F.size("span").alias("size"), "last", F.when(F.col("last") > 0, F.col("last") + F.size("span")).otherwise(-1).alias("end"))
+
+
 def length_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired accuracy of text length alone; the sign is picked on one part of the conversations and judged on the other."""
     c = load(spark, sf_dir, "conversations").where("turn in (0, 1)").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.length("text"))).alias("b"), F.max(F.when(F.col("turn") == 1, F.length("text"))).alias("c")).where("b is not null and c is not null")
@@ -124,7 +143,7 @@ def orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "condition_names": condition_names, "pair_parity": pair_parity, "prior_decomposition": prior_decomposition, "pushed_words": pushed_words, "signed_union": signed_union, "probe_items": probe_items, "last_containment": last_containment,
+    "condition_names": condition_names, "pair_parity": pair_parity, "prior_decomposition": prior_decomposition, "pushed_words": pushed_words, "signed_union": signed_union, "probe_items": probe_items, "last_containment": last_containment, "span_containment": span_containment,
     "length_baseline": length_baseline, "length_matched": length_matched, "seed_stability": seed_stability, "kappa": kappa, "orphan_rows": orphan_rows,
 }
 _W = f"WITH {PAIRS_SQL} "
@@ -138,6 +157,10 @@ ORACLES = {
     "pushed_words": _W + "SELECT clause, CASE WHEN item % 2 = (item // 2) % 2 THEN 'own' ELSE 'other' END AS word, count(*) AS n, round(avg(delta_c - delta_none), 6) AS effect FROM pairs WHERE delta_c IS NOT NULL AND delta_none < -3 GROUP BY 1, 2",
     "signed_union": _W + "SELECT split, count(*) AS n, round(2 * avg(CASE WHEN item % 2 = 1 THEN delta_c - delta_b ELSE delta_b - delta_c END), 6) AS contrast FROM complete GROUP BY 1",
     "probe_items": _W + ", f AS (SELECT clause, item, row_number() OVER (PARTITION BY clause ORDER BY item) AS k FROM complete QUALIFY k <= 2), p AS (SELECT 'T16' AS test, clause, item, v.variant::INTEGER AS variant, c.cond FROM f, (SELECT unnest(range(0, 3)) AS variant) v, (SELECT unnest(['B', 'C', 'none']) AS cond) c UNION ALL SELECT t.test, clause, item, 0, c.cond FROM f, (SELECT unnest(['T17', 'T18']) AS test) t, (SELECT unnest(['B', 'C']) AS cond) c WHERE k = 1) SELECT *, test || '-' || item || '-' || variant || '-' || cond AS probe_id FROM p",
+    "span_containment": """WITH w AS (SELECT doc_id, [x FOR x IN string_split_regex(text, '[ \\n]+') IF x <> ''] AS w FROM documents),
+      s AS (SELECT doc_id, w, CASE WHEN doc_id % 5 = 0 THEN [w[3], w[3]] ELSE w[len(w) - 3 : len(w) - 3 + doc_id % 4] END AS span FROM w WHERE len(w) >= 8),
+      l AS (SELECT doc_id, len(span)::INTEGER AS size, coalesce(list_max([i FOR i IN range(1, len(w) - len(span) + 2) IF w[i] = span[1] AND w[i : i + len(span) - 1] = span]), -1)::INTEGER AS last FROM s)
+      SELECT doc_id, size, last, CASE WHEN last > 0 THEN last + size ELSE -1 END AS end FROM l""",
     "last_containment": "WITH w AS (SELECT doc_id, string_split_regex(text, '[ \\n]') AS w FROM documents), l AS (SELECT doc_id, coalesce(list_max([i FOR i IN range(2, len(w)) IF w[i] = w[1] AND w[i+1] = w[2]]), -1)::INTEGER AS last FROM w) SELECT doc_id, last, CASE WHEN last > 0 THEN last + 2 ELSE -1 END::INTEGER AS end FROM l",
     "length_baseline": f"WITH {_TURNS}, s AS (SELECT conv_id, CASE WHEN lb > la THEN 1.0 WHEN lb = la THEN 0.5 ELSE 0.0 END::DOUBLE AS win FROM turns WHERE la IS NOT NULL AND lb IS NOT NULL), g AS (SELECT count(*) AS n, avg(win) FILTER (conv_id % 3 = 0) AS dev, avg(win) FILTER (conv_id % 3 <> 0) AS test FROM s) SELECT n, CASE WHEN dev >= 0.5 THEN 'longer' ELSE 'shorter' END AS sign, round(CASE WHEN dev >= 0.5 THEN test ELSE 1 - test END, 6) AS accuracy FROM g",
     "length_matched": _W + """, d AS (SELECT delta_c - delta_b AS shift, length(c.text) - length(b.text) AS apart, abs(length(c.text) - length(b.text)) * 2 <= length(b.text) AS near FROM complete JOIN documents b ON b.doc_id = item JOIN documents c ON c.doc_id = item + 1),

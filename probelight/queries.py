@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("audit", "contrast", "vectors", "design", "records", "models", "reconstruct", "study", "resamples")
+TOPICS = ("audit", "contrast", "vectors", "design", "records", "models", "reconstruct", "study", "resamples", "faults")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
