@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .archive_source import ArchiveSource
+
 
 def numbered_lines(spark: SparkSession, path: str, lenient: bool = True) -> DataFrame:
     """file, ord (line number in its file, from 1) and value of every line.
@@ -95,36 +91,17 @@ def find_by_digest(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     return digests(spark, path).where(F.col("sha").startswith(prefix))
 
 
-_KEY = re.compile(r"^(?:(?P<item>M\d+|[A-Za-z0-9-]+)_)?(?P<cond>B|C|none)(?:_(?P<pos>[a-z_]+))?$")
-
-
 def archives(spark: SparkSession, path: str, strict_name: str | None = None) -> DataFrame:
-    """item, cond, pos, layer, vec of NumPy archives: a row for each layer of each array.
+    """item, cond, pos, layer, vec of NumPy archives: a row for each layer of each array. See archive_source.
 
     The item comes from the file's name; condition and position from the array's key. With strict_name (a pattern of
-    two groups, item and condition) other file names stop the query.
+    two groups, item and condition) other file names stop the query. Filters on item, cond, pos and layer are pushed
+    into the reader, for which the session's setting is turned on.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(path)
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                stem = name.rsplit("/", 1)[-1].removesuffix(".npz")
-                held = re.fullmatch(strict_name, stem) if strict_name else None
-                if strict_name and held is None:
-                    raise ValueError(f"archive name out of pattern: {stem}")
-                own = re.search(r"M\d+", stem)
-                with np.load(io.BytesIO(content)) as arrays:
-                    for key in arrays.files:
-                        m = _KEY.match(key)
-                        item = held[1] if held else own[0] if own else (m["item"] if m and m["item"] else key if not m else stem)
-                        cond = held[2] if held else m["cond"] if m else ""
-                        values = np.atleast_2d(arrays[key].astype(np.float32))
-                        rows += [(item, cond, (m["pos"] if m and m["pos"] else key if held else ""), layer, v.tolist()) for layer, v in enumerate(values)]
-            yield pd.DataFrame(rows, columns=["item", "cond", "pos", "layer", "vec"])
-
-    return files.select("path", "content").mapInPandas(unpack, "item string, cond string, pos string, layer int, vec array<float>")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ArchiveSource)
+    reader = spark.read.format("archives")
+    return (reader.option("strictname", strict_name) if strict_name else reader).load(path)
 
 
 def profile(df: DataFrame, column: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import io
 import json
+import zipfile
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from probelight.functions import labels as L
 from probelight.functions.stats import binomial_p, safe_corr
 from probelight.operators import dedup, guards, joins, order
 from probelight.operators.joins import as_of, full_comparison
-from probelight.sources import readers, sinks
+from probelight.sources import archive_source, readers, sinks
 
 SCHEMA = "pid string, rep long, kind string"
 
@@ -61,6 +62,56 @@ def test_archives(spark, tmp_path):
         readers.archives(spark, str(tmp_path), r"(.+)_(B|C|none)").collect()
 
 
+class Counted(io.BytesIO):
+    """A file that counts the bytes read."""
+
+    total = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.total += len(out)
+        return out
+
+
+@pytest.mark.parametrize("save", [np.savez, np.savez_compressed])
+def test_one_layer_reads_one_layer(save):
+    arrays = {"M1_B_span_last": np.arange(40 * 5000, dtype=np.float32).reshape(40, 5000), "M1_C": np.asfortranarray(np.arange(6.0).reshape(2, 3)), "none": np.arange(4, dtype=np.float16)}
+    buffer = io.BytesIO()
+    save(buffer, **arrays)
+    for key, value in arrays.items():
+        member = zipfile.ZipFile(buffer).getinfo(f"{key}.npy")
+        rows = np.atleast_2d(value)
+        assert all((v == rows[i]).all() for i, v in archive_source.layers(buffer, member, None))
+        for wanted in ({0}, {1, 37}, {99}):
+            got = dict(archive_source.layers(buffer, member, wanted))
+            assert set(got) == {w for w in wanted if w < len(rows)} and all((v == rows[i]).all() for i, v in got.items())
+    file = Counted(buffer.getvalue())
+    member = zipfile.ZipFile(file).getinfo("M1_B_span_last.npy")
+    file.total = 0
+    assert len(list(archive_source.layers(file, member, {31}))) == 1
+    if save is np.savez:
+        assert file.total < 5000 * 4 + 400
+
+
+def test_archive_filters_reach_the_reader(spark, tmp_path, monkeypatch):
+    for k in range(30):
+        np.savez(tmp_path / f"M{k}.npz", B_span_last=np.full((4, 3), k), C_prompt_last=np.full((4, 3), -k))
+    monkeypatch.setattr(archive_source, "PARTITION_BYTES", 2000)
+    df = readers.archives(spark, str(tmp_path))
+    assert df.count() == 240
+    one = df.where("item = 'M7' AND pos = 'span_last' AND layer IN (1, 3)")
+    assert sorted((r.item, r.cond, r.layer, r.vec) for r in one.collect()) == [("M7", "B", k, [7.0] * 3) for k in (1, 3)]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "M7" not in plan and "span_last" not in plan and " IN " not in plan  # Spark filters for nulls alone
+    reader = archive_source.ArchiveReader({"path": str(tmp_path)})
+    assert len(reader.partitions()) > 5 and sum(len(s.files) for s in reader.partitions()) == 30
+    large = tmp_path / "large"
+    large.mkdir()
+    np.savez(large / "M1.npz", **{f"B_p_{c}": np.ones((2, 200)) for c in "abcdef"})
+    assert len(archive_source.ArchiveReader({"path": str(large)}).partitions()) > 1
+    assert readers.archives(spark, str(large)).count() == 12
+
+
 def test_profile(spark):
     df = spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"a": "y"}',)], "j string")
     got = {r.key: (list(r.types), r.n) for r in readers.profile(df, "j").collect()}
