@@ -65,14 +65,29 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 AFTER, CUT = _tables()
 
 
+# The letters and numbers of Unicode 16 that tables of version 15.1 lack, as ranges of code points.
+LATER_LETTERS = """1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E
+  11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"""
+LATER_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+
+
+def ranges(text: str) -> Iterator[slice]:
+    for part in text.split():
+        first, _, last = part.partition("-")
+        yield slice(int(first, 16), int(last or first, 16) + 1)
+
+
 @functools.cache
 def classes() -> np.ndarray:
-    """0 letter, 1 number, 2 white space, 3 other, by code point."""
+    """0 letter, 1 number, 2 white space, 3 other, by code point, as of Unicode 16."""
     out = np.full(sys.maxunicode + 1, 3, np.uint8)
     for cp in range(0x40000):  # there are no letters or numbers beyond
         kind = unicodedata.category(chr(cp))[0]
         if kind in "LN":
             out[cp] = "LN".index(kind)
+    for kind, later in enumerate((LATER_LETTERS, LATER_NUMBERS)):
+        for some in ranges(later):
+            out[some] = kind
     # White space of Unicode.
     out[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 2
     return out

@@ -6,7 +6,9 @@ host's winning paths, in their order; a page that has none of them falls back on
 
 A container inside an article (or else a main) element stands for that element. Menus, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts and styles are left out wherever they are; headings inside an article's
-header stay. A class or id leaves its part out only if the whole name says so: 'share-buttons' does, 'share-price'
+header stay, and its paragraphs but for bylines. A label or button amid the words of a paragraph is read. A head ends
+where a tag or text stands that it cannot hold; an unclosed noscript, iframe, title or textarea hides no more than the
+text up to the next tag. A class or id leaves its part out only if the whole name says so: 'share-buttons' does, 'share-price'
 does not; and if such names would leave out the whole page, they are not heeded. Text of formulas stays, drawings go.
 Character references are decoded, white space within a block is one space, blocks are lines.
 
@@ -24,13 +26,13 @@ from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
 
-# A path stands for its host if it has this share of the host's votes: at most a hundred paths do.
-LEAST_SHARE = 0.01
+# Paths of a host that stand for it, best first. A page that has none of these is read by its own best container.
+MOST_PATHS = 1000
 
 # Fixed lists of names.
 BLOCKS = frozenset(
@@ -41,6 +43,11 @@ RAW = frozenset("script style noscript iframe textarea title head".split())
 HIDDEN = frozenset("template svg object canvas video audio map select option datalist".split())
 FOREIGN = frozenset("svg math".split())
 LEFT_OUT = frozenset("nav footer aside form button menu dialog label fieldset".split())
+CONTROLS = frozenset("button label".split())
+PROSE = frozenset("p li dd td blockquote h1 h2 h3 h4 h5 h6".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+BYLINE = frozenset("byline author authors by date dateline meta posted published updated time timestamp credit credits".split())
+_BYLINE = re.compile(r"(?:by|posted|published|updated|written|von|par|por|di)\b", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKS = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs footer sidebar aside rail masthead topbar toolbar ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond replies reply pagination pager widget search skip tracking".split()
@@ -69,6 +76,7 @@ class Node:
     headed: bool = False  # inside a heading
     inline: bool = False
     heading_only: bool = False
+    lede: bool = False  # a paragraph of an article's header
     score: int = 0
     blocks: list[int] = field(default_factory=list)
 
@@ -136,7 +144,7 @@ def parse(source: str, marks: bool = True) -> Page:
     root = Node("", "", None, False)
     page = Page([root], [], source, marks)
     node, buffer, linked = root, [], 0
-    links = 0
+    links, head = 0, False
 
     def flush() -> None:
         nonlocal buffer, linked
@@ -145,6 +153,9 @@ def parse(source: str, marks: bool = True) -> Page:
             at = node
             while at.inline:
                 at = at.parent
+            if at.lede and _BYLINE.match(text):
+                buffer, linked = [], 0
+                return
             page.blocks.append((text, at, at.tag in HEADINGS))
             # Prose counts for the block's container, by half for the one above.
             worth = max(0, len(text) - 2 * linked)
@@ -155,8 +166,10 @@ def parse(source: str, marks: bool = True) -> Page:
         buffer, linked = [], 0
 
     def text(piece: str) -> None:
-        nonlocal linked
-        if piece and not node.out and not (node.heading_only and not node.headed):
+        nonlocal linked, head
+        if head and piece.strip():
+            head = False
+        if piece and not node.out and not (node.heading_only and not node.headed and not node.lede):
             piece = unescape(piece) if "&" in piece else piece
             buffer.append(piece)
             if links:
@@ -182,6 +195,8 @@ def parse(source: str, marks: bool = True) -> Page:
             continue
         tag = tag.lower()
         if m[1]:
+            if tag == "head":
+                head = False
             if tag == "a":
                 links = max(0, links - 1)
             if tag in BLOCKS or node.inline:
@@ -193,11 +208,17 @@ def parse(source: str, marks: bool = True) -> Page:
                 elif tag == "p":
                     flush()
             continue
+        if tag == "head":
+            head = True
+            continue
+        if head and tag not in IN_HEAD:
+            head = False
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            if tag == "head":  # its raw children go with it; an unclosed head ends at the body
-                end = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(source, at)
-            if not m[3].endswith("/") or tag in ("script", "style"):
+            if end is None and tag not in ("script", "style"):  # never closed: it hides its text alone
+                following = source.find("<", at)
+                at = following if following >= 0 else size
+            elif not m[3].endswith("/") or tag in ("script", "style"):
                 at = end.end() if end else size
             continue
         if tag == "br":
@@ -231,7 +252,11 @@ def parse(source: str, marks: bool = True) -> Page:
                     close(above)
         classes, names, role, hidden = _attributes(m[3]) if m[3] else ([], set(), "", False)
         whole = tag in ("html", "body", "article", "main")
-        gone = tag in LEFT_OUT or tag in HIDDEN or hidden or role in ROLES or bool(marks and not whole and names and _marked(names))
+        holder = node
+        while holder.inline:
+            holder = holder.parent
+        amid = tag in CONTROLS and holder.tag in PROSE and bool("".join(buffer).strip())
+        gone = (tag in LEFT_OUT and not amid) or tag in HIDDEN or hidden or role in ROLES or bool(marks and not whole and names and _marked(names))
         header = tag == "header" or (block and not whole and tag not in HEADINGS and any(_words(n)[-1:] == ["header"] for n in names))
         inside = header and node.article is not None
         if m[3].endswith("/") and tag in FOREIGN:
@@ -239,12 +264,13 @@ def parse(source: str, marks: bool = True) -> Page:
         if block:
             path = f"{node.path}/{_general(tag, classes)}" if not node.inline else node.path
             own = Node(tag, path, node, node.out or gone or (header and not inside), node.article, node.main, node.headed or tag in HEADINGS, heading_only=node.heading_only or inside)
+            own.lede = node.lede or (tag == "p" and node.heading_only and not any(w in BYLINE for n in names for w in _words(n)))
             own.article = own.article or (own if tag == "article" else None)
             own.main = own.main or (own if tag == "main" else None)
             node = own
             page.nodes.append(node)
         elif gone or tag in FOREIGN or (node.inline and node.tag == tag):
-            node = Node(tag, node.path, node, node.out or gone, node.article, node.main, node.headed, inline=True, heading_only=node.heading_only)
+            node = Node(tag, node.path, node, node.out or gone, node.article, node.main, node.headed, inline=True, heading_only=node.heading_only, lede=node.lede)
     flush()
     return page
 
@@ -256,8 +282,12 @@ def best_container(page: Page) -> Node:
 
 def extract(page: Page, paths: list[str] | None) -> str:
     """The text under the first of the paths that has any on this page, or else under the page's best container."""
+    by_path: dict[str, list[Node]] = {}
+    for n in page.nodes if paths else ():
+        if not n.out:
+            by_path.setdefault(n.path, []).append(n)
     for path in paths or ():
-        chosen = [n for n in page.nodes if n.path == path and not n.out]
+        chosen = by_path.get(path, [])
         lines = page.within(chosen) if chosen else []
         if lines:
             break
@@ -279,7 +309,7 @@ def host(url):
 
 
 def vote(pages: DataFrame) -> DataFrame:
-    """host, paths: the paths with LEAST_SHARE of the votes of their host, best first."""
+    """host, paths: the paths of a host by their votes, best first."""
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,9 +327,9 @@ def vote(pages: DataFrame) -> DataFrame:
     ballots = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, worth long")
     # Written, since votes are counted once and read twice.
     counted = materialize(ballots.where("path is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("worth").alias("worth")), "votes")
-    cast = counted.groupBy("host").agg(F.sum("votes").alias("cast"))
-    top = counted.join(cast, "host").where(F.col("votes") >= F.col("cast") * LEAST_SHARE)
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("worth")).alias("w"), "path")))
+    best_first = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("worth"), "path"))
+    top = counted.withColumn("_rank", best_first).where(F.col("_rank") <= MOST_PATHS)
+    ranked = F.array_sort(F.collect_list(F.struct("_rank", "path")))
     return top.groupBy("host").agg(ranked.alias("_p")).select("host", F.col("_p.path").alias("paths"))
 
 

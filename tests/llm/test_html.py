@@ -1,5 +1,6 @@
 import time
 from html.parser import HTMLParser
+from urllib.parse import urlsplit
 
 from pyspark.sql import functions as F
 
@@ -62,6 +63,39 @@ def test_formulas_drawings_and_what_is_left_open():
     assert text_of("<article><p>a<select><option>no</select> b <noscript><p>no</p></noscript></p><video>no</video><p>c</p></article>") == "a b\nc"
 
 
+def test_open_heads_and_open_raw_parts_hide_no_article():
+    assert text_of("<html><head><title>T</title><article><h1>A</h1><p>The story.</p></article>") == "A\nThe story."
+    assert text_of("<html><head><meta charset=x><title>T</title><script>x<y</script><link rel=a><p>First.</p>") == "First."
+    assert text_of("<head><title>T</title></head><body><noscript><p>no</p></noscript><p>Yes.</p>") == "Yes."
+    for tag in ("noscript", "iframe", "title", "textarea"):
+        assert text_of(f"<body><{tag}>gone<article><p>Whole story.</p></article></body>") == "Whole story."
+    assert text_of("<body><p>a</p><script>if (x) {") == "a"
+
+
+def test_words_of_controls_and_of_the_articles_header():
+    assert text_of("<article><p>Press <label>Save</label> now and <button>Go</button> on.</p></article>") == "Press Save now and Go on."
+    assert text_of("<article><p>One.</p><button>Share</button><p><button>Like</button></p><div><label>Mail</label></div></article>") == "One."
+    assert text_of('<article><p>One <button class="share-button">Share</button>two.</p></article>') == "One two."
+    page = "<article><header><h1>T</h1><p>What this story is about.</p><p>By A. Writer, 3 May</p><p class='post-date'>3 May</p><span>12 min</span></header><p>Body.</p></article>"
+    assert text_of(page) == "T\nWhat this story is about.\nBody."
+
+
+def test_votes_against_a_count_by_hand(spark, sf_dir):
+    """Over the whole table: every page's best container, counted per host by a dictionary."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    ballots = {}
+    for r in pages.collect():
+        page = html_text.parse(r.html or "")
+        best = html_text.best_container(page)
+        if best.path:
+            host = (urlsplit(r.url.lower()).hostname or "").removeprefix("www.") if r.url else ""
+            votes = ballots.setdefault(host, {}).setdefault(best.path, [0, 0])
+            votes[0] -= 1
+            votes[1] -= best.score
+    want = {h: [p for _, _, p in sorted((v, w, p) for p, (v, w) in paths.items())] for h, paths in ballots.items()}
+    assert {r.host: r.paths for r in html_text.vote(pages).collect()} == want
+
+
 def test_time_is_linear_in_the_page():
     took = []
     for n in (4000, 16000):

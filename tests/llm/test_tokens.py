@@ -48,6 +48,17 @@ def test_elias_fano(steps):
     assert read.select(np.arange(len(values))).tolist() == values.tolist() == [read[i] for i in range(len(values))]
 
 
+def test_every_code_point_before_an_ending():
+    """A letter, number or other sign takes the apostrophe after it or leaves it; all planes that have signs."""
+    points = [c for c in (*range(0x40000), *range(0xE0000, 0xE0200), *range(0xF0000, 0xF0040)) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 20_000):
+        texts = [f"x{chr(c)}'s" for c in points[lo : lo + 20_000]]
+        raw, at = common.text_buffers(pa.array(texts))
+        ids, id_at, _, _ = bpe.encode_texts(raw, at, PIECES)
+        wrong = [t for i, t in enumerate(texts) if ids[id_at[i] : id_at[i + 1]].tolist() != TIKTOKEN.encode_ordinary(t)]
+        assert not wrong, wrong[:5]
+
+
 def test_byte_bpe_edges(spark):
     docs = documents(spark, EDGE_TEXTS).withColumn("ids", F.lit(1))
     ranks = P.path("byte_bpe_50k.tiktoken")
