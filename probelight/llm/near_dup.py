@@ -33,8 +33,12 @@ from .common import Scratch, ascii_words, chunks, mix64, slice_hashes, small_bat
 VALUES, CHUNKS, PER_CHUNK, BITS = 32, 8, 4, 16
 DISTANCE = 15
 BIT_WORDS = 32
-# Pairs of a bucket that one part of it may hold.
-PAIRS_OF_TASK = 2_000_000
+# Nodes of a bucket that one part of it holds on either side: both sides are dealt, and a node is sent once for each part
+# of the other side, as often as the bucket has multiples of this.
+PART_NODES = 4096
+# Up to this many edges a step is planned over its table as it is; beyond, its sums are written first, so that Spark
+# knows their size and can split the edges of a hub. Both give the same rows.
+PLAIN_EDGES = 200_000
 _MULTIPLIERS = mix64(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 _OFFSETS = mix64(np.arange(101, VALUES + 101, dtype=np.uint64))
 
@@ -194,34 +198,49 @@ def components(edges: DataFrame) -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession, "components")
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
         turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
         both = edges.select("a", "b").union(turned) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = least if few else scratch.keep(least)
         linked = both.join(least, "a")
         if large:
             out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.where("a <> m").select("a", F.col("m").alias("b")))
         next_edges = scratch.keep(out.distinct())
-        scratch.drop(least)
+        if not few:
+            scratch.drop(least)
         return next_edges
 
+    # A round that leaves count and sums as they were has changed nothing: labels only ever fall.
+    sums = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
-    while True:
-        half = star(now, True)
+    found = sums(now)
+    while found[0] and found != state:
+        state, few = found, found[0] <= PLAIN_EDGES
+        half = star(now, True, few)
         scratch.drop(now)
-        now = star(half, False)
+        now = star(half, False, few)
         scratch.drop(half)
-        # A round that leaves count and sums as they were has changed nothing: labels only ever fall.
-        found = now.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
-        if found == state:
-            break
-        state = found
+        found = sums(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def grown(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels (node, component) after more links (a, b): components of components. Without new ones the labels stand."""
+    named = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    between = scratch.keep(named(named(links, "a"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if between.isEmpty():
+        return labels
+    higher = components(between).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    moved = labels.join(higher, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component"))
+    # Nodes without a link before are their own component, and come in here.
+    own = higher.join(labels, F.col("_n") == F.col("node"), "left_anti").select(F.col("_n").alias("node"), F.col("_c").alias("component"))
+    return scratch.keep(moved.union(own))
+
+
 def _open_buckets(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Members (key, node) of buckets with several components, with their component, and the bucket's largest one and sizes."""
     named = scratch.keep(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
@@ -253,7 +272,8 @@ def linked_nodes(docs: DataFrame, signs: DataFrame, scratch: Scratch, words: int
 
     # What stars left open: buckets with several components. A set's own shingles are in no other open set, so they
     # bound its similarity to all of them; sets that can reach none are out.
-    opened = _open_buckets(shared.select("key", "node"), components(links), scratch)
+    labels = components(links)
+    opened = _open_buckets(shared.select("key", "node"), labels, scratch)
     scratch.drop(stars, shared)
     own = own_shingles(sets.join(opened.select("node").distinct().hint("merge"), "node", "left_semi"))
     detail = nodes.select("node", "n_shingles").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
@@ -264,28 +284,29 @@ def linked_nodes(docs: DataFrame, signs: DataFrame, scratch: Scratch, words: int
     scratch.drop(opened)
     centres = scratch.keep(members.groupBy("key").agg(F.min(F.struct("own", "node")).alias("_m")).select("key", F.col("_m.node").alias("head")))
     second = members.join(centres, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    links = links.union(scratch.keep(confirmed(scratch.keep(_signed(second, nodes, most, share)), sets, share)))
+    labels = grown(labels, scratch.keep(confirmed(scratch.keep(_signed(second, nodes, most, share)), sets, share)), scratch)
 
     # The rest, pair by pair: nodes outside their bucket's largest component against nodes of other components. Sizes
-    # of near sets are in the same or the next class, and a bucket with many pairs is dealt over several parts.
-    left = _open_buckets(members.select("key", "node"), components(links), scratch)
+    # of near sets are in the same or the next class, and a large bucket is dealt over a grid of parts.
+    left = _open_buckets(members.select("key", "node"), labels, scratch)
     sized = left.join(able.join(sets.select("node", "bits"), "node"), "node").withColumn("size_class", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent) * (1 + 1e-9))).cast("int"))
-    parts = F.ceil(F.col("minors") * F.col("members") / PAIRS_OF_TASK).cast("int")
+    tall, wide = (F.ceil(F.col(c) / PART_NODES).cast("int") for c in ("minors", "members"))
     carried = ("node", "component", "largest", "n_shingles", "own", "bits")
-    side = lambda p, df: df.select("key", "size_class", "part", *[F.col(c).alias(f"{p}_{c}") for c in carried])
-    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    side = lambda p, df: df.select("key", "size_class", "row", "col", *[F.col(c).alias(f"{p}_{c}") for c in carried])
+    dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every_part = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     classes = F.explode(F.sequence(F.col("size_class") - 1, F.col("size_class") + 1))
-    minor = side("a", sized.where("component <> largest").withColumn("part", part).withColumn("size_class", classes))
-    every = side("b", sized.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))))
+    minor = side("a", sized.where("component <> largest").withColumn("row", dealt(tall)).withColumn("col", every_part(wide)).withColumn("size_class", classes))
+    every = side("b", sized.withColumn("col", dealt(wide)).withColumn("row", every_part(tall)))
     once = (F.col("b_component") == F.col("b_largest")) | (F.col("a_node") < F.col("b_node"))
     apart = (F.col("a_component") != F.col("b_component")) & once
     common = F.least(F.col("a_n_shingles") - F.col("a_own"), F.col("b_n_shingles") - F.col("b_own"))
     whole = F.greatest(F.col("a_n_shingles") + F.col("b_own"), F.col("b_n_shingles") + F.col("a_own"), F.col("a_n_shingles") + F.col("b_n_shingles") - common)
     close = (common * 100 >= whole * percent) & (most_common("a_", "b_") * (100 + percent) >= (F.col("a_n_shingles") + F.col("b_n_shingles")) * percent)
     # The bounds are exact and closer than the signatures' distance here; a pair may come from several buckets.
-    pairs = minor.hint("merge").join(every, ["key", "size_class", "part"]).where(apart & close)
+    pairs = minor.hint("merge").join(every, ["key", "size_class", "row", "col"]).where(apart & close)
     rest = scratch.keep(pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
-    final = components(links.union(scratch.keep(confirmed(rest, sets, share))))
+    final = grown(labels, scratch.keep(confirmed(rest, sets, share)), scratch)
     scratch.drop(sets, left, members, able, centres)
     return nodes.select("set_md5", "node", "first_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
 

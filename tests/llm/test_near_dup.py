@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from probelight.llm import near_dup, queries
@@ -32,7 +33,7 @@ def test_groups_of_copies_edges_and_clashes(spark):
 
 def test_passages_in_common_and_parts_of_a_bucket(spark, monkeypatch):
     """Texts that share most of a passage but belong to several groups, with buckets dealt over many parts."""
-    monkeypatch.setattr(near_dup, "PAIRS_OF_TASK", 3)
+    monkeypatch.setattr(near_dup, "PART_NODES", 2)
     rng = random.Random(8)
     passage = [f"p{rng.randrange(4000)}" for _ in range(100)]
     texts = []
@@ -77,3 +78,45 @@ def test_components_of_a_hub_and_a_path(spark):
 def test_empty_table(spark):
     assert near_dup.near_duplicates(documents(spark, [])).count() == 0
     assert near_dup.drop_near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_labels_grow_as_components_of_all_links(spark):
+    """Links in three parts, with new nodes, repeats and a long chain, against union-find over all."""
+    rng = np.random.default_rng(6)
+    parts = [rng.integers(0, 120, (40, 2)).tolist(), rng.integers(60, 200, (50, 2)).tolist(), [], [[i, i + 1] for i in range(300, 340)]]
+    frame = lambda e: spark.createDataFrame([tuple(x) for x in e], "a long, b long")
+    scratch = near_dup.Scratch(spark, "test")
+    labels = near_dup.components(frame(parts[0]))
+    for more in parts[1:]:
+        labels = near_dup.grown(labels, frame(more), scratch)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in (e for p in parts for e in p):
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = {n: find(n) for a, b in (e for p in parts for e in p) for n in (a, b) if n != find(n)}  # the smallest node itself has no row
+    assert {r.node: r.component for r in labels.collect()} == want
+
+
+def test_a_grid_of_parts_meets_every_pair(spark, monkeypatch):
+    """Buckets cut into very small parts, and steps written or not, give the same classes."""
+    base = [f"w{i}" for i in range(60)]
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for k in rng.choice(60, rng.integers(0, 4), replace=False):
+            own[k] = f"x{rng.integers(1000)}"
+        texts.append(" ".join(own))
+    docs = documents(spark, texts)
+    want, _ = components(dict(enumerate(texts)), 3, 85)
+    for nodes, edges in ((3, 0), (4096, 200_000)):
+        monkeypatch.setattr(near_dup, "PART_NODES", nodes)
+        monkeypatch.setattr(near_dup, "PLAIN_EDGES", edges)
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, words=3, share=0.85).collect()}
+        assert got == want
