@@ -1 +1 @@
-"""Replay-audit and paired-contrast analytics as Spark jobs."""
+"""Audits of logged decisions and paired experiments, as Spark jobs."""

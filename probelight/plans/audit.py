@@ -1,4 +1,4 @@
-"""Replay-audit queries: modal actions per point and arm, transfer, drift against history, labels of texts."""
+"""Queries on the run log: modal actions per point and arm, transfer, drift against history, labels of texts."""
 
 from __future__ import annotations
 

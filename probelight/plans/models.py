@@ -242,7 +242,8 @@ def no_record_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = vector_pairs(spark, sf_dir)
     constant = load(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("clause")).agg(F.min_by("embedding", "vec_id").alias("none"))
     every = p.join(constant, "clause")
-    half = lambda c, at: F.slice(F.col(c), 1 if at == "span_last" else 33, 32)
+    middle = F.expr("size(b) div 2")
+    half = lambda c, at: F.slice(F.col(c), F.lit(1) if at == "span_last" else middle + 1, middle if at == "span_last" else F.size("b") - middle)
     vector = lambda cond, at: half(cond, at) if cond != "none" or at == "prompt_last" else F.lit(None).cast("array<float>")
     places = ("span_last", "prompt_last")
     long = every.select("pair", "clause", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(at).alias("place"), *[vector(c, at).alias(c) for c in ("b", "c", "none")]) for i, at in enumerate(places)])).alias("x")).select("pair", "clause", "x.*")
@@ -369,8 +370,8 @@ ORACLES: dict[str, str] = {
       SELECT round(avg(a), 6) AS mean, {_PERCENTILES.format('a')}, count(*) AS draws, CASE WHEN quantile_cont(a, 0.025) <= 0.5 AND quantile_cont(a, 0.975) >= 0.5 THEN 'PASS' ELSE 'KILL' END AS verdict FROM a""",
     "random_direction_null": f"""WITH {VPAIRS_SQL}, g AS (SELECT n, d, sqrt(-2 * ln({_UNIT32.format("n || ':' || d || ':r'", 1, '4294967297.0::DOUBLE')})) * cos(2 * pi() * {_UNIT32.format("n || ':' || d || ':a'", 1, '4294967297.0::DOUBLE')}) AS u FROM (SELECT unnest(range(0, 1000)) AS n), (SELECT unnest(range(1, 65)) AS d)),
       v AS (SELECT n, list(u ORDER BY d) AS u FROM g GROUP BY 1), a AS (SELECT n, avg((list_dot_product(diff, u) > 0)::INT) AS a FROM vp, v GROUP BY 1) SELECT round(avg(a), 6) AS mean, round(quantile_cont(a, 0.95), 6) AS p95, round(max(a), 6) AS largest FROM a""",
-    "no_record_control": f"""WITH {VPAIRS_SQL}, f AS (SELECT label AS clause, arg_min(embedding, vec_id) AS none FROM embeddings GROUP BY 1), h AS (SELECT pair, vp.clause, b[33:64]::DOUBLE[] AS b, c[33:64]::DOUBLE[] AS c, none[33:64]::DOUBLE[] AS z FROM vp JOIN f ON f.clause = vp.clause),
-      l AS (SELECT unnest(range(1, 33)) AS d, unnest(c) - unnest(b) AS x FROM h), t AS (SELECT d, sum(x) AS s FROM l GROUP BY 1), u AS (SELECT list(s / (SELECT sqrt(sum(s * s)) FROM t) ORDER BY d) AS u FROM t)
+    "no_record_control": f"""WITH {VPAIRS_SQL}, f AS (SELECT label AS clause, arg_min(embedding, vec_id) AS none FROM embeddings GROUP BY 1), h AS (SELECT pair, vp.clause, b[len(b) // 2 + 1 : len(b)]::DOUBLE[] AS b, c[len(b) // 2 + 1 : len(b)]::DOUBLE[] AS c, none[len(b) // 2 + 1 : len(b)]::DOUBLE[] AS z FROM vp JOIN f ON f.clause = vp.clause),
+      l AS (SELECT unnest(range(1, len(b) + 1)) AS d, unnest(c) - unnest(b) AS x FROM h), t AS (SELECT d, sum(x) AS s FROM l GROUP BY 1), u AS (SELECT list(s / (SELECT sqrt(sum(s * s)) FROM t) ORDER BY d) AS u FROM t)
       SELECT 'prompt_last' AS place, clause, count(*) AS n, round(avg(list_dot_product(b, u)), 6) AS mean_b, round(avg(list_dot_product(c, u)), 6) AS mean_c, round(avg(list_dot_product(z, u)), 6) AS mean_none, round(stddev_pop(list_dot_product(z, u)), 6) AS sd_none FROM h, u GROUP BY 2""",
     "iid_boot": f"""WITH {VPAIRS_SQL}, m AS (SELECT pair, clause, sqrt(list_dot_product(diff, diff)) AS x FROM vp), steps AS (SELECT k, sum(exp(-1 - lgamma(k + 1))) OVER (ORDER BY k) AS c FROM (SELECT unnest(range(0, 13)) AS k)),
       drawn AS (SELECT clause, n, x, {_UNIT32.format("n || ':' || pair", 0, '4294967296.0::DOUBLE')} AS u FROM m, (SELECT unnest(range(0, 200)) AS n)), w AS (SELECT clause, n, x, len([c FOR c IN (SELECT list(c) FROM steps) IF c <= u]) AS w FROM drawn),

@@ -32,8 +32,9 @@ def constitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, source, hash, query, response and payload (JSON) of every call."""
-    c = load(spark, sf_dir, "conversations").where("turn in (0, 1)").groupBy(F.col("conv_id").alias("id")).agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("query"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("response"))
+    """id, source, hash, query, response and payload (JSON) of every call: an even turn and the turn after it."""
+    said = lambda k: F.max(F.when(F.col("turn") % 2 == k, F.col("text")))
+    c = load(spark, sf_dir, "conversations").groupBy(F.expr("conv_id * 4096 + turn div 2").alias("id")).agg(said(0).alias("query"), said(1).alias("response"))
     own = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("version"), F.concat_ws(" ", "n_name", F.lit("keeps its record")).alias("profile"))
     c = c.withColumn("version", (F.col("id") % 27).cast("int")).join(F.broadcast(own), "version", "left")  # the nations: a fixed table
     style = F.col("id") % 4
@@ -220,7 +221,7 @@ QUERIES = {
     "replay_set": replay_set, "first_in_order": first_in_order, "text_extraction": text_extraction, "era_validity": era_validity, "nested_key": nested_key, "open_by_stage": open_by_stage, "confirm_guard": confirm_guard, "memory_matches": memory_matches,
 }
 
-_CALLS = """q AS (SELECT conv_id AS id, max(text) FILTER (turn = 0) AS query, max(text) FILTER (turn = 1) AS response FROM conversations WHERE turn IN (0, 1) GROUP BY 1),
+_CALLS = """q AS (SELECT conv_id * 4096 + turn // 2 AS id, max(text) FILTER (turn % 2 = 0) AS query, max(text) FILTER (turn % 2 = 1) AS response FROM conversations GROUP BY 1),
   calls AS (SELECT q.*, ['telegram', 'genesis', 'probe', 'telegram', 'telegram'][id % 5 + 1] AS source, (id % 27)::INTEGER AS version, n_name || ' keeps its record' AS profile FROM q LEFT JOIN nation ON n_nationkey = id % 27)"""
 _SYSTEM = """styled AS (SELECT *, CASE id % 4 WHEN 0 THEN 'inline' WHEN 1 THEN 'field' WHEN 2 THEN CASE WHEN version % 7 <> 0 OR profile IS NULL THEN 'tail' END END AS style,
   CASE id % 4 WHEN 2 THEN length(coalesce(profile, '')) + CASE WHEN id % 8 = 2 THEN 2 ELSE 0 END + length('Tail of ' || id) ELSE length('Be brief. ' || left(query, 40)) END AS chars FROM calls)"""
@@ -229,8 +230,8 @@ ORACLES = {
     "call_constitution": f"WITH {_CALLS} SELECT CASE WHEN profile IS NOT NULL AND version % 7 <> 0 THEN version END AS version, count(*) AS n, min(id) AS first FROM calls GROUP BY 1",
     "hash_check": "SELECT n_nationkey AS version, reverse(left(sha256(n_name || ' keeps its record'), 12)) AS hash, left(sha256(n_name || ' keeps its record'), 12) AS found, 'warning' AS level FROM nation WHERE n_nationkey % 7 = 0",
     "status_totals": f"WITH {_CALLS}, {_SYSTEM}, k AS (SELECT style IS NOT NULL AS stored, profile IS NOT NULL AND version % 7 <> 0 AS known FROM styled) SELECT count(*) FILTER (stored) AS stored, count(*) FILTER (NOT stored AND known) AS ok, count(*) FILTER (NOT stored AND NOT known) AS bad, count(*) AS n FROM k",
-    "model_frequency": "WITH c AS (SELECT DISTINCT conv_id AS id FROM conversations WHERE turn IN (0, 1)) SELECT model, count(*) AS n FROM (SELECT 'm' || (id % 3) AS model FROM c UNION ALL SELECT 'shared' FROM c WHERE id % 2 = 1) GROUP BY 1",
-    "history_tool": "WITH c AS (SELECT DISTINCT conv_id AS id FROM conversations WHERE turn IN (0, 1)) SELECT CASE WHEN id % 6 = 4 THEN 'abandon_goal' WHEN id % 3 = 1 THEN 'web_search' ELSE '' END AS tool, count(*) AS n, min(id) AS first FROM c GROUP BY 1",
+    "model_frequency": "WITH c AS (SELECT DISTINCT conv_id * 4096 + turn // 2 AS id FROM conversations) SELECT model, count(*) AS n FROM (SELECT 'm' || (id % 3) AS model FROM c UNION ALL SELECT 'shared' FROM c WHERE id % 2 = 1) GROUP BY 1",
+    "history_tool": "WITH c AS (SELECT DISTINCT conv_id * 4096 + turn // 2 AS id FROM conversations) SELECT CASE WHEN id % 6 = 4 THEN 'abandon_goal' WHEN id % 3 = 1 THEN 'web_search' ELSE '' END AS tool, count(*) AS n, min(id) AS first FROM c GROUP BY 1",
     "replay_set": f"""WITH {_CALLS}, tasks AS (SELECT DISTINCT left(CASE WHEN conv_id % 2 = 0 THEN text ELSE split_part(text, ' ', 1) END, 80) AS part FROM conversations WHERE turn = 0 AND conv_id % 37 = 0),
       parts AS (SELECT part FROM tasks WHERE part <> '') SELECT id, source AS kind FROM calls WHERE source <> 'telegram' UNION ALL SELECT id, 'optout' FROM calls WHERE source = 'telegram' AND EXISTS (SELECT 1 FROM parts WHERE contains(left(query, 200), part))""",
     "first_in_order": "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) ORDER BY event_id LIMIT 20",

@@ -24,10 +24,11 @@ def pair_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The probe index is the place of the last word, in words; the record is a turn's first line.
     """
-    member = lambda k, x: F.max(F.when(F.col("turn") == k, x))
+    member = lambda k, x: F.max(F.when(F.col("turn") % 2 == k, x))
     values = {"i": F.size(F.split("text", " ")), "l": F.expr("length(text) div 100"), "r": F.substring_index("text", "\n", 1)}
     each = [member(k, v).alias(f"{n}{k}") for n, v in values.items() for k in (0, 1)]
-    c = load(spark, sf_dir, "conversations").where("turn in (0, 1)").groupBy("conv_id").agg(F.count_if(F.col("turn") == 0).alias("n0"), F.count_if(F.col("turn") == 1).alias("n1"), *each)
+    halves = load(spark, sf_dir, "conversations").groupBy("conv_id", F.expr("turn div 2").alias("half"))
+    c = halves.agg(F.count_if(F.col("turn") % 2 == 0).alias("n0"), F.count_if(F.col("turn") % 2 == 1).alias("n1"), *each)
     differs = lambda n: ~F.col(f"{n}0").eqNullSafe(F.col(f"{n}1"))
     reason = F.when((F.col("n0") != 1) | (F.col("n1") != 1), "members").when(differs("l"), "length").when(differs("i"), "index").when(differs("r"), "record").otherwise("ok")
     return c.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first"))
@@ -90,7 +91,8 @@ def span_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def length_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired accuracy of text length alone; the sign is picked on one part of the conversations and judged on the other."""
-    c = load(spark, sf_dir, "conversations").where("turn in (0, 1)").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.length("text"))).alias("b"), F.max(F.when(F.col("turn") == 1, F.length("text"))).alias("c")).where("b is not null and c is not null")
+    size = lambda k: F.max(F.when(F.col("turn") % 2 == k, F.length("text")))
+    c = load(spark, sf_dir, "conversations").groupBy("conv_id", F.expr("turn div 2").alias("half")).agg(size(0).alias("b"), size(1).alias("c")).where("b is not null and c is not null")
     win = F.when(F.col("c") > F.col("b"), 1.0).when(F.col("c") == F.col("b"), 0.5).otherwise(0.0)
     g = c.agg(F.avg(F.when(F.col("conv_id") % 3 == 0, win)).alias("dev"), F.avg(F.when(F.col("conv_id") % 3 != 0, win)).alias("test"), F.count(F.lit(1)).alias("n"))
     longer = F.col("dev") >= 0.5
@@ -147,11 +149,11 @@ QUERIES = {
     "length_baseline": length_baseline, "length_matched": length_matched, "seed_stability": seed_stability, "kappa": kappa, "orphan_rows": orphan_rows,
 }
 _W = f"WITH {PAIRS_SQL} "
-_TURNS = "turns AS (SELECT conv_id, count(*) FILTER (turn = 0) AS a, count(*) FILTER (turn = 1) AS b, max(length(text)) FILTER (turn = 0) AS la, max(length(text)) FILTER (turn = 1) AS lb FROM conversations WHERE turn IN (0, 1) GROUP BY 1)"
+_TURNS = "turns AS (SELECT conv_id, turn // 2 AS half, max(length(text)) FILTER (turn % 2 = 0) AS la, max(length(text)) FILTER (turn % 2 = 1) AS lb FROM conversations GROUP BY 1, 2)"
 ORACLES = {
     "condition_names": "SELECT CASE l_orderkey % 5 WHEN 0 THEN 'B' WHEN 4 THEN 'B' WHEN 1 THEN 'C' ELSE 'none' END AS cond, count(*) AS n FROM lineitem GROUP BY 1",
-    "pair_parity": """WITH m AS (SELECT conv_id, turn, len(string_split(text, ' ')) AS i, length(text) // 100 AS l, split_part(text, chr(10), 1) AS r FROM conversations WHERE turn IN (0, 1)),
-      p AS (SELECT conv_id, count(*) FILTER (turn = 0) AS n0, count(*) FILTER (turn = 1) AS n1, max(i) FILTER (turn = 0) AS i0, max(i) FILTER (turn = 1) AS i1, max(l) FILTER (turn = 0) AS l0, max(l) FILTER (turn = 1) AS l1, max(r) FILTER (turn = 0) AS r0, max(r) FILTER (turn = 1) AS r1 FROM m GROUP BY 1)
+    "pair_parity": """WITH m AS (SELECT conv_id, turn // 2 AS half, turn % 2 AS turn, len(string_split(text, ' ')) AS i, length(text) // 100 AS l, split_part(text, chr(10), 1) AS r FROM conversations),
+      p AS (SELECT conv_id, count(*) FILTER (turn = 0) AS n0, count(*) FILTER (turn = 1) AS n1, max(i) FILTER (turn = 0) AS i0, max(i) FILTER (turn = 1) AS i1, max(l) FILTER (turn = 0) AS l0, max(l) FILTER (turn = 1) AS l1, max(r) FILTER (turn = 0) AS r0, max(r) FILTER (turn = 1) AS r1 FROM m GROUP BY conv_id, half)
       SELECT CASE WHEN n0 <> 1 OR n1 <> 1 THEN 'members' WHEN l0 <> l1 THEN 'length' WHEN i0 <> i1 THEN 'index' WHEN r0 <> r1 THEN 'record' ELSE 'ok' END AS reason, count(*) AS n, min(conv_id) AS first FROM p GROUP BY 1""",
     "prior_decomposition": _W + ", z AS (SELECT clause, avg(delta_none) FILTER (item % 2 = 0) AS p, avg(delta_none) FILTER (item % 2 = 1) AS q FROM pairs WHERE delta_none IS NOT NULL GROUP BY 1) SELECT clause, round((p + q) / 2, 6) AS prior, round((p - q) / 2, 6) AS swing FROM z",
     "pushed_words": _W + "SELECT clause, CASE WHEN item % 2 = (item // 2) % 2 THEN 'own' ELSE 'other' END AS word, count(*) AS n, round(avg(delta_c - delta_none), 6) AS effect FROM pairs WHERE delta_c IS NOT NULL AND delta_none < -3 GROUP BY 1, 2",

@@ -210,7 +210,7 @@ def feature_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct texts over both members of the pairs."""
     c = load(spark, sf_dir, "conversations")
-    both = c.where("turn = 0").select("text").union(c.where("turn = 1").select("text")).distinct()
+    both = c.where("turn % 2 = 0").select("text").union(c.where("turn % 2 = 1").select("text")).distinct()
     return both.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -284,7 +284,7 @@ ORACLES = {
     "first_emissions": f"WITH {TAGGED_SQL}, l AS (SELECT doc_id, text, {audit._FIRST_LINE} AS fl, {audit._TAG} AS tag FROM tagged), a AS (SELECT *, CASE WHEN fl LIKE '%action%' THEN coalesce({audit._KEYWORD}, 'action_line_unparsed') ELSE '' END AS action FROM l) SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ['publish_page', 'web_search', 'other'][doc_id % 3 + 1] ELSE '' END AS tool, CASE WHEN doc_id % 7 = 0 THEN md5(left(text, 2000)) ELSE '' END AS args, CASE WHEN doc_id % 7 = 0 THEN '' ELSE action END AS action, CASE WHEN doc_id % 7 = 0 THEN '' ELSE tag END AS tag, CASE WHEN doc_id % 7 = 0 THEN '' ELSE left(fl, 120) END AS first_line FROM a",
     "shard_concat": "WITH s AS (SELECT user_id % 5 AS series, event_id // 250 AS shard, min(event_id) AS start, count(*) AS n, min(user_id) AS seed FROM events GROUP BY 1, 2) SELECT series, shard, coalesce(sum(n) OVER (PARTITION BY series ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at, n, (n = first(n) OVER (PARTITION BY series ORDER BY start))::INTEGER AS same_size, (seed = first(seed) OVER (PARTITION BY series ORDER BY start))::INTEGER AS same_seed FROM s",
     "feature_blocks": _W + "SELECT split, 'B' AS block, count(*) AS n, round(sum(delta_b), 6) AS total FROM complete WHERE split <> 'test' GROUP BY 1 UNION ALL SELECT split, 'C', count(*), round(sum(delta_c), 6) FROM complete WHERE split <> 'test' GROUP BY 1",
-    "distinct_texts": "SELECT count(*) AS n, sum(length(text))::BIGINT AS chars FROM (SELECT DISTINCT text FROM conversations WHERE turn IN (0, 1))",
+    "distinct_texts": "SELECT count(*) AS n, sum(length(text))::BIGINT AS chars FROM (SELECT DISTINCT text FROM conversations)",
     "mirror_documents": "SELECT doc_id, CASE k WHEN 1 THEN 'made' WHEN 0 THEN 'phrase absent' ELSE 'phrase repeated' END AS state, CASE WHEN k = 1 THEN md5(replace(text, ' la ', ' il ')) ELSE '' END AS mirror FROM (SELECT doc_id, text, (length(text) - length(replace(text, ' la ', ''))) // 4 AS k FROM documents)",
     "decoded_statistics": "SELECT user_id % 16 AS channel, printf('channel %d is %s: %d spikes of %d kinds', user_id % 16, CASE WHEN count(*) > 300 THEN 'bursting' WHEN count(*) > 50 THEN 'active' ELSE 'quiet' END, count(*), count(DISTINCT event_type)) AS text FROM events GROUP BY user_id % 16",
     "ordered_log": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id)::INTEGER AS place FROM events",

@@ -20,9 +20,9 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VPAIRS_SQL = """vp AS (
-  SELECT b.vec_id AS pair, b.label AS clause, b.vec_id % 48 AS span, list_transform(range(1, 65), lambda i: c.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) AS diff, b.embedding AS b, c.embedding AS c
+  SELECT b.vec_id AS pair, b.label AS clause, b.vec_id % 48 AS span, list_transform(range(1, len(b.embedding) + 1), lambda i: c.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) AS diff, b.embedding AS b, c.embedding AS c
   FROM embeddings b JOIN embeddings c ON c.vec_id = b.vec_id + 1 WHERE b.vec_id % 2 = 0
-), dims AS (SELECT pair, clause, span, unnest(diff) AS x, unnest(range(1, 65)) AS d FROM vp)"""
+), dims AS (SELECT pair, clause, span, unnest(diff) AS x, unnest(range(1, len(diff) + 1)) AS d FROM vp)"""
 
 
 def similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +74,9 @@ def loso_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices of eight dimensions as layers: fitted on three quarters of the spans, accuracy on the rest."""
+    """Slices of eight dimensions as layers, as many as the vectors have: fitted on three quarters of the spans, accuracy on the rest."""
     p = vector_pairs(spark, sf_dir)
-    layers = p.select("pair", (F.col("span") % 4 == 0).alias("dev"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct(k.alias("layer"), F.slice("diff", k * 8 + 1, 8).alias("v")))).alias("x")).select("pair", "dev", "x.layer", "x.v")
+    layers = p.select("pair", (F.col("span") % 4 == 0).alias("dev"), F.explode(F.transform(F.expr("sequence(0, (size(diff) - 1) div 8)"), lambda k: F.struct(k.alias("layer"), F.slice("diff", k * 8 + 1, 8).alias("v")))).alias("x")).select("pair", "dev", "x.layer", "x.v")
     fitted = group_sum(layers.where("not dev"), ["layer"], "v", "total").select("layer", unit(F.col("total")).alias("u"))
     return layers.where("dev").join(fitted, "layer").withColumn("m", dot(F.col("v"), F.col("u"))).groupBy("layer").agg(F.avg((F.col("m") > 0).cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
@@ -144,6 +144,6 @@ ORACLES = {
     "grid_select": _W + ", l AS (SELECT pair, span % 4 = 0 AS dev, (d - 1) // 8 AS layer, d, x FROM dims), f AS (SELECT layer, d, sum(x) AS s FROM l WHERE NOT dev GROUP BY 1, 2), g AS (SELECT layer, d, s / sqrt(sum(s * s) OVER (PARTITION BY layer)) AS s FROM f), m AS (SELECT l.layer, pair, sum(l.x * g.s) AS m FROM l JOIN g ON g.layer = l.layer AND g.d = l.d WHERE dev GROUP BY 1, 2) SELECT layer::INTEGER AS layer, count(*) AS n, round(avg((m > 0)::INT), 6) AS accuracy FROM m GROUP BY 1 ORDER BY accuracy DESC, layer LIMIT 10",
     "cosine_matrix": "WITH d AS (SELECT label, unnest(range(1, 65)) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT label, d, sum(x) AS x FROM d GROUP BY 1, 2), u AS (SELECT label, d, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM s) SELECT a.label AS label_a, b.label AS label_b, round(sum(a.x * b.x), 6) AS cosine FROM u a JOIN u b ON b.d = a.d AND a.label < b.label GROUP BY 1, 2",
     "pair_geometry": _W + ", m AS (SELECT pair, clause, sqrt(sum(dims.x * dims.x)) AS n, sum(dims.x * u.x) AS m FROM dims JOIN u USING (d) GROUP BY 1, 2) SELECT clause, round(avg(n), 6) AS mean_norm, round(avg(m / n), 6) AS coherence, round(corr(n, abs(m)), 6) AS corr FROM m GROUP BY 1",
-    "group_deviation": "WITH f AS (SELECT label, arg_min(embedding, vec_id) AS f FROM embeddings GROUP BY 1) SELECT e.label, round(max(list_max(list_transform(range(1, 65), lambda i: abs(embedding[i]::DOUBLE - f[i]::DOUBLE)))), 6) AS largest FROM embeddings e JOIN f ON f.label = e.label GROUP BY 1",
+    "group_deviation": "WITH f AS (SELECT label, arg_min(embedding, vec_id) AS f FROM embeddings GROUP BY 1) SELECT e.label, round(max(list_max(list_transform(range(1, len(b.embedding) + 1), lambda i: abs(embedding[i]::DOUBLE - f[i]::DOUBLE)))), 6) AS largest FROM embeddings e JOIN f ON f.label = e.label GROUP BY 1",
     "donor_ablation": _LOCO + " SELECT min(accuracy) AS least, (SELECT clause FROM per ORDER BY accuracy, clause LIMIT 1) AS clause, count(*) FILTER (accuracy >= 0.5) AS n_half FROM per",
 }
