@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.order import same_keys, sum_before
 
 
 def r6(x: Column) -> Column:
@@ -22,11 +23,13 @@ def safe_corr(x: Column, y: Column) -> Column:
 def rank_sums(df: DataFrame, by: list[str], value: str, positive: Column) -> DataFrame:
     """Per group: n_pos, n_neg and U, the Mann-Whitney count of pos over neg with ties as half.
 
-    Equal values are counted before ranking, so the running sum is over distinct values, not rows.
+    Equal values are counted before ranking, and the counts are summed up by ranges of the value: neither a frequent
+    value nor a large group is one task's work.
     """
     cells = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return cells.withColumn("_u", F.col("_p") * (below + F.col("_n") / 2)).groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), F.sum("_u").alias("u"))
+    u = F.col("_p") * (F.col("_below") + F.col("_n") / 2)
+    counted = sum_before(cells, by, "_v", "_n", "_below").withColumn("_u", u)
+    return counted.groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), F.sum("_u").alias("u"))
 
 
 def auroc(df: DataFrame, by: list[str], value: str, positive: Column) -> DataFrame:
@@ -34,10 +37,14 @@ def auroc(df: DataFrame, by: list[str], value: str, positive: Column) -> DataFra
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Adds the rank of value within its group; equal values share the mean of their ranks."""
-    w = Window.partitionBy(*by).orderBy(value)
-    same = Window.partitionBy(*by, value)
-    return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2)
+    """Adds the rank of value within its group; equal values, nulls among them, share the mean of their ranks.
+
+    Ranks belong to distinct values: these are counted, the counts summed up by ranges, and each row looks its own up.
+    """
+    cells = sum_before(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), by, value, "_n", "_below")
+    keys = [(c, f"_key{i}") for i, c in enumerate([*by, value])]
+    ranks = cells.select(*[F.col(c).alias(k) for c, k in keys], (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ranks, same_keys(keys)).drop(*[k for _, k in keys])
 
 
 def log_factorial(n: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,3 +40,24 @@ def numbered(df: DataFrame, group: str | None, order: str, name: str) -> DataFra
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = counts.withColumn("_before", before).drop("_n")  # a row for each range and group
     return dealt.withColumn("_here", here).join(shifts, ["_part", *by]).withColumn(name, (F.col("_here") + F.col("_before")).cast("int")).drop("_part", "_here", "_before")
+
+
+def same_keys(pairs: list[tuple[str, str]]) -> Column:
+    """The condition that each column equals its partner, null to null."""
+    return reduce(lambda a, b: a & b, [F.col(left).eqNullSafe(F.col(right)) for left, right in pairs])
+
+
+def sum_before(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of value over the group's rows that come before this one; `order` is unique in the group.
+
+    Ranges are summed side by side, as in `numbered`, so a group of any size spreads over the tasks. Nulls of the order
+    come first, groups may be null, and a sum over no rows is 0.
+    """
+    dealt = with_range(df, order, "_part")
+    inside = Window.partitionBy("_part", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_part", *by).agg(F.sum(value).alias("_sum"))  # a row for each range and group
+    keys = [("_part", "_part_"), *((c, f"_by{i}") for i, c in enumerate(by))]
+    shifts = sums.select(*[F.col(c).alias(k) for c, k in keys], F.coalesce(F.sum("_sum").over(ranges), F.lit(0)).alias("_before"))
+    summed = dealt.withColumn("_here", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(shifts, same_keys(keys))
+    return summed.withColumn(name, F.col("_here") + F.col("_before")).drop("_part", "_here", "_before", *[k for _, k in keys])

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.labels import win_score
 from ..functions.stats import auroc, average_ranks, binomial_p, hash_draw, r6, safe_corr, wilson
+from ..operators.order import sum_before
 from ..sources.tables import PAIRS_SQL, load, pairs
 
 
@@ -135,12 +136,13 @@ def sign_flips(means: DataFrame) -> DataFrame:
     total = F.aggregate(F.expr("transform(ms, (m, i) -> CASE WHEN (mask & shiftleft(1, i)) > 0 THEN -m ELSE m END)"), F.lit(0.0), lambda a, x: a + x)
     seen = means.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("seen"), F.count(F.lit(1)).cast("int").alias("k"))
     sums = masks.select("half", total.alias("t")).crossJoin(F.broadcast(seen))  # one row
-    # A first-half sum asks for second-half sums from its rest on; equal ones come before it.
+    # A first-half sum asks for the second-half sums that are at least its rest: all of them but those below it.
     asked = sums.select("k", "half", F.when(F.col("half") == 0, F.col("seen") - F.col("t") - 1e-9).otherwise(F.col("t")).alias("v"))
-    order = Window.partitionBy("k").orderBy(F.desc("v"), F.desc("half")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = asked.withColumn("n", F.sum("half").over(order)).where("half = 0")
+    cells = asked.groupBy("k", "v").agg(F.count_if(F.col("half") == 0).alias("first"), F.count_if(F.col("half") == 1).alias("second"))
+    below = sum_before(cells, ["k"], "v", "second", "below")
+    reached = F.sum("first") * F.sum("second") - F.sum(F.col("first") * F.col("below"))
     patterns = F.pow(F.lit(2.0), F.col("k")).cast("long")
-    return met.groupBy("k").agg(F.sum("n").alias("at_least")).select("k", patterns.alias("patterns"), "at_least", r6(F.col("at_least") / patterns).alias("p"))
+    return below.groupBy("k").agg(reached.alias("at_least")).select("k", patterns.alias("patterns"), "at_least", r6(F.col("at_least") / patterns).alias("p"))
 
 
 def cluster_bootstrap(spark: SparkSession, sf_dir: str, draws: int = 2000) -> DataFrame:
