@@ -1,20 +1,24 @@
 """Personal data by weak supervision (DataFrame and SQL functions only).
 
 Four base kinds are found by fixed patterns. Looser candidates (secrets, obfuscated e-mail addresses, phone numbers
-without a country code) are put to labelers: a strict regex, a gazetteer, cue words before the span and counter-cues
-around it. Votes are counted per pattern of votes; expectation-maximisation over these few counts estimates each
+without a country code, names of persons, postal addresses) are put to labelers: a strict regex, a gazetteer, cue words
+before the span and counter-cues around it. The gazetteer is a fixed list for each kind and, if given, a table (kind,
+entry) of up to MOST_ENTRIES entries a kind, which is checked; entries are compared with whole words, domain labels or
+beginnings. Votes are counted per pattern of votes; expectation-maximisation over these few counts estimates each
 labeler's reliability without labels, and a logistic span classifier is fitted to the resulting probabilities and
 compiled into a column expression. Accepted candidates are added; base spans always stay.
 
 Cases: a null or empty text has no spans; texts of any length are searched whole and so are spans of any length;
 spans of one kind do not overlap, the leftmost of equal starts wins; repeated rows give repeated rows; other columns
-may have any names; an empty table gives an empty table and a classifier that accepts nothing. Positions are code
-points, end exclusive.
+may have any names; an empty table gives an empty table and a classifier that accepts nothing. Null and empty entries
+of a gazetteer table and entries of other kinds are passed over, repeated ones count once. Positions are code points,
+end exclusive.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("secret", "email_hidden", "phone_local")
+EXTRA = ("secret", "email_hidden", "phone_local", "name", "address")
 KINDS = BASE + EXTRA
 
 # The base patterns, in a form that the regex engine runs in linear time and without recursion: each run of
@@ -45,14 +49,21 @@ STRICT = {
     r"|(?!.*(?:^|/)[a-z]{3,}(?:/|$))(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9_/+-]{32,}={0,2})$",
     "email_hidden": r"(?i)[\[(](?:dot|\.)[\])] ?(?:com|org|net|edu|gov|info|io|de|fr|es|co|uk|eu)$",
     "phone_local": r"^\([0-9]{2,4}\)[ /-]|^0[0-9]",
+    # A name with a title, an address with a postcode; without them neither for nor against.
+    "name": r"^(?:{titles})\.? ",
+    "address": r"[, ](?:[A-Z]{1,2}-)?[0-9]{4,5} \p{Lu}\p{L}+$",
 }
+SILENT = ("name", "address")  # kinds whose strict labeler does not vote against
 # Fixed word lists.
 CUES = {
     "secret": "password passwd pwd token secret key apikey api_key bearer credential passwort clave contraseña jeton",
     "email_hidden": "mail email e-mail contact write reach correo courriel kontakt",
     "phone_local": "phone tel telephone call mobile cell fax telefon handy téléphone teléfono móvil",
+    "name": "name dear regards sincerely signed attn contact patient customer employee nom nombre herrn cher chère estimado estimada",
+    "address": "address residence at ship deliver home adresse wohnhaft anschrift dirección domicilio domicile",
 }
-COUNTER = "isbn issn version order invoice page pages volume vol doi sha commit checksum figure table"
+COUNTER = "isbn issn version order invoice page pages volume vol doi sha commit checksum figure table saint university museum"
+TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sra"
 GAZETTEER = {
     # Beginnings of issued keys.
     "secret": "AKIA ASIA AGPA AIDA AROA ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk- sk_live_ sk_test_ pk_live_ pk_test_ rk_live_ whsec_ eyJ xoxa- xoxb- xoxp- xoxr- xoxs- AIza ya29 npm_ pypi- dop_v1_ shpat_ SG. hf_ key- EAACEdEose0cBA",
@@ -60,10 +71,51 @@ GAZETTEER = {
     "email_hidden": "gmail googlemail yahoo ymail hotmail outlook live msn aol icloud me mac proton protonmail gmx web t-online freenet orange laposte free wanadoo mail yandex zoho fastmail tutanota example posteo telefonica hotmail libero",
     # Beginnings of numbers as they are dialled within a country.
     "phone_local": "(0 ( 0 1-800 1-888 1-877 800 888 877 900",
+    # Given names that are no common words.
+    "name": "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Andrew Kevin Brian George Edward Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Sandra Ashley Emily Hans Peter Klaus Wolfgang Jürgen Stefan Andreas Thorsten Ursula Monika Sabine Petra Heike Anna Jean Pierre Michel Philippe Jacques Nicolas François Marie Nathalie Isabelle Sylvie Catherine José Antonio Manuel Francisco Juan Javier Carlos Miguel María Carmen Ana Isabel Dolores Pilar Teresa",
+    # Words for streets, as they stand after, in or before a street's name.
+    "address": "Street St Avenue Ave Road Rd Lane Ln Drive Dr Boulevard Blvd Court Ct Square Terrace Way straße strasse str. allee gasse platz weg rue avenue boulevard impasse chemin quai Calle Avenida Plaza Paseo",
 }
+MOST_ENTRIES = 2_000
 LABELERS = ("strict", "gazetteer", "cue", "counter")
 ACCEPT = 0.5
 
+Lists = dict[str, list[str]]
+
+
+def read_gazetteer(table: DataFrame | None = None) -> Lists:
+    """The entries of each kind: the fixed lists and those of a table (kind, entry), whose size is checked first."""
+    lists = {kind: words.split() for kind, words in GAZETTEER.items()}
+    if table is not None:
+        entries = table.where(F.col("kind").isin(*EXTRA) & (F.trim("entry") != "")).select("kind", F.trim("entry").alias("entry")).distinct()
+        for kind, n in entries.groupBy("kind").count().collect():
+            if n > MOST_ENTRIES:
+                raise ValueError(f"the gazetteer has {n} entries of kind {kind}; at most {MOST_ENTRIES} are taken")
+        for kind, entry in entries.orderBy("kind", "entry").collect():
+            lists[kind].append(entry)
+    return {kind: list(dict.fromkeys(words)) for kind, words in lists.items()}
+
+
+def _any(words: list[str]) -> str:
+    return "|".join(re.escape(w) for w in words)
+
+
+def candidate_patterns(lists: Lists) -> dict[str, str]:
+    """Patterns of the looser kinds. A name begins with a title or a given name, an address has a number and a word for a street."""
+    word = r"(?:\p{Lu}['’])?\p{Lu}(?=\p{L}*\p{Ll})\p{L}++(?:-\p{Lu}\p{L}++)?+"
+    start, end = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+    streets = _any(lists["address"])
+    town = r"(?:,? (?:[A-Z]{1,2}-)?[0-9]{4,5} \p{Lu}\p{L}++)?+"
+    name = rf"(?=\p{{Lu}}){start}(?:(?:{_any(TITLES.split())})\.? {word}|(?:{_any(lists['name'])})(?: \p{{Lu}}\.)? {word})(?: {word})?"
+    forms = (
+        rf"[0-9]{{1,5}}[A-Za-z]? (?:\p{{Lu}}\p{{L}}*+\.? ){{1,4}}(?:{streets}){end}",
+        rf"[0-9]{{1,5}},? (?:{streets}) (?:(?:de|du|des|la|le|les) ){{0,2}}\p{{Lu}}\p{{L}}++",
+        rf"\p{{Lu}}\p{{L}}*(?:{streets}) [0-9]{{1,4}}[a-z]?{end}",
+        rf"(?:{streets})(?: (?:de|del|la|las|los|\p{{Lu}}\p{{L}}++)){{1,5}},? [0-9]{{1,4}}{end}",
+    )
+    address = rf"(?=[0-9\p{{Lu}}]){start}(?:{'|'.join(forms)}){town}"
+    return CANDIDATES | {"name": name, "address": address}
+
 
 def _let(value: Column, body) -> Column:
     """body(value), with the value computed once however often the body names it."""
@@ -149,7 +201,7 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(text: Column, p: Column) -> Column:
+def _votes(text: Column, p: Column, lists: Lists) -> Column:
     """The labelers' votes on a candidate: 1 for, -1 against, 0 none."""
     before = F.lower(F.substring(text, F.greatest(p["s"] - 31, F.lit(1)), F.least(p["s"], F.lit(32))))
 
@@ -159,21 +211,30 @@ def _votes(text: Column, p: Column) -> Column:
             out = F.when(p["kind"] == kind, make(kind)).otherwise(out)
         return out
 
-    words = lambda s: "|".join(w.replace("-", r"\-").replace("(", r"\(") for w in s.split())
-    strict = by_kind(lambda k: F.when(p["x"].rlike(STRICT[k]), 1).otherwise(-1))
-    gazetteer = by_kind(lambda k: F.when(p["x"].rlike(f"^(?:{words(GAZETTEER[k])})" if k != "email_hidden" else f"(?i)(?:{words(GAZETTEER[k])})"), 1).otherwise(0))
+    words = lambda s: _any(s.split())
+    listed = {k: _any(lists[k]) for k in EXTRA}
+    begins = {k: rf"^(?:{listed[k]})" for k in ("secret", "phone_local")}
+    whole = {
+        # A label of the domain, but for the last one.
+        "email_hidden": rf"(?i)[\])] ?(?:{listed['email_hidden']})(?= ?[\[(](?:dot|\.))",
+        "name": rf"^(?:(?:{words(TITLES)})\.? )?(?:{listed['name']})(?!\p{{L}})",
+        "address": rf"(?:{listed['address']})(?!\p{{L}})",
+    }
+    strict = by_kind(lambda k: F.when(p["x"].rlike(STRICT[k].replace("{titles}", words(TITLES))), 1).otherwise(0 if k in SILENT else -1))
+    gazetteer = by_kind(lambda k: F.when(p["x"].rlike((begins | whole)[k]), 1).otherwise(0))
     cue = by_kind(lambda k: F.when(before.rlike(rf"(?:^|[^\p{{L}}])(?:{words(CUES[k])})[^\p{{L}}]{{1,8}}$"), 1).otherwise(0))
     counter = F.when(before.rlike(rf"(?:^|[^\p{{L}}])(?:{words(COUNTER)})[^\p{{L}}]{{1,8}}$"), -1).otherwise(0)
     return F.struct(strict.alias("strict"), gazetteer.alias("gazetteer"), cue.alias("cue"), counter.alias("counter"), F.least((p["e"] - p["s"]) / 16, F.lit(4)).cast("int").alias("size"))
 
 
-def find_candidates(docs: DataFrame, *keep: str) -> DataFrame:
+def find_candidates(docs: DataFrame, *keep: str, lists: Lists | None = None) -> DataFrame:
     """The kept columns, base: array<kind,s,e>, and candidates: array<kind,s,e,votes>; candidates that touch a base span are left out."""
+    lists = lists or read_gazetteer()
     text = F.coalesce(F.col("text"), F.lit(""))
     # Texts without any digit, @ or bracket are most of them; one cheap look spares them the other patterns.
     looked = docs.select(*keep, text.alias("_text"), text.rlike("[0-9]").alias("_digit"), text.contains("@").alias("_at"), text.rlike(r"[\[(](?i:at|@)[\])]").alias("_hidden"))
-    need = {"email": F.col("_at"), "ip": F.col("_digit"), "card": F.col("_digit"), "phone": F.col("_digit") & F.col("_text").contains("+"), "secret": F.col("_digit"), "email_hidden": F.col("_hidden"), "phone_local": F.col("_digit")}
-    every = PATTERNS | CANDIDATES
+    need = {"email": F.col("_at"), "ip": F.col("_digit"), "card": F.col("_digit"), "phone": F.col("_digit") & F.col("_text").contains("+"), "secret": F.col("_digit"), "email_hidden": F.col("_hidden"), "phone_local": F.col("_digit"), "name": F.lit(True), "address": F.col("_digit")}
+    every = PATTERNS | candidate_patterns(lists)
     # The matches are a projection of their own, so that each pattern is searched once a text.
     matched = looked.select(*keep, "_text", *[F.when(need[k], F.regexp_extract_all("_text", F.lit(every[k]), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"_{k}") for k in KINDS])
     bare = lambda a: F.transform(a, lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e")))
@@ -181,7 +242,7 @@ def find_candidates(docs: DataFrame, *keep: str) -> DataFrame:
     kept = lambda k: F.filter(place(k), lambda p: _valid(k, p["x"]))
     base = matched.withColumn("base", F.concat(*[bare(kept(k)) for k in BASE])).withColumn("_extra", F.concat(*[place(k) for k in EXTRA])).withColumn("_size", F.length("_text"))
     free = F.concat(*[_apart(F.col("_size"), F.col("base"), F.filter("_extra", lambda p: p["kind"] == k)) for k in EXTRA])  # noqa: B023
-    voted = F.transform(free, lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e"), _votes(F.col("_text"), p).alias("votes")))
+    voted = F.transform(free, lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e"), _votes(F.col("_text"), p, lists).alias("votes")))
     return base.select(*keep, "base", F.when(F.size("_extra") > 0, voted).otherwise(F.array().cast(voted_type())).alias("candidates"))
 
 
@@ -207,7 +268,7 @@ class SpanClassifier:
 
 
 def vote_counts(candidates: DataFrame) -> list[Row]:
-    """How often each pattern of kind, votes and size occurs: at most 3 * 3**4 * 5 rows, however many documents."""
+    """How often each pattern of kind, votes and size occurs: at most 5 * 3**4 * 5 rows, however many documents."""
     p = F.col("p")
     return candidates.select(F.explode("candidates").alias("p")).groupBy(p["kind"].alias("kind"), *[p["votes"][n].alias(n) for n in (*LABELERS, "size")]).count().collect()
 
@@ -262,14 +323,14 @@ def fit_classifier(rows: list[Row], steps: int = 400, rate: float = 0.5, shrink:
     return SpanClassifier(weights)
 
 
-def find_pii(docs: DataFrame, *keep: str) -> DataFrame:
+def find_pii(docs: DataFrame, *keep: str, gazetteer: DataFrame | None = None) -> DataFrame:
     """The kept columns, `base` and `spans`: arrays of (kind, s, e), each by kind as listed, then start.
 
     A kept column named base or spans gives way to the result.
     """
     kept = [c for c in keep if c not in ("base", "spans")]
     row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(None)
-    found = materialize(find_candidates(docs.select(row.alias("_row"), "text"), "_row"), "pii")
+    found = materialize(find_candidates(docs.select(row.alias("_row"), "text"), "_row", lists=read_gazetteer(gazetteer)), "pii")
     model = fit_classifier(vote_counts(found))
     bare = F.transform(F.filter("candidates", lambda p: model.column(p) >= ACCEPT), lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e")))
     return found.select(*[F.col("_row")[c].alias(c) for c in kept], "base", F.concat("base", bare).alias("spans"))
@@ -279,12 +340,12 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda p: F.concat_ws(":", p["kind"], p["s"].cast("string"), p["e"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; overlapping spans become one, named after the first.
 
     All other columns, whatever their names, come back as they were.
     """
-    found = find_pii(docs.select(F.struct("*").alias("row"), "text"), "row", "text")
+    found = find_pii(docs.select(F.struct("*").alias("row"), "text"), "row", "text", gazetteer=gazetteer)
     ordered = F.array_sort(F.transform("spans", lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), p["kind"].alias("kind"))))
     piece = lambda at, p: F.when(p["s"] >= at, F.concat(F.substring(F.col("text"), at + 1, p["s"] - at), F.lit("["), F.upper(p["kind"]), F.lit("]"))).otherwise("")
     pieces = _running(ordered, piece, lambda at, p: F.greatest(at, p["e"]), "string")
