@@ -79,6 +79,7 @@ GAZETTEER = {
 MOST_ENTRIES = 2_000
 LABELERS = ("strict", "gazetteer", "cue", "counter")
 ACCEPT = 0.5
+CONTEXT = 32  # characters before a candidate in which cue words count
 
 Lists = dict[str, list[str]]
 
@@ -150,23 +151,29 @@ def _running(items: Column, emit, after, kind: str) -> Column:
 
 
 def _located(text: Column, kind: str, pattern: str, found: Column) -> Column:
-    """Matches of a pattern with their places: the pieces between matches give every match its start."""
+    """Matches of a pattern with their places and the CONTEXT characters before them, as far as the match before.
+
+    The pieces between matches give every match its start and what stands before it, so the text is gone through once.
+    """
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    earlier = F.concat(F.array(F.lit("")), F.slice(found, 1, F.size(found) - 1))
+    context = F.zip_with(earlier, gaps, lambda m, g: F.substring(F.concat(m, g), -CONTEXT, CONTEXT) if kind in EXTRA else F.lit(""))
     sizes = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
     starts = _running(sizes, lambda at, x: at + x["g"], lambda at, x: at + x["g"] + x["m"], "int")["out"]
     placed = F.zip_with(starts, found, lambda at, m: F.struct(F.lit(kind).alias("kind"), at.alias("s"), (at + F.length(m)).alias("e"), m.alias("x")))
-    return F.when(F.size(found) > 0, placed).otherwise(F.array().cast("array<struct<kind:string,s:int,e:int,x:string>>"))
+    seen = F.zip_with(placed, context, lambda p, b: F.struct(*[p[c].alias(c) for c in ("kind", "s", "e", "x")], b.alias("b")))
+    return F.when(F.size(found) > 0, seen).otherwise(F.array().cast("array<struct<kind:string,s:int,e:int,x:string,b:string>>"))
 
 
 def _apart(size: Column, base: Column, found: Column) -> Column:
     """The found spans of one kind that touch no base span, from one look along all of them from each end."""
-    mark = lambda own: lambda p: F.struct(p["s"].alias("s"), F.lit(own).alias("own"), p["e"].alias("e"), p["kind"].alias("kind"), (p["x"] if own else F.lit("")).alias("x"))
+    mark = lambda own: lambda p: F.struct(p["s"].alias("s"), F.lit(own).alias("own"), p["e"].alias("e"), p["kind"].alias("kind"), *[(p[c] if own else F.lit("")).alias(c) for c in ("x", "b")])
     after = lambda edge: lambda at, p: F.when(p["own"] == 0, F.greatest(at, edge(p))).otherwise(at)
 
     def free(items: Column) -> Column:
         left = _running(items, lambda at, p: at > p["s"], after(lambda p: p["e"]), "boolean")["out"]
         right = F.reverse(_running(F.reverse(items), lambda at, p: at > size - p["e"], after(lambda p: size - p["s"]), "boolean")["out"])
-        alone = F.zip_with(F.zip_with(left, right, lambda a, b: a | b), items, lambda t, p: F.when((p["own"] == 1) & ~t, F.struct(*[p[c].alias(c) for c in ("kind", "s", "e", "x")])))
+        alone = F.zip_with(F.zip_with(left, right, lambda a, b: a | b), items, lambda t, p: F.when((p["own"] == 1) & ~t, F.struct(*[p[c].alias(c) for c in ("kind", "s", "e", "x", "b")])))
         return F.filter(alone, lambda p: p.isNotNull())
 
     def kept(v: Column) -> Column:
@@ -201,9 +208,9 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(text: Column, p: Column, lists: Lists) -> Column:
+def _votes(p: Column, lists: Lists) -> Column:
     """The labelers' votes on a candidate: 1 for, -1 against, 0 none."""
-    before = F.lower(F.substring(text, F.greatest(p["s"] - 31, F.lit(1)), F.least(p["s"], F.lit(32))))
+    before = F.lower(p["b"])
 
     def by_kind(make) -> Column:
         out = F.lit(0)
@@ -242,7 +249,7 @@ def find_candidates(docs: DataFrame, *keep: str, lists: Lists | None = None) ->
     kept = lambda k: F.filter(place(k), lambda p: _valid(k, p["x"]))
     base = matched.withColumn("base", F.concat(*[bare(kept(k)) for k in BASE])).withColumn("_extra", F.concat(*[place(k) for k in EXTRA])).withColumn("_size", F.length("_text"))
     free = F.concat(*[_apart(F.col("_size"), F.col("base"), F.filter("_extra", lambda p: p["kind"] == k)) for k in EXTRA])  # noqa: B023
-    voted = F.transform(free, lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e"), _votes(F.col("_text"), p, lists).alias("votes")))
+    voted = F.transform(free, lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e"), _votes(p, lists).alias("votes")))
     return base.select(*keep, "base", F.when(F.size("_extra") > 0, voted).otherwise(F.array().cast(voted_type())).alias("candidates"))
 
 
