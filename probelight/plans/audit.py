@@ -196,13 +196,14 @@ def squeeze_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratio_bootstrap(spark: SparkSession, sf_dir: str, draws: int = 1000) -> DataFrame:
     """Transfer coefficient over hashed resamples of points; the interval takes order statistics, without interpolation.
 
-    Each resample is a row count by draws, so points meet draws once; what is shuffled is a partial sum per draw.
+    Picks are as many as points by draws, made from the numbers of the points. They meet the points by a shuffled join
+    that builds on the points, so neither side goes through the driver; what is shuffled after it is a partial sum per draw.
     """
     table = point_table(spark, sf_dir).where("m1_modal is not null and m2_modal is not null and m1_share > 0")
-    placed = numbered(table.select("pid", "m1_share", "m2_to_m1"), None, "pid", "i").withColumn("i", F.col("i") - 1)
-    n = F.lit(table.count())
-    picks = spark.range(draws).select(F.col("id").alias("b")).select("b", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).select("b", hash_draw(n, F.col("b"), F.col("k")).alias("i"))
-    ratios = picks.join(placed, "i").groupBy("b").agg((F.sum("m2_to_m1") / F.sum("m1_share")).alias("ratio"))
+    placed = numbered(table.select("pid", "m1_share", "m2_to_m1"), None, "pid", "i").withColumn("i", F.col("i").cast("bigint") - 1)
+    n = table.count()
+    picks = spark.range(n).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).select("b", hash_draw(F.lit(n), F.col("b"), F.col("k")).alias("i"))
+    ratios = picks.join(placed.hint("shuffle_hash"), "i").groupBy("b").agg((F.sum("m2_to_m1") / F.sum("m1_share")).alias("ratio"))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ratio"))
     ordered = ratios.withColumn("place", place)
     low, high = draws * 25 // 1000, draws * 975 // 1000

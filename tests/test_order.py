@@ -64,3 +64,11 @@ def test_many_ties_spread_over_tasks(spark):
     out = average_ranks(df, ["g"], "v", "rank")
     found = out.groupBy("v").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).orderBy("v").collect()
     assert [(r.low, r.high) for r in found] == [(200 * i + 100.5,) * 2 for i in range(1000)]
+
+
+def test_picks_of_the_ratio_bootstrap_stay_off_the_driver(spark, sf_dir):
+    """The picks look like a thousand rows to the planner; the join has to build on the points, by a shuffle."""
+    from probelight.plans.audit import ratio_bootstrap
+
+    plan = ratio_bootstrap(spark, sf_dir, draws=40)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Generate explode" in plan
