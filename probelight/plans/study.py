@@ -200,10 +200,10 @@ def shard_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The train and dev pools one after the other, and the B and C blocks of each."""
+    """The train and dev pools, and the B and C blocks of each; every item is read once and gives a row to both blocks."""
     d = complete(spark, sf_dir)
-    pool = d.where("split = 'train'").unionByName(d.where("split = 'dev'"))
-    rows = pool.select("split", F.lit("B").alias("block"), F.col("delta_b").alias("x")).unionByName(pool.select("split", F.lit("C"), F.col("delta_c")).toDF("split", "block", "x"))
+    block = lambda name, c: F.struct(F.lit(name).alias("block"), F.col(c).alias("x"))
+    rows = d.where("split <> 'test'").select("split", F.explode(F.array(block("B", "delta_b"), block("C", "delta_c"))).alias("r")).select("split", "r.*")
     return rows.groupBy("split", "block").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("x")).alias("total"))
 
 
