@@ -171,7 +171,7 @@ def headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = complete(spark, sf_dir).where("delta_none is not null").withColumn("cls", F.when(F.col("item") % 2 == 0, "AGREE").otherwise("CONFLICT"))
     sign = F.when(F.col("cls") == "AGREE", 1).otherwise(-1)
     d = d.withColumn("effect", sign * (F.col("delta_c") - F.col("delta_none"))).withColumn("room", sign * F.col("delta_none"))
-    both = d.unionByName(d.withColumn("cls", F.lit("both")))
+    both = d.withColumn("cls", F.explode(F.array("cls", F.lit("both"))))
     return both.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), r6(safe_corr(F.col("room"), F.col("effect"))).alias("corr"), r6(F.regr_slope("effect", "room")).alias("slope"), r6(F.median("room")).alias("median_room"))
 
 
