@@ -104,7 +104,7 @@ def length_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = load(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
     d = complete(spark, sf_dir).join(n.select(F.col("doc_id").alias("item"), F.col("n").alias("nb")), "item").join(n.select((F.col("doc_id") - 1).alias("item"), F.col("n").alias("nc")), "item")
     d = d.withColumn("apart", F.col("nc") - F.col("nb")).withColumn("near", F.abs("apart") * 2 <= F.col("nb"))
-    both = d.withColumn("subset", F.lit("all")).unionByName(d.where("near").withColumn("subset", F.lit("matched")))
+    both = d.withColumn("subset", F.explode(F.when(F.col("near"), F.array(F.lit("all"), F.lit("matched"))).otherwise(F.array(F.lit("all")))))
     ranked = average_ranks(average_ranks(both, ["subset"], "shift", "rs"), ["subset"], "apart", "ra")
     win = F.when(F.col("shift") > 0, 1.0).when(F.col("shift") == 0, 0.5).otherwise(0.0)
     return ranked.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(win)).alias("accuracy"), r6(F.avg("shift")).alias("margin"), r6(safe_corr(F.col("rs"), F.col("ra"))).alias("rho"))
