@@ -244,7 +244,8 @@ QUERIES = {
     "condition_gap": condition_gap, "spillover": spillover, "score_bands": score_bands, "macro_average": macro_average, "cell_max": cell_max, "record_integrity": record_integrity, "probe_signs": probe_signs, "says_by_crossed": says_by_crossed,
 }
 
-_BINOMIAL = "CASE WHEN {n} = 0 THEN NULL WHEN 2 * {k} = {n} THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2))) FROM (SELECT unnest(range(0, 100000)) AS i) WHERE i <= least({k}, {n} - {k}))) END"
+# Every outcome up to the smaller count is summed up, however many there are.
+_BINOMIAL = "CASE WHEN {n} = 0 THEN NULL WHEN 2 * {k} = {n} THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least({k}, {n} - {k}) + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2))))) END"
 _DRAW = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
 ORACLES = {
     "pivot_conditions": _W + "SELECT item, clause, split, span_key, round(delta_b, 6) AS delta_b, round(delta_c, 6) AS delta_c, round(delta_none, 6) AS delta_none FROM pairs",

@@ -6,6 +6,7 @@ from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from probelight.queries import ORACLES, QUERIES
 
@@ -42,3 +43,14 @@ def test_entry_imports_without_the_corpus_operators():
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("k, n", [(0, 0), (0, 3), (2, 4), (5, 40), (121_440, 241_080), (250_100, 500_000), (1_000_900, 2_000_000)])
+def test_sign_test_in_sql_sums_all_outcomes(spark, k, n):
+    """The SQL that mcnemar, paired_evaluation and paired_bundle share, against the query's form, on counts beyond 100,000 too."""
+    from probelight.functions.stats import binomial_p, r6
+    from probelight.plans.contrast import _BINOMIAL
+
+    got = spark.createDataFrame([(k, n)], "k long, n long").select(r6(binomial_p(F.col("k"), F.col("n")))).first()[0]
+    (want,) = duckdb.sql(f"SELECT round({_BINOMIAL.format(k='k', n='n')}, 6) FROM (SELECT {k}::BIGINT AS k, {n}::BIGINT AS n)").fetchall()[0]
+    assert plain(got) == plain(want) and (n < 100_000 or got > 0)
