@@ -283,3 +283,25 @@ def test_eras_by_ranges_as_by_folding(spark, monkeypatch):
     assert ranged == folded and {r[2] for r in ranged} >= {"none", "era0", "era2a", "era8"} and not {"a", "era2"} & {r[2] for r in ranged}
     with pytest.raises(ValueError):
         joins.prior_rows(facts, eras, "t", "since", "specs")
+
+
+def test_pairs_of_blocks_give_few_rows_and_ties_keep_their_order(spark):
+    """Copies of one vector, a zero vector, and texts that are equal or missing: at most k rows a query leave a pair of blocks."""
+    import numpy as np
+
+    v = np.random.default_rng(3).normal(size=(40, 7))
+    x = np.repeat(v / np.linalg.norm(v, axis=1, keepdims=True), 5, axis=0)
+    x[11] = 0
+    text = [None if i % 9 == 0 else i % 4 for i in range(200)]
+    want = set()
+    for q in range(200):
+        score = {i: float((x[q] * x[i]).sum()) for i in range(q) if text[i] != text[q]}
+        best = sorted((i for i in score if score[i] >= 0.3), key=lambda i: (-score[i], i))[:2]
+        want |= {(q, i, rank + 1) for rank, i in enumerate(best)}
+    held = joins._best([np.arange(200), x, np.zeros(200), np.zeros(200)], [np.arange(200), x, np.zeros(200), np.zeros(200)], 2, 0.3, False)
+    assert np.bincount(held.column(0).to_numpy()).max() == 2
+    store = spark.createDataFrame([(i, x[i].tolist(), text[i]) for i in range(200)], "id long, vec array<double>, text long")
+    queries = store.selectExpr("id AS query_id", "vec AS query_vec")
+    texts = (store.selectExpr("id AS query_id", "text AS query_text"), store.select("id", "text"))
+    for most in (32, 4096):
+        assert {(r.query_id, r.id, r.rank) for r in joins.top_similar(queries, store.select("id", "vec"), 2, 0.3, other=texts, most=most).collect()} == want
