@@ -124,3 +124,22 @@ def test_a_study_too_large_for_a_task_stops_with_its_size(spark, monkeypatch):
     monkeypatch.setattr(R, "STUDY_BYTES", 1000)
     with pytest.raises(ValueError, match="MB"):
         R.nested_resamples(study(spark, 40, 4)[1], 3)
+
+
+@pytest.mark.parametrize("stored", ["float", "double"])
+def test_a_large_study_of_few_cells_streams_by(spark, monkeypatch, stored):
+    """A study beyond what a task may hold, in many small rows of the stream and more tasks than cores; some pairs are equal."""
+    rows, df = study(spark, 4000, 2, noise=6.0)
+    double, df = "array<double>", df.withColumn("c", F.when(F.col("pair") % 9 == 0, F.col("b")).otherwise(F.col("c")))
+    df = df.withColumns({x: F.col(x).cast(f"array<{stored}>") for x in ("b", "c")}).persist()
+    monkeypatch.setattr(R, "STUDY_BYTES", 100_000)
+    monkeypatch.setattr(R, "LINES_BYTES", 20_000)
+    monkeypatch.setattr(R, "CELL_PAIRS", 7)
+    found = {r["draw"]: r["macro"] for r in R.nested_resamples(df, 12, seed=5).collect()}
+    rows = df.select("clause", F.concat_ws("|", "clause", "cls").alias("s"), F.col("span").cast("string").alias("span"), F.col("b").cast(double).alias("b"), F.col("c").cast(double).alias("c")).collect()
+    clause, stratum, span = (np.unique([str(r[i]) for r in rows], return_inverse=True)[1] for i in range(3))
+    b, c = (np.array([r[i] for r in rows]) for i in (3, 4))
+    assert set(found) == set(range(12))
+    for d in range(12):
+        w = R.resample_weights(stratum, span, 6 + d)
+        assert np.isclose(found[d], R.decoded_macro(b, c, clause, R.shuffled_folds(span, w, 5, 6 + d), w, 5), atol=1e-12)
