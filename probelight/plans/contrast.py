@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import win_score
-from ..functions.stats import auroc, average_ranks, binomial_p, hash_draw, r6, safe_corr, wilson
+from ..functions.stats import auroc, average_ranks, binomial_p, centred_corr, centred_ranks, hash_draw, r6, safe_corr, settled, wilson
 from ..operators.order import sum_before
 from ..sources.tables import PAIRS_SQL, load, pairs
 
@@ -97,10 +97,13 @@ def auroc_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation of shift and prior by clause; null for fewer than three items or no variance."""
-    d = complete(spark, sf_dir).where("delta_none is not null")
-    ranked = average_ranks(average_ranks(d, ["clause"], "shift", "rs"), ["clause"], "delta_none", "rn")
-    return ranked.groupBy("clause").agg(F.count(F.lit(1)).alias("n"), r6(safe_corr(F.col("rs"), F.col("rn"))).alias("rho"))
+    """Rank correlation of shift and prior by clause; null for fewer than three items or no variance.
+
+    The study is read once, as the number of items of each clause, shift and prior; both ranks are made from these.
+    """
+    cells = complete(spark, sf_dir).where("delta_none is not null").groupBy("clause", "shift", "delta_none").agg(F.count(F.lit(1)).alias("items")).persist()
+    ranked = centred_ranks(cells, "clause", "items", {"shift": "rs", "delta_none": "rn"})
+    return settled(ranked.groupBy("clause").agg(F.sum("items").alias("n"), r6(centred_corr(F.col("rs"), F.col("rn"), F.col("items"))).alias("rho")), cells)  # a row for each clause
 
 
 def avg_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

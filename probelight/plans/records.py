@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import norm_condition
-from ..functions.stats import average_ranks, hash_draw, r6, safe_corr, wilson
+from ..functions.stats import centred_corr, centred_ranks, hash_draw, r6, settled, wilson
 from ..functions.tokens import failure_function, last_occurrence
 from ..sources.tables import PAIRS_SQL, load, pair_rows, pairs
 from .contrast import complete
@@ -105,9 +105,11 @@ def length_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = complete(spark, sf_dir).join(n.select(F.col("doc_id").alias("item"), F.col("n").alias("nb")), "item").join(n.select((F.col("doc_id") - 1).alias("item"), F.col("n").alias("nc")), "item")
     d = d.withColumn("apart", F.col("nc") - F.col("nb")).withColumn("near", F.abs("apart") * 2 <= F.col("nb"))
     both = d.withColumn("subset", F.explode(F.when(F.col("near"), F.array(F.lit("all"), F.lit("matched"))).otherwise(F.array(F.lit("all")))))
-    ranked = average_ranks(average_ranks(both, ["subset"], "shift", "rs"), ["subset"], "apart", "ra")
+    cells = both.groupBy("subset", "shift", "apart").agg(F.count(F.lit(1)).alias("items")).persist()
+    ranked = centred_ranks(cells, "subset", "items", {"shift": "rs", "apart": "ra"})
     win = F.when(F.col("shift") > 0, 1.0).when(F.col("shift") == 0, 0.5).otherwise(0.0)
-    return ranked.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(win)).alias("accuracy"), r6(F.avg("shift")).alias("margin"), r6(safe_corr(F.col("rs"), F.col("ra"))).alias("rho"))
+    mean = lambda x: r6(F.sum(F.col("items") * x) / F.sum("items"))
+    return settled(ranked.groupBy("subset").agg(F.sum("items").alias("n"), mean(win).alias("accuracy"), mean(F.col("shift")).alias("margin"), r6(centred_corr(F.col("rs"), F.col("ra"), F.col("items"))).alias("rho")), cells)  # two rows
 
 
 def seed_stability(spark: SparkSession, sf_dir: str, draws: int = 2000) -> DataFrame:

@@ -1,11 +1,13 @@
 """Ranks, rank sums and running sums by ranges, against plain versions."""
 
 import random
+import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from probelight.functions.stats import auroc, average_ranks
+from probelight.functions.stats import auroc, average_ranks, centred_corr, centred_ranks
 from probelight.operators.order import sum_before
 
 
@@ -72,3 +74,36 @@ def test_picks_of_the_ratio_bootstrap_stay_off_the_driver(spark, sf_dir):
 
     plan = ratio_bootstrap(spark, sf_dir, draws=40)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "Generate explode" in plan
+
+
+@pytest.mark.parametrize("kind", ["mixed", "equal", "empty"])
+def test_rank_correlation_of_counted_rows(spark, kind):
+    """Rows that stand for several, ties, nulls in group and values: as from the ranks of all rows one by one; null without variance."""
+    rng = random.Random(6)
+    rows = [(g, v, v if rng.random() < 0.3 else rng.choice([None, 1.5, float(i % 7)]), rng.randint(1, 4)) for g, v, _, i in rows_of(kind, 600)] + [("few", 1.0, 2.0, 1), ("few", 2.0, 1.0, 1)]
+    cells = spark.createDataFrame(rows, "g string, x double, y double, n long")
+    ranked = centred_ranks(cells, "g", "n", {"x": "rx", "y": "ry"})
+    got = {r.g: (r.n, r.rho) for r in ranked.groupBy("g").agg(F.sum("n").alias("n"), centred_corr(F.col("rx"), F.col("ry"), F.col("n")).alias("rho")).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for group, (n, rho) in got.items():
+        x, y = (np.array([1 + sum(w < v for w in values) + (values.count(v) - 1) / 2 for v in values]) for values in ([key(r[c]) for r in rows if r[0] == group for _ in range(r[3])] for c in (1, 2)))
+        assert n == len(x)
+        assert rho is None if n < 3 or x.std() * y.std() == 0 else rho == pytest.approx(np.corrcoef(x, y)[0, 1])
+
+
+@pytest.mark.parametrize("name", ["spearman", "length_matched"])
+def test_rank_correlations_read_the_study_once(spark, sf_dir, monkeypatch, tmp_path, name):
+    """Each task that makes rows of the study leaves a file; there are as many as the study has partitions."""
+    from probelight.plans import contrast, records
+
+    study = contrast.complete(spark, sf_dir).localCheckpoint().repartition(3)
+
+    def seen(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    module = contrast if name == "spearman" else records
+    want = sorted(map(tuple, module.QUERIES[name](spark, sf_dir).collect()))
+    monkeypatch.setattr(module, "complete", lambda spark, sf_dir: study.mapInArrow(seen, study.schema))
+    assert sorted(map(tuple, module.QUERIES[name](spark, sf_dir).collect())) == want
+    assert len(list(tmp_path.iterdir())) == 3
