@@ -305,3 +305,40 @@ def test_pairs_of_blocks_give_few_rows_and_ties_keep_their_order(spark):
     texts = (store.selectExpr("id AS query_id", "text AS query_text"), store.select("id", "text"))
     for most in (32, 4096):
         assert {(r.query_id, r.id, r.rank) for r in joins.top_similar(queries, store.select("id", "vec"), 2, 0.3, other=texts, most=most).collect()} == want
+
+
+def brute_top(x, k, least):
+    """(query, earlier row, rank) by scores made one by one."""
+    want = set()
+    for q in range(1, len(x)):
+        score = (x[q] * x[:q]).sum(axis=1)
+        best = sorted(np.flatnonzero(score >= least), key=lambda i: (-score[i], i))[:k]
+        want |= {(q, int(i), rank + 1) for rank, i in enumerate(best)}
+    return want
+
+
+def test_vectors_pass_by_shelves_of_bounded_size(spark, monkeypatch):
+    """No row of the plan holds a block, and the rows sent are those of shelves, of which each has a bounded number."""
+    monkeypatch.setattr(joins, "SHELF_BYTES", 150 * 8 * 8)
+    x = np.random.default_rng(11).normal(size=(1200, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    store = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    found = joins.top_similar(store.selectExpr("id AS query_id", "vec AS query_vec"), store, 3, 0.4, most=60)
+    assert {(r.query_id, r.id, r.rank) for r in found.collect()} == brute_top(x, 3, 0.4)
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+    named, _ = joins.blocked(joins.shaped(store, "id", "vec", x[:20]), "id", 60)
+    sizes = [r["count"] for r in named.join(joins.shelved(named, 150), "_block").groupBy("_shelf").count().collect()]
+    assert sum(sizes) == 1200 and len(sizes) >= 8 and max(sizes) < 150 + 2 * 60
+
+
+def test_scores_closer_than_single_precision_keep_their_order():
+    """A crowd of vectors that only double precision tells apart, copies among them, and one that holds no number."""
+    rng = np.random.default_rng(5)
+    x = np.tile(rng.normal(size=16), (700, 1)) + rng.integers(0, 50, (700, 1)) * rng.normal(size=16) * 1e-8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[300] = np.nan
+    ids, none = np.arange(700), np.zeros(700, bool)
+    with np.errstate(invalid="ignore"):
+        got = joins._best([ids, x, -ids, none], [ids, x, -ids, none], 4, 0.25, True).to_pydict()
+        want = brute_top(x, 4, 0.25)
+    assert set(zip(got["query_id"], got["id"], strict=True)) == {(q, s) for q, s, _ in want}
