@@ -342,3 +342,21 @@ def test_scores_closer_than_single_precision_keep_their_order():
         got = joins._best([ids, x, -ids, none], [ids, x, -ids, none], 4, 0.25, True).to_pydict()
         want = brute_top(x, 4, 0.25)
     assert set(zip(got["query_id"], got["id"], strict=True)) == {(q, s) for q, s, _ in want}
+
+
+def test_texts_are_told_apart_across_shelves(spark, monkeypatch):
+    """Many copies of few vectors with equal, other and missing texts, and a null vector: shelves give what one block gives."""
+    monkeypatch.setattr(joins, "SHELF_BYTES", 40 * 6 * 8)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(30, 6))[rng.integers(0, 30, 300)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    text = [None if i % 7 == 0 else int(t) for i, t in enumerate(rng.integers(0, 3, 300))]
+    want = set()
+    for q in range(300):
+        score = {i: float((x[q] * x[i]).sum()) for i in range(q) if text[i] != text[q]}
+        want |= {(q, i, rank + 1) for rank, i in enumerate(sorted((i for i in score if score[i] >= 0.55), key=lambda i: (-score[i], i))[:5])}
+    rows = [(i, x[i].tolist(), text[i]) for i in range(300)] + [(300, None, 1)]
+    store = spark.createDataFrame(rows, "id long, vec array<double>, text long")
+    texts = (store.selectExpr("id AS query_id", "text AS query_text"), store.select("id", "text"))
+    found = joins.top_similar(store.selectExpr("id AS query_id", "vec AS query_vec"), store.select("id", "vec"), 5, 0.55, other=texts, most=24)
+    assert {(r.query_id, r.id, r.rank) for r in found.collect()} == want and len(want) > 300
